@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 800_000
+MEMO = 500_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -108,29 +108,57 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; pieces already met come from a memo that empties at MEMO entries."""
+    """Encoder and decoder of one vocabulary.
+
+    Texts part at every space between two other non-space characters: a pre-token never crosses such a
+    space and always begins with it. So the parts, like the pre-tokens, come from memos once they have been
+    met; a memo that holds MEMO entries is emptied.
+    """
 
     def __init__(self, vocabulary: list[bytes], pattern: str):
         self.vocabulary = vocabulary
         self.ranks = {token: rank for rank, token in enumerate(vocabulary)}
         self.hash = PerfectHash(vocabulary)
         self.cut = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     def piece(self, text: str) -> tuple[int, ...]:
+        """The ids of a pre-token."""
         data = text.encode()
         rank = self.hash.rank(data)
         ids = (rank,) if self.vocabulary[rank] == data else tuple(merge(data, self.ranks))
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(text) <= 64:
-            self.memo[text] = ids
+        if len(data) <= 64:
+            if len(self.pieces) >= MEMO:
+                self.pieces.clear()
+            self.pieces[text] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        found, piece = self.memo.get, self.piece
+    def plain(self, text: str) -> list[int]:
+        found, piece = self.pieces.get, self.piece
         return list(chain.from_iterable([found(x) or piece(x) for x in self.cut(text)]))
 
+    def part(self, text: str) -> tuple[int, ...]:
+        """The ids of a space and the part after it; a part with white space at an end raises."""
+        if not text or text[0].isspace() or text[-1].isspace():
+            raise ValueError(text)
+        ids = tuple(self.plain(" " + text))
+        if len(text) <= 32:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            self.parts[text] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        first, *rest = text.split(" ")
+        if not first or first[-1].isspace():
+            return self.plain(text)
+        found, part = self.parts.get, self.part
+        try:
+            return self.plain(first) + list(chain.from_iterable([found(x) or part(x) for x in rest]))
+        except ValueError:
+            return self.plain(text)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 

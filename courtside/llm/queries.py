@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import byte_bpe, quality_rules, source_mix
+from courtside.llm import byte_bpe, minhash_dedup, quality_rules, source_mix
 from courtside.llm._common import table
 
 
@@ -16,6 +16,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", *quality_rules.MEASURES[:5], base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=80)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -26,6 +30,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op9_byte_bpe, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_minhash_dedup, op9_byte_bpe, op10_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
