@@ -192,3 +192,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     grouped = signed.select("id", "n_shingles", "set_a", "set_b").join(reps, ["set_a", "set_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return grouped.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with the smallest id of each group only; of repeated rows of an id one stays. Rows without an id all stay."""
+    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
+    few = kept.count() <= BROADCAST_IDS
+    joined = docs.join(F.broadcast(kept) if few else kept, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return joined.unionByName(docs.filter(docs[id_col].isNull()))
