@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import byte_bpe, minhash_dedup, quality_rules, secret_scan, source_mix, toxicity
+from courtside.llm import byte_bpe, language_id, minhash_dedup, quality_rules, secret_scan, source_mix, toxicity
 from courtside.llm._common import bucket, table
 
 
@@ -16,6 +16,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", *quality_rules.MEASURES[:5], base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = language_id.train(docs.filter(bucket(F.col("doc_id"), 4) != 2))
+    found = language_id.predict(docs, field)
+    return found.select("doc_id", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=80)
 
@@ -45,6 +52,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_language_id, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
