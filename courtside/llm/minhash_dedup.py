@@ -1,16 +1,18 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 A document is the set of its distinct word shingles. Documents with equal sets form a class first, so
-copies never multiply. Every class posts its id under each (coordinate, value) pair of its signature of
-``coordinates`` minima. Two classes agree on at least ``matches`` coordinates only if they share one of the
-``coordinates - matches + 1`` rarest pairs of either (the prefix), so only prefix pairs are joined; the
-longer posting lists that the prefix skips are probed from the two signatures. Pairs above the match
-threshold are confirmed on the full sets.
-
-A posting list of n classes never yields n * n pairs: first every class meets one leader of its lists,
-for a few rounds, confirmed links merge into components, and only lists that still mix components pair
-classes across them, where sizes without the shingles of one class alone still allow a link.
-With J >= 0.8 the chance that two signatures of 24 agree on fewer than 10 coordinates is below 1e-5.
+copies never multiply. Every class posts its id under (coordinate, value) pairs of its signature of
+``coordinates`` minima. Two signatures agree on at least ``matches`` coordinates only if they share one of the
+``coordinates - matches + 1`` rarest pairs of either (the prefix), so only prefix pairs are posted; any
+global order of pairs would do, and a sketch of bounded size tells the common ones. The longer lists that the
+prefix skips are probed from the signatures' bit planes, which never show fewer agreeing coordinates than
+there are. Pairs above the match threshold are confirmed on the full sets.
+
+A posting list of n classes never yields n * n pairs: classes first meet leaders of their lists, for a few
+rounds, confirmed links merge into components, and only across components do classes of a list pair up, where
+their sizes without the shingles that one candidate has alone still allow a link.
+With similarity 0.8 the chance that two signatures of 64 agree on fewer than 38 coordinates is about 5e-5, and
+falls fast above; nothing else loses a link.
 
 Results: documents without words, and rows without an id, link with nothing (n_shingles 0 for the former);
 repeated rows of an id share its component; texts are shingled whole, whatever their length; an empty table
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.llm._common import WordHashes, materialize, mix64, utf8, window_hashes
@@ -33,6 +35,8 @@ ONE = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_IDS = 1_000_000
 #: Shingles that one numpy pass holds at a time.
 CHUNK = 1 << 20
+SKETCH = 1 << 18
+PLANES = 3
 
 
 def shingle_set(data: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
@@ -57,7 +61,7 @@ def _minima(sets: list[np.ndarray], salts: np.ndarray, factors: np.ndarray) -> n
     return out
 
 
-def signatures(docs: DataFrame, width: int = 5, coordinates: int = 24, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, width: int = 5, coordinates: int = 64, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, n_shingles, set_a, set_b (a 128-bit hash of the set), signature array<int> (null for an empty set)."""
     random = np.random.default_rng(seed)
     salts = random.integers(0, 1 << 64, coordinates, np.uint64)
@@ -99,9 +103,8 @@ def signatures(docs: DataFrame, width: int = 5, coordinates: int = 24, seed: int
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """The full sets, as array<long>, of the documents whose id is in ids."""
-    few = ids.count() <= BROADCAST_IDS
     named = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    named = named.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    named = named.join(_small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -112,9 +115,40 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: st
     return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, shingles array<long>").dropDuplicates(["id"])
 
 
-def _agreeing(left: str, right: str) -> Column:
-    """Coordinates at which two signatures agree."""
-    return F.expr(f"aggregate(zip_with({left}, {right}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
+def _frequencies(classes: DataFrame) -> np.ndarray:
+    """How many postings fall in each of SKETCH slots: a size-bounded sketch that tells common pairs from rare ones."""
+    slot = F.pmod(F.xxhash64("k", "v"), F.lit(SKETCH))
+    rows = classes.select(F.posexplode("signature").alias("k", "v")).select(slot.alias("slot")).groupBy("slot").count().toArrow()
+    out = np.zeros(SKETCH, np.int64)
+    out[rows["slot"].to_numpy()] = rows["count"].to_numpy()
+    return out
+
+
+def _prefixes(classes: DataFrame, length: int) -> DataFrame:
+    """Each class's ``length`` rarest pairs as keys, and its signature's PLANES lowest bit planes (one bit a coordinate)."""
+    slots = F.expr(f"transform(signature, (v, k) -> pmod(xxhash64(k, v), {SKETCH}L))")
+    shared = classes.sparkSession.sparkContext.broadcast(_frequencies(classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(2).flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1)
+            keys = values.astype(np.int64) | np.arange(values.shape[1], dtype=np.int64) << 32
+            rare = shared.value[batch.column(3).flatten().to_numpy().reshape(values.shape)]
+            order = np.lexsort((keys, rare))[:, :length]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, order.shape[1]), pa.int32()), pa.array(np.take_along_axis(keys, order, 1).ravel()))
+            weights = np.uint64(1) << np.arange(values.shape[1], dtype=np.uint64)
+            planes = [pa.array(((values >> p & 1).astype(np.uint64) * weights).sum(1, dtype=np.uint64).view(np.int64)) for p in range(PLANES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, *planes], ["rep", "n", "keys", *[f"p{p}" for p in range(PLANES)]])
+
+    kind = classes.schema["rep"].dataType.simpleString()
+    return classes.select("rep", "n", "signature", slots.alias("slots")).mapInArrow(run, f"rep {kind}, n long, keys array<long>, " + ", ".join(f"p{p} long" for p in range(PLANES)))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df to broadcast where its count bounds its size, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,62 +165,69 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordinates: int = 24, matches: int = 10, rounds: int = 3, tries: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordinates: int = 64, matches: int = 38, rounds: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, n_shingles, component_id, kept: links need 100 * intersection >= threshold * union."""
     signed = materialize(signatures(docs, width, coordinates, seed, id_col, text_col), "signatures")
     classes = signed.filter("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
-
-    # Postings: the pairs (coordinate, value) that at least two classes share, rarest first in each class.
-    postings = classes.select("rep", F.posexplode("signature").alias("k", "v")).select("rep", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = postings.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("all"))
-    # The pairs of a class alone are its rarest and fill the prefix first; nobody can meet it there.
-    prefix = ranked.filter(F.size("all") >= matches).select("rep", F.expr(f"transform(slice(all, 1, {1 - matches} + size(all)), x -> x.key)").alias("keys"))
-    prefix = materialize(prefix, "prefix")
-    sets = materialize(_sets(docs, prefix.select(F.col("rep").alias("id")), width, id_col, text_col), "sets")
-    # Shingles that no other candidate has cannot be common to a pair: they bound its similarity from above.
-    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    met = prefix.join(classes, "rep").join(single, "rep", "left").select("rep", "keys", "n", "signature", (F.col("n") - F.coalesce("own", F.lit(0))).alias("u"))
-    met = materialize(met, "met")
-    other = met.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("signature").alias("other"), F.col("keys").alias("other_keys"), F.col("u").alias("v"))
-    posted = met.withColumn("key", F.explode("keys"))
-    possible = F.expr(f"100 * least(u, v) >= {threshold} * (n + m - least(u, v))") & (_agreeing("signature", "other") >= matches)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    prefix = materialize(_prefixes(classes, coordinates - matches + 1), "prefix")
+    planes = [f"p{p}" for p in range(PLANES)]
+
+    def possible(left: str, right: str):
+        """Sizes and agreeing coordinates (never fewer than the planes show differing) allow a link."""
+        differ = "|".join(f"({left}.{p} ^ {right}.{p})" for p in planes)
+        return F.expr(f"100 * least({left}.n, {right}.n) >= {threshold} * greatest({left}.n, {right}.n) and bit_count({differ}) <= {coordinates - matches}")
+
+    # Posting lists of two classes or more, each with a leader picked by hash.
+    posted = prefix.select(F.explode("keys").alias("key"), "rep", "n", *planes).repartition("key")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.max(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", *planes)).alias("l")).filter("df > 1").drop("df")
+    near = F.when(possible("p", "l") & (F.col("p.rep") != F.col("l.rep")), F.expr(f"{coordinates} - bit_count(" + "|".join(f"(p.{p} ^ l.{p})" for p in planes) + ")"))
+    listed = posted.alias("p").join(lists, "key").select("key", "p.rep", "p.n", *[f"p.{p}" for p in planes], F.col("l.rep").alias("b"), near.alias("agree"))
+    listed = materialize(listed, "listed")
+
+    # First every class meets the leader with which it agrees most.
+    first = listed.filter("agree is not null").groupBy(F.col("rep").alias("a")).agg(F.max_by("b", F.struct("agree", F.col("b").alias("tie"))).alias("b"))
+    first = materialize(first, "pairs")
+    ids = materialize(first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), "ids")
+    sets = materialize(_sets(docs, ids, width, id_col, text_col), "sets")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
         left = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
         full = left.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
         common = full.select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
         return common.filter(100 * F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b")
 
-    def mixed(labels: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-        """The rows of the lists that mix components; each such list's leader: a class with few shingles of its own."""
-        if labels is None:
-            rows = posted.withColumn("component", F.col("rep"))
-        else:
-            rows = posted.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        lists = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(F.round(F.col("u") / F.col("n"), 2).alias("q"), F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("component").alias("cb"))).alias("lead"))
-        return rows, lists.filter("low <> high").select("key", "lead.b", "lead.cb")
-
-    edges, labels = None, None
-    for turn in range(rounds):
-        rows, lists = mixed(labels, turn)
-        agree = rows.select("rep", "n", "u", "signature", "component", "key").join(lists.join(other.drop("other_keys"), "b"), "key").filter((F.col("component") != F.col("cb")) & possible)
-        best = F.slice(F.sort_array(F.collect_set(F.struct(_agreeing("signature", "other").alias("agree"), "b")), asc=False), 1, tries)
-        chosen = agree.groupBy(F.col("rep").alias("a")).agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
-        found = materialize(confirmed(materialize(chosen, "pairs")), "links")
-        edges = found if edges is None else edges.unionByName(found)
+    edges = materialize(confirmed(first, sets), "links")
+    labels = components(edges)
+
+    # Shingles that no other candidate has cannot be common to two candidates: u, the rest, bounds similarity.
+    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    bounds = materialize(sets.select("id", F.size("shingles").alias("z")).join(single, "id", "left").select(F.col("id").alias("rep"), (F.col("z") - F.coalesce("own", F.lit(0))).alias("u")), "bounds")
+    bound = lambda left, right: F.expr(f"100 * least({left}.u, {right}.u) >= {threshold} * ({left}.n + {right}.n - least({left}.u, {right}.u))")
+
+    # Then candidates still apart from a list's leading component meet other leaders, which have few shingles of their own.
+    hot = materialize(listed.select("key", "rep", "n", *planes).join(_small(bounds), "rep"), "hot")
+    for turn in range(1, rounds):
+        rows = hot.join(_small(labels.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        lead = F.max(F.struct(F.round(F.col("u") / F.col("n"), 2).alias("q"), F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "u", "component", *planes))
+        leaders = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("l")).filter("low <> high").select("key", "l")
+        apart = rows.alias("p").join(leaders, "key").filter((F.col("p.component") != F.col("l.component")) & possible("p", "l") & bound("p", "l"))
+        chosen = apart.groupBy(F.col("p.rep").alias("a")).agg(F.slice(F.collect_set("l.rep"), 1, 4).alias("best")).select("a", F.explode("best").alias("b"))
+        edges = edges.unionByName(materialize(confirmed(materialize(chosen, "pairs"), sets), "links"))
         labels = components(edges)
 
-    # What lists still mix: each class outside a list's leading component meets those of the others, once.
-    rows, lists = mixed(labels, rounds)
-    rows = materialize(rows.join(lists.select("key", "cb"), "key"), "rows")
-    outer = rows.filter("component <> cb").select("key", F.col("rep").alias("a"), "n", "u", "signature", "keys", F.col("component").alias("ca"))
-    inner = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("signature").alias("other"), F.col("keys").alias("other_keys"), F.col("component").alias("co"), (F.col("component") == F.col("cb")).alias("leading"))
-    once = F.expr("array_min(array_intersect(keys, other_keys))") == F.col("key")
-    across = outer.join(inner, "key").filter((F.col("ca") != F.col("co")) & (F.col("leading") | (F.col("a") < F.col("b"))) & possible & once)
-    labels = components(edges.unionByName(confirmed(materialize(across.select("a", "b"), "pairs"))))
+    # What lists still mix: each class outside the leader's component meets those of the other components.
+    label = _small(labels)
+    rows = listed.drop("agree").join(label.withColumnsRenamed({"node": "rep", "component": "ca"}), "rep", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+    rows = rows.join(_small(bounds), "rep", "left").select("key", "rep", "n", *planes, F.coalesce("u", "n").alias("u"), F.coalesce("ca", "rep").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    outer = rows.filter("component <> leading")
+    across = outer.alias("p").join(rows.alias("l"), "key").filter((F.col("p.component") != F.col("l.component")) & ((F.col("l.component") == F.col("l.leading")) | (F.col("p.rep") < F.col("l.rep"))) & possible("p", "l") & bound("p", "l"))
+    last = materialize(across.select(F.col("p.rep").alias("a"), F.col("l.rep").alias("b")).distinct(), "pairs")
+    ids = materialize(last.select(F.col("a").alias("id")).union(last.select("b")).distinct(), "ids")
+    fresh = ids.join(sets, "id", "left_anti")
+    sets = sets.join(_small(ids), "id", "left_semi").unionByName(materialize(_sets(docs, materialize(fresh, "ids"), width, id_col, text_col), "sets"))
+    labels = components(edges.unionByName(materialize(confirmed(last, sets), "links")))
 
     reps = classes.select("set_a", "set_b", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     grouped = signed.select("id", "n_shingles", "set_a", "set_b").join(reps, ["set_a", "set_b"], "left")
@@ -197,6 +238,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with the smallest id of each group only; of repeated rows of an id one stays. Rows without an id all stay."""
     kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    few = kept.count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(kept) if few else kept, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    joined = docs.join(_small(kept), docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return joined.unionByName(docs.filter(docs[id_col].isNull()))
