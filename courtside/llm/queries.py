@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import byte_bpe, language_id, minhash_dedup, quality_rules, secret_scan, source_mix, toxicity
+from courtside.llm import byte_bpe, language_id, minhash_dedup, quality_rules, secret_scan, source_mix, topk_search, toxicity, url_filter
 from courtside.llm._common import bucket, table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), *url_filter.train(spark))
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.policy_mask("base"))) != 0
@@ -52,6 +61,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_language_id, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_topk_search, op3_quality_rules, op4_language_id, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10""",
+}
