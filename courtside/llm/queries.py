@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import byte_bpe, language_id, minhash_dedup, quality_rules, secret_scan, source_mix, topk_search, toxicity, url_filter
+from courtside.llm import byte_bpe, html_extraction, language_id, minhash_dedup, quality_rules, secret_scan, source_mix, topk_search, toxicity, url_filter
 from courtside.llm._common import bucket, table
 
 
@@ -32,6 +32,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=80)
 
@@ -61,7 +66,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_topk_search, op3_quality_rules, op4_language_id, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_topk_search, op3_quality_rules, op4_language_id, op5_html_extraction, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": """

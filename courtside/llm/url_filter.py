@@ -95,7 +95,7 @@ def probability(host: Column, path: Column, weights: list[float], intercept: flo
     return 1 / (1 + F.exp(-total))
 
 
-def judge(pages: DataFrame, weights: list[float], intercept: float, rules=RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, weights: list[float], intercept: float, rules=RULES, threshold: float = 0.6, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """pages -> id, host, path, rule, verdict (allow or block: the rule's, else the model's), block_probability."""
     parts = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
