@@ -22,7 +22,7 @@ from courtside.llm._common import WordHashes, utf8, window_hashes
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bangs", "n_top_word")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bangs", "n_top_word", "n_echoes")
 
 #: Bit number, name and failing condition of every rule. Bits are never reused.
 RULES: tuple[tuple[int, str, str], ...] = (
@@ -34,6 +34,7 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (5, "one_word_dominates", "n_words >= 20 and 100 * n_top_word > 40 * n_words"),
     (6, "word_length_out_of_range", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     (7, "duplicate_lines", "n_words > 0 and 8 * n_dup_lines > n_words"),
+    (8, "echoed_words", "100 * n_echoes > 25 * n_words"),
 )
 
 #: Versioned policies: the rules that reject.
@@ -92,6 +93,7 @@ def measure(data: bytes | None, memo: WordHashes) -> tuple[int, ...]:
         upper,
         int(by_byte[33]),
         top,
+        int((hashes[1:] == hashes[:-1]).sum()),
     )
 
 

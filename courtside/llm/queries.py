@@ -69,6 +69,27 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_topk_search, op3_quality_rules, op4_language_id, op5_html_extraction, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        words AS (SELECT doc_id, i, w[i] AS word, w[i + 1] AS next, CASE WHEN i + 7 <= len(w) THEN array_to_string(w[i:i + 7], ' ') END AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+        runs AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM words WHERE run IS NOT NULL),
+        repeats AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM runs, range(0, 8) AS r(o) WHERE n > 1 GROUP BY doc_id),
+        tops AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL) GROUP BY doc_id),
+        echoes AS (SELECT doc_id, count(*) FILTER (WHERE word = next) AS n FROM words GROUP BY doc_id),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs),
+        m AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+                length(regexp_replace(t, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper,
+                length(regexp_replace(t, '[^!]', '', 'g')) AS n_bangs, coalesce(tops.n, 0) AS n_top_word, coalesce(echoes.n, 0) AS n_echoes
+            FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN tops USING (doc_id) LEFT JOIN echoes USING (doc_id)),
+        b AS (
+            SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT) + 4 * CAST(100 * n_symbols > 25 * n_words AS BIGINT)
+                + 8 * CAST(100 * n_upper > 40 * n_letters AS BIGINT) + 16 * CAST(100 * n_bangs > 30 * n_words AS BIGINT) + 32 * CAST(n_words >= 20 AND 100 * n_top_word > 40 * n_words AS BIGINT)
+                + 64 * CAST(word_chars < 2 * n_words OR word_chars > 14 * n_words AS BIGINT) + 128 * CAST(n_words > 0 AND 8 * n_dup_lines > n_words AS BIGINT) + 256 * CAST(100 * n_echoes > 25 * n_words AS BIGINT) AS fail_bits
+            FROM m)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+            CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
     "op2_topk_search": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
