@@ -1,4 +1,510 @@
-"""The registered queries of the engine's own operators, and their SQL."""
+"""The registered queries of the engine's own operators, and the same in DuckDB's SQL over the same tables.
 
-QUERIES: dict = {}
+Each query applies one operator (its id leads the name) to whole tables or to views over them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courtside.functions import formats, odds
+from courtside.functions.rounding import rounded, whole
+from courtside.operators import bets, features, forecast, risk, text, tracking
+from courtside.plans.fixtures import PRELUDE, open_views
+from courtside.sources import feeds
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+AS_OF = "2001-08-01 00:00:00"
+
+
+def R(x: str, digits: int = 6) -> str:  # noqa: N802
+    """DuckDB's form of rounding.rounded."""
+    return f"(round_even(({x}) * CAST(1e{digits} AS DOUBLE), 0) / CAST(1e{digits} AS DOUBLE) + CAST(0 AS DOUBLE))"
+
+
+def I(x: str) -> str:  # noqa: E743, N802
+    """DuckDB's form of rounding.whole."""
+    return f"CAST(round_even({x}, 0) AS BIGINT)"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(open_views(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"{PRELUDE}{sql}"
+        return f
+
+    return register
+
+
+# ---- forecasts ------------------------------------------------------------------------------------------------
+
+MATCHUPS = """, matchups AS (SELECT g.*, coalesce(h.team_name, concat('Team ', CAST(g.home_id AS STRING))) AS home_name, coalesce(a.team_name, concat('Team ', CAST(g.away_id AS STRING))) AS away_name,
+    coalesce(h.win_pct, CAST(0.5 AS DOUBLE)) AS hw, coalesce(h.points_avg, CAST(110 AS DOUBLE)) AS hp, coalesce(h.points_against_avg, CAST(110 AS DOUBLE)) AS ha,
+    coalesce(a.win_pct, CAST(0.5 AS DOUBLE)) AS aw, coalesce(a.points_avg, CAST(110 AS DOUBLE)) AS ap, coalesce(a.points_against_avg, CAST(110 AS DOUBLE)) AS aa
+    FROM games g LEFT JOIN teams h ON g.home_id = h.team_id LEFT JOIN teams a ON g.away_id = a.team_id)"""
+
+D = lambda x: f"CAST({x} AS DOUBLE)"
+
+
+def american_sql(p: str) -> str:
+    return f"CASE WHEN {p} >= {D(0.5)} THEN {I(f'{D(-100)} * ({p} / (1 - {p}))')} ELSE {I(f'{D(100)} * ((1 - {p}) / {p})')} END"
+
+
+FORECAST = MATCHUPS + f""", f1 AS (SELECT *, (hp + aa) / {D(2)} + {D(3)} AS exp_home, (ap + ha) / {D(2)} AS exp_away, (hw - aw) / {D(2)} AS record_factor FROM matchups),
+    f2 AS (SELECT *, exp_home - exp_away AS spread, exp_home + exp_away AS total_points FROM f1),
+    f3 AS (SELECT *, least(greatest({D(0.5)} + spread / {D(20)} + record_factor, {D(0.05)}), {D(0.95)}) AS p_home, least({D(0.9)}, {D(0.7)} + abs(record_factor)) AS confidence FROM f2),
+    forecasts AS (SELECT *, 1 - p_home AS p_away, {american_sql('p_home')} AS home_odds, {american_sql('(1 - p_home)')} AS away_odds, {I('exp_home')} AS home_score_int, {I('exp_away')} AS away_score_int FROM f3)"""
+
+
+def forecasts(view) -> DataFrame:
+    return forecast.closed_form(forecast.matchups(view("games"), view("teams")))
+
+
+@query(FORECAST + f"""SELECT game_id, home_name, away_name, {R('p_home')} AS p_home, {R('spread')} AS spread, {R('total_points')} AS total_points, {R('confidence')} AS confidence, home_odds, away_odds, home_score_int, away_score_int,
+    CASE WHEN p_home > p_away THEN home_name ELSE away_name END AS winner FROM forecasts""")
+def forecast_games(view):
+    out = forecast.picks(forecasts(view))
+    return out.select("game_id", "home_name", "away_name", *[rounded(c).alias(c) for c in ("p_home", "spread", "total_points", "confidence")], "home_odds", "away_odds", "home_score_int", "away_score_int", "winner")
+
+
+@query(MATCHUPS + f"SELECT game_id, {R('hw')} AS hw, {R('hp')} AS hp, {R('aw')} AS aw, {R('aa')} AS aa FROM matchups")
+def jon02_team_stats_lookup(view):
+    m = forecast.matchups(view("games"), view("teams"))
+    return m.select("game_id", *[rounded(c).alias(c) for c in ("hw", "hp", "aw", "aa")])
+
+
+@query(FORECAST + f"SELECT game_id, {R('exp_home')} AS exp_home, {R('exp_away')} AS exp_away, {R('record_factor')} AS record_factor, {R('p_home')} AS p_home, {R('p_away')} AS p_away FROM forecasts")
+def prj05_closed_form(view):
+    return forecasts(view).select("game_id", *[rounded(c).alias(c) for c in ("exp_home", "exp_away", "record_factor", "p_home", "p_away")])
+
+
+@query(" SELECT team_id, " + R("CASE WHEN w + l > 0 THEN CAST(w AS DOUBLE) / (w + l) ELSE 0 END", 3) + " AS win_pct FROM (SELECT team_id, count(*) FILTER (WHERE points > opponent_points) AS w, count(*) FILTER (WHERE points <= opponent_points) AS l FROM team_games GROUP BY team_id)")
+def prj01_win_percentage(view):
+    t = view("team_games").groupBy("team_id").agg(F.count_if(F.expr("points > opponent_points")).alias("w"), F.count_if(F.expr("points <= opponent_points")).alias("l"))
+    return t.select("team_id", forecast.win_percentage(F.col("w"), F.col("l")).alias("win_pct"))
+
+
+@query(" SELECT team_id, " + R("CAST(w AS DOUBLE) / (w + l)", 12) + " AS win_pct FROM (SELECT team_id, count(*) FILTER (WHERE points > opponent_points) AS w, count(*) FILTER (WHERE points <= opponent_points) AS l FROM team_games GROUP BY team_id)")
+def prj02_win_share(view):
+    t = view("team_games").groupBy("team_id").agg(F.count_if(F.expr("points > opponent_points")).alias("w"), F.count_if(F.expr("points <= opponent_points")).alias("l"))
+    return t.select("team_id", rounded(forecast.win_percentage(F.col("w"), F.col("l"), None), 12).alias("win_pct"))
+
+
+@query(" SELECT game_id, sport FROM games WHERE game_ts >= TIMESTAMP '2001-08-01 00:00:00' AND game_ts <= TIMESTAMP '2001-08-08 00:00:00'")
+def prj03_upcoming(view):
+    return forecast.upcoming(view("games"), F.lit(AS_OF).cast("timestamp_ntz")).select("game_id", "sport")
+
+
+@query(" SELECT game_id, sport FROM games WHERE sport = 'MLB'")
+def prj04_sport_filter(view):
+    return forecast.supported(view("games"), "mlb").select("game_id", "sport")
+
+
+SPORT = lambda nba, nfl, mlb: f"CASE sport WHEN 'NBA' THEN {D(nba)} WHEN 'NFL' THEN {D(nfl)} ELSE {D(mlb)} END"
+LINES = MATCHUPS + f""", lines AS (SELECT *, {R('raw_line', 1)} AS line FROM (SELECT *, (hp + aa) / {D(2)} - (ap + ha) / {D(2)} + {SPORT(3.5, 2.5, 0.15)} AS raw_line FROM matchups))"""
+
+
+@query(LINES + f"SELECT game_id, line, {R('hp - ap', 1)} AS offensive, {R('aa - ha', 1)} AS defensive, {SPORT(3.5, 2.5, 0.15)} AS home_court FROM lines")
+def prj06_point_spread(view):
+    return forecast.point_spread(forecast.matchups(view("games"), view("teams"))).select("game_id", "line", "offensive", "defensive", "home_court")
+
+
+ERA = lambda k: f"CASE WHEN game_id % 3 = {k} THEN NULL ELSE {D(2)} + CAST(game_id * {7 + k} % 40 AS DOUBLE) / 10 END"
+
+
+@query(MATCHUPS + f"""SELECT game_id, {R(f'(hp + aa) / {D(2)} - (ap + ha) / {D(2)} + {D(0.15)} - CASE WHEN coalesce(he, 0) > 0 THEN (he - {D(4)}) * {D(0.2)} ELSE {D(0)} END + CASE WHEN coalesce(ae, 0) > 0 THEN (ae - {D(4)}) * {D(0.2)} ELSE {D(0)} END', 1)} AS run_line
+    FROM (SELECT *, {ERA(0)} AS he, {ERA(1)} AS ae FROM matchups)""")
+def prj07_run_line(view):
+    m = forecast.matchups(view("games"), view("teams"))
+    return forecast.run_line(m, F.expr(ERA(0)), F.expr(ERA(1))).select("game_id", "run_line")
+
+
+@query(LINES + f"SELECT game_id, CASE WHEN t > {SPORT(7, 7, 2)} THEN 'high' WHEN t > {SPORT(3, 3, 1)} THEN 'medium' ELSE 'low' END AS tier FROM (SELECT *, abs(CASE WHEN sport = 'NBA' THEN raw_line ELSE line END) AS t FROM lines)")
+def prj08_tier(view):
+    return forecast.tier(forecast.point_spread(forecast.matchups(view("games"), view("teams")))).select("game_id", "tier")
+
+
+@query(LINES + f", p AS (SELECT game_id, line, {D(50)} / 100 + CAST(game_id * 17 % 46 AS DOUBLE) / 100 - {D(0.2)} AS p FROM lines) SELECT game_id, (p > 1 - p) = (line > 0) AS model_agreement FROM p")
+def prj09_model_agreement(view):
+    lined = forecast.point_spread(forecast.matchups(view("games"), view("teams")))
+    p = F.lit(50.0) / 100 + F.expr("CAST(game_id * 17 % 46 AS DOUBLE)") / 100 - F.lit(0.2)
+    return forecast.agreement(lined, p, F.col("line")).select("game_id", "model_agreement")
+
+
+@query(MATCHUPS + f"SELECT game_id, {R('p')} AS p_home_model, {R('(hp + ap) / 2')} AS avg_points, {R('greatest(p, 1 - p)')} AS confidence_model FROM (SELECT *, least(greatest(CAST(game_id * 29 % 100 AS DOUBLE) / 100, {D(0.1)}), {D(0.9)}) AS p FROM matchups)")
+def prj10_clamped_probability(view):
+    out = forecast.clamped(forecast.matchups(view("games"), view("teams")), F.expr("CAST(game_id * 29 % 100 AS DOUBLE) / 100"))
+    return out.select("game_id", *[rounded(c).alias(c) for c in ("p_home_model", "avg_points", "confidence_model")])
+
+
+@query(f" SELECT game_id, {R(f'least(greatest(p + hs - as_, {D(0.1)}), {D(0.9)})')} AS p FROM (SELECT game_id, CAST(game_id * 29 % 100 AS DOUBLE) / 100 AS p, CAST(game_id % 21 - 10 AS DOUBLE) / 100 AS hs, CAST(game_id % 17 - 8 AS DOUBLE) / 100 AS as_ FROM games)")
+def prj11_sentiment_adjusted(view):
+    p, h, a = (F.expr(x) for x in ("CAST(game_id * 29 % 100 AS DOUBLE) / 100", "CAST(game_id % 21 - 10 AS DOUBLE) / 100", "CAST(game_id % 17 - 8 AS DOUBLE) / 100"))
+    return view("games").select("game_id", rounded(forecast.sentiment_adjusted(p, h, a)).alias("p"))
+
+
+@query(MATCHUPS + f"SELECT game_id, {R('hw')} AS home_team_win_pct, {R('hp')} AS home_team_points_avg, {R('ha')} AS home_team_points_allowed_avg, {R('aw')} AS away_team_win_pct FROM matchups")
+def prj12_feature_projection(view):
+    m = forecast.matchups(view("games"), view("teams"))
+    return m.select("game_id", rounded("hw").alias("home_team_win_pct"), rounded("hp").alias("home_team_points_avg"), rounded("ha").alias("home_team_points_allowed_avg"), rounded("aw").alias("away_team_win_pct"))
+
+
+@query(" SELECT game_id, actual_winner IS NOT NULL AND final_spread IS NOT NULL AS is_valid FROM results")
+def prj13_required_fields(view):
+    return forecast.valid_games(view("results"), ["game_id", "actual_winner", "final_spread"]).select("game_id", "is_valid")
+
+
+@query(FORECAST + f"SELECT game_id, CASE WHEN p_home > p_away THEN home_name ELSE away_name END AS winner, {R('CASE WHEN p_home > p_away THEN p_home ELSE p_away END')} AS winner_p, CASE WHEN spread > 0 THEN home_name ELSE away_name END AS favoured, printf('%.1f', {R('abs(spread)', 1)}) AS spread_text FROM forecasts")
+def prj14_winner_text(view):
+    return forecast.picks(forecasts(view)).select("game_id", "winner", rounded("winner_p").alias("winner_p"), "favoured", "spread_text")
+
+
+@query(f" SELECT team_id, CASE WHEN win_pct > {D(0.6)} THEN 'Strong' ELSE 'Average' END AS form, printf('%.1f%%', {R('win_pct * 100', 1)}) AS win_text FROM teams")
+def prj15_form_label(view):
+    return view("teams").select("team_id", forecast.form_label(F.col("win_pct")).alias("form"), formats.percent_text(F.col("win_pct")).alias("win_text"))
+
+
+@query(" SELECT game_id, CASE WHEN predicted_winner = home_id THEN abs(predicted_spread) ELSE -abs(predicted_spread) + CAST(0 AS DOUBLE) END AS spread, greatest(win_probability, 1 - win_probability) AS p FROM predictions")
+def prj16_signed_spread(view):
+    p = view("predictions")
+    return p.select("game_id", forecast.signed_spread(F.col("predicted_winner"), F.col("home_id"), F.col("predicted_spread")).alias("spread"), F.greatest("win_probability", 1 - F.col("win_probability")).alias("p"))
+
+
+@query(f" SELECT game_id, CASE WHEN x >= {D(0.15)} THEN 'high' WHEN x >= {D(0.08)} THEN 'medium' WHEN x >= {D(0.03)} THEN 'low' ELSE 'minimal' END AS importance, CASE WHEN p >= {D(0.8)} THEN 'high' WHEN p >= {D(0.6)} THEN 'medium' WHEN p >= {D(0.4)} THEN 'low' ELSE 'minimal' END AS confidence FROM (SELECT game_id, win_probability / 4 - {D(0.1)} AS x, win_probability AS p FROM predictions)")
+def prj18_bands(view):
+    p = F.col("win_probability")
+    return view("predictions").select("game_id", forecast.importance_band(p / 4 - F.lit(0.1)).alias("importance"), forecast.confidence_band(p).alias("confidence"))
+
+
+# ---- odds -----------------------------------------------------------------------------------------------------
+
+
+@query(f" SELECT game_id, {american_sql('win_probability')} AS american FROM predictions")
+def fn01_american_odds(view):
+    return view("predictions").select("game_id", odds.american_odds(F.col("win_probability")).alias("american"))
+
+
+def implied_sql(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {D(100)} / ({x} + {D(100)}) ELSE -{x} / (-{x} + {D(100)}) END"
+
+
+@query(f" SELECT game_id, {R(implied_sql('CAST(home_ml AS DOUBLE)'))} AS home, {R(implied_sql('CAST(away_ml AS DOUBLE)'))} AS away FROM market_odds")
+def fn02_implied_probability(view):
+    implied = lambda c: rounded(F.when(F.col(c).isNotNull(), odds.implied_probability(F.col(c))))
+    return view("market_odds").select("game_id", implied("home_ml").alias("home"), implied("away_ml").alias("away"))
+
+
+def decimal_sql(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN 1 + {x} / {D(100)} ELSE 1 + {D(100)} / abs({x}) END"
+
+
+@query(f" SELECT slip_id, leg_no, {R(decimal_sql('CAST(odds AS DOUBLE)'))} AS price FROM slip_legs")
+def fn03_decimal_odds(view):
+    text_odds = F.when(F.col("odds") > 0, F.concat(F.lit("+"), F.col("odds").cast("string"))).otherwise(F.col("odds").cast("string"))
+    return view("slip_legs").select("slip_id", "leg_no", rounded(odds.decimal_odds(text_odds)).alias("price"))
+
+
+def back_sql(c: str) -> str:
+    return f"CASE WHEN {c} > 2 THEN {I(f'({c} - 1) * {D(100)}')} WHEN {c} = 1 THEN -110 ELSE {I(f'{D(-100)} / ({c} - 1)')} END"
+
+
+@query(f" SELECT slip_id, leg_no, {back_sql('p')} AS american FROM (SELECT *, {decimal_sql('CAST(odds AS DOUBLE)')} AS p FROM slip_legs)")
+def fn04_american_from_decimal(view):
+    return view("slip_legs").select("slip_id", "leg_no", odds.american_from_decimal(odds.decimal_odds(F.col("odds"))).alias("american"))
+
+
+def side_sql(p: str, x: str) -> str:
+    return f"({p} * CASE WHEN {x} > 0 THEN {x} / {D(100)} ELSE {D(100)} / abs({x}) END - (1 - {p}))"
+
+
+@query(FORECAST + f"SELECT game_id, {R('greatest(' + side_sql('p_home', 'CAST(home_ml AS DOUBLE)') + ', ' + side_sql('p_away', 'CAST(away_ml AS DOUBLE)') + ')')} AS value FROM forecasts JOIN market_odds USING (game_id) WHERE home_ml IS NOT NULL")
+def fn05_moneyline_value(view):
+    j = forecasts(view).join(view("market_odds").filter("home_ml is not null"), "game_id")
+    return j.select("game_id", rounded(odds.moneyline_value(F.col("p_home"), F.col("p_away"), F.col("home_ml"), F.col("away_ml"))).alias("value"))
+
+
+SPREAD_EV = f"(CASE WHEN spread = 0 THEN {D(0)} ELSE (p_home - abs(spread) / {D(20)}) * ({D(100)} / {D(110)}) - (1 - (p_home - abs(spread) / {D(20)})) END)"
+
+
+@query(FORECAST + f"SELECT game_id, {R(SPREAD_EV)} AS value FROM forecasts")
+def fn06_spread_value(view):
+    return forecasts(view).select("game_id", rounded(odds.spread_value(F.col("p_home"), F.col("spread"))).alias("value"))
+
+
+SLIPS = ", slips AS (SELECT slip_id, min(bet_type) AS kind, CAST(sum(amount) AS DOUBLE) AS amount, max(odds) AS odds, count(*) AS legs, CASE WHEN slip_id % 9 <> 0 THEN min(side) END AS side FROM slip_legs GROUP BY slip_id)"
+
+
+def slips(view) -> DataFrame:
+    return view("slip_legs").groupBy("slip_id").agg(F.min("bet_type").alias("kind"), F.sum("amount").cast("double").alias("amount"), F.max("odds").alias("odds"), F.count(F.lit(1)).alias("legs"), F.min("side").alias("s")).withColumn("side", F.when(F.col("slip_id") % 9 != 0, F.col("s"))).drop("s")
+
+
+@query(SLIPS + f"SELECT slip_id, kind, {R(f'amount * CASE kind WHEN {chr(39)}spread{chr(39)} THEN {D(1.91)} WHEN {chr(39)}moneyline{chr(39)} THEN ' + decimal_sql('CAST(odds AS DOUBLE)') + f' ELSE pow({D(1.91)}, legs) END', 4)} AS payout FROM slips")
+def fn07_slip_payout(view):
+    return bets.slip_payouts(slips(view)).select("slip_id", "kind", "payout")
+
+
+@query(""" SELECT game_id, strftime(l, '%Y-%m-%d') AS game_date, strftime(l, '%-I:%M %p') AS game_time FROM (SELECT game_id, u - to_hours(CASE WHEN u >= a AND u < b THEN 4 ELSE 5 END) AS l FROM (SELECT *,
+    CAST(make_date(year(u), 4, 1) + CAST((7 - dayofweek(make_date(year(u), 4, 1))) % 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 7 HOUR AS a,
+    CAST(make_date(year(u), 10, 31) - CAST(dayofweek(make_date(year(u), 10, 31)) AS INTEGER) AS TIMESTAMP) + INTERVAL 6 HOUR AS b FROM (SELECT game_id, game_ts + to_minutes(CAST(game_id % 1440 AS BIGINT)) AS u FROM games)))""")
+def fn08_eastern_time(view):
+    minute = F.date_format(F.col("game_ts").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("game_id") % 1440).cast("int")), "yyyy-MM-dd'T'HH:mm'Z'")
+    day, time = formats.eastern(minute)
+    return view("games").select("game_id", day.alias("game_date"), time.alias("game_time"))
+
+
+@query(f" SELECT game_id, printf('%.0f%%', {R('win_probability * 100', 0)}) AS p, printf('%+.1f', {R('predicted_spread', 1)}) AS spread FROM predictions")
+def fn09_number_text(view):
+    return view("predictions").select("game_id", formats.percent_text(F.col("win_probability"), 0).alias("p"), formats.signed_text(F.col("predicted_spread")).alias("spread"))
+
+
+@query(" SELECT game_id, strftime(game_ts, '%A, %B %-d, %Y') AS day FROM games")
+def fn10_long_date(view):
+    return view("games").select("game_id", formats.long_date(F.col("game_ts")).alias("day"))
+
+
+@query(" SELECT event_id, strftime(ts, '%H:%M:%S') AS clock FROM events")
+def fn11_clock(view):
+    return view("events").select("event_id", formats.clock(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")).alias("clock"))
+
+
+@query(MATCHUPS + "SELECT game_id, concat(CAST(home_score AS STRING), '-', CAST(away_score AS STRING)) AS score, concat(home_name, ' vs ', away_name) AS matchup FROM matchups")
+def fn12_score_text(view):
+    m = forecast.matchups(view("games"), view("teams"))
+    return m.select("game_id", formats.score_text(F.col("home_score"), F.col("away_score")).alias("score"), formats.versus(F.col("home_name"), F.col("away_name")).alias("matchup"))
+
+
+@query(" SELECT slip_id, min_by(odds, leg_no * 100000 + odds) FILTER (WHERE odds > 0) AS first_positive FROM slip_legs GROUP BY slip_id")
+def fn14_first_match(view):
+    legs = view("slip_legs").groupBy("slip_id").agg(F.array_sort(F.collect_list(F.struct("leg_no", "odds"))).alias("l"))
+    return legs.select("slip_id", formats.first_where(F.col("l"), lambda x: x["odds"] > 0)["odds"].alias("first_positive"))
+
+
+# ---- team history ---------------------------------------------------------------------------------------------
+
+
+@query(" SELECT game_id, team_id, opponent_id, is_home, points, opponent_points FROM team_games")
+def set01_team_orientation(view):
+    return features.team_games(view("games")).select("game_id", "team_id", "opponent_id", "is_home", "points", "opponent_points")
+
+
+@query(" SELECT sport, count(*) AS games FROM games GROUP BY sport")
+def set02_all_sports(view):
+    g = view("games")
+    parts = [forecast.supported(g, s).select("game_id", "sport") for s in ("NBA", "NFL", "MLB")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("sport").agg(F.count(F.lit(1)).alias("games"))
+
+
+ROLL = lambda x, n: f"avg({x}) OVER (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+LAG = "date_diff('day', CAST(lag(game_ts) OVER (PARTITION BY team_id ORDER BY game_ts, game_id) AS DATE), CAST(game_ts AS DATE))"
+
+
+def _rolling(view):
+    return features.rolling_form(features.team_games(view("games")))
+
+
+@query(f" SELECT game_id, team_id, {R(ROLL('points', 10))} AS points_10 FROM team_games")
+def win02_rolling_points(view):
+    return _rolling(view).select("game_id", "team_id", rounded("points_10").alias("points_10"))
+
+
+@query(f" SELECT game_id, team_id, {R(ROLL('opponent_points', 10))} AS opponent_points_10 FROM team_games")
+def win03_rolling_opponent_points(view):
+    return _rolling(view).select("game_id", "team_id", rounded("opponent_points_10").alias("opponent_points_10"))
+
+
+@query(f" SELECT game_id, team_id, {R(ROLL('CAST(points > opponent_points AS INT)', 20))} AS win_rate_20 FROM team_games")
+def win04_rolling_win_rate(view):
+    return _rolling(view).select("game_id", "team_id", rounded("win_rate_20").alias("win_rate_20"))
+
+
+@query(f" SELECT game_id, team_id, CAST({LAG} AS INT) AS days_rest FROM team_games")
+def win05_days_rest(view):
+    return _rolling(view).select("game_id", "team_id", "days_rest")
+
+
+@query(f" SELECT game_id, team_id, coalesce({LAG} <= 1, false) AS back_to_back FROM team_games")
+def win06_back_to_back(view):
+    return _rolling(view).select("game_id", "team_id", "back_to_back")
+
+
+RECENT = f""", r1 AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY game_ts DESC, game_id DESC) AS recency FROM team_games),
+    r2 AS (SELECT *, count(*) OVER (PARTITION BY team_id) AS n FROM r1 WHERE recency <= 10),
+    recent AS (SELECT *, CASE WHEN n = 1 THEN {D(0.5)} ELSE {D(0.5)} + {D(0.5)} * (CAST(n - recency AS DOUBLE) / (n - 1)) END AS weight FROM r2)"""
+
+
+@query(RECENT + f"SELECT team_id, game_id, CAST(recency AS INT) AS recency, {R('weight')} AS weight FROM recent")
+def win01_recency_weights(view):
+    return features.recent_weights(features.team_games(view("games"))).select("team_id", "game_id", "recency", rounded("weight").alias("weight"))
+
+
+@query(RECENT + f"""SELECT team_id, {R(f"sum(weight * CASE WHEN points > opponent_points THEN {D(1)} ELSE {D(-1)} END * (1 + CAST(points - opponent_points AS DOUBLE) / greatest(points, opponent_points))) / count(*)")} AS momentum FROM recent GROUP BY team_id""")
+def agg05_momentum(view):
+    return features.momentum(features.team_games(view("games"))).select("team_id", rounded("momentum").alias("momentum"))
+
+
+@query(RECENT + "SELECT team_id, count(*) AS games, min(game_id) AS first_game, CAST(sum(points) AS BIGINT) AS points FROM recent GROUP BY team_id")
+def jon06_team_in_game(view):
+    r = features.recent_weights(features.team_games(view("games")))
+    return r.groupBy("team_id").agg(F.count(F.lit(1)).alias("games"), F.min("game_id").alias("first_game"), F.sum("points").alias("points"))
+
+
+@query(" SELECT team_id, game_id, s AS points_sum, f AS first_points FROM (SELECT team_id, game_id, CAST(sum(points) OVER w AS DOUBLE) AS s, CAST(first(points) OVER w AS DOUBLE) AS f, count(*) OVER w AS n FROM team_games WINDOW w AS (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10")
+def win09_sequences(view):
+    s = features.sequences(features.team_games(view("games")))
+    points = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get(F.col("sequence"), i * 3))
+    return s.select("team_id", "game_id", F.aggregate(points, F.lit(0.0), lambda a, x: a + x).alias("points_sum"), F.get(F.col("sequence"), F.lit(0)).alias("first_points"))
+
+
+H2H = """, meetings AS (SELECT s.game_id, s.home_id, h.home_id AS hh, h.home_score, h.away_score FROM (SELECT * FROM games WHERE game_id % 5 = 0) s JOIN games h ON least(s.home_id, s.away_id) = least(h.home_id, h.away_id) AND greatest(s.home_id, s.away_id) = greatest(h.home_id, h.away_id))"""
+
+
+@query(H2H + f"""SELECT game_id, count(*) AS meetings, count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS home_wins, count(*) FILTER (WHERE hh = home_id AND away_score > home_score) AS away_wins,
+    {R(f"CAST(sum(CASE WHEN hh = home_id THEN home_score - away_score ELSE away_score - home_score END) AS DOUBLE) / count(*)")} AS average_difference, {R("CAST(count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS DOUBLE) / count(*)")} AS home_advantage FROM meetings GROUP BY game_id""")
+def agg04_head_to_head(view):
+    g = view("games")
+    return features.head_to_head(g.filter("game_id % 5 = 0"), g).select("game_id", "meetings", "home_wins", "away_wins", "average_difference", "home_advantage")
+
+
+@query(" SELECT least(home_id, away_id) AS low_id, greatest(home_id, away_id) AS high_id, count(*) AS n, CAST(sum(CASE WHEN home_id <= away_id THEN home_score - away_score ELSE away_score - home_score END) AS BIGINT) AS difference FROM games GROUP BY 1, 2")
+def jon05_pair_key(view):
+    return features.pair_history(view("games")).select("low_id", "high_id", "n", F.col("difference"))
+
+
+BEFORE = "OVER (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+
+
+@query(f" SELECT game_id, {R('max(p) FILTER (WHERE is_home = 1)')} AS home_points_10, {R('max(p) FILTER (WHERE is_home = 0)')} AS away_points_10 FROM (SELECT game_id, is_home, avg(points) {BEFORE} AS p FROM team_games) GROUP BY game_id")
+def jon10_point_in_time(view):
+    return features.point_in_time(view("games")).select("game_id", rounded("home_points_10").alias("home_points_10"), rounded("away_points_10").alias("away_points_10"))
+
+
+# ---- risk and bets --------------------------------------------------------------------------------------------
+
+RISK = FORECAST + f""", k1 AS (SELECT f.*, home_ml, away_ml, least(greatest(1 - confidence, {D(0)}), {D(1)}) AS confidence_risk,
+    CASE WHEN home_ml IS NULL THEN {D(0.5)} ELSE least(abs(abs(CAST(home_ml AS DOUBLE)) - abs(CAST(away_ml AS DOUBLE))) / greatest(abs(CAST(home_ml AS DOUBLE)) + 1, abs(CAST(away_ml AS DOUBLE)) + 1), {D(1)}) END AS odds_risk,
+    least(greatest((abs(hp - ha) + abs(ap - aa)) / {D(40)}, {D(0)}), {D(1)}) AS volatility_risk, least(1 - abs(hw - aw), {D(1)}) AS historical_risk FROM forecasts f JOIN market_odds o ON f.game_id = o.game_id),
+    k2 AS (SELECT *, confidence_risk * {D(0.3)} + odds_risk * {D(0.25)} + volatility_risk * {D(0.25)} + historical_risk * {D(0.2)} AS risk_score FROM k1),
+    risks AS (SELECT *, CASE WHEN risk_score <= {D(0.3)} THEN 'low' WHEN risk_score <= {D(0.6)} THEN 'medium' WHEN risk_score <= {D(0.8)} THEN 'high' ELSE 'very_high' END AS risk_level FROM k2)"""
+
+
+def assessed(view) -> DataFrame:
+    joined = forecasts(view).join(view("market_odds"), "game_id")
+    return risk.assess(joined, home_ml=F.col("home_ml"), away_ml=F.col("away_ml"))
+
+
+@query(FORECAST + f"SELECT game_id, {R(f'least(greatest(1 - confidence + CASE WHEN game_id % 2 = 0 THEN {D(0)} ELSE {D(0.2)} END, {D(0)}), {D(1)})')} AS confidence_risk FROM forecasts")
+def bet01_confidence_risk(view):
+    return forecasts(view).select("game_id", rounded(risk.confidence_risk(F.col("confidence"), F.col("game_id") % 2 == 0)).alias("confidence_risk"))
+
+
+def _risk_part(name: str):
+    def run(view):
+        return assessed(view).select("game_id", rounded(name).alias(name))
+
+    return run
+
+
+for _name, _part in (("bet02_odds_risk", "odds_risk"), ("bet03_volatility_risk", "volatility_risk"), ("bet04_historical_risk", "historical_risk"), ("bet05_overall_risk", "risk_score")):
+    _f = _risk_part(_part)
+    _f.__name__ = _name
+    query(RISK + f"SELECT game_id, {R(_part)} AS {_part} FROM risks")(_f)
+
+
+@query(RISK + "SELECT risk_level, count(*) AS games FROM risks GROUP BY risk_level")
+def bet06_risk_level(view):
+    return assessed(view).groupBy("risk_level").agg(F.count(F.lit(1)).alias("games"))
+
+
+@query(RISK + f"""SELECT game_id, concat_ws('; ', CASE WHEN risk_score < {D(0.3)} THEN 'Strong opportunity with solid statistical backing' WHEN risk_score < {D(0.6)} THEN 'Balanced risk-reward profile with moderate confidence' ELSE 'High-risk bet with potential for variance' END,
+    CASE WHEN confidence_risk > {D(0.6)} THEN 'Model shows lower confidence in prediction' END, CASE WHEN odds_risk > {D(0.7)} THEN 'Line movement suggests market uncertainty' END,
+    CASE WHEN volatility_risk > {D(0.6)} THEN 'Recent performance shows high variability' END, CASE WHEN historical_risk > {D(0.7)} THEN 'Historical matchup data indicates unpredictability' END) AS insights FROM risks""")
+def bet07_insights(view):
+    return assessed(view).select("game_id", F.concat_ws("; ", "insights").alias("insights"))
+
+
+MONEY_EV = "greatest(" + side_sql("p_home", "CAST(home_odds AS DOUBLE)") + ", " + side_sql("p_away", "CAST(away_odds AS DOUBLE)") + ")"
+BETS = RISK + f""", b1 AS (SELECT *, {SPREAD_EV} AS spread_ev, {MONEY_EV} AS money_ev FROM risks WHERE risk_score < {D(0.8)}),
+    b2 AS (SELECT *, CASE WHEN spread_ev > money_ev AND abs(spread) > 0 THEN 'Spread' ELSE 'Moneyline' END AS bet_type, CASE WHEN spread_ev > money_ev AND abs(spread) > 0 THEN spread_ev ELSE money_ev END AS value FROM b1),
+    bets AS (SELECT *, CASE WHEN bet_type = 'Spread' THEN -110 ELSE home_odds END AS odds, {I(f'(1 - risk_score) * {D(100)}')} AS confidence_pct, {R('value', 2)} AS value_score FROM b2)"""
+
+
+@query(BETS + "SELECT game_id, bet_type, odds, confidence_pct, value_score FROM bets")
+def bet08_single_bets(view):
+    return bets.single_bets(assessed(view)).select("game_id", "bet_type", "odds", "confidence_pct", "value_score")
+
+
+@query(BETS + f"""SELECT game_id, concat_ws(' | ', CASE WHEN value > {D(0.15)} THEN concat('Strong value opportunity with ', printf('%.1f%%', {R('value * 100', 1)}), ' edge') WHEN value > {D(0.05)} THEN concat('Moderate value with ', printf('%.1f%%', {R('value * 100', 1)}), ' edge') END,
+    CASE WHEN abs(hp - ap) > 5 THEN concat(CASE WHEN hp > ap THEN home_name ELSE away_name END, ' shows stronger offensive performance') END,
+    CASE risk_level WHEN 'low' THEN 'Historical data suggests consistent performance patterns' WHEN 'medium' THEN 'Moderate volatility in recent performances' END) AS reasoning FROM bets""")
+def bet09_reasoning(view):
+    return bets.single_bets(assessed(view)).select("game_id", "reasoning")
+
+
+PARLAYS = BETS + f""", q1 AS (SELECT *, row_number() OVER (ORDER BY value_score DESC, confidence_pct DESC, game_id) AS place, concat(home_name, ' vs ', away_name, ': ', bet_type, ' (', CAST(odds AS STRING), ')') AS leg, {decimal_sql('CAST(odds AS DOUBLE)')} AS price FROM bets WHERE value_score > 0 AND confidence_pct > 40),
+    q2 AS (SELECT a.place, a.leg AS leg, b.leg AS next_leg, a.price * b.price AS c, (a.value_score + b.value_score) / 2 AS v FROM q1 a JOIN q1 b ON b.place = a.place + 1 WHERE a.place <= 3)"""
+
+
+def _parlays(view) -> DataFrame:
+    # The forecasts of these tables are never surer than 70; lift them so that the rule has bets to pair.
+    b = bets.single_bets(assessed(view)).withColumn("confidence_pct", F.col("confidence_pct") + 30)
+    return bets.parlays(b)
+
+
+@query(PARLAYS + f"SELECT place AS parlay_id, '2-Game Value Parlay' AS name, {back_sql('c')} AS combined_odds, {R(f'{back_sql(chr(99))} * {D(1.5)}', 2)} AS potential_payout, {R('c')} AS decimal_payout, {R('v', 2)} AS value_score, concat(leg, '; ', next_leg) AS bets FROM q2")
+def bet10_parlays(view):
+    return _parlays(view)
+
+
+@query(PARLAYS + "SELECT place AS parlay_id, leg AS first_leg, next_leg AS second_leg FROM q2")
+def win07_adjacent_pairs(view):
+    return _parlays(view).select("parlay_id", F.split("bets", "; ")[0].alias("first_leg"), F.split("bets", "; ")[1].alias("second_leg"))
+
+
+@query(BETS + "SELECT CAST(row_number() OVER (ORDER BY value_score DESC, confidence_pct DESC, game_id) AS INT) AS place, game_id, value_score FROM bets QUALIFY place <= 100")
+def srt01_ranked_bets(view):
+    from pyspark.sql import Window
+
+    top = bets.ranked_bets(bets.single_bets(assessed(view))).limit(100)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("value_score"), F.desc("confidence_pct"), "game_id")).alias("place"), "game_id", "value_score")
+
+
+@query(PARLAYS + f"SELECT place AS parlay_id, {R('v', 2)} AS value_score FROM q2 ORDER BY 2 DESC, 1 LIMIT 3")
+def srt02_top_parlays(view):
+    return _parlays(view).select("parlay_id", "value_score").orderBy(F.desc("value_score"), "parlay_id").limit(3)
+
+
+@query(SLIPS + "SELECT slip_id, CASE WHEN kind IS NULL THEN 'type required' WHEN NOT (coalesce(amount, 0) > 0) THEN 'amount must be positive' WHEN kind IN ('spread', 'moneyline') AND side IS NULL THEN 'team required' WHEN kind = 'parlay' AND NOT (legs >= 1) THEN 'parlay needs a leg' END AS reject_reason FROM slips")
+def bet11_slip_validation(view):
+    return bets.checked_slips(slips(view)).select("slip_id", "reject_reason")
+
+
+PRODUCT = f", priced AS (SELECT slip_id, count(*) AS legs, list_reduce(list({decimal_sql('CAST(odds AS DOUBLE)')} ORDER BY leg_no, {decimal_sql('CAST(odds AS DOUBLE)')}), lambda x, y: x * y) AS c FROM slip_legs GROUP BY slip_id)"
+
+
+@query(PRODUCT + f"SELECT slip_id, legs, {R('c')} AS decimal_odds, {back_sql('c')} AS american_odds FROM priced")
+def agg09_slip_odds(view):
+    return bets.slip_odds(view("slip_legs"))
+
+
+SETTLED = f""", played AS (SELECT g.game_id, g.home_id, g.away_id, r.actual_winner FROM games g JOIN results r ON g.game_id = r.game_id),
+    s1 AS (SELECT l.*, CASE WHEN p.game_id IS NOT NULL THEN coalesce(CASE WHEN side = 'home' THEN home_id ELSE away_id END = actual_winner, false) END AS leg_won FROM slip_legs l LEFT JOIN played p ON l.game_id = p.game_id),
+    s2 AS (SELECT slip_id, count(*) AS legs, count(leg_won) AS known, bool_and(leg_won) AS all_won, CAST(max(amount) AS DOUBLE) AS stake FROM s1 GROUP BY slip_id),
+    s3 AS (SELECT *, CASE WHEN NOT all_won THEN false WHEN known = legs THEN all_won END AS won FROM s2),
+    s4 AS (SELECT *, CASE WHEN won THEN stake * pow({D(1.91)}, legs) WHEN NOT won THEN {D(0)} END AS payout FROM s3)"""
+
+
+@query(SETTLED + f"SELECT slip_id, legs, won, stake, {R('payout', 4)} AS payout, {R('payout - stake', 4)} AS profit FROM s4")
+def bet13_settlement(view):
+    played = view("results").join(view("games").select("game_id", "home_id", "away_id"), "game_id")
+    return bets.settled(view("slip_legs"), played)
+
+
+@query(FORECAST + f", e1 AS (SELECT game_id, 'home' AS side, p_home AS p, {implied_sql('CAST(home_ml AS DOUBLE)')} AS implied FROM forecasts JOIN market_odds USING (game_id) WHERE home_ml IS NOT NULL UNION ALL SELECT game_id, 'away', p_away, {implied_sql('CAST(away_ml AS DOUBLE)')} FROM forecasts JOIN market_odds USING (game_id) WHERE away_ml IS NOT NULL) SELECT * FROM (SELECT game_id, side, {R('p')} AS p, {R('implied')} AS implied, {R('p - implied')} AS edge FROM e1) WHERE edge > 0")
+def bet14_edges(view):
+    return bets.edges(forecasts(view), view("market_odds"))
