@@ -37,6 +37,7 @@ BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 20
 SKETCH = 1 << 18
 PLANES = 3
+GROUPS = 128
 
 
 def shingle_set(data: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
@@ -165,6 +166,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _bounds(sets: DataFrame) -> DataFrame:
+    """rep, u, g: how many shingles of a candidate other candidates have too, in all and in each of GROUPS groups by hash.
+
+    Two candidates have at most the smaller u in common, and at most the sum of the smaller counts of each group.
+    Sets with more than 127 shingles in a group have no g, and are not held against it.
+    """
+    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.collect_list("s").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, g = [], []
+            for shingles, own in zip(batch.column(1), batch.column(2)):
+                shared = shingles.values.to_numpy()
+                if own.is_valid:
+                    shared = np.setdiff1d(shared, own.values.to_numpy(), assume_unique=True)
+                u.append(len(shared))
+                counts = np.bincount(shared & (GROUPS - 1), minlength=GROUPS)
+                g.append(counts.astype(np.int8) if counts.max() < 128 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(u, pa.int64()), pa.array(g, pa.list_(pa.int8()))], ["rep", "u", "g"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.join(single, "id", "left").select("id", "shingles", "own").mapInArrow(run, f"rep {kind}, u long, g array<tinyint>")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordinates: int = 64, matches: int = 38, rounds: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, n_shingles, component_id, kept: links need 100 * intersection >= threshold * union."""
     signed = materialize(signatures(docs, width, coordinates, seed, id_col, text_col), "signatures")
@@ -201,13 +226,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     edges = materialize(confirmed(first, sets), "links")
     labels = components(edges)
 
-    # Shingles that no other candidate has cannot be common to two candidates: u, the rest, bounds similarity.
-    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    bounds = materialize(sets.select("id", F.size("shingles").alias("z")).join(single, "id", "left").select(F.col("id").alias("rep"), (F.col("z") - F.coalesce("own", F.lit(0))).alias("u")), "bounds")
+    bounds = materialize(_bounds(sets), "bounds")
     bound = lambda left, right: F.expr(f"100 * least({left}.u, {right}.u) >= {threshold} * ({left}.n + {right}.n - least({left}.u, {right}.u))")
 
     # Then candidates still apart from a list's leading component meet other leaders, which have few shingles of their own.
-    hot = materialize(listed.select("key", "rep", "n", *planes).join(_small(bounds), "rep"), "hot")
+    hot = materialize(listed.select("key", "rep", "n", *planes, "b").join(_small(bounds.drop("g")), "rep"), "hot")
     for turn in range(1, rounds):
         rows = hot.join(_small(labels.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         lead = F.max(F.struct(F.round(F.col("u") / F.col("n"), 2).alias("q"), F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "u", "component", *planes))
@@ -217,13 +240,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
         edges = edges.unionByName(materialize(confirmed(materialize(chosen, "pairs"), sets), "links"))
         labels = components(edges)
 
-    # What lists still mix: each class outside the leader's component meets those of the other components.
+    # What lists still mix. A class without a bound meets the classes of other components in its lists.
     label = _small(labels)
     rows = listed.drop("agree").join(label.withColumnsRenamed({"node": "rep", "component": "ca"}), "rep", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    rows = rows.join(_small(bounds), "rep", "left").select("key", "rep", "n", *planes, F.coalesce("u", "n").alias("u"), F.coalesce("ca", "rep").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    rows = rows.join(_small(bounds.drop("g")), "rep", "left").select("key", "rep", "n", *planes, "u", F.coalesce("ca", "rep").alias("component"), F.coalesce("cb", "b").alias("leading"))
     outer = rows.filter("component <> leading")
-    across = outer.alias("p").join(rows.alias("l"), "key").filter((F.col("p.component") != F.col("l.component")) & ((F.col("l.component") == F.col("l.leading")) | (F.col("p.rep") < F.col("l.rep"))) & possible("p", "l") & bound("p", "l"))
-    last = materialize(across.select(F.col("p.rep").alias("a"), F.col("l.rep").alias("b")).distinct(), "pairs")
+    apart = (F.col("p.component") != F.col("l.component")) & ((F.col("l.component") == F.col("l.leading")) | (F.col("p.rep") < F.col("l.rep")))
+    across = outer.alias("p").join(rows.alias("l"), "key").filter(apart & (F.col("p.u").isNull() | F.col("l.u").isNull()) & possible("p", "l"))
+    # Two candidates leave the join only if their shared shingles, group by group, may be enough.
+    full = hot.join(label.withColumnsRenamed({"node": "rep", "component": "ca"}), "rep", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+    full = full.join(_small(bounds.select("rep", "g")), "rep").select("key", "rep", "n", *planes, "u", "g", F.coalesce("ca", "rep").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    common = "aggregate(zip_with(p.g, l.g, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+    enough = F.expr(f"p.g is null or l.g is null or 100 * {common} >= {threshold} * (p.n + l.n - {common})")
+    within = full.filter("component <> leading").alias("p").join(full.alias("l"), "key").filter(apart & possible("p", "l") & bound("p", "l") & enough)
+    last = across.select(F.col("p.rep").alias("a"), F.col("l.rep").alias("b")).unionByName(within.select(F.col("p.rep").alias("a"), F.col("l.rep").alias("b")))
+    last = materialize(last.distinct(), "pairs")
     ids = materialize(last.select(F.col("a").alias("id")).union(last.select("b")).distinct(), "ids")
     fresh = ids.join(sets, "id", "left_anti")
     sets = sets.join(_small(ids), "id", "left_semi").unionByName(materialize(_sets(docs, materialize(fresh, "ids"), width, id_col, text_col), "sets"))
