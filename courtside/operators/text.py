@@ -105,32 +105,32 @@ def report_sections(reports: DataFrame) -> DataFrame:
 def _last_field(lines: Column, prefix: str) -> Column:
     """The value of the last line that starts with the prefix."""
     found = F.filter(lines, lambda x: x.startswith(prefix))
-    return F.trim(F.substring(F.element_at(found, F.when(F.size(found) > 0, F.lit(-1))), len(prefix) + 1, 10_000))
+    return F.trim(F.substring(F.try_element_at(found, F.lit(-1)), len(prefix) + 1, 2**31 - 1))
 
 
 def single_bet_fields(sections: DataFrame) -> DataFrame:
     """report_id, teams, confidence (75) and value (7): unreadable numbers keep the default, bets without teams go."""
-    rows = sections.filter("kind = 'single'").withColumn("lines", F.transform(F.split("part", "\n"), F.trim))
+    rows = sections.filter("kind = 'single'").withColumn("lines", F.transform(F.split("part", "\n"), lambda x: F.trim(x)))
     number = lambda prefix, default: F.coalesce(F.regexp_replace(_last_field(F.col("lines"), prefix), "%", "").try_cast("int"), F.lit(default))
     return rows.select("report_id", _last_field(F.col("lines"), "Game:").alias("teams"), number("Confidence:", 75).alias("confidence"), number("Value Rating:", 7).alias("value")).filter("teams is not null")
 
 
 def parlay_legs(sections: DataFrame, compat: bool = False) -> DataFrame:
     """report_id, legs: split at the word "and"; ``compat`` splits at the letters wherever they stand."""
-    rows = sections.filter("kind = 'parlay'").withColumn("games", _last_field(F.transform(F.split("part", "\n"), F.trim), "Games:"))
-    legs = F.transform(F.split("games", "and" if compat else r"\band\b"), F.trim)
+    rows = sections.filter("kind = 'parlay'").withColumn("games", _last_field(F.transform(F.split("part", "\n"), lambda x: F.trim(x)), "Games:"))
+    legs = F.transform(F.split("games", "and" if compat else r"\band\b"), lambda x: F.trim(x))
     return rows.filter("games is not null").select("report_id", F.array_join(legs, "|").alias("legs"))
 
 
 def bullets(sections: DataFrame, kind: str = "insight") -> DataFrame:
     """report_id, points: bullet lines without their markers, empty ones dropped."""
-    lines = F.filter(F.transform(F.split("part", "\n"), F.trim), lambda x: x.startswith("•") | x.startswith("-"))
+    lines = F.filter(F.transform(F.split("part", "\n"), lambda x: F.trim(x)), lambda x: x.startswith("•") | x.startswith("-"))
     points = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^[•-]+", ""))), lambda x: x != "")
     return sections.filter(F.col("kind") == kind).select("report_id", F.array_join(points, "|").alias("points"))
 
 
 def strategy_fields(sections: DataFrame) -> DataFrame:
-    rows = sections.filter("kind = 'strategy'").withColumn("lines", F.transform(F.split("part", "\n"), F.trim))
+    rows = sections.filter("kind = 'strategy'").withColumn("lines", F.transform(F.split("part", "\n"), lambda x: F.trim(x)))
     return rows.select("report_id", *[_last_field(F.col("lines"), f"{name}:").alias(name.lower()) for name in ("Approach", "Bankroll", "Risk")])
 
 

@@ -508,3 +508,353 @@ def bet13_settlement(view):
 @query(FORECAST + f", e1 AS (SELECT game_id, 'home' AS side, p_home AS p, {implied_sql('CAST(home_ml AS DOUBLE)')} AS implied FROM forecasts JOIN market_odds USING (game_id) WHERE home_ml IS NOT NULL UNION ALL SELECT game_id, 'away', p_away, {implied_sql('CAST(away_ml AS DOUBLE)')} FROM forecasts JOIN market_odds USING (game_id) WHERE away_ml IS NOT NULL) SELECT * FROM (SELECT game_id, side, {R('p')} AS p, {R('implied')} AS implied, {R('p - implied')} AS edge FROM e1) WHERE edge > 0")
 def bet14_edges(view):
     return bets.edges(forecasts(view), view("market_odds"))
+
+
+# ---- tracking -------------------------------------------------------------------------------------------------
+
+TS = lambda s: f"TIMESTAMP '{s}'"
+TREND = f""", trend AS (SELECT CAST(ts AS DATE) AS day, {R("avg(CASE WHEN winner_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS accuracy, {R('avg(spread_error)')} AS spread_error, count(*) AS games FROM metrics
+    WHERE ts >= {TS('2001-07-02 00:00:00')} AND ts < {TS(AS_OF)} GROUP BY 1)"""
+
+
+def _trend(view) -> DataFrame:
+    return tracking.accuracy_trend(view("metrics"), F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+@query(TREND + "SELECT * FROM trend")
+def agg01_accuracy_trend(view):
+    return _trend(view)
+
+
+@query(TREND + "SELECT CAST(row_number() OVER (ORDER BY day DESC) AS INT) AS place, day FROM trend")
+def srt04_newest_first(view):
+    from pyspark.sql import Window
+
+    return _trend(view).select(F.row_number().over(Window.orderBy(F.desc("day"))).alias("place"), "day")
+
+
+@query(TREND + f"SELECT day, {R('accuracy * 100', 2)} AS accuracy_pct, {I('accuracy * games')} AS correct, games - {I('accuracy * games')} AS incorrect FROM trend")
+def agg12_dashboard_series(view):
+    return tracking.dashboard_series(_trend(view))
+
+
+DETAIL = f""", detail AS (SELECT p.game_id, p.predicted_winner, r.actual_winner, m.spread_error FROM predictions p JOIN results r ON p.game_id = r.game_id JOIN metrics m ON p.game_id = m.game_id
+    WHERE p.ts >= {TS('2001-07-01 00:00:00')} AND p.ts < {TS('2001-08-01 00:00:00')} AND r.actual_winner IS NOT NULL)"""
+
+
+@query(DETAIL.replace("2001-07-01", "2001-07-31") + "SELECT game_id, predicted_winner, actual_winner, spread_error FROM detail")
+def jon04_day_detail(view):
+    return tracking.day_detail(view("predictions"), view("results"), view("metrics"), "2001-07-31").select("game_id", "predicted_winner", "actual_winner", "spread_error")
+
+
+@query(DETAIL.replace("2001-07-01", "2001-07-31") + f"""SELECT count(*) FILTER (WHERE predicted_winner = actual_winner) AS correct, count(*) - count(*) FILTER (WHERE predicted_winner = actual_winner) AS incorrect,
+    {R("coalesce(CAST(count(*) FILTER (WHERE predicted_winner = actual_winner) AS DOUBLE) / nullif(count(*), 0), 0)")} AS accuracy, count(*) FILTER (WHERE spread_error BETWEEN 0 AND 5) AS errors_0,
+    count(*) FILTER (WHERE spread_error BETWEEN 6 AND 10) AS errors_1, count(*) FILTER (WHERE spread_error BETWEEN 11 AND 15) AS errors_2, count(*) FILTER (WHERE spread_error > 15) AS errors_3 FROM detail""")
+def agg02_day_report(view):
+    return tracking.day_report(tracking.day_detail(view("predictions"), view("results"), view("metrics"), "2001-07-31"))
+
+
+@query(""" SELECT b AS bucket, CASE b WHEN '0-5' THEN a WHEN '6-10' THEN c WHEN '11-15' THEN d WHEN '16+' THEN e ELSE n - a - c - d - e END AS games FROM (SELECT count(*) FILTER (WHERE spread_error BETWEEN 0 AND 5) AS a, count(*) FILTER (WHERE spread_error BETWEEN 6 AND 10) AS c,
+    count(*) FILTER (WHERE spread_error BETWEEN 11 AND 15) AS d, count(*) FILTER (WHERE spread_error > 15) AS e, count(spread_error) AS n FROM metrics), (VALUES ('0-5'), ('6-10'), ('11-15'), ('16+'), ('unbucketed')) AS t(b)""")
+def agg03_error_histogram(view):
+    return tracking.error_histogram(view("metrics"))
+
+
+@query(" SELECT CAST(game_ts AS DATE) AS day, count(*) AS games, string_agg(CAST(game_id AS STRING), ',' ORDER BY game_id) AS game_ids FROM games GROUP BY 1")
+def agg08_games_by_date(view):
+    return tracking.games_by_date(view("games"))
+
+
+@query(" SELECT DISTINCT CAST(game_ts AS DATE) AS day FROM games")
+def srt03_dates(view):
+    return tracking.games_by_date(view("games")).select("day")
+
+
+NEW = ", fresh AS (SELECT game_id, ts + INTERVAL 1 HOUR AS ts, away_id AS home_id, home_id AS away_id, away_id AS predicted_winner, predicted_spread + 1 AS predicted_spread, win_probability FROM predictions WHERE game_id % 4 = 1), older AS (SELECT * FROM predictions WHERE game_id % 4 < 3)"
+
+
+def _old_new(view) -> tuple[DataFrame, DataFrame]:
+    p = view("predictions")
+    fresh = p.filter("game_id % 4 = 1").select("game_id", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("away_id").alias("home_id"), F.col("home_id").alias("away_id"), F.col("away_id").alias("predicted_winner"), (F.col("predicted_spread") + 1).alias("predicted_spread"), "win_probability")
+    return p.filter("game_id % 4 < 3"), fresh
+
+
+@query(NEW + " SELECT coalesce(f.game_id, o.game_id) AS game_id, coalesce(f.ts, o.ts) AS ts, coalesce(o.home_id, f.home_id) AS home_id, coalesce(o.away_id, f.away_id) AS away_id, coalesce(f.predicted_winner, o.predicted_winner) AS predicted_winner, coalesce(f.predicted_spread, o.predicted_spread) AS predicted_spread, coalesce(f.win_probability, o.win_probability) AS win_probability FROM older o FULL JOIN fresh f ON o.game_id = f.game_id")
+def snk01_upsert_predictions(view):
+    return tracking.upsert_predictions(*_old_new(view))
+
+
+@query(" SELECT game_id, ts, home_score FROM results WHERE game_id % 3 = 0 UNION ALL SELECT game_id, ts, home_score FROM results WHERE game_id % 3 = 1")
+def snk02_insert_results(view):
+    r = view("results").select("game_id", "ts", "home_score")
+    late = r.withColumns({"ts": F.col("ts") + F.expr("interval 1 day"), "home_score": F.col("home_score") + 1})
+    old = r.filter("game_id % 3 = 0")
+    return tracking.insert_new(old, late.filter("game_id % 3 < 2").unionByName(r.filter("game_id % 3 = 1")))
+
+
+@query(" SELECT game_id, spread_error, winner_correct, ts FROM metrics")
+def snk03_derived_metrics(view):
+    return tracking.derived_metrics(view("predictions"), view("results"))
+
+
+@query(" SELECT game_id, CASE WHEN game_id % 2 = 0 THEN spread_error + 1 ELSE spread_error END AS spread_error, winner_correct, CASE WHEN game_id % 2 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts FROM metrics")
+def snk04_upsert_metrics(view):
+    m = view("metrics")
+    changed = m.filter("game_id % 2 = 0").withColumns({"spread_error": F.col("spread_error") + 1, "ts": F.col("ts") + F.expr("interval 1 day")})
+    return tracking.upsert_all(m, changed)
+
+
+@query(" SELECT game_id, ts, CASE WHEN game_id % 6 = 1 THEN home_score + 100 ELSE home_score END AS home_score FROM results")
+def snk05_replace_keys(view):
+    r = view("results").select("game_id", "ts", "home_score")
+    return tracking.replace_keys(r, r.filter("game_id % 6 = 1").withColumn("home_score", F.col("home_score") + 100))
+
+
+@query(TREND + """SELECT concat('{"day":"', strftime(day, '%Y-%m-%d'), '","games":', CAST(games AS STRING), '}') AS document FROM trend""")
+def snk06_dashboard_document(view):
+    return _trend(view).select(F.to_json(F.struct("day", "games")).alias("document"))
+
+
+@query(" SELECT count(*) AS predictions, count(DISTINCT game_id) AS games, min(ts) AS first_ts, max(ts) AS last_ts FROM predictions")
+def src08_tracking_reads(view):
+    return view("predictions").agg(F.count(F.lit(1)).alias("predictions"), F.countDistinct("game_id").alias("games"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(" SELECT game_id FROM results WHERE game_id NOT IN (SELECT game_id FROM predictions)")
+def jon07_not_predicted(view):
+    return view("results").join(view("predictions").select("game_id"), "game_id", "left_anti").select("game_id")
+
+
+@query(" SELECT a.game_id, count(*) AS others, min(b.game_id) AS first_other FROM games a JOIN games b ON a.sport = b.sport AND CAST(a.game_ts AS DATE) = CAST(b.game_ts AS DATE) AND a.game_id <> b.game_id GROUP BY a.game_id")
+def jon08_other_games(view):
+    return tracking.other_games(view("games")).groupBy("game_id").agg(F.count(F.lit(1)).alias("others"), F.min("other_id").alias("first_other"))
+
+
+@query(SLIPS + ", firsts AS (SELECT s.slip_id, s.legs, min(l.game_id) AS game_id FROM slips s JOIN slip_legs l ON s.slip_id = l.slip_id GROUP BY ALL) SELECT f.slip_id, p.predicted_winner FROM firsts f LEFT JOIN predictions p ON f.game_id = p.game_id")
+def jon09_first_prediction(view):
+    firsts = view("slip_legs").groupBy("slip_id").agg(F.min("game_id").alias("game_id"))
+    return tracking.first_prediction(firsts, view("predictions")).select("slip_id", "predicted_winner")
+
+
+# ---- sources --------------------------------------------------------------------------------------------------
+
+
+def _documents(rows: DataFrame, *columns) -> DataFrame:
+    """Rows as landed JSON documents."""
+    return rows.select(feeds.as_struct_json(*columns).alias("value"))
+
+
+@query(MATCHUPS + ", s AS (SELECT CAST(game_id AS STRING) AS game_id, game_ts, home_name, away_name FROM matchups) SELECT game_id, strftime(game_ts - INTERVAL 1 DAY, '%Y-%m-%d') AS game_date, CASE WHEN month(game_ts) IN (6, 7, 8) THEN '8:00 PM' ELSE '7:00 PM' END AS game_time, home_name, away_name FROM s WHERE month(game_ts) IN (1, 2, 6, 7, 8, 12)")
+def src01_scoreboard(view):
+    m = forecast.matchups(view("games"), view("teams")).filter("month(game_ts) in (1, 2, 6, 7, 8, 12)")
+    side = lambda s: F.struct(F.lit(s).alias("homeAway"), F.struct(F.col(f"{s}_name").alias("name")).alias("team"))
+    event = F.struct(F.col("game_id").cast("string").alias("id"), F.date_format("game_ts", "yyyy-MM-dd'T'HH:mm'Z'").alias("date"), F.array(F.struct(F.array(side("away"), side("home")).alias("competitors"))).alias("competitions"))
+    return feeds.scoreboard_games(_documents(m, F.array(event).alias("events")))
+
+
+@query(MATCHUPS + f"""SELECT game_id, strftime(game_ts, '%Y-%m-%d') AS game_date, strftime(game_ts, '%H:%M:%S') AS game_time, home_name, away_name, {R("CASE WHEN game_id % 5 = 0 THEN 0 ELSE CAST(game_id % 5 AS DOUBLE) / (game_id % 5 + game_id % 7) END")} AS home_win_pct,
+    CASE WHEN game_id % 4 = 0 THEN {D(0)} ELSE CAST(home_score AS DOUBLE) END AS home_points_avg, CAST(away_score AS DOUBLE) AS away_points_avg FROM matchups""")
+def src02_season_scores(view):
+    m = forecast.matchups(view("games"), view("teams"))
+    docs = _documents(m, F.col("game_id").alias("GameID"), F.date_format("game_ts", "yyyy-MM-dd'T00:00:00'").alias("Day"), F.date_format("game_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("DateTime"), F.col("home_name").alias("HomeTeam"), F.col("away_name").alias("AwayTeam"), (F.col("game_id") % 5).alias("HomeTeamWins"), (F.col("game_id") % 7).alias("HomeTeamLosses"), F.when(F.col("game_id") % 4 != 0, F.col("home_score")).alias("HomeTeamScore"), F.col("away_score").alias("AwayTeamScore"))
+    return feeds.season_games(docs)
+
+
+@query(f" SELECT game_id, CASE WHEN game_id % 11 = 0 THEN 'N/A' ELSE concat('T -', CAST(game_id % 9 AS STRING)) END AS spread, CAST(200 + game_id % 40 AS DOUBLE) AS over_under, CASE WHEN game_id % 13 = 0 THEN NULL ELSE CAST(coalesce(home_ml, 0) AS INT) END AS home_ml, CAST(coalesce(away_ml, 0) AS INT) AS away_ml, 'book' AS provider FROM market_odds")
+def src03_odds_quotes(view):
+    o = view("market_odds")
+    line = lambda c: F.struct(c.alias("moneyLine"))
+    home = F.when(F.col("game_id") % 13 == 0, "EVEN").otherwise(F.col("home_ml").cast("string"))
+    docs = _documents(o, "game_id", F.when(F.col("game_id") % 11 != 0, F.concat(F.lit("T -"), (F.col("game_id") % 9).cast("string"))).alias("details"), (F.lit(200.0) + F.col("game_id") % 40).alias("overUnder"), F.struct(line(home).alias("homeTeamOdds"), line(F.col("away_ml").cast("string")).alias("awayTeamOdds")).alias("moneyLine"), F.struct(F.lit("book").alias("name")).alias("provider"))
+    return feeds.odds_quotes(docs)
+
+
+@query(" SELECT team_id, team_name, win_pct, points_avg, points_against_avg FROM teams")
+def src04_team_stats(view):
+    return view("teams").select("team_id", "team_name", "win_pct", "points_avg", "points_against_avg")
+
+
+@query(" SELECT s.s_suppkey AS team_id, coalesce(t.team_name, concat('S', CAST(s.s_suppkey AS STRING))) AS full_name FROM supplier s LEFT JOIN teams t ON t.short_name = concat('S', CAST(s.s_suppkey AS STRING))")
+def jon01_alias_lookup(view):
+    codes = view("supplier").select(F.col("s_suppkey").alias("team_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("code"))
+    return feeds.aliased(codes, view("teams").select("short_name", "team_name"), "code").select("team_id", "full_name")
+
+
+@query(" SELECT short_name, team_name FROM teams")
+def src05_alias_table(view):
+    return view("teams").select("short_name", "team_name")
+
+
+@query(" SELECT g.game_id, h.team_name AS home_name, a.team_name AS away_name FROM games g JOIN teams h ON g.home_id = h.team_id JOIN teams a ON g.away_id = a.team_id")
+def jon03_both_codes(view):
+    side = lambda s: view("teams").select(F.col("team_id").alias(f"{s}_id"), F.col("team_name").alias(f"{s}_name"))
+    return view("games").join(side("home"), "home_id").join(side("away"), "away_id").select("game_id", "home_name", "away_name")
+
+
+SCHEDULE = "SELECT game_id, CAST(DATE '2025-03-15' + CAST(i // 3 AS INT) AS DATE) AS game_date, CASE WHEN i % 2 = 0 THEN '19:05' ELSE '13:05' END AS game_time FROM (SELECT game_id, row_number() OVER (ORDER BY game_id) - 1 AS i FROM games WHERE sport = 'MLB') WHERE i < 21"
+
+
+@query(f" {SCHEDULE}")
+def src06_dated_schedule(view):
+    return feeds.dated_schedule(forecast.supported(view("games"), "MLB").select("game_id"), "game_id", "2025-03-15")
+
+
+@query(f" SELECT game_date, count(*) AS games FROM ({SCHEDULE}) GROUP BY game_date")
+def srt05_schedule_cap(view):
+    s = feeds.dated_schedule(forecast.supported(view("games"), "MLB").select("game_id"), "game_id", "2025-03-15")
+    return s.groupBy("game_date").agg(F.count(F.lit(1)).alias("games"))
+
+
+@query(MATCHUPS + "SELECT game_id, home_name, away_name, hw, hp, CASE WHEN game_id % 10 = 0 THEN NULL ELSE ha END AS ha, aw, ap, aa, false AS home_back_to_back, false AS away_back_to_back FROM matchups")
+def src07_forecast_requests(view):
+    m = forecast.matchups(view("games"), view("teams"))
+    allowed = F.when(F.col("game_id") % 10 == 0, "n/a").otherwise(F.col("ha").cast("string"))
+    team = lambda s, a: F.struct(F.col(f"{s}_name").alias("name"), F.col(f"{s[0]}w").cast("string").alias("win_pct"), F.col(f"{s[0]}p").cast("string").alias("points_avg"), a.alias("points_against_avg")).alias(f"{s}_team")
+    return feeds.forecast_requests(_documents(m, "game_id", team("home", allowed), team("away", F.col("aa").cast("string"))))
+
+
+@query(" SELECT article_id, team_id, title FROM articles WHERE day_offset < 3")
+def src09_article_feed(view):
+    return text.recent_articles(view("articles"), 3).select("article_id", "team_id", "title")
+
+
+@query(r""" SELECT page_id, length(t) AS n_chars, substr(t, 1, 200) AS preview FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)""")
+def src10_page_preview(view):
+    return feeds.page_preview(view("pages"))
+
+
+@query(" SELECT game_id, predicted_spread AS spread, CAST(game_id % 2 AS INT) AS label FROM predictions")
+def src11_training_rows(view):
+    p = view("predictions").groupBy((F.col("game_id") % 500).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("game_id", F.col("predicted_spread").alias("spread")))).alias("games"))
+    return feeds.training_rows(_documents(p, "games", F.transform("games", lambda g: (g["game_id"] % 2).cast("int")).alias("labels")))
+
+
+@query(" SELECT day, strftime(day, '%Y%m%d') AS partition, count(g.game_id) AS games FROM (SELECT CAST(unnest(range(DATE '2001-07-30', DATE '2001-08-06', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN games g ON CAST(g.game_ts AS DATE) = day GROUP BY ALL")
+def src12_date_partitions(view):
+    games = view("games")
+    days = feeds.next_days(games.sparkSession, "2001-07-30", 7)
+    return days.join(games.select("game_id", F.to_date("game_ts").alias("day")), "day", "left").groupBy("day", "partition").agg(F.count("game_id").alias("games"))
+
+
+# ---- text -----------------------------------------------------------------------------------------------------
+
+SENTENCES = r", sents AS (SELECT article_id, s.sentence, s.place FROM (SELECT article_id, list_filter(string_split_regex(trim(regexp_replace(content, '([.!?])[ \t\r\n\f\v]+', '\1' || chr(1), 'g')), chr(1)), lambda x: x <> '') AS l FROM articles), LATERAL (SELECT unnest(l) AS sentence, unnest(range(len(l))) AS place) AS s)"
+
+
+@query(SENTENCES + "SELECT article_id, count(*) AS sentences, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM sents GROUP BY article_id")
+def txt01_sentences(view):
+    s = view("articles").select("article_id", F.explode(text.sentences(F.col("content"))).alias("s"))
+    return s.groupBy("article_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("s")).alias("chars"))
+
+
+def sentiment_sql(source: str, keys: str, column: str, name: str) -> str:
+    return f""", {name}_t AS (SELECT {keys}, unnest(string_split_regex(lower({column}), '[^a-z]+')) AS token FROM {source}),
+        {name} AS (SELECT {keys}, t / sqrt(t * t + 15) AS compound FROM (SELECT {keys}, CAST(sum(CAST(round_even(coalesce(valence, 0) * 1000, 0) AS BIGINT)) AS DOUBLE) / 1000 AS t FROM {name}_t LEFT JOIN lexicon USING (token) GROUP BY {keys}))"""
+
+
+@query(sentiment_sql("articles", "article_id", "content", "c") + f"SELECT article_id, {R('compound')} AS compound FROM c")
+def txt02_lexicon_sentiment(view):
+    return text.text_sentiment(view("articles"), view("lexicon"), ["article_id"], "content").select("article_id", rounded("compound").alias("compound"))
+
+
+SCORED = SENTENCES + sentiment_sql("articles", "article_id", "title", "ti") + sentiment_sql("sents", "article_id, place", "sentence", "se") + f""",
+    body AS (SELECT article_id, CAST(sum(CAST(round_even(compound * 1e9, 0) AS BIGINT)) AS DOUBLE) / count(*) / 1e9 AS b FROM se GROUP BY article_id),
+    scored AS (SELECT article_id, {R(f'compound * {D(0.3)} + coalesce(b, 0) * {D(0.7)}')} AS score FROM ti LEFT JOIN body USING (article_id))"""
+
+
+@query(SCORED + "SELECT article_id, score, CASE WHEN score > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label, abs(score) AS confidence FROM scored")
+def txt03_article_sentiment(view):
+    return text.article_sentiment(view("articles"), view("lexicon"))
+
+
+@query(SCORED + f"SELECT article_id, {R('b')} AS body_score FROM body")
+def agg07_sentence_mean(view):
+    split = view("articles").select("article_id", F.posexplode(text.sentences(F.col("content"))).alias("place", "sentence"))
+    each = text.text_sentiment(split, view("lexicon"), ["article_id", "place"], "sentence")
+    return each.groupBy("article_id").agg(rounded(F.sum(F.rint(F.col("compound") * 1e9).cast("long")) / F.count(F.lit(1)) / 1e9).alias("body_score"))
+
+
+@query(""" SELECT article_id, regexp_matches(lower(content), 'injury|injured|recovery') AS injury_related, regexp_matches(lower(content), 'strategy|system|approach') AS strategy_change,
+    CASE WHEN regexp_matches(lower(content), 'confident|optimistic|positive') THEN 'positive' WHEN regexp_matches(lower(content), 'concerned|worried|frustrated') THEN 'negative' ELSE 'neutral' END AS team_morale,
+    CASE WHEN regexp_matches(lower(content), 'improving|better|progress') THEN 'improving' WHEN regexp_matches(lower(content), 'declining|worse|struggling') THEN 'declining' ELSE 'stable' END AS performance_trend FROM articles""")
+def txt04_key_information(view):
+    return text.key_information(view("articles")).select("article_id", "injury_related", "strategy_change", "team_morale", "performance_trend")
+
+
+@query(" SELECT article_id, CAST(row_number() OVER (PARTITION BY team_id ORDER BY day_offset, article_id) AS INT) AS recency FROM articles")
+def win08_article_recency(view):
+    return text.recency_rank(view("articles")).select("article_id", "recency")
+
+
+FACTORS = SCORED + f""", ranked AS (SELECT a.team_id, s.score, row_number() OVER (PARTITION BY a.team_id ORDER BY a.day_offset, a.article_id) AS recency FROM articles a JOIN scored s USING (article_id)),
+    factors AS (SELECT t.team_id, coalesce(f, 0) AS factor FROM teams t LEFT JOIN (SELECT team_id, {R(f"list_reduce(list_prepend({D(0)}, list(score / recency ORDER BY recency)), lambda x, y: x + y) / list_reduce(list_prepend({D(0)}, list({D(1)} / recency ORDER BY recency)), lambda x, y: x + y) * {D(0.1)}", 3)} AS f FROM ranked GROUP BY team_id) r ON t.team_id = r.team_id)"""
+
+
+def _factors(view) -> DataFrame:
+    articles = view("articles")
+    scored = articles.select("article_id", "team_id", "day_offset").join(text.article_sentiment(articles, view("lexicon")), "article_id")
+    return text.team_sentiment(scored, view("teams"))
+
+
+@query(FACTORS + "SELECT team_id, factor FROM factors")
+def txt05_team_sentiment(view):
+    return _factors(view)
+
+
+@query(FACTORS + "SELECT count(*) AS teams, count(*) FILTER (WHERE factor > 0) AS above, count(*) FILTER (WHERE factor < 0) AS below FROM factors")
+def agg06_recency_weighted(view):
+    return _factors(view).agg(F.count(F.lit(1)).alias("teams"), F.count_if(F.col("factor") > 0).alias("above"), F.count_if(F.col("factor") < 0).alias("below"))
+
+
+@query(FACTORS + f"SELECT g.game_id, {R('coalesce(h.factor, 0) - coalesce(a.factor, 0)', 3)} AS advantage FROM games g LEFT JOIN factors h ON g.home_id = h.team_id LEFT JOIN factors a ON g.away_id = a.team_id")
+def txt06_sentiment_advantage(view):
+    return text.sentiment_advantage(view("games"), _factors(view))
+
+
+@query()
+def txt07_analysis_brief(view):
+    return text.brief(forecast.picks(forecasts(view)))
+
+
+SECTIONS = """, parts AS (SELECT report_id, unnest(string_split(body, chr(10) || chr(10))) AS part, unnest(range(len(string_split(body, chr(10) || chr(10))))) AS place FROM reports),
+    sections AS (SELECT * FROM (SELECT *, CASE WHEN contains(upper(part), 'SINGLE BET') THEN 'single' WHEN contains(upper(part), 'PARLAY') THEN 'parlay' WHEN contains(upper(part), 'INEFFICIENC') THEN 'inefficiency' WHEN contains(upper(part), 'INSIGHT') THEN 'insight' WHEN contains(upper(part), 'STRATEGY') THEN 'strategy' END AS kind FROM parts) WHERE kind IS NOT NULL)"""
+
+
+def field_sql(prefix: str) -> str:
+    return f"trim(substr(list_last(list_filter(list_transform(string_split(part, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '{prefix}'))), {len(prefix) + 1}))"
+
+
+@query(SECTIONS + "SELECT report_id, CAST(place AS INT) AS place, kind, length(part) AS chars FROM sections")
+def txt08_report_sections(view):
+    return text.report_sections(view("reports")).select("report_id", "place", "kind", F.length("part").cast("long").alias("chars"))
+
+
+SINGLE = SECTIONS + f", single AS (SELECT report_id, {field_sql('Game:')} AS teams, coalesce(TRY_CAST(replace({field_sql('Confidence:')}, '%', '') AS INT), 75) AS confidence, coalesce(TRY_CAST(replace({field_sql('Value Rating:')}, '%', '') AS INT), 7) AS value FROM sections WHERE kind = 'single')"
+
+
+@query(SINGLE + "SELECT report_id, teams, confidence, value FROM single WHERE teams IS NOT NULL")
+def txt09_single_bet_fields(view):
+    return text.single_bet_fields(text.report_sections(view("reports")))
+
+
+@query(SECTIONS + f"SELECT report_id, array_to_string(list_transform(string_split_regex({field_sql('Games:')}, '\\band\\b'), lambda x: trim(x)), '|') AS legs FROM sections WHERE kind = 'parlay'")
+def txt10_parlay_legs(view):
+    return text.parlay_legs(text.report_sections(view("reports")))
+
+
+BULLETS = "array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(part, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '•') OR starts_with(x, '-')), lambda x: trim(regexp_replace(x, '^[•-]+', ''))), lambda x: x <> ''), '|')"
+
+
+@query(SECTIONS + f"SELECT report_id, {BULLETS} AS points FROM sections WHERE kind = 'insight'")
+def txt11_bullets(view):
+    return text.bullets(text.report_sections(view("reports")))
+
+
+@query(SECTIONS + f"SELECT report_id, {field_sql('Approach:')} AS approach, {field_sql('Bankroll:')} AS bankroll, {field_sql('Risk:')} AS risk FROM sections WHERE kind = 'strategy'")
+def txt12_strategy_fields(view):
+    return text.strategy_fields(text.report_sections(view("reports")))
+
+
+@query(SINGLE + f", ins AS (SELECT report_id, {BULLETS} AS points FROM sections WHERE kind = 'insight') SELECT r.report_id, coalesce(s.teams, 'none') AS teams, coalesce(s.confidence, 75) AS confidence, 'Cleveland|Boston' AS legs, coalesce(i.points, '') AS points, 'low' AS risk FROM reports r LEFT JOIN single s ON r.report_id = s.report_id LEFT JOIN ins i ON r.report_id = i.report_id")
+def txt13_advice(view):
+    return text.advice(view("reports"))
