@@ -858,3 +858,181 @@ def txt12_strategy_fields(view):
 @query(SINGLE + f", ins AS (SELECT report_id, {BULLETS} AS points FROM sections WHERE kind = 'insight') SELECT r.report_id, coalesce(s.teams, 'none') AS teams, coalesce(s.confidence, 75) AS confidence, 'Cleveland|Boston' AS legs, coalesce(i.points, '') AS points, 'low' AS risk FROM reports r LEFT JOIN single s ON r.report_id = s.report_id LEFT JOIN ins i ON r.report_id = i.report_id")
 def txt13_advice(view):
     return text.advice(view("reports"))
+
+
+# ---- models, streams, SQL functions ---------------------------------------------------------------------------
+
+from courtside.functions import sqlfuncs  # noqa: E402
+from courtside.operators import ml  # noqa: E402
+from courtside.streaming import jobs  # noqa: E402
+
+P3 = [f"(CAST(game_id * {k} % 100 AS DOUBLE) / 100)" for k in (17, 29, 43)]
+MEAN3 = f"(({P3[0]} + {P3[1]} + {P3[2]}) / {D(3)})"
+DEV3 = "sqrt((" + " + ".join(f"({p} - {MEAN3}) * ({p} - {MEAN3})" for p in P3) + f") / {D(3)})"
+
+
+@query(f" SELECT game_id, {R(f'{P3[0]} * {D(0.4)} + {P3[1]} * {D(0.4)} + {P3[2]} * {D(0.2)}')} AS p FROM games")
+def ml07_ensemble(view):
+    return view("games").select("game_id", rounded(ml.ensemble(*map(F.expr, P3))).alias("p"))
+
+
+@query(f" SELECT game_id, {R(MEAN3)} AS mean, {R(DEV3)} AS deviation FROM games")
+def agg11_mean_deviation(view):
+    mean, deviation = ml.mean_and_deviation(*map(F.expr, P3))
+    return view("games").select("game_id", rounded(mean).alias("mean"), rounded(deviation).alias("deviation"))
+
+
+@query(f" SELECT game_id, {R(f'(1 - least(2 * {DEV3}, {D(0.5)})) * 2 * abs({MEAN3} - {D(0.5)})')} AS confidence FROM games")
+def ml08_ensemble_confidence(view):
+    return view("games").select("game_id", rounded(ml.ensemble_confidence(*map(F.expr, P3))).alias("confidence"))
+
+
+MOMENTUM = RECENT + f""", mo AS (SELECT team_id, sum(weight * CASE WHEN points > opponent_points THEN {D(1)} ELSE {D(-1)} END * (1 + CAST(points - opponent_points AS DOUBLE) / greatest(points, opponent_points))) / count(*) AS momentum FROM recent GROUP BY team_id)"""
+
+
+@query(MOMENTUM + H2H.replace("SELECT s.game_id, s.home_id,", "SELECT s.game_id, s.home_id, s.away_id,") + f""", hh AS (SELECT game_id, home_id, away_id, {R("CAST(count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS DOUBLE) / count(*)")} AS a FROM meetings GROUP BY ALL)
+    SELECT game_id, {R('coalesce(h.momentum, 0)')} AS home_momentum, {R('coalesce(w.momentum, 0)')} AS away_momentum, a AS head_to_head_advantage FROM hh LEFT JOIN mo h ON hh.home_id = h.team_id LEFT JOIN mo w ON hh.away_id = w.team_id""")
+def bet12_enhanced_features(view):
+    g = view("games")
+    e = ml.enhanced_features(g.filter("game_id % 5 = 0"), g)
+    return e.select("game_id", rounded("home_momentum").alias("home_momentum"), rounded("away_momentum").alias("away_momentum"), "head_to_head_advantage")
+
+
+@query(MOMENTUM + H2H.replace("SELECT s.game_id, s.home_id,", "SELECT s.game_id, s.home_id, s.away_id,") + f""", hh AS (SELECT game_id, home_id, away_id, {R("CAST(count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS DOUBLE) / count(*)")} AS a FROM meetings GROUP BY ALL)
+    SELECT game_id, {R('coalesce(h.momentum, 0) - coalesce(w.momentum, 0)')} AS momentum_difference, a AS head_to_head_advantage, {D(0)} AS weather_impact FROM hh LEFT JOIN mo h ON hh.home_id = h.team_id LEFT JOIN mo w ON hh.away_id = w.team_id""")
+def prj17_flat_training_row(view):
+    g = view("games")
+    flat = ml.flat_rows(ml.enhanced_features(g.filter("game_id % 5 = 0"), g))
+    return flat.select("game_id", rounded("momentum_difference").alias("momentum_difference"), "head_to_head_advantage", "weather_impact")
+
+
+@query(LINES + f"SELECT game_id, {R('hw')} AS f_hw, {R('hp')} AS f_hp, CASE WHEN game_id % 3 = 1 AND game_id % 2 = 0 THEN {D(4.5)} ELSE {D(3)} END AS f_home_era FROM lines WHERE sport = 'MLB'")
+def ml01_sport_features(view):
+    m = forecast.supported(forecast.matchups(view("games"), view("teams")), "MLB").withColumns({"home_era": F.when(F.expr("not (game_id % 3 = 1 and game_id % 2 = 0)"), 3.0), "away_era": F.lit(None).cast("double")})
+    out = m.withColumns(ml.sport_columns("MLB"))
+    return out.select("game_id", rounded("f_hw").alias("f_hw"), rounded("f_hp").alias("f_hp"), "f_home_era")
+
+
+@query()
+def ml02_stable_split(view):
+    train, test = ml.split(view("games").select("game_id"))
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+def _training(view) -> tuple[DataFrame, list[str]]:
+    rows = ml.training_set(view("games"))
+    return rows, [c for c in rows.columns if c not in ("game_id", "sport", "label", "margin")]
+
+
+@query()
+def ml03_forest_by_sport(view):
+    """One forest a sport; probabilities of all its games."""
+    rows, columns = _training(view)
+    out = None
+    for sport in ml.Registry.supported():
+        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=10, maxDepth=5, seed=42))
+        mine = spec.prepared(rows.filter(F.col("sport") == sport))
+        model = spec.pipeline().fit(ml.split(mine)[0])
+        part = ml.probability(model.transform(mine)).select("game_id", "sport", rounded("p").alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def ml06_train_all_models(view):
+    """AGG-10, ML-04, ML-05, ML-06, ML-12: three models on point-in-time features, their accuracy and sample sizes."""
+    rows, columns = _training(view)
+    return ml.train_models(rows, columns, trees=10, depth=5, iterations=10)[1]
+
+
+@query()
+def ml10_spread_regression(view):
+    rows, columns = _training(view)
+    model, _ = ml.spread_regression(rows, columns, iterations=5)
+    return model.transform(rows).select("game_id", "margin", rounded("prediction", 4).alias("predicted_margin"))
+
+
+@query()
+def ml11_sequence_model(view):
+    """Whether a team wins its next game, from its last ten."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import Window
+
+    games = features.team_games(view("games"))
+    following = F.lead((F.col("points") > F.col("opponent_points")).cast("int")).over(Window.partitionBy("team_id").orderBy("game_ts", "game_id"))
+    labels = games.withColumn("label", following).select("team_id", "game_id", "label")
+    rows = features.sequences(games).join(labels, ["team_id", "game_id"]).filter("label is not null")
+    rows = rows.select("team_id", "game_id", "label", array_to_vector(F.transform("sequence", lambda x: x / 100.0)).alias("features"))
+    net = ml.MultilayerPerceptronClassifier(layers=[30, 8, 2], maxIter=5, seed=42).fit(ml.split(rows)[0])
+    return ml.probability(net.transform(rows)).select("team_id", "game_id", rounded("p", 4).alias("p"))
+
+
+EVENT = "event_id long, ts timestamp, game_id long, spread double, winner string"
+
+
+def _stream(view, kind: str) -> DataFrame:
+    """The tracking events of one kind, as a stream over the events table's files."""
+    events = view("events")
+    spark = events.sparkSession
+    path = events.inputFiles()[0].rpartition("/")[0]
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*" if path.rpartition("/")[2] != "events.parquet" else "*.parquet").parquet(path)
+    typed = jobs.event_time(rows.filter(F.col("event_type") == kind))
+    return typed.select("event_id", "ts", F.col("user_id").cast("long").alias("game_id"), (F.col("value") / 10 - 25).alias("spread"), F.when(F.col("event_id") % 2 == 0, "home").otherwise("away").alias("winner"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in what driver and executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/courtside-stream-{uuid.uuid4().hex}"
+
+
+def _kept(view, kind: str, merge) -> DataFrame:
+    spark = view("events").sparkSession
+    base = _scratch(spark)
+    table = jobs.VersionedTable(spark, f"{base}/table", EVENT)
+    jobs.keep(_stream(view, kind), table, merge, f"{base}/checkpoint")
+    return table.read()
+
+
+STREAM = ", e AS (SELECT event_id, CAST(game_id AS BIGINT) AS game_id, ts, spread, winner, event_type FROM tracking_events)"
+
+
+@query(STREAM + " SELECT game_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(spread, (ts, event_id)) AS spread, arg_max(winner, (ts, event_id)) AS winner FROM e WHERE event_type = 'view' GROUP BY game_id")
+def str01_prediction_stream(view):
+    return _kept(view, "view", jobs.latest).select("game_id", "event_id", "spread", "winner")
+
+
+@query(STREAM + " SELECT game_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(spread, (ts, event_id)) AS spread, arg_min(winner, (ts, event_id)) AS winner FROM e WHERE event_type = 'purchase' GROUP BY game_id")
+def str02_result_stream(view):
+    return _kept(view, "purchase", jobs.first).select("game_id", "event_id", "spread", "winner")
+
+
+def _streamed(view, frame: DataFrame, mode: str) -> DataFrame:
+    """The end of a stream, as a table of what it emitted."""
+    spark = view("events").sparkSession
+    base = _scratch(spark)
+    if mode == "append":
+        frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    else:
+        frame.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{base}/out")
+
+
+@query(STREAM + f" SELECT p.game_id, p.event_id AS p_event, r.event_id AS r_event, {R('abs(p.spread - r.spread)')} AS spread_error, p.winner = r.winner AS winner_correct FROM e p JOIN e r ON p.event_type = 'view' AND r.event_type = 'purchase' AND p.game_id = r.game_id AND r.ts >= p.ts AND r.ts <= p.ts + INTERVAL 7 DAY")
+def str03_live_metrics(view):
+    return _streamed(view, jobs.live_metrics(_stream(view, "view"), _stream(view, "purchase")), "append")
+
+
+@query(STREAM + f" SELECT CAST(ts AS DATE) AS day, {R('avg(CASE WHEN winner = ' + chr(39) + 'home' + chr(39) + ' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS home_share, {R('avg(spread)', 4)} AS spread, count(*) AS events FROM e WHERE event_type = 'view' GROUP BY 1")
+def str04_daily_accuracy(view):
+    return _streamed(view, jobs.daily_accuracy(_stream(view, "view")), "complete")
+
+
+@query(FORECAST + f"SELECT game_id, {american_sql('p_home')} AS odds, {R(decimal_sql('CAST(' + american_sql('p_home') + ' AS DOUBLE)'))} AS price, {R(SPREAD_EV)} AS spread_ev FROM forecasts")
+def udf02_sql_functions(view):
+    f = forecasts(view)
+    sqlfuncs.register(f.sparkSession)
+    return f.select("game_id", F.expr("american_odds(p_home)").alias("odds"), rounded(F.expr("decimal_odds(CAST(american_odds(p_home) AS DOUBLE))")).alias("price"), rounded(F.expr("spread_value(p_home, spread)")).alias("spread_ev"))
