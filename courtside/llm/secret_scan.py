@@ -36,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 BINS = 100
 #: Lower ends of the length bands.

@@ -64,6 +64,15 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_limit: int
             more = min(counts[i] - take[i], (left - dp_limit) // lengths[i])
             take[i] += more
             left -= more * lengths[i]
+    # Give some back, shortest lengths first, so that the programme has room to choose.
+    back = True
+    while back:
+        back = False
+        for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+            if lengths[i] and take[i] and left + lengths[i] <= dp_limit:
+                take[i] -= 1
+                left += lengths[i]
+                back = True
     # Bounded knapsack: bit s of a mask says that the sum s can be reached; counts split into powers of two.
     parts = []
     for i, n in enumerate(lengths):
