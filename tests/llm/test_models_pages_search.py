@@ -71,7 +71,7 @@ def brute_top(rows, k):
 @pytest.mark.parametrize("block", [40, 16_384])
 def test_top_k_is_exact(spark, block):
     rng = random.Random(6)
-    rows = [(i, [rng.choice([-1, 0.5, 1, rng.gauss(0, 1)]) for _ in range(8)]) for i in range(400)]
+    rows = [(i, [rng.choice([-1.0, 0.5, 1.0, rng.gauss(0, 1)]) for _ in range(8)]) for i in range(400)]
     rows += [(i, list(rows[7][1])) for i in range(400, 420)] + [(rows[0][0], list(rows[0][1]))]
     rows += [(500, None), (501, [1.0, None] * 4), (600, [float("nan")] + [0.0] * 7), (601, [float("inf")] * 8), (700, []), (800, [1.0, 2.0]), (801, [1.0, 2.0]), (None, [0.0] * 8)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "score": F.lit("x"), "v": F.lit("y")})
