@@ -8,15 +8,20 @@ from courtside.functions.rounding import rounded, whole
 from courtside.params import RISK_LEVELS
 
 
+#: The texts of a bet's reasons.
+STRONG, MODERATE, EDGE = "Strong value opportunity with ", "Moderate value with ", "%.1f%% edge"
+OFFENCE, LOW_RISK, MEDIUM_RISK = " shows stronger offensive performance", "Historical data suggests consistent performance patterns", "Moderate volatility in recent performances"
+
+
 def reasoning() -> Column:
     """The reasons that hold, joined by a bar."""
     value, gap = F.col("value"), F.col("hp") - F.col("ap")
-    edge = F.format_string("%.1f%% edge", rounded(value * 100.0, 1))
+    edge = F.format_string(EDGE, rounded(value * 100.0, 1))
     return F.concat_ws(
         " | ",
-        F.when(value > 0.15, F.concat(F.lit("Strong value opportunity with "), edge)).when(value > 0.05, F.concat(F.lit("Moderate value with "), edge)),
-        F.when(F.abs(gap) > 5, F.concat(F.when(gap > 0, F.col("home_name")).otherwise(F.col("away_name")), F.lit(" shows stronger offensive performance"))),
-        F.when(F.col("risk_level") == "low", "Historical data suggests consistent performance patterns").when(F.col("risk_level") == "medium", "Moderate volatility in recent performances"),
+        F.when(value > 0.15, F.concat(F.lit(STRONG), edge)).when(value > 0.05, F.concat(F.lit(MODERATE), edge)),
+        F.when(F.abs(gap) > 5, F.concat(F.when(gap > 0, F.col("home_name")).otherwise(F.col("away_name")), F.lit(OFFENCE))),
+        F.when(F.col("risk_level") == "low", LOW_RISK).when(F.col("risk_level") == "medium", MEDIUM_RISK),
     )
 
 

@@ -7,6 +7,17 @@ from courtside.functions.rounding import clamp
 from courtside.params import RISK_LEVELS, RISK_WEIGHTS
 
 
+#: The main text by level of risk, the texts of single components with their bounds, and the fallback.
+MAIN_TEXTS = ("Strong opportunity with solid statistical backing", "Balanced risk-reward profile with moderate confidence", "High-risk bet with potential for variance")
+COMPONENT_TEXTS = (
+    ("confidence_risk", 0.6, "Model shows lower confidence in prediction"),
+    ("odds_risk", 0.7, "Line movement suggests market uncertainty"),
+    ("volatility_risk", 0.6, "Recent performance shows high variability"),
+    ("historical_risk", 0.7, "Historical matchup data indicates unpredictability"),
+)
+FALLBACK_TEXT = "Unable to calculate detailed risk analysis"
+
+
 def confidence_risk(confidence: Column, agree: Column) -> Column:
     return clamp(1 - F.coalesce(confidence, F.lit(0.5)) + F.when(F.coalesce(agree, F.lit(True)), 0.0).otherwise(0.2), 0.0, 1.0)
 
@@ -31,14 +42,10 @@ def level(score: Column) -> Column:
 
 
 def insights() -> Column:
-    main = F.when(F.col("risk_score") < RISK_LEVELS["low"], "Strong opportunity with solid statistical backing").when(F.col("risk_score") < RISK_LEVELS["medium"], "Balanced risk-reward profile with moderate confidence").otherwise("High-risk bet with potential for variance")
-    extra = [
-        F.when(F.col("confidence_risk") > 0.6, "Model shows lower confidence in prediction"),
-        F.when(F.col("odds_risk") > 0.7, "Line movement suggests market uncertainty"),
-        F.when(F.col("volatility_risk") > 0.6, "Recent performance shows high variability"),
-        F.when(F.col("historical_risk") > 0.7, "Historical matchup data indicates unpredictability"),
-    ]
-    return F.array_compact(F.array(main, *extra))
+    """The main text, by strict bounds, and one text for each high component."""
+    low, middle, high = MAIN_TEXTS
+    main = F.when(F.col("risk_score") < RISK_LEVELS["low"], low).when(F.col("risk_score") < RISK_LEVELS["medium"], middle).otherwise(high)
+    return F.array_compact(F.array(main, *[F.when(F.col(name) > bound, words) for name, bound, words in COMPONENT_TEXTS]))
 
 
 def assess(forecasts: DataFrame, agree: Column | None = None, home_ml: Column | None = None, away_ml: Column | None = None) -> DataFrame:
@@ -52,5 +59,5 @@ def assess(forecasts: DataFrame, agree: Column | None = None, home_ml: Column |
     })
     total = sum((F.col(f"{name}_risk") * w for name, w in list(RISK_WEIGHTS.items())[1:]), F.col("confidence_risk") * RISK_WEIGHTS["confidence"])
     scored = parts.withColumn("raw_risk", total).withColumn("risk_score", F.coalesce("raw_risk", F.lit(0.5)))
-    fallback = F.array(F.lit("Unable to calculate detailed risk analysis"))
+    fallback = F.array(F.lit(FALLBACK_TEXT))
     return scored.withColumns({"risk_level": level(F.col("risk_score")), "insights": F.when(F.col("raw_risk").isNull(), fallback).otherwise(insights())}).drop("raw_risk")
