@@ -43,8 +43,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = 3) -> D
     return rows.withColumn("level", level).select("source", "source_size", F.least("cap", F.max("level").over(everything) * F.col("w")).alias("target"))
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_limit: int = 4096) -> list[int]:
-    """How many documents of each length to take so that their lengths sum to ``budget`` or just below."""
+def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_limit: int = 1 << 16) -> list[int]:
+    """How many documents of each length to take so that their lengths sum as near to ``budget`` as the programme can."""
     total = sum(n * m for n, m in zip(lengths, counts))
     if budget <= 0 or total <= 0:
         return [0] * len(lengths)
@@ -74,19 +74,22 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_limit: int
                 left += lengths[i]
                 back = True
     # Bounded knapsack: bit s of a mask says that the sum s can be reached; counts split into powers of two.
-    parts = []
+    top, parts = left + dp_limit, []
     for i, n in enumerate(lengths):
-        free, chunk = (counts[i] - take[i] if 0 < n <= left else 0), 1
-        free = min(free, left // n) if n else 0
+        free, chunk = (min(counts[i] - take[i], top // n) if 0 < n <= top else 0), 1
         while free > 0:
             parts.append((i, use := min(chunk, free)))
             free, chunk = free - use, chunk * 2
-    keep, masks = (1 << (left + 1)) - 1, [1]
+    keep, masks = (1 << (top + 1)) - 1, [1]
     for i, k in parts:
         masks.append((masks[-1] | masks[-1] << (lengths[i] * k)) & keep)
         if masks[-1] >> left & 1:
             break
-    rest = masks[-1].bit_length() - 1
+    # The nearest sum, the lower one of two as near.
+    below = (masks[-1] & ((1 << (left + 1)) - 1)).bit_length() - 1
+    higher = masks[-1] >> (left + 1)
+    above = left + (higher & -higher).bit_length() if higher else top + left + 1
+    rest = above if above - left < left - below else below
     for (i, k), mask in zip(reversed(parts[: len(masks) - 1]), reversed(masks[:-1])):
         if not mask >> rest & 1:
             take[i] += k
