@@ -1036,3 +1036,55 @@ def udf02_sql_functions(view):
     f = forecasts(view)
     sqlfuncs.register(f.sparkSession)
     return f.select("game_id", F.expr("american_odds(p_home)").alias("odds"), rounded(F.expr("decimal_odds(CAST(american_odds(p_home) AS DOUBLE))")).alias("price"), rounded(F.expr("spread_value(p_home, spread)")).alias("spread_ev"))
+
+
+@query()
+def fn13_pretty_json(view):
+    """A nested document per game, printed."""
+    m = forecast.picks(forecasts(view))
+    team = lambda s: F.struct(F.col(f"{s}_name").alias("name"), rounded(f"{s[0]}w").alias("win_pct")).alias(f"{s}_team")
+    return m.select("game_id", F.to_json(F.struct("sport", team("home"), team("away"), F.array("home_odds", "away_odds").alias("money_line")), {"pretty": "true"}).alias("document"))
+
+
+@query()
+def ml04_boosting(view):
+    rows, columns = _training(view)
+    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.GBTClassifier(maxIter=10, maxDepth=5, seed=42)]).fit(ml.split(rows)[0])
+    return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
+
+
+@query()
+def ml05_feed_forward(view):
+    rows, columns = _training(view)
+    stages = [ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ml.MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=20, seed=42)]
+    model = ml.Pipeline(stages=stages).fit(ml.split(rows)[0])
+    return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
+
+
+@query()
+def ml09_batch_scoring(view):
+    """Forest probabilities of every game, clamped, with line, tier and agreement; ML-13's registry keeps the models."""
+    m = forecast.matchups(view("games"), view("teams")).withColumns({"home_era": F.lit(None).cast("double"), "away_era": F.lit(None).cast("double"), "home_back_to_back": F.lit(False), "away_back_to_back": F.lit(False)})
+    labelled = m.withColumn("label", (F.col("home_score") > F.col("away_score")).cast("int"))
+    registry = ml.Registry(f"{_scratch(m.sparkSession)}/models")
+    out = None
+    for sport in ml.Registry.supported():
+        spec = ml.SportSpec(sport, ml.sport_columns(sport), forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=10, maxDepth=5, seed=42))
+        mine = spec.prepared(forecast.supported(labelled, sport))
+        registry.save(sport, spec.pipeline().fit(ml.split(mine)[0]))
+        scored = forecast.clamped(ml.probability(ml.Registry(registry.path).get(sport).transform(mine)), F.col("p"))
+        scored = forecast.agreement(forecast.tier(spec.line(scored)), F.col("p_home_model"), F.col("line"))
+        part = scored.select("game_id", "sport", rounded("p_home_model", 4).alias("p_home"), "line", "tier", "model_agreement", rounded("confidence_model", 4).alias("confidence"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+BEFORE20 = BEFORE.replace("10 PRECEDING", "20 PRECEDING")
+
+
+@query(f""", b AS (SELECT game_id, is_home, avg(points) {BEFORE} AS p, avg(CAST(points > opponent_points AS INT)) {BEFORE20} AS w, CAST({LAG} AS INT) AS d FROM team_games),
+    s AS (SELECT game_id, {', '.join(f"max({c}) FILTER (WHERE is_home = {h}) AS {c}{h}" for c in 'pwd' for h in (1, 0))} FROM b GROUP BY game_id)
+    SELECT g.game_id, CAST(home_score > away_score AS INT) AS label, {R('p1')} AS home_points_10, {R('w1')} AS home_win_rate_20, CAST(d1 AS DOUBLE) AS home_days_rest, {R('p0')} AS away_points_10 FROM s JOIN games g ON s.game_id = g.game_id WHERE p1 IS NOT NULL AND p0 IS NOT NULL""")
+def ml12_training_features(view):
+    rows, _ = _training(view)
+    return rows.select("game_id", "label", rounded("home_points_10").alias("home_points_10"), rounded("home_win_rate_20").alias("home_win_rate_20"), "home_days_rest", rounded("away_points_10").alias("away_points_10"))
