@@ -191,7 +191,12 @@ def _bounds(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordinates: int = 64, matches: int = 38, rounds: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> id, n_shingles, component_id, kept: links need 100 * intersection >= threshold * union."""
+    """docs -> id, n_shingles, component_id, kept: links need 100 * intersection >= threshold * union.
+
+    ``coordinates`` is at most 64: a bit plane is one long.
+    """
+    if not 0 < matches <= coordinates <= 64:
+        raise ValueError("matches <= coordinates <= 64")
     signed = materialize(signatures(docs, width, coordinates, seed, id_col, text_col), "signatures")
     classes = signed.filter("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
