@@ -23,6 +23,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from courtside.llm._common import materialize
 
 SALTS = 16
+#: Cells of an alignment's table of costs.
+CELLS = 200_000
 
 #: Tag groups of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -146,6 +149,8 @@ def align(a: list, b: list) -> list:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     n, m = len(x), len(y)
+    if n * m > CELLS:
+        return a[:head] + _align_long(x, y) + a[len(a) - tail :]
     skip = lambda item: 0.01 if isinstance(item, list) and item[0] == "?" else 1.0
     cost = [[0.0] * (m + 1) for _ in range(n + 1)]
     step: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
@@ -187,6 +192,20 @@ def align(a: list, b: list) -> list:
     return out + a[len(a) - tail :]
 
 
+def _align_long(x: list, y: list) -> list:
+    """align for streams whose table of costs would be large: equal runs anchor them, what lies between is aligned by itself."""
+    out: list = []
+    runs = SequenceMatcher(None, [json.dumps(i) for i in x], [json.dumps(i) for i in y], autojunk=False).get_opcodes()
+    for kind, i, i_end, j, j_end in runs:
+        if kind == "equal":
+            out += x[i:i_end]
+        elif i < i_end and j < j_end and (i_end - i) * (j_end - j) <= CELLS:
+            out += align(x[i:i_end], y[j:j_end])
+        else:
+            out += [["?", part] for part in (x[i:i_end], y[j:j_end]) if part]
+    return out
+
+
 def slot_paths(wrapper: list) -> list[str]:
     """The path of enclosing tags of each text slot, in order, once each."""
     stack: list[str] = []

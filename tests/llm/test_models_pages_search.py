@@ -208,3 +208,13 @@ def test_wrappers_are_union_free(spark):
     b = ["<ul>", "<li>", "#", "</li>", "</ul>", "<p>", "#", "</p>"]
     assert html_extraction.align(a, b) == ["<ul>", ["+", ["<li>", "#", "</li>"]], "</ul>", ["?", ["<p>", "#", "</p>"]]]
     assert html_extraction.slot_paths(html_extraction.align(a, b)) == ["ul/li", "p"]
+
+
+def test_long_streams_align_in_parts():
+    block = lambda k: [f"<d.{k}>", "#", f"</d.{k}>"]
+    a = [t for k in range(600) for t in block(f"x{k}")]
+    b = [t for k in range(600) if k % 7 for t in block(f"x{k}")]
+    merged = html_extraction.align(["<z>", *a], ["<y>", *b])
+    paths = html_extraction.slot_paths(merged)
+    assert len([p for p in paths if p.rpartition("/")[2].startswith("d.x")]) >= 600
+    assert sum(isinstance(i, list) and i[0] == "?" for i in merged) >= 600 // 7
