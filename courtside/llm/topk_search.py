@@ -39,8 +39,6 @@ class ImpactIndex:
     def __init__(self, vectors: np.ndarray, step: int):
         self.vectors, self.step = vectors, step
         levels = vectors // step
-        self.low = levels.min(0)
-        self.segments: list[tuple[np.ndarray, np.ndarray]] = []
         dims, values, rows = [], [], []
         for d in range(vectors.shape[1]):
             order = np.argsort(levels[:, d], kind="stable")
@@ -49,8 +47,9 @@ class ImpactIndex:
             values += found.tolist()
             rows += np.split(order, starts[1:])
         self.dims, self.levels, self.rows = np.array(dims), np.array(values, np.int64), rows
+        self.sizes = np.array(list(map(len, rows)))
 
-    def search(self, query: np.ndarray, k: int, own: np.ndarray, check_every: int = 96, enough: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int, own: np.ndarray, check_every: int = 256, enough: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores that contain the block's k best; ``own`` marks rows that take no part."""
         n = len(self.vectors)
         impact = query[self.dims] * self.levels * self.step
@@ -66,16 +65,16 @@ class ImpactIndex:
         by_dim = [gain[order[self.dims[order] == d]] for d in range(len(query))]
         done = np.zeros(len(query), int)
         take = min(k, n)
-        for count, s in enumerate(order, 1):
-            if gain[s]:
-                score[self.rows[s]] += gain[s]
-            done[self.dims[s]] += 1
-            if count % check_every == 0 or count == len(order):
-                rest = sum(int(g[x]) for g, x in zip(by_dim, done) if x < len(g))
-                bar = np.partition(score, n - take)[n - take] + slack_low
-                members = np.flatnonzero(score + rest + slack_high >= bar)
-                if len(members) <= max(enough, take) or count == len(order):
-                    break
+        # Segments are taken in runs of ``check_every`` by descending gain; each run ends with a test for the proof.
+        for at in range(0, len(order), check_every):
+            run = order[at : at + check_every]
+            np.add.at(score, np.concatenate([self.rows[s] for s in run]), np.repeat(gain[run], self.sizes[run]))
+            np.add.at(done, self.dims[run], 1)
+            rest = sum(int(g[x]) for g, x in zip(by_dim, done) if x < len(g))
+            bar = np.partition(score, n - take)[n - take] + slack_low
+            members = np.flatnonzero(score + rest + slack_high >= bar)
+            if len(members) <= max(enough, take):
+                break
         members = members[~own[members]]
         return members, self.vectors[members] @ query
 
