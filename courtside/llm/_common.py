@@ -53,7 +53,7 @@ def split_words(data: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """Memo from a word's bytes to its 64-bit hash; emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 18):
         super().__init__()
         self.limit = limit
 

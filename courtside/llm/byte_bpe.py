@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 500_000
+MEMO = 300_000
 
 
 def load_ranks(path: str) -> list[bytes]:

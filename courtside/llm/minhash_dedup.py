@@ -34,7 +34,7 @@ ONE = np.uint64(0x9E3779B97F4A7C15)
 #: Ids are broadcast up to this many (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Shingles that one numpy pass holds at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SKETCH = 1 << 18
 PLANES = 3
 GROUPS = 128
