@@ -3,10 +3,11 @@
 A page becomes a stream of structural tags and text slots. Within a page, adjacent equal groups fold into
 repeated groups; across the pages of a host, streams are aligned one after another: what matches stays, what
 only one side has becomes an optional group, texts are slots. The result is the host's wrapper, a union-free
-regular expression over tags and slots. Its slots are known by their path of enclosing tags. The main region is
-chosen among the wrapper's paths (article or main elements first, else the smallest element that holds most of
-the varying text outside menus, headers, footers, adverts, forms, comments and the like), and every page's main
-text is what fills the slots of that region.
+regular expression over tags and slots. Its slots are known by their path of enclosing tags, one for each way
+through its optional and repeated groups that occurs on a page. The main region is chosen among these paths
+(article or main elements first, else the smallest element that holds most of the varying text outside menus,
+headers, footers, adverts, forms, comments and the like), and every page's main text is what fills the slots of
+that region.
 
 Pages of one host meet only as distinct folded streams with counts (summed before the shuffle), first in
 SALTS parts, then merged, so a host with a third of all pages is no larger a task than its distinct layouts.
@@ -207,7 +208,10 @@ def _align_long(x: list, y: list) -> list:
 
 
 def slot_paths(wrapper: list) -> list[str]:
-    """The path of enclosing tags of each text slot, in order, once each."""
+    """The path of enclosing tags of each text slot, in order, once each, with every optional group present and repeated groups once.
+
+    Pages without an optional wrapper, or with nested equal tags that were folded, have other paths; a host's slot rows list all.
+    """
     stack: list[str] = []
     found: dict[str, None] = {}
 
@@ -242,21 +246,30 @@ def is_boilerplate(path: str) -> bool:
 def main_slots(paths: list[str], chars: dict[str, int], varying: dict[str, bool]) -> list[str]:
     """The slot paths of the main region."""
     usable = [p for p in paths if not is_boilerplate(p)]
-    weight = lambda p: chars.get(p, 0) if varying.get(p, True) else 0
+    weights = {p: chars.get(p, 0) if varying.get(p, True) else 0 for p in usable}
+    held: dict[str, int] = {}
+    slots: dict[str, int] = {}
+    for p in usable:
+        parts = p.split("/")
+        for k in range(len(parts)):
+            prefix = "/".join(parts[: k + 1])
+            held[prefix] = held.get(prefix, 0) + weights[p]
+            slots[prefix] = slots.get(prefix, 0) + 1
 
     def under(prefix: str) -> list[str]:
         return [p for p in usable if p == prefix or p.startswith(prefix + "/")]
 
-    prefixes = {"/".join(p.split("/")[: k + 1]) for p in usable for k in range(p.count("/") + 1)}
-    marked = [p for p in prefixes if (last := p.rsplit("/", 1)[-1].split("."))[0] in ("article", "main") or "main" in last[1:] or "article" in last[1:]]
+    marked = [p for p in held if (last := p.rsplit("/", 1)[-1].split("."))[0] in ("article", "main") or "main" in last[1:] or "article" in last[1:]]
     if marked:
         # The deepest marked element that holds nearly all marked text; siblings count together by their path.
-        total = sum(map(weight, {q for p in marked for q in under(p)}))
-        full = [p for p in marked if sum(map(weight, under(p))) >= 0.9 * total]
-        return sorted({q for p in ([max(full, key=lambda p: (p.count("/"), p))] if full else marked) for q in under(p)})
-    total = sum(map(weight, usable))
-    full = [p for p in prefixes if under(p) != [p] and sum(map(weight, under(p))) >= 0.6 * total]
-    return under(max(full, key=lambda p: (p.count("/"), sum(map(weight, under(p))), p))) if full and total else usable
+        tops = set(marked)
+        inside = [p for p in usable if any(p[:at] in tops for at in [*(m.start() for m in re.finditer("/", p)), len(p)])]
+        total = sum(weights[p] for p in inside)
+        full = [p for p in marked if held[p] >= 0.9 * total]
+        return sorted(under(max(full, key=lambda p: (p.count("/"), p))) if full else inside)
+    total = sum(weights.values())
+    full = [p for p in held if (slots[p] > 1 or p not in weights) and held[p] >= 0.6 * total]
+    return under(max(full, key=lambda p: (p.count("/"), held[p], p))) if full and total else usable
 
 
 def layout(page: str) -> tuple[str, dict[str, tuple[int, int]]]:
@@ -331,7 +344,7 @@ def _wrapper(streams: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
     wrapper = _part(streams)["key"].iloc[0]
     chars = dict(zip(slots["key"], slots["chars"]))
     varying = {k: n < 2 or low != high for k, n, low, high in zip(slots["key"], slots["pages"], slots["low"], slots["high"])}
-    return pd.DataFrame({"host": [streams["host"].iloc[0]], "wrapper": [wrapper], "slots": [main_slots(slot_paths(json.loads(wrapper)), chars, varying)]})
+    return pd.DataFrame({"host": [streams["host"].iloc[0]], "wrapper": [wrapper], "slots": [main_slots(sorted(chars), chars, varying)]})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

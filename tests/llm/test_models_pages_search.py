@@ -218,3 +218,18 @@ def test_long_streams_align_in_parts():
     paths = html_extraction.slot_paths(merged)
     assert len([p for p in paths if p.rpartition("/")[2].startswith("d.x")]) >= 600
     assert sum(isinstance(i, list) and i[0] == "?" for i in merged) >= 600 // 7
+
+
+def pages_of(spark, texts):
+    d = spark.createDataFrame([(i, "https://h.example/", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extraction.extract(d).collect()}
+
+
+def test_optional_wrappers_keep_every_layout(spark):
+    ways = ["<article><p>{}</p></article>", "<article><div class=body><p>{}</p></div></article>", "<article>{}</article>", "<article><section><p>{}</p></section><blockquote><p>q{}</p></blockquote></article>"]
+    found = pages_of(spark, ["<nav>menu</nav>" + ways[i % 4].format(f"text {i}", i) for i in range(24)])
+    assert found == {i: f"text {i} q{i}" if i % 4 == 3 else f"text {i}" for i in range(24)}
+
+
+def test_nested_equal_tags_keep_their_text(spark):
+    assert pages_of(spark, ["<div><div><p>deep</p></div></div>"]) == {0: "deep"}
