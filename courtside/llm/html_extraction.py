@@ -6,8 +6,9 @@ only one side has becomes an optional group, texts are slots. The result is the
 regular expression over tags and slots. Its slots are known by their path of enclosing tags, one for each way
 through its optional and repeated groups that occurs on a page. The main region is chosen among these paths
 (article or main elements first, else the smallest element that holds most of the varying text outside menus,
-headers, footers, adverts, forms, comments and the like), and every page's main text is what fills the slots of
-that region.
+headers, footers, adverts, forms, comments and the like), and a page's main text is what fills the slots of that
+region. The region must hold most of the page's own varying text as well: a page of another layout, with little or
+nothing there, keeps all its slots outside menus and the like.
 
 Pages of one host meet only as distinct folded streams with counts (summed before the shuffle), first in
 SALTS parts, then merged, so a host with a third of all pages is no larger a task than its distinct layouts.
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +38,8 @@ from courtside.llm._common import materialize
 SALTS = 16
 #: Cells of an alignment's table of costs.
 CELLS = 200_000
+#: The share of a host's marked text that a marked main region holds at least, and the share of varying text that a region holds at least, on its host (unmarked) and on each page.
+MARKED_SHARE, MOST = 0.9, 0.6
 
 #: Tag groups of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -231,6 +235,7 @@ def slot_paths(wrapper: list) -> list[str]:
     return list(found)
 
 
+@lru_cache(maxsize=4096)
 def is_boilerplate(path: str) -> bool:
     """A path through an element that is never main text."""
     inside = False
@@ -265,10 +270,10 @@ def main_slots(paths: list[str], chars: dict[str, int], varying: dict[str, bool]
         tops = set(marked)
         inside = [p for p in usable if any(p[:at] in tops for at in [*(m.start() for m in re.finditer("/", p)), len(p)])]
         total = sum(weights[p] for p in inside)
-        full = [p for p in marked if held[p] >= 0.9 * total]
+        full = [p for p in marked if held[p] >= MARKED_SHARE * total]
         return sorted(under(max(full, key=lambda p: (p.count("/"), p))) if full else inside)
     total = sum(weights.values())
-    full = [p for p in held if (slots[p] > 1 or p not in weights) and held[p] >= 0.6 * total]
+    full = [p for p in held if (slots[p] > 1 or p not in weights) and held[p] >= MOST * total]
     return under(max(full, key=lambda p: (p.count("/"), held[p], p))) if full and total else usable
 
 
@@ -292,15 +297,25 @@ def layout(page: str) -> tuple[str, dict[str, tuple[int, int]]]:
     return json.dumps(fold(items), separators=(",", ":")), sizes
 
 
-def main_text(page: str, slots: frozenset[str] | None) -> str:
-    """The text in a page's slots of the main region: references decoded, white space squeezed, blocks joined by a space."""
+def page_slots(chars: dict[str, int], slots: frozenset[str], fixed: frozenset[str]) -> frozenset[str]:
+    """The slots that a page's main text fills: its host's region where that holds most of the page's varying text, else all usable ones."""
+    usable = frozenset(p for p in chars if not is_boilerplate(p))
+    inside = sum(n for p, n in chars.items() if p in slots and p not in fixed)
+    total = sum(chars[p] for p in usable if p not in fixed)
+    return slots if usable & slots and inside >= MOST * total else usable
+
+
+def main_text(page: str, slots: frozenset[str], fixed: frozenset[str] = frozenset()) -> str:
+    """The main text of a page, given its host's region and unvarying slots: references decoded, white space squeezed, blocks joined by a space."""
     stack: list[str] = []
-    blocks: list[list[str]] = [[]]
+    blocks: list[list[tuple[str, str]]] = [[]]
+    chars: dict[str, int] = {}
     path = ""
     for kind, value in events(page):
         if kind == "text":
-            if path in slots if slots else not is_boilerplate(path):
-                blocks[-1].append(value)
+            blocks[-1].append((path, value))
+            if not value.isspace():
+                chars[path] = chars.get(path, 0) + len(value)
             continue
         if kind == "open":
             stack.append(value)
@@ -310,7 +325,9 @@ def main_text(page: str, slots: frozenset[str] | None) -> str:
             path = "/".join(stack)
         if blocks[-1]:
             blocks.append([])
-    return " ".join(" ".join(html.unescape("".join(block)).split()) for block in blocks if block).strip()
+    kept = page_slots(chars, slots, fixed)
+    texts = (" ".join(html.unescape("".join(v for p, v in block if p in kept)).split()) for block in blocks)
+    return " ".join(t for t in texts if t)
 
 
 def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,22 +357,22 @@ def _part(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _wrapper(streams: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
     if not len(streams):
-        return pd.DataFrame({"host": [], "wrapper": [], "slots": []})
+        return pd.DataFrame({"host": [], "wrapper": [], "slots": [], "fixed": []})
     wrapper = _part(streams)["key"].iloc[0]
     chars = dict(zip(slots["key"], slots["chars"]))
     varying = {k: n < 2 or low != high for k, n, low, high in zip(slots["key"], slots["pages"], slots["low"], slots["high"])}
-    return pd.DataFrame({"host": [streams["host"].iloc[0]], "wrapper": [wrapper], "slots": [main_slots(sorted(chars), chars, varying)]})
+    return pd.DataFrame({"host": [streams["host"].iloc[0]], "wrapper": [wrapper], "slots": [main_slots(sorted(chars), chars, varying)], "fixed": [sorted(p for p in chars if not varying[p] and not is_boilerplate(p))]})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages -> host, wrapper (JSON; ["+", group] repeats, ["?", group] is optional, "#" is text), slots (paths of the main region)."""
+    """pages -> host, wrapper (JSON; ["+", group] repeats, ["?", group] is optional, "#" is text), slots (paths of the main region), fixed (usable paths whose text is the same on all pages)."""
     named = pages.select(_host(pages[url_col]).alias("host"), pages[html_col].cast("string").alias("html"))
     seen = named.mapInArrow(_layouts, "host string, kind string, key string, pages long, chars long, low long, high long")
     seen = seen.groupBy("host", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "chars")], F.min("low").alias("low"), F.max("high").alias("high"))
     seen = materialize(seen, "layouts")
     parts = seen.filter("kind = 'stream'").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(_part, "host string, key string, pages long")
     slots = seen.filter("kind = 'slot'").select("host", "key", "pages", "chars", "low", "high")
-    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(_wrapper, "host string, wrapper string, slots array<string>")
+    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(_wrapper, "host string, wrapper string, slots array<string>, fixed array<string>")
 
 
 def _host(url):
@@ -364,7 +381,7 @@ def _host(url):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages -> id, url, text: the main text of every page by its host's wrapper."""
-    known = materialize(wrappers(pages, url_col, html_col).select("host", "slots"), "wrappers")
+    known = materialize(wrappers(pages, url_col, html_col).select("host", "slots", "fixed"), "wrappers")
     named = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"), _host(pages[url_col]).alias("host"))
     kind = named.schema["id"].dataType.simpleString()
 
@@ -372,12 +389,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         sets: dict[tuple[str, ...], frozenset[str]] = {}
         for batch in batches:
             texts = []
-            for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = tuple(slots or ())
-                if key not in sets:
-                    sets[key] = frozenset(key)
-                texts.append(main_text(page or "", sets[key]))
+            for page, *known in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
+                keys = [tuple(paths or ()) for paths in known]
+                for key in keys:
+                    if key not in sets:
+                        sets[key] = frozenset(key)
+                texts.append(main_text(page or "", *(sets[key] for key in keys)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    joined = named.join(known, "host", "left").select("id", "url", "html", "slots")
+    joined = named.join(known, "host", "left").select("id", "url", "html", "slots", "fixed")
     return joined.mapInArrow(run, f"id {kind}, url string, text string").withColumnsRenamed({"id": id_col})

@@ -233,3 +233,15 @@ def test_optional_wrappers_keep_every_layout(spark):
 
 def test_nested_equal_tags_keep_their_text(spark):
     assert pages_of(spark, ["<div><div><p>deep</p></div></div>"]) == {0: "deep"}
+
+
+def test_every_layout_of_a_host_has_text(spark):
+    shared = "<nav>menu</nav><div class='{0}'><p>text {1}</p><p>more {1}</p></div>"
+    found = pages_of(spark, [shared.format("content" if i % 3 else "post", i) for i in range(30)])
+    assert found == {i: f"text {i} more {i}" for i in range(30)}
+    rare = "<main><p>text {0}</p></main>"
+    found = pages_of(spark, [rare.format(i) if i % 20 == 0 else f"<main><article><p>text {i}</p></article></main>" for i in range(40)])
+    assert found == {i: f"text {i}" for i in range(40)}
+    titled = "<div class='content'><h1>t{0}</h1>{1}</div>{2}"
+    found = pages_of(spark, [titled.format(i, f"<p>long text of page {i}</p>", "") if i % 4 else titled.format(i, "", f"<div class='post'><p>long text of page {i}</p></div>") for i in range(40)])
+    assert found == {i: f"t{i} long text of page {i}" for i in range(40)}
