@@ -4,13 +4,15 @@ The patterns give the base spans. The battery then looks at every other run of 2
 its encoding is inferred from its alphabet (hex, base32, base64, letters), and three tests ask whether it is a
 uniform random string of that alphabet: chi-squared uniformity of the symbols, the number of runs of digits,
 upper and lower case against what the class sizes allow, and the serial correlation of neighbours. The smallest
-of the three p-values, times three, is the run's p-value.
+of the three p-values, times three, is the run's p-value; a run under LEAST is not random.
 
-Random strings have uniform p-values, ordinary text gathers near 0. For each encoding and length band the
-histogram of p-values over all documents estimates how many runs are random (from those above one half, where
-ordinary runs have died out), and the lowest cut-off is taken at which the estimated share of ordinary runs
-among those above it stays within ``fdr``. Short bands, where the tests tell little, so get strict cut-offs
-or none. The histogram has at most 4 encodings * 7 bands * 100 bins, however large the corpus.
+Each run that passes is held against ordinary runs: words, numbers and names made of them, which keep to one
+class of symbols for a while and follow the letter pairs of ordinary words. A run's likelihood as an ordinary run
+over its likelihood as a random string is a p-value of "this run is ordinary" (by Markov's inequality it is under
+t with a chance of t at most), however few runs there are. Benjamini and Hochberg's procedure then picks the
+random runs of each encoding and length band at the share ``fdr`` of ordinary ones. Copies of a run count once.
+So a strong run passes alone, and a weak one only where many others are strong. The histogram has at most
+4 encodings * 7 bands * (TOP_BITS + 1) rows, however large the corpus.
 
 Null texts are empty texts: no spans. Texts of any length are scanned whole; repeated rows are scanned one by
 one; an empty table gives an empty result.
@@ -38,12 +40,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-BINS = 100
+#: The least p-value of a random run, so that one random run in a thousand is lost; p-values of ordinary runs are kept in bits, up to TOP_BITS.
+LEAST, TOP_BITS = 0.001, 200
 #: Lower ends of the length bands.
 BANDS = (20, 24, 32, 40, 64, 128, 256)
 
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
-RUNS = "array<struct<start:int,stop:int,encoding:string,band:int,bin:int>>"
+RUNS = "array<struct<start:int,stop:int,encoding:string,band:int,bits:int,mark:bigint>>"
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -111,6 +114,72 @@ def randomness(run: str) -> tuple[str, float]:
     return kind, min(1.0, 3 * min(uniform, min(by_runs, 2 * by_class), by_serial))
 
 
+#: Words whose letter pairs stand for ordinary runs.
+WORDS = """the and that have with this from they would there their what about which when make can like time just know take people into year your good some
+could them other than then now look only come over think also back after use two how our work first well way even new want because any these give day most
+name value user index file data list table config server client request response number string object array message service account address version update
+der die und ist nicht mit sich des auf eine als werden oder aber durch nach einer wenn noch zwischen gegen ohne schon immer wieder jahr
+le les des est dans pour que qui pas une sur plus par avec tout mais comme nous vous leur bien aussi entre sans encore autre
+el los las una por con para como pero sus entre cuando muy sin sobre tiene desde todo nos durante contra ese esto hasta donde quien""".split()
+#: The share of pairs of WORDS in a letter's chance; the rest is even.
+PAIRS = 0.5
+#: Chances of the next symbol's class (lower, upper, digit, sign) after each class, in plain words and numbers and in names of capitalised words.
+CLASSES = "luds"
+CHAINS = (
+    {"l": (0.79, 0.07, 0.07, 0.07), "u": (0.45, 0.45, 0.05, 0.05), "d": (0.07, 0.07, 0.79, 0.07), "s": (0.07, 0.07, 0.07, 0.79)},
+    {"l": (0.65, 0.25, 0.05, 0.05), "u": (0.6, 0.3, 0.05, 0.05), "d": (0.15, 0.3, 0.5, 0.05), "s": (0.45, 0.35, 0.15, 0.05)},
+)
+#: Alphabets among which encoding() picks: hex in two cases, base32, letters, base64 with two sets of signs.
+ALPHABETS = 6
+
+
+def _pair_bits() -> dict[str, float]:
+    """-log2 of each letter's chance after each letter, pairs of WORDS mixed with equal chances; the key '?x' stands for a first letter."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    counts: dict[str, int] = {}
+    for word in WORDS:
+        for pair in zip("?" + word, word):
+            counts["".join(pair)] = counts.get("".join(pair), 0) + 1
+    out = {}
+    for before in "?" + letters:
+        total = sum(counts.get(before + x, 0) for x in letters)
+        for x in letters:
+            seen = counts.get(before + x, 0) / total if total else 1 / 26
+            out[before + x] = -math.log2(PAIRS * seen + (1 - PAIRS) / 26)
+    return out
+
+
+PAIR_BITS = _pair_bits()
+STEP_BITS = [{before + kind: -math.log2(p) for before, row in chain.items() for kind, p in zip(CLASSES, row)} for chain in CHAINS]
+
+
+def ordinary_bits(run: str) -> float:
+    """-log2 of the run's chance as an ordinary run: the better chain of symbol classes, letters by pairs, digits and signs evenly."""
+    steps, symbols, before, last = [0.0] * len(CHAINS), 0.0, "", "?"
+    for c in run.rstrip("="):
+        kind = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s"
+        if before:
+            steps = [bits + chain[before + kind] for bits, chain in zip(steps, STEP_BITS)]
+        if kind in "lu":
+            x = c.lower()
+            symbols += PAIR_BITS[("?" if before == "l" and kind == "u" else last) + x]
+            last = x
+        else:
+            symbols += math.log2(10) if kind == "d" else 1.0
+            last = "?"
+        before = kind
+    return math.log2(len(CLASSES)) + math.log2(len(CHAINS)) + min(steps) + symbols
+
+
+def evidence(run: str) -> tuple[str, int]:
+    """The inferred encoding, and how many bits speak against an ordinary run; 0 if the battery finds it not random."""
+    kind, p = randomness(run)
+    if p < LEAST:
+        return kind, 0
+    random_bits = len(run.rstrip("=")) * math.log2(len(encoding(run)[1])) + math.log2(ALPHABETS)
+    return kind, max(0, min(TOP_BITS, math.floor(ordinary_bits(run) - random_bits)))
+
+
 def _scan(text: str) -> tuple[list[dict], list[dict]]:
     base = base_spans(text)
     spans = [{"kind": kind, "start": start, "stop": end} for start, kind, end in base]
@@ -119,27 +188,25 @@ def _scan(text: str) -> tuple[list[dict], list[dict]]:
         for m in RUN.finditer(text):
             if any(start < m.end() and m.start() < end for start, _, end in base):
                 continue
-            kind, p = randomness(m[0])
+            kind, bits = evidence(m[0])
             band = sum(len(m[0]) >= least for least in BANDS) - 1
-            runs.append({"start": m.start(), "stop": m.end(), "encoding": kind, "band": band, "bin": min(BINS - 1, int(p * BINS))})
+            runs.append({"start": m.start(), "stop": m.end(), "encoding": kind, "band": band, "bits": bits, "mark": int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "big", signed=True)})
     return spans, runs
 
 
 def cutoffs(histogram: list[tuple[str, int, int, int]], fdr: float) -> dict[tuple[str, int], int]:
-    """(encoding, band, bin, count) rows -> the lowest bin of each encoding and band that keeps the false share within fdr."""
-    counts: dict[tuple[str, int], list[int]] = {}
-    for kind, band, bin_, n in histogram:
-        counts.setdefault((kind, band), [0] * BINS)[bin_] += n
+    """(encoding, band, bits, count of distinct runs) rows -> the fewest bits of a random run of each encoding and band, by Benjamini and Hochberg."""
+    counts: dict[tuple[str, int], dict[int, int]] = {}
+    for kind, band, bits, n in histogram:
+        row = counts.setdefault((kind, band), {})
+        row[bits] = row.get(bits, 0) + n
     out = {}
     for key, row in counts.items():
-        per_bin = sum(row[BINS // 2 :]) / (BINS - BINS // 2)
-        above = 0
-        for bin_ in range(BINS - 1, 0, -1):
-            above += row[bin_]
-            random = per_bin * (BINS - bin_)
-            # One more false run than estimated, so that a handful of runs proves nothing.
-            if above and (max(0.0, above - random) + 1) / above <= fdr:
-                out[key] = bin_
+        total, above = sum(row.values()), 0
+        for bits in sorted(row, reverse=True):
+            above += row[bits]
+            if bits and 0.5**bits * total <= fdr * above:
+                out[key] = bits
     return out
 
 
@@ -149,7 +216,7 @@ def scan(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", text_col: s
     named = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text"))
     kind = named.schema["row"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("encoding", pa.string()), ("band", pa.int32()), ("bin", pa.int32())]))
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("encoding", pa.string()), ("band", pa.int32()), ("bits", pa.int32()), ("mark", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +224,10 @@ def scan(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], span_type), pa.array([f[1] for f in found], run_type)], ["row", "base", "runs"])
 
     scanned = materialize(named.mapInArrow(run, f"row {kind}, base {SPAN}, runs {RUNS}"), "secrets")
-    bins = scanned.select(F.explode("runs").alias("r")).groupBy("r.encoding", "r.band", "r.bin").count()
+    bins = scanned.select(F.explode("runs").alias("r")).select("r.encoding", "r.band", "r.bits", "r.mark").distinct().groupBy("encoding", "band", "bits").count()
     cuts = cutoffs([tuple(x) for x in bins.collect()], fdr)
-    least = F.create_map(*[F.lit(x) for (k, b), c in sorted(cuts.items()) for x in (f"{k}:{b}", c)]) if cuts else F.create_map(F.lit(""), F.lit(BINS))
-    random = F.filter("runs", lambda r: F.coalesce(r["bin"] >= F.try_element_at(least, F.concat_ws(":", r["encoding"], r["band"].cast("string"))), F.lit(False)))
+    least = F.create_map(*[F.lit(x) for (k, b), c in sorted(cuts.items()) for x in (f"{k}:{b}", c)]) if cuts else F.create_map(F.lit(""), F.lit(TOP_BITS))
+    random = F.filter("runs", lambda r: F.coalesce(r["bits"] >= F.try_element_at(least, F.concat_ws(":", r["encoding"], r["band"].cast("string"))), F.lit(False)))
     added = F.transform(random, lambda r: F.struct(F.lit("random").alias("kind"), r["start"].alias("start"), r["stop"].alias("stop")))
     by_start = F.transform(F.array_sort(F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("place"), s["kind"].alias("kind"), s["stop"].alias("stop")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return scanned.select(F.col("row").alias("doc" if whole_rows else id_col), by_start.alias("spans"))

@@ -119,3 +119,26 @@ def test_redaction(spark):
     assert out[0]["text"] is None and out[1]["text"] == "" and out[2]["text"] == "[secret]" and out[2]["n_chars"] == 8
     assert all(not brute_spans(out[i]["text"] or "") for i in range(len(SECRETS)))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def random_hits(spark, texts):
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(spark, list(enumerate(texts)))).collect()}
+    return {i for i, spans in found.items() if any(s["kind"] == "random" for s in spans)}
+
+
+def test_a_lone_secret_is_found(spark):
+    rng = random.Random(11)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    seed, key = draw(letters + "234567", 32), draw(letters + letters.lower() + "0123456789+/", 300)
+    assert random_hits(spark, [f"seed {seed} end", "no secrets here", f"the key {key} of the account"]) == {0, 2}
+    alone = [secret_scan.evidence(draw(letters + letters.lower() + "0123456789+/", 40)) for _ in range(300)]
+    assert sum(bool(secret_scan.cutoffs([(kind, 3, bits, 1)], 0.05)) for kind, bits in alone) >= 270
+
+
+def test_copies_of_an_ordinary_run_prove_nothing(spark):
+    name = "MapUserFiHttp2024XmlX9"
+    assert secret_scan.randomness(name)[1] >= 0.5
+    assert random_hits(spark, [f"see {name} for more"] * 20) == set()
+    bits = secret_scan.cutoffs([("base64", 3, 0, 50), ("base64", 3, 6, 1), ("base64", 3, 20, 1)], 0.05)
+    assert bits == {("base64", 3): 20}
