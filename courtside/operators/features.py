@@ -59,11 +59,18 @@ def momentum(rows: DataFrame) -> DataFrame:
     return weighted.groupBy("team_id").agg((F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["part"]) / F.count(F.lit(1))).alias("momentum"))
 
 
+#: The features of each step of a sequence, in order.
+STEP = ("points", "opponent_points", "is_home", "points_10", "opponent_points_10", "win_rate_20", "days_rest", "back_to_back")
+
+
 def sequences(rows: DataFrame, length: int = 10) -> DataFrame:
-    """Per team and game, the last ``length`` games as a flat array, oldest first; shorter histories are left out."""
+    """Per team and game, the STEP features of the last ``length`` games as a flat array, oldest first; shorter histories are left out.
+
+    A first game has no days of rest and counts as 0.
+    """
     frame = _team_window().rowsBetween(1 - length, 0)
-    last = F.collect_list(F.array(F.col("points").cast("double"), F.col("opponent_points").cast("double"), F.col("is_home").cast("double"))).over(frame)
-    return rows.withColumn("steps", last).filter(F.size("steps") == length).select("team_id", "game_id", F.flatten("steps").alias("sequence"))
+    last = F.collect_list(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STEP])).over(frame)
+    return rolling_form(rows).withColumn("steps", last).filter(F.size("steps") == length).select("team_id", "game_id", F.flatten("steps").alias("sequence"))
 
 
 def pair_key(home: str = "home_id", away: str = "away_id") -> list:

@@ -357,7 +357,7 @@ def jon06_team_in_game(view):
 @query(" SELECT team_id, game_id, s AS points_sum, f AS first_points FROM (SELECT team_id, game_id, CAST(sum(points) OVER w AS DOUBLE) AS s, CAST(first(points) OVER w AS DOUBLE) AS f, count(*) OVER w AS n FROM team_games WINDOW w AS (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10")
 def win09_sequences(view):
     s = features.sequences(features.team_games(view("games")))
-    points = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get(F.col("sequence"), i * 3))
+    points = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get(F.col("sequence"), i * len(features.STEP)))
     return s.select("team_id", "game_id", F.aggregate(points, F.lit(0.0), lambda a, x: a + x).alias("points_sum"), F.get(F.col("sequence"), F.lit(0)).alias("first_points"))
 
 
@@ -930,7 +930,7 @@ def ml03_forest_by_sport(view):
     rows, columns = _training(view)
     out = None
     for sport in ml.Registry.supported():
-        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=10, maxDepth=5, seed=42))
+        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=100, maxDepth=10, seed=42))
         mine = spec.prepared(rows.filter(F.col("sport") == sport))
         model = spec.pipeline().fit(ml.split(mine)[0])
         part = ml.probability(model.transform(mine)).select("game_id", "sport", rounded("p").alias("p"))
@@ -942,13 +942,13 @@ def ml03_forest_by_sport(view):
 def ml06_train_all_models(view):
     """AGG-10, ML-04, ML-05, ML-06, ML-12: three models on point-in-time features, their accuracy and sample sizes."""
     rows, columns = _training(view)
-    return ml.train_models(rows, columns, trees=10, depth=5, iterations=10)[1]
+    return ml.train_models(rows, columns)[1]
 
 
 @query()
 def ml10_spread_regression(view):
     rows, columns = _training(view)
-    model, _ = ml.spread_regression(rows, columns, iterations=5)
+    model, _ = ml.spread_regression(rows, columns, iterations=100)
     return model.transform(rows).select("game_id", "margin", rounded("prediction", 4).alias("predicted_margin"))
 
 
@@ -963,7 +963,7 @@ def ml11_sequence_model(view):
     labels = games.withColumn("label", following).select("team_id", "game_id", "label")
     rows = features.sequences(games).join(labels, ["team_id", "game_id"]).filter("label is not null")
     rows = rows.select("team_id", "game_id", "label", array_to_vector(F.transform("sequence", lambda x: x / 100.0)).alias("features"))
-    net = ml.MultilayerPerceptronClassifier(layers=[30, 8, 2], maxIter=5, seed=42).fit(ml.split(rows)[0])
+    net = ml.MultilayerPerceptronClassifier(layers=[10 * len(features.STEP), 8, 2], maxIter=100, seed=42).fit(ml.split(rows)[0])
     return ml.probability(net.transform(rows)).select("team_id", "game_id", rounded("p", 4).alias("p"))
 
 
@@ -1049,14 +1049,14 @@ def fn13_pretty_json(view):
 @query()
 def ml04_boosting(view):
     rows, columns = _training(view)
-    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.GBTClassifier(maxIter=10, maxDepth=5, seed=42)]).fit(ml.split(rows)[0])
+    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.GBTClassifier(maxIter=100, maxDepth=10, seed=42)]).fit(ml.split(rows)[0])
     return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
 
 
 @query()
 def ml05_feed_forward(view):
     rows, columns = _training(view)
-    stages = [ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ml.MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=20, seed=42)]
+    stages = [ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ml.MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=100, seed=42)]
     model = ml.Pipeline(stages=stages).fit(ml.split(rows)[0])
     return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
 
@@ -1069,7 +1069,7 @@ def ml09_batch_scoring(view):
     registry = ml.Registry(f"{_scratch(m.sparkSession)}/models")
     out = None
     for sport in ml.Registry.supported():
-        spec = ml.SportSpec(sport, ml.sport_columns(sport), forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=10, maxDepth=5, seed=42))
+        spec = ml.SportSpec(sport, ml.sport_columns(sport), forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=100, maxDepth=10, seed=42))
         mine = spec.prepared(forecast.supported(labelled, sport))
         registry.save(sport, spec.pipeline().fit(ml.split(mine)[0]))
         scored = forecast.clamped(ml.probability(ml.Registry(registry.path).get(sport).transform(mine)), F.col("p"))

@@ -1,5 +1,8 @@
 """Values computed by hand from the rules."""
 
+import datetime as dt
+from unittest.mock import MagicMock
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,35 @@ def test_upsert_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(twice.collect())
     row = {r["game_id"]: r for r in once.collect()}[2]
     assert (row["home_id"], row["away_id"], row["predicted_winner"], row["predicted_spread"]) == (3, 4, 3, 5.0)
+
+
+def test_sequences_have_eight_features(spark):
+    rows = [(g, "NBA", dt.datetime(2024, 1, 1) + dt.timedelta(days=2 * g), 1, 2, 100 + g, 90) for g in range(12)]
+    games = spark.createDataFrame(rows, "game_id long, sport string, game_ts timestamp, home_id long, away_id long, home_score int, away_score int")
+    found = {(r["team_id"], r["game_id"]): r["sequence"] for r in features.sequences(features.team_games(games)).collect()}
+    assert sorted(found) == [(t, g) for t in (1, 2) for g in (9, 10, 11)] and all(len(s) == 80 for s in found.values())
+    assert found[1, 9][:8] == [100, 90, 1, 100, 90, 1, 0, 0] and found[2, 11][-8:] == [90, 111, 0, 90, 106.5, 0, 2, 0]
+
+
+class Made(Exception):
+    pass
+
+
+@pytest.mark.parametrize("query, model, sizes", [
+    ("ml03_forest_by_sport", "RandomForestClassifier", {"numTrees": 100, "maxDepth": 10}),
+    ("ml04_boosting", "GBTClassifier", {"maxIter": 100, "maxDepth": 10}),
+    ("ml05_feed_forward", "MultilayerPerceptronClassifier", {"maxIter": 100}),
+    ("ml06_train_all_models", "RandomForestClassifier", {"numTrees": 100, "maxDepth": 10}),
+    ("ml10_spread_regression", "GBTRegressor", {"maxIter": 100}),
+])
+def test_registered_models_have_the_surveyed_sizes(spark, monkeypatch, query, model, sizes):
+    from courtside.plans import queries
+
+    def made(**given):
+        raise Made(given)
+
+    monkeypatch.setattr(queries, "_training", lambda view: (MagicMock(), ["a"]))
+    monkeypatch.setattr(ml, model, made)
+    with pytest.raises(Made) as e:
+        getattr(queries, query)(None)
+    assert e.value.args[0].items() >= sizes.items()
