@@ -4,7 +4,9 @@ Tier one is a minimal perfect hash over the vocabulary: a pre-token that is itse
 rank from one probe and one comparison. Tier two encodes every other pre-token with a heap of candidate
 merges over a linked list of its bytes, so a pre-token of n bytes costs O(n log n) however long it is.
 
-Null texts are empty texts: no ids. Texts of any length are encoded whole; no special tokens exist.
+Null texts are empty texts: no ids. Texts of any length are encoded whole; no special tokens exist. Repeated rows are
+encoded one by one; columns besides id and text are left out, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,7 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 300_000
+#: Texts that one generation of a memo holds.
+MEMO = 150_000
+#: Fixed value: the pattern under which texts part at single spaces.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -72,90 +77,117 @@ class PerfectHash:
         return self.slots[-seed - 1 if seed < 0 else xxhash.xxh3_64_intdigest(key, seed) % self.n]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Repeatedly join the adjacent pair of lowest rank, leftmost first.
-
-    A heap entry is rank * n + start, so entries order by rank, then place; it is stale once the pair that
-    begins at its start has another rank.
+class Merges:
+    """Byte-pair merging with a heap of candidate merges over linked bytes."""
+
+    def __init__(self, vocabulary: list[bytes], ranks: dict[bytes, int]):
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        # The rank of every adjacent pair of entries that make an entry, by left id * width + right id.
+        self.width, find = len(vocabulary), ranks.get
+        halves = ((rank, find(token[:k]), find(token[k:])) for rank, token in enumerate(vocabulary) for k in range(1, len(token)))
+        self.pairs = {left * self.width + right: rank for rank, left, right in halves if left is not None and right is not None}
+
+    def ids(self, piece: bytes) -> list[int]:
+        """Repeatedly join the adjacent pair of lowest rank, leftmost first.
+
+        A heap entry is a rank and a start in one integer, so entries order by rank, then place; it is stale once
+        the pair that begins at its start has another rank.
+        """
+        get, width, n = self.pairs.get, self.width, len(piece)
+        shift = n.bit_length()
+        place = (1 << shift) - 1
+        ids = [self.bytes[b] for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pair = [get(left * width + right, -1) for left, right in zip(ids, ids[1:])]
+        heap = [rank << shift | i for i, rank in enumerate(pair) if rank >= 0]
+        pair.append(-1)
+        heapq.heapify(heap)
+        while heap:
+            entry = heapq.heappop(heap)
+            i, rank = entry & place, entry >> shift
+            if pair[i] != rank:
+                continue
+            ids[i] = rank
+            middle = after[i]
+            after[i] = end = after[middle]
+            pair[middle] = pair[i] = -1
+            if end < n:
+                before[end] = i
+                if (joined := get(rank * width + ids[end], -1)) >= 0:
+                    pair[i] = joined
+                    heapq.heappush(heap, joined << shift | i)
+            if i:
+                j = before[i]
+                pair[j] = joined = get(ids[j] * width + rank, -1)
+                if joined >= 0:
+                    heapq.heappush(heap, joined << shift | j)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
+
+class Memo(dict):
+    """Text -> its ids, made when first asked for.
+
+    Two generations of at most ``limit`` texts of at most ``longest`` characters: what is asked for again moves to
+    the new one, and once that is full the old one goes. So frequent texts stay, however many rare ones pass by.
     """
-    n, get = len(piece), ranks.get
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-    pair.append(-1)
-    heap = [rank * n + i for i, rank in enumerate(pair) if rank >= 0]
-    heapq.heapify(heap)
-    while heap:
-        rank, i = divmod(heapq.heappop(heap), n)
-        if pair[i] != rank:
-            continue
-        middle = after[i]
-        pair[middle] = pair[i] = -1
-        after[i] = end = after[middle]
-        if end < n:
-            before[end] = i
-            if (rank := get(piece[i : after[end]], -1)) >= 0:
-                pair[i] = rank
-                heapq.heappush(heap, rank * n + i)
-        if (j := before[i]) >= 0:
-            pair[j] = rank = get(piece[j:end], -1)
-            if rank >= 0:
-                heapq.heappush(heap, rank * n + j)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]], limit: int, longest: int):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.old.get(text) or self.make(text)
+        if len(text) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
 
 
 class Codec:
     """Encoder and decoder of one vocabulary.
 
-    Texts part at every space between two other non-space characters: a pre-token never crosses such a
-    space and always begins with it. So the parts, like the pre-tokens, come from memos once they have been
-    met; a memo that holds MEMO entries is emptied.
+    Under the pattern SPACED, texts part at every space between two other non-space characters: a pre-token never
+    crosses such a space and always begins with it. So the parts, like the pre-tokens, come from memos. Under any
+    other pattern only the pre-tokens do.
     """
 
-    def __init__(self, vocabulary: list[bytes], pattern: str):
+    def __init__(self, vocabulary: list[bytes], pattern: str, limit: int = MEMO):
         self.vocabulary = vocabulary
-        self.ranks = {token: rank for rank, token in enumerate(vocabulary)}
-        self.hash = PerfectHash(vocabulary)
-        self.cut = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        ranks = {token: rank for rank, token in enumerate(vocabulary)}
+        self.hash, self.merges = PerfectHash(vocabulary), Merges(vocabulary, ranks)
+        self.cut, self.spaced = regex.compile(pattern).findall, pattern == SPACED
+        self.pieces, self.parts = Memo(self.piece, limit, 64), Memo(self.part, limit, 32)
 
     def piece(self, text: str) -> tuple[int, ...]:
         """The ids of a pre-token."""
         data = text.encode()
         rank = self.hash.rank(data)
-        ids = (rank,) if self.vocabulary[rank] == data else tuple(merge(data, self.ranks))
-        if len(data) <= 64:
-            if len(self.pieces) >= MEMO:
-                self.pieces.clear()
-            self.pieces[text] = ids
-        return ids
+        return (rank,) if self.vocabulary[rank] == data else tuple(self.merges.ids(data))
 
     def plain(self, text: str) -> list[int]:
-        found, piece = self.pieces.get, self.piece
-        return list(chain.from_iterable([found(x) or piece(x) for x in self.cut(text)]))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.cut(text))))
 
     def part(self, text: str) -> tuple[int, ...]:
         """The ids of a space and the part after it; a part with white space at an end raises."""
         if not text or text[0].isspace() or text[-1].isspace():
             raise ValueError(text)
-        ids = tuple(self.plain(" " + text))
-        if len(text) <= 32:
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            self.parts[text] = ids
-        return ids
+        return tuple(self.plain(" " + text))
 
     def encode(self, text: str) -> list[int]:
+        if not self.spaced:
+            return self.plain(text)
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             return self.plain(text)
-        found, part = self.parts.get, self.part
         try:
-            return self.plain(first) + list(chain.from_iterable([found(x) or part(x) for x in rest]))
+            return [*self.plain(first), *chain.from_iterable(map(self.parts.__getitem__, rest))]
         except ValueError:
             return self.plain(text)
 
