@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -59,26 +60,39 @@ def test_url_rules_and_model(spark, url_model):
 
 
 def brute_top(rows, k):
-    usable = sorted({(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)})
+    """Repeated rows are rows of their own, as candidates and as queries."""
+    usable = [(i, tuple(math.floor(1024 * Fraction(x)) for x in v)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
     for i, v in usable:
         if i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i and len(w) == len(v))
-            out[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
-    return {i: x for i, x in out.items() if x}
+            out.setdefault(i, []).extend((-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i and len(w) == len(v))
+    return {i: [(r + 1, j, -s) for r, (s, j) in enumerate(sorted(x)[:k])] for i, x in out.items() if x}
 
 
-@pytest.mark.parametrize("block", [40, 16_384])
+def found_top(d, **options):
+    found = {}
+    for r in topk_search.top_k(d, d.filter("vec_id % 100 = 0"), **options).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: sorted(x) for q, x in found.items()}
+
+
+@pytest.mark.parametrize("block", [400, 1 << 20])
 def test_top_k_is_exact(spark, block):
     rng = random.Random(6)
-    rows = [(i, [rng.choice([-1.0, 0.5, 1.0, rng.gauss(0, 1)]) for _ in range(8)]) for i in range(400)]
-    rows += [(i, list(rows[7][1])) for i in range(400, 420)] + [(rows[0][0], list(rows[0][1]))]
+    rows = [(i, [rng.choice([-1.0, 0.5, 1.0, float(np.float32(rng.gauss(0, 1)))]) for _ in range(8)]) for i in range(400)]
+    rows += [(i, list(rows[7][1])) for i in range(400, 420)] + [(rows[i][0], list(rows[i][1])) for i in (0, 7, 7)]
     rows += [(500, None), (501, [1.0, None] * 4), (600, [float("nan")] + [0.0] * 7), (601, [float("inf")] * 8), (700, []), (800, [1.0, 2.0]), (801, [1.0, 2.0]), (None, [0.0] * 8)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "score": F.lit("x"), "v": F.lit("y")})
-    found = {}
-    for r in topk_search.top_k(d, d.filter("vec_id % 100 = 0"), block=block, query_block=2).collect():
-        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert {q: sorted(x) for q, x in found.items()} == brute_top(rows, 10)
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "score": F.lit("x"), "v": F.lit("y"), "vb": F.lit(3)})
+    assert found_top(d, block=block) == brute_top(rows, 10)
+
+
+@pytest.mark.parametrize("block", [6, 1 << 20])
+def test_top_k_of_large_components(spark, block):
+    rows = [(0, [8.0, 1.0]), (1, [1e11, 1.0]), (2, [-1e14, 0.3]), (100, [2.5, -7.0]), (3, [2.0, 5.0]), (4, [1e9, 2.0**39]), (6, [3.0, 2.0]), (7, [1e12, -1.0]), (200, [2.0**-60, 1e-300]), (5, [1e300, 0.0]), (200, [0.0, 0.25])]
+    d = spark.createDataFrame([r for r in rows if r[0] != 5], "vec_id long, embedding array<double>")
+    assert found_top(d, k=3, block=block) == brute_top([r for r in rows if r[0] != 5], 3)
+    with pytest.raises(Exception, match="does not fit a long"):
+        found_top(spark.createDataFrame(rows, d.schema), k=3, block=block)
 
 
 def test_top_k_of_nothing(spark):
