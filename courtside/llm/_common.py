@@ -8,17 +8,21 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -31,6 +35,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again; stores that pyarrow can't reach keep theirs."""
+    for path in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
+        try:
+            store, place = FileSystem.from_uri(path)
+            store.delete_dir(place)
+        except (OSError, ValueError):
+            continue
+
+
+def fresh(df: DataFrame, tag: str) -> str:
+    """A column name that df does not have."""
+    return tag if tag not in {c.lower() for c in df.columns} else fresh(df, tag + "_")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """The column of that very name, whatever characters it holds."""
+    return df[quoted(name)]
+
+
+def with_id(named: DataFrame, fields: str) -> StructType:
+    """The schema of the column id of named, then ``fields``."""
+    return StructType([StructField("id", named.schema["id"].dataType), *StructType.fromDDL(fields).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

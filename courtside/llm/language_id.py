@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm._common import mix64, utf8
+from courtside.llm._common import mix64, utf8, with_id
 from courtside.llm._words import WordTable, joined, words_of
 
 SLOTS = 1 << 17
@@ -222,4 +222,4 @@ def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
 
     named = docs.select(docs[id_col].alias("id"), F.lower(docs[text_col].cast("string")).alias("text"))
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return named.mapInArrow(run, with_id(named, "lang_pred string, score double")).withColumnRenamed("id", id_col)

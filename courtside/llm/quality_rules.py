@@ -5,7 +5,7 @@ bit per failed rule. A policy is a versioned mask of bits that reject, so a new
 or an ablation reads the ledger only, never the texts.
 
 Null and empty texts count as texts without words: all measurements are 0 and the length rule fails.
-Texts of any length are measured whole. Repeated rows are measured one by one.
+Texts of any length are measured whole. Repeated rows are measured one by one; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm._common import WordHashes, utf8, window_hashes
+from courtside.llm._common import WordHashes, column, fresh, utf8, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -97,11 +97,11 @@ def measure(data: bytes | None, memo: WordHashes) -> tuple[int, ...]:
     )
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     memo = WordHashes()
-    for batch in batches:
-        columns = zip(*[measure(x, memo) for x in utf8(batch.column(1))]) if batch.num_rows else [[]] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], ["row", *MEASURES])
+    for batch in texts:
+        rows = np.array([measure(x, memo) for x in utf8(batch)], np.int64).reshape(-1, len(MEASURES))
+        yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], list(MEASURES))
 
 
 def fail_bits() -> Column:
@@ -111,11 +111,11 @@ def fail_bits() -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """docs -> id, the MEASURES (long), fail_bits (long). ``whole_rows``: every column of docs as struct ``doc`` instead of the id."""
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]) if whole_rows else docs[id_col]
-    named = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text"))
-    kind = named.schema["row"].dataType.simpleString()
-    measured = named.mapInArrow(_measured, "row " + kind + ", " + ", ".join(f"{m} long" for m in MEASURES))
-    return measured.select(F.col("row").alias("doc" if whole_rows else id_col), *MEASURES, fail_bits().alias("fail_bits"))
+    kept = F.struct(*[column(docs, c) for c in docs.columns]).alias("doc") if whole_rows else column(docs, id_col)
+    found = fresh(docs, "found")
+    # Only the text goes to Python; a function marked as not deterministic is run once, whatever reads its result.
+    measured = docs.withColumn(found, F.arrow_udf(_measured, ", ".join(f"{m} long" for m in MEASURES)).asNondeterministic()(column(docs, text_col).cast("string")))
+    return measured.select(kept, *[F.col(found)[m].alias(m) for m in MEASURES]).select("*", fail_bits().alias("fail_bits"))
 
 
 def apply_policy(entries: DataFrame, policy: str = "v1") -> DataFrame:

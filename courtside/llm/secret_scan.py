@@ -26,10 +26,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm._common import materialize
+from courtside.llm._common import column, fresh, materialize, quoted
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -47,6 +47,8 @@ BANDS = (20, 24, 32, 40, 64, 128, 256)
 
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
 RUNS = "array<struct<start:int,stop:int,encoding:string,band:int,bits:int,mark:bigint>>"
+SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+RUN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("encoding", pa.string()), ("band", pa.int32()), ("bits", pa.int32()), ("mark", pa.int64())]))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -210,27 +212,33 @@ def cutoffs(histogram: list[tuple[str, int, int, int]], fdr: float) -> dict[tupl
     return out
 
 
-def scan(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+def _found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        found = [_scan(x.as_py() or "") for x in batch]
+        yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], SPAN_TYPE), pa.array([f[1] for f in found], RUN_TYPE)], ["base", "runs"])
+
+
+def found(text: Column) -> Column:
+    """struct<base, runs>: a text's base spans, and its other runs with what speaks for them."""
+    return F.arrow_udf(_found, f"struct<base:{SPAN},runs:{RUNS}>").asNondeterministic()(text.cast("string"))
+
+
+def learned(runs: DataFrame, fdr: float) -> dict[tuple[str, int], int]:
+    """The cut-offs from a column ``runs``, over all rows."""
+    bins = runs.select(F.explode("runs").alias("r")).select("r.encoding", "r.band", "r.bits", "r.mark").distinct().groupBy("encoding", "band", "bits").count()
+    return cutoffs([tuple(x) for x in bins.collect()], fdr)
+
+
+def scan(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, spans array<struct<kind, start, stop>> in code points, by start, then kind; base spans and random runs."""
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]) if whole_rows else docs[id_col]
-    named = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text"))
-    kind = named.schema["row"].dataType.simpleString()
-    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("encoding", pa.string()), ("band", pa.int32()), ("bits", pa.int32()), ("mark", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_scan(x.as_py() or "") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], span_type), pa.array([f[1] for f in found], run_type)], ["row", "base", "runs"])
-
-    scanned = materialize(named.mapInArrow(run, f"row {kind}, base {SPAN}, runs {RUNS}"), "secrets")
-    bins = scanned.select(F.explode("runs").alias("r")).select("r.encoding", "r.band", "r.bits", "r.mark").distinct().groupBy("encoding", "band", "bits").count()
-    cuts = cutoffs([tuple(x) for x in bins.collect()], fdr)
+    each = docs.select(column(docs, id_col).alias("id"), found(column(docs, text_col)).alias("f"))
+    scanned = materialize(each.select("id", "f.base", "f.runs"), "secrets")
+    cuts = learned(scanned, fdr)
     least = F.create_map(*[F.lit(x) for (k, b), c in sorted(cuts.items()) for x in (f"{k}:{b}", c)]) if cuts else F.create_map(F.lit(""), F.lit(TOP_BITS))
     random = F.filter("runs", lambda r: F.coalesce(r["bits"] >= F.try_element_at(least, F.concat_ws(":", r["encoding"], r["band"].cast("string"))), F.lit(False)))
     added = F.transform(random, lambda r: F.struct(F.lit("random").alias("kind"), r["start"].alias("start"), r["stop"].alias("stop")))
     by_start = F.transform(F.array_sort(F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("place"), s["kind"].alias("kind"), s["stop"].alias("stop")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return scanned.select(F.col("row").alias("doc" if whole_rows else id_col), by_start.alias("spans"))
+    return scanned.select(F.col("id").alias(id_col), by_start.alias("spans"))
 
 
 def listed(spans) -> "F.Column":
@@ -238,25 +246,30 @@ def listed(spans) -> "F.Column":
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", fdr: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", fdr: float = 0.05, text_col: str = "text") -> DataFrame:
     """docs with every found span of the text replaced by ``mark``; n_chars, where there is one, follows the new text."""
-    found = scan(docs, fdr, id_col, text_col, whole_rows=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts, at = [], 0
-                for span in sorted(spans or [], key=lambda s: s["start"]):
-                    if span["stop"] <= at:
-                        continue
-                    if span["start"] >= at:
-                        parts += [text[at : span["start"]], mark]
-                    at = span["stop"]
-                texts.append(None if text is None else "".join(parts) + text[at:])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "doc"])
-
-    kind = found.schema["doc"].dataType.simpleString()
-    done = found.select(F.col(f"doc.`{text_col}`").cast("string").alias("text"), "spans", "doc").mapInArrow(run, f"text string, doc {kind}")
-    columns = [F.col("text").alias(c) if c == text_col else F.length("text").cast(t).alias(c) if c == "n_chars" and t in ("int", "bigint") else F.col(f"doc.`{c}`") for c, t in docs.dtypes]
-    return done.select(*columns)
+    source = column(docs, text_col)
+    # The texts are scanned once for the cut-offs and once to be masked, which costs less than to keep them in between.
+    cuts = learned(docs.select(found(source).alias("f")).select("f.runs"), fdr)
+
+    def masked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([None if text is None else mask(text, cuts, mark) for text in batch.to_pylist()], pa.string())
+
+    new = fresh(docs, "masked")
+    done = docs.withColumn(new, F.arrow_udf(masked, "string").asNondeterministic()(source.cast("string")))
+    return done.select(*[F.col(new).alias(c) if c == text_col else F.length(new).cast(t).alias(c) if c == "n_chars" and t in ("int", "bigint") else F.col(quoted(c)) for c, t in docs.dtypes])
+
+
+def mask(text: str, cuts: dict[tuple[str, int], int], mark: str) -> str:
+    """The text with ``mark`` in place of every base span and random run; what overlaps is masked once."""
+    spans, runs = _scan(text)
+    places = [(s["start"], s["stop"]) for s in spans] + [(r["start"], r["stop"]) for r in runs if r["bits"] >= cuts.get((r["encoding"], r["band"]), TOP_BITS + 1)]
+    parts, at = [], 0
+    for start, stop in sorted(places):
+        if stop <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = stop
+    return "".join(parts) + text[at:]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm._common import utf8
+from courtside.llm._common import utf8, with_id
 from courtside.llm._words import WordTable, joined, words_of
 
 ORDER = 7
@@ -184,4 +184,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
     named = docs.select(docs[id_col].alias("id"), F.lower(docs[text_col].cast("string")).alias("text"))
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return named.mapInArrow(run, with_id(named, "score double")).withColumnRenamed("id", id_col)

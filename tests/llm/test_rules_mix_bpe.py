@@ -173,6 +173,30 @@ def test_perfect_hash_is_minimal():
 
 
 def test_clashing_columns(spark):
-    d = docs(spark, ["a b c"]).withColumn("repeats", F.lit("z")).withColumn("row", F.lit("z"))
+    d = docs(spark, ["a b c"]).withColumn("repeats", F.lit("z")).withColumn("row", F.lit("z")).withColumn("a.b", F.lit(1)).withColumn("found", F.lit(2))
     assert source_mix.mix_sources(d, whole_rows=True).select("doc.*").columns == d.columns
     assert quality_rules.ledger(d, whole_rows=True).select("doc.*").columns == d.columns
+    assert byte_bpe.round_trip(d, PATH, public_tokenizers.PATTERN).count() == 1
+
+
+def test_bpe_of_nothing_and_repeated_rows(spark):
+    assert byte_bpe.round_trip(docs(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+    d = docs(spark, ["one two", None])
+    assert byte_bpe.round_trip(d.union(d), PATH, public_tokenizers.PATTERN).distinct().count() == 2
+
+
+def test_memos_of_any_size_give_the_same_ids():
+    """With memos that turn over all the time, and under a pattern that lets pre-tokens cross spaces."""
+    rng, enc = random.Random(7), reference_encoding()
+    vocabulary = byte_bpe.load_ranks(PATH)
+    small = byte_bpe.Codec(vocabulary, public_tokenizers.PATTERN, limit=2)
+    texts = [" ".join(rng.choice(["the", "ofthing", "x" * 70, "eau.", "\n"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    for text in texts:
+        assert small.encode(text) == enc.encode_ordinary(text)
+        assert len(small.parts) <= 2 and len(small.parts.old) <= 2
+    other = r"[^\n]+|\n+"
+    wide = byte_bpe.Codec(vocabulary, other)
+    library = tiktoken.Encoding("other", pat_str=other, mergeable_ranks={t: i for i, t in enumerate(vocabulary)}, special_tokens={})
+    assert all(wide.encode(t) == library.encode_ordinary(t) for t in texts)
+    small.forget()
+    assert not small.parts and not small.pieces.old
