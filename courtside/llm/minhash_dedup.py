@@ -11,28 +11,30 @@ there are. Pairs above the match threshold are confirmed on the full sets.
 A posting list of n classes never yields n * n pairs: classes first meet leaders of their lists, for a few
 rounds, confirmed links merge into components, and only across components do classes of a list pair up, where
 their sizes without the shingles that one candidate has alone still allow a link.
-With similarity 0.8 the chance that two signatures of 64 agree on fewer than 38 coordinates is about 5e-5, and
-falls fast above; nothing else loses a link.
+A pair is retained when its signatures agree on ``matches`` coordinates, counted one by one, and linked when its full
+sets are similar enough. With similarity 0.8 the chance that two signatures of 64 agree on fewer than 38 coordinates is
+about 5e-5, and falls fast above; nothing else loses a link.
 
-Results: documents without words, and rows without an id, link with nothing (n_shingles 0 for the former);
-repeated rows of an id share its component; texts are shingled whole, whatever their length; an empty table
-gives an empty result.
+Results: documents without words, and rows without an id, link with nothing (n_shingles 0 for the former); repeated
+rows of an id share its component, so that an id with different texts links what each of them is like; texts are
+shingled whole, whatever their length; columns besides id and text are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm._common import WordHashes, materialize, mix64, utf8, window_hashes
+from courtside.llm._common import WordHashes, column, discard, fresh, materialize, mix64, utf8, window_hashes, with_id
 
 ONE = np.uint64(0x9E3779B97F4A7C15)
-#: Ids are broadcast up to this many (16 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Tables are broadcast up to this many bytes, by their rows and columns; beyond it Spark shuffles the join.
+BROADCAST_BYTES = 32 << 20
 #: Shingles that one numpy pass holds at a time.
 CHUNK = 1 << 19
 SKETCH = 1 << 18
@@ -52,6 +54,12 @@ def shingle_set(data: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
     return np.unique(window_hashes(hashes, width))
 
 
+def set_hash(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set of shingles, whatever its order; zeros for the empty set."""
+    with np.errstate(over="ignore"):
+        return int(np.sum(mix64(found)).view(np.int64)), int(np.sum(mix64(found ^ ONE)).view(np.int64))
+
+
 def _minima(sets: list[np.ndarray], salts: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """The top 32 bits of each non-empty set's minimum under each permutation: one row a set."""
     flat = np.concatenate(sets)
@@ -83,9 +91,9 @@ def signatures(docs: DataFrame, width: int = 5, coordinates: int = 64, seed: int
             for data in utf8(batch.column(1)):
                 found = shingle_set(data, width, memo)
                 counts.append(len(found))
-                with np.errstate(over="ignore"):
-                    a.append(np.sum(mix64(found)).view(np.int64) if len(found) else 0)
-                    b.append(np.sum(mix64(found ^ ONE)).view(np.int64) if len(found) else 0)
+                first, second = set_hash(found) if len(found) else (0, 0)
+                a.append(first)
+                b.append(second)
                 filled.append(len(found) > 0)
                 if len(found):
                     held.append(found)
@@ -98,22 +106,32 @@ def signatures(docs: DataFrame, width: int = 5, coordinates: int = 64, seed: int
             lists = [next(each) if f else None for f in filled]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["id", "n_shingles", "set_a", "set_b", "signature"])
 
-    named = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, n_shingles long, set_a long, set_b long, signature array<int>")
+    named = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
+    return named.mapInArrow(run, with_id(named, "n_shingles long, set_a long, set_b long, signature array<int>"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The full sets, as array<long>, of the documents whose id is in ids."""
-    named = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    named = named.join(_small(ids), "id", "left_semi")
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """node, signature, shingles array<long>: the full sets of the classes in nodes, each from a row of its smallest id.
+
+    Rows of that id with another text have another set, by which they are told apart.
+    """
+    wanted = classes.join(_small(nodes, 8), "node", "left_semi").select("id", "node", "set_a", "set_b", "signature")
+    named = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
+    named = named.join(_small(wanted, 320), "id").select("node", "text", "set_a", "set_b", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            lists = [shingle_set(data, width, memo).view(np.int64) for data in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["id", "shingles"])
+            same, lists = [], []
+            for data, *key in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = shingle_set(data, width, memo)
+                same.append(set_hash(found) == tuple(key))
+                if same[-1]:
+                    lists.append(found.view(np.int64))
+            kept = batch.filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(4), pa.array(lists, pa.list_(pa.int64()))], ["node", "signature", "shingles"])
 
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, shingles array<long>").dropDuplicates(["id"])
+    return named.mapInArrow(run, "node long, signature array<int>, shingles array<long>").dropDuplicates(["node"])
 
 
 def _frequencies(classes: DataFrame) -> np.ndarray:
@@ -141,15 +159,14 @@ def _prefixes(classes: DataFrame, length: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, order.shape[1]), pa.int32()), pa.array(np.take_along_axis(keys, order, 1).ravel()))
             weights = np.uint64(1) << np.arange(values.shape[1], dtype=np.uint64)
             planes = [pa.array(((values >> p & 1).astype(np.uint64) * weights).sum(1, dtype=np.uint64).view(np.int64)) for p in range(PLANES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, *planes], ["rep", "n", "keys", *[f"p{p}" for p in range(PLANES)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, *planes], ["node", "n", "keys", *[f"p{p}" for p in range(PLANES)]])
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    return classes.select("rep", "n", "signature", slots.alias("slots")).mapInArrow(run, f"rep {kind}, n long, keys array<long>, " + ", ".join(f"p{p} long" for p in range(PLANES)))
+    return classes.select("node", "n", "signature", slots.alias("slots")).mapInArrow(run, "node long, n long, keys array<long>, " + ", ".join(f"p{p} long" for p in range(PLANES)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df to broadcast where its count bounds its size, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def _small(df: DataFrame, width: int) -> DataFrame:
+    """df, whose rows take about ``width`` bytes, to broadcast where its size is small, else as it is."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,18 +178,20 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("to"))
         lower = materialize(lower.join(jump, "component").select("node", F.least("component", "to").alias("component"), "was"), "labels")
+        discard(labels)
         labels = lower.select("node", "component")
         if lower.filter("component <> was").isEmpty():
+            discard(both)
             return labels
 
 
 def _bounds(sets: DataFrame) -> DataFrame:
-    """rep, u, g: how many shingles of a candidate other candidates have too, in all and in each of GROUPS groups by hash.
+    """node, u, g: how many shingles of a candidate other candidates have too, in all and in each of GROUPS groups by hash.
 
     Two candidates have at most the smaller u in common, and at most the sum of the smaller counts of each group.
     Sets with more than 127 shingles in a group have no g, and are not held against it.
     """
-    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.collect_list("s").alias("own"))
+    single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.collect_list("s").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,10 +203,9 @@ def _bounds(sets: DataFrame) -> DataFrame:
                 u.append(len(shared))
                 counts = np.bincount(shared & (GROUPS - 1), minlength=GROUPS)
                 g.append(counts.astype(np.int8) if counts.max() < 128 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(u, pa.int64()), pa.array(g, pa.list_(pa.int8()))], ["rep", "u", "g"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(u, pa.int64()), pa.array(g, pa.list_(pa.int8()))], ["node", "u", "g"])
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return sets.join(single, "id", "left").select("id", "shingles", "own").mapInArrow(run, f"rep {kind}, u long, g array<tinyint>")
+    return sets.join(single, "node", "left").select("node", "shingles", "own").mapInArrow(run, "node long, u long, g array<tinyint>")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordinates: int = 64, matches: int = 38, rounds: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,8 +216,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     if not 0 < matches <= coordinates <= 64:
         raise ValueError("matches <= coordinates <= 64")
     signed = materialize(signatures(docs, width, coordinates, seed, id_col, text_col), "signatures")
-    classes = signed.filter("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    classes = materialize(classes, "classes")
+    classes = signed.filter("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    # The node of a class is a number of its own: an id with different texts is in several classes.
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     prefix = materialize(_prefixes(classes, coordinates - matches + 1), "prefix")
     planes = [f"p{p}" for p in range(PLANES)]
 
@@ -209,70 +228,101 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
         return F.expr(f"100 * least({left}.n, {right}.n) >= {threshold} * greatest({left}.n, {right}.n) and bit_count({differ}) <= {coordinates - matches}")
 
     # Posting lists of two classes or more, each with a leader picked by hash.
-    posted = prefix.select(F.explode("keys").alias("key"), "rep", "n", *planes).repartition("key")
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.max(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", *planes)).alias("l")).filter("df > 1").drop("df")
-    near = F.when(possible("p", "l") & (F.col("p.rep") != F.col("l.rep")), F.expr(f"{coordinates} - bit_count(" + "|".join(f"(p.{p} ^ l.{p})" for p in planes) + ")"))
-    listed = posted.alias("p").join(lists, "key").select("key", "p.rep", "p.n", *[f"p.{p}" for p in planes], F.col("l.rep").alias("b"), near.alias("agree"))
+    posted = prefix.select(F.explode("keys").alias("key"), "node", "n", *planes).repartition("key")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.max(F.struct(F.xxhash64("node").alias("h"), "node", "n", *planes)).alias("l")).filter("df > 1").drop("df")
+    near = F.when(possible("p", "l") & (F.col("p.node") != F.col("l.node")), F.expr(f"{coordinates} - bit_count(" + "|".join(f"(p.{p} ^ l.{p})" for p in planes) + ")"))
+    listed = posted.alias("p").join(lists, "key").select("key", "p.node", "p.n", *[f"p.{p}" for p in planes], F.col("l.node").alias("b"), near.alias("agree"))
     listed = materialize(listed, "listed")
+    discard(prefix)
 
     # First every class meets the leader with which it agrees most.
-    first = listed.filter("agree is not null").groupBy(F.col("rep").alias("a")).agg(F.max_by("b", F.struct("agree", F.col("b").alias("tie"))).alias("b"))
+    first = listed.filter("agree is not null").groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("agree", F.col("b").alias("tie"))).alias("b"))
     first = materialize(first, "pairs")
-    ids = materialize(first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), "ids")
-    sets = materialize(_sets(docs, ids, width, id_col, text_col), "sets")
+    nodes = materialize(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "nodes")
+    sets = materialize(_sets(docs, classes, nodes, width, id_col, text_col), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        left = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-        full = left.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
+        """The pairs (a, b) whose signatures collide on enough coordinates and whose full sets are similar enough."""
+        left = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x", "signature": "s"}), "a")
+        full = left.join(sets.withColumnsRenamed({"node": "b", "shingles": "y", "signature": "t"}), "b")
+        collisions = F.expr("aggregate(zip_with(s, t, (u, v) -> int(u = v)), 0, (n, e) -> n + e)")
+        full = full.filter(collisions >= matches)
         common = full.select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
         return common.filter(100 * F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b")
 
-    edges = materialize(confirmed(first, sets), "links")
-    labels = components(edges)
+    done = [materialize(confirmed(first, sets), "links")]
+    # Classes that an id shares are linked as well.
+    by_id = signed.filter("n_shingles > 0 and id is not null").join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"])
+    lowest = by_id.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("id", "a")
+    done.append(materialize(by_id.join(lowest, "id").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "links"))
+    every = lambda: reduce(DataFrame.unionByName, done)
+    labels = components(every())
 
     bounds = materialize(_bounds(sets), "bounds")
     bound = lambda left, right: F.expr(f"100 * least({left}.u, {right}.u) >= {threshold} * ({left}.n + {right}.n - least({left}.u, {right}.u))")
 
     # Then candidates still apart from a list's leading component meet other leaders, which have few shingles of their own.
-    hot = materialize(listed.select("key", "rep", "n", *planes, "b").join(_small(bounds.drop("g")), "rep"), "hot")
+    hot = materialize(listed.select("key", "node", "n", *planes, "b").join(_small(bounds.drop("g"), 16), "node"), "hot")
     for turn in range(1, rounds):
-        rows = hot.join(_small(labels.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        lead = F.max(F.struct(F.round(F.col("u") / F.col("n"), 2).alias("q"), F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "u", "component", *planes))
+        rows = hot.join(_small(labels, 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lead = F.max(F.struct(F.round(F.col("u") / F.col("n"), 2).alias("q"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "u", "component", *planes))
         leaders = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("l")).filter("low <> high").select("key", "l")
         apart = rows.alias("p").join(leaders, "key").filter((F.col("p.component") != F.col("l.component")) & possible("p", "l") & bound("p", "l"))
-        chosen = apart.groupBy(F.col("p.rep").alias("a")).agg(F.slice(F.collect_set("l.rep"), 1, 4).alias("best")).select("a", F.explode("best").alias("b"))
-        edges = edges.unionByName(materialize(confirmed(materialize(chosen, "pairs"), sets), "links"))
-        labels = components(edges)
+        chosen = apart.groupBy(F.col("p.node").alias("a")).agg(F.slice(F.collect_set("l.node"), 1, 4).alias("best")).select("a", F.explode("best").alias("b"))
+        chosen = materialize(chosen, "pairs")
+        done.append(materialize(confirmed(chosen, sets), "links"))
+        discard(chosen, labels)
+        labels = components(every())
 
     # What lists still mix. A class without a bound meets the classes of other components in its lists.
-    label = _small(labels)
-    rows = listed.drop("agree").join(label.withColumnsRenamed({"node": "rep", "component": "ca"}), "rep", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    rows = rows.join(_small(bounds.drop("g")), "rep", "left").select("key", "rep", "n", *planes, "u", F.coalesce("ca", "rep").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    label = _small(labels, 16)
+    rows = listed.drop("agree").join(label.withColumnsRenamed({"component": "ca"}), "node", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+    rows = rows.join(_small(bounds.drop("g"), 16), "node", "left").select("key", "node", "n", *planes, "u", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
     outer = rows.filter("component <> leading")
-    apart = (F.col("p.component") != F.col("l.component")) & ((F.col("l.component") == F.col("l.leading")) | (F.col("p.rep") < F.col("l.rep")))
+    apart = (F.col("p.component") != F.col("l.component")) & ((F.col("l.component") == F.col("l.leading")) | (F.col("p.node") < F.col("l.node")))
     across = outer.alias("p").join(rows.alias("l"), "key").filter(apart & (F.col("p.u").isNull() | F.col("l.u").isNull()) & possible("p", "l"))
     # Two candidates leave the join only if their shared shingles, group by group, may be enough.
-    full = hot.join(label.withColumnsRenamed({"node": "rep", "component": "ca"}), "rep", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    full = full.join(_small(bounds.select("rep", "g")), "rep").select("key", "rep", "n", *planes, "u", "g", F.coalesce("ca", "rep").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    full = hot.join(label.withColumnsRenamed({"component": "ca"}), "node", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+    full = full.join(_small(bounds.select("node", "g"), 16 + GROUPS), "node").select("key", "node", "n", *planes, "u", "g", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
     common = "aggregate(zip_with(p.g, l.g, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
     enough = F.expr(f"p.g is null or l.g is null or 100 * {common} >= {threshold} * (p.n + l.n - {common})")
     within = full.filter("component <> leading").alias("p").join(full.alias("l"), "key").filter(apart & possible("p", "l") & bound("p", "l") & enough)
-    last = across.select(F.col("p.rep").alias("a"), F.col("l.rep").alias("b")).unionByName(within.select(F.col("p.rep").alias("a"), F.col("l.rep").alias("b")))
+    last = across.select(F.col("p.node").alias("a"), F.col("l.node").alias("b")).unionByName(within.select(F.col("p.node").alias("a"), F.col("l.node").alias("b")))
     last = materialize(last.distinct(), "pairs")
-    ids = materialize(last.select(F.col("a").alias("id")).union(last.select("b")).distinct(), "ids")
-    fresh = ids.join(sets, "id", "left_anti")
-    sets = sets.join(_small(ids), "id", "left_semi").unionByName(materialize(_sets(docs, materialize(fresh, "ids"), width, id_col, text_col), "sets"))
-    labels = components(edges.unionByName(materialize(confirmed(last, sets), "links")))
-
-    reps = classes.select("set_a", "set_b", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    grouped = signed.select("id", "n_shingles", "set_a", "set_b").join(reps, ["set_a", "set_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    wanted = materialize(last.select(F.col("a").alias("node")).union(last.select("b")).distinct(), "nodes")
+    more = materialize(_sets(docs, classes, materialize(wanted.join(nodes, "node", "left_anti"), "nodes"), width, id_col, text_col), "sets")
+    done.append(materialize(confirmed(last, sets.join(_small(wanted, 8), "node", "left_semi").unionByName(more)), "links"))
+    discard(labels)
+    labels = components(every())
+    discard(first, nodes, sets, listed, hot, bounds, last, wanted, more, *done)
+
+    # A component is named after its smallest id.
+    known = classes.select("set_a", "set_b", "node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = known.groupBy("component").agg(F.min("id").alias("name"))
+    named = known.join(names, "component").select("set_a", "set_b", "name")
+    grouped = signed.select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("name")).otherwise(F.col("id"))
     return grouped.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with the smallest id of each group only; of repeated rows of an id one stays. Rows without an id all stay."""
-    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    joined = docs.join(_small(kept), docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return joined.unionByName(docs.filter(docs[id_col].isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the smallest id of each group only; rows without an id all stay.
+
+    Of repeated rows of an id one stays: that of the smallest text, then of the smallest hash of the whole row.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    found = materialize(found.filter("id is not null"), "kept")
+    key = column(docs, id_col)
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        mark = fresh(docs, "kept")
+        ids = _small(ids.select(F.col("id").alias(mark)), 8)
+        return docs.join(ids, key == F.col(mark), "left_semi")
+
+    kept = rows_of(found.filter("rows = 1")).unionByName(docs.filter(key.isNull()))
+    many = found.filter("rows > 1")
+    if many.isEmpty():
+        return kept
+    place = fresh(docs, "place")
+    order = Window.partitionBy(key).orderBy(column(docs, text_col), F.xxhash64(*[column(docs, c) for c in docs.columns]))
+    return kept.unionByName(rows_of(many).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place))

@@ -74,6 +74,29 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(((r["doc_id"] is None), r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (True, 0)]
 
 
+def test_an_id_with_different_texts_links_each(spark):
+    """Rows (id, text): each text of an id may be like another id's."""
+    rng = random.Random(3)
+    a, b = (" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(50)) for _ in range(60)) for _ in range(2))
+    for rows in ([(1, a), (5, a + " x"), (5, b + " y"), (7, b), (8, "alone " * 9)], [(5, b), (5, a), (6, a + " x"), (7, b + " y"), (8, None)]):
+        found = {(r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(docs(spark, rows)).collect()}
+        assert found == {(i, 8 if i == 8 else rows[0][0]) for i, _ in rows}
+        once, again = (sorted(tuple(r) for r in minhash_dedup.keep_one(docs(spark, x)).collect()) for x in (rows, rows[::-1]))
+        assert once == again and [r[0] for r in once] == [rows[0][0], 8]
+
+
+def test_clashing_columns_and_text_ids(spark):
+    d = spark.createDataFrame([("u", "a b c d e f", 1, 2, 3), ("v", "a b c d e f", 4, 5, 6), ("w", None, 7, 8, 9)], "doc_id string, text string, `a.b` int, __kept int, `kept` int")
+    assert sorted(tuple(r) for r in minhash_dedup.keep_one(d).collect()) == [("u", "a b c d e f", 1, 2, 3), ("w", None, 7, 8, 9)]
+    assert secret_scan.redact(d).columns == d.columns and secret_scan.scan(d).columns == ["doc_id", "spans"]
+
+
+def test_secrets_of_nothing_and_repeated_rows(spark):
+    assert secret_scan.scan(docs(spark, [])).count() == 0 and secret_scan.redact(docs(spark, [])).count() == 0
+    rows = secret_scan.scan(docs(spark, [(1, "token=abcdefgh1")] * 3)).collect()
+    assert len(rows) == 3 and len({str(r["spans"]) for r in rows}) == 1
+
+
 def test_nothing(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
     assert minhash_dedup.near_duplicates(docs(spark, [(1, None)])).first()["component_id"] == 1

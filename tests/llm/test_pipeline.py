@@ -80,3 +80,16 @@ def test_stages_against_brute_force(spark):
         ids = encoding.encode_ordinary(texts[r["doc_id"]]["text"])
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     assert public_tokenizers.PATTERN
+
+
+def test_odd_tables(spark):
+    """Empty table, repeated ids, nulls in every column, and columns whose names clash or hold a dot."""
+    names = "doc_id long, text string, lang string, source string, n_chars int, `a.b` int, __kept string, doc string, found string, kept string"
+    good = "the old red barn near the river was quiet on that day while rain fell softly over every roof in our small town tonight"
+    rows = [(1, good, "en", "s", 1, 1, "k", "d", "f", "x"), (1, good + " again", "en", "s", 1, 1, "k", "d", "f", "x"), (None,) * 10, (2, None, None, None, None, None, None, None, None, None), (3, good.upper().lower() + " with password = hunter2222", None, None, 5, 2, None, None, None, None)]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, names)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == spark.createDataFrame([], names).columns, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= (len(data) > 0)
