@@ -22,8 +22,11 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from courtside.llm._common import column, with_id
+
+#: Below this every letter is a letter in all versions of Unicode.
+PLAIN = "\u0250"
 #: Texts that one generation of a memo holds.
 MEMO = 150_000
 #: Fixed value: the pattern under which texts part at single spaces.
@@ -167,6 +170,8 @@ class Codec:
 
     def piece(self, text: str) -> tuple[int, ...]:
         """The ids of a pre-token."""
+        if text[0] == " " and (known := self.parts.get(text[1:])):
+            return known
         data = text.encode()
         rank = self.hash.rank(data)
         return (rank,) if self.vocabulary[rank] == data else tuple(self.merges.ids(data))
@@ -176,6 +181,8 @@ class Codec:
 
     def part(self, text: str) -> tuple[int, ...]:
         """The ids of a space and the part after it; a part with white space at an end raises."""
+        if text.isalpha() and max(text) < PLAIN:  # one pre-token
+            return self.piece(" " + text)
         if not text or text[0].isspace() or text[-1].isspace():
             raise ValueError(text)
         return tuple(self.plain(" " + text))
@@ -194,6 +201,12 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Empty the memos: a worker that goes on to other work keeps the vocabulary only."""
+        for memo in (self.pieces, self.parts):
+            memo.clear()
+            memo.old = {}
+
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -207,29 +220,29 @@ def codec(vocabulary, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _named(docs: DataFrame, id_col: str, column: str, kind: str) -> tuple[DataFrame, str]:
-    named = docs.select(docs[id_col].alias("id"), docs[column].cast(kind).alias("x"))
-    return named, named.schema["id"].dataType.simpleString()
+def _named(docs: DataFrame, id_col: str, name: str, kind: str) -> DataFrame:
+    return docs.select(column(docs, id_col).alias("id"), column(docs, name).cast(kind).alias("x"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, ids array<int>. ``path``: the rank file, read by the driver and broadcast (its size is fixed)."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    named, kind = _named(docs, id_col, text_col, "string")
+    named = _named(docs, id_col, text_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared, pattern)
         for batch in batches:
             ids = [coder.encode(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        coder.forget()
 
-    return named.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return named.mapInArrow(run, with_id(named, "ids array<int>")).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, ids -> id, data binary. Null ids are no ids; an id outside the vocabulary raises."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
-    named, kind = _named(encoded, id_col, ids_col, "array<int>")
+    named = _named(encoded, id_col, ids_col, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = shared.value.__getitem__
@@ -237,13 +250,13 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             data = [b"".join(map(entry, x or ())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
-    return named.mapInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
+    return named.mapInArrow(run, with_id(named, "data binary")).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, keeping digests only."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    named, kind = _named(docs, id_col, text_col, "string")
+    named = _named(docs, id_col, text_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared, pattern)
@@ -256,5 +269,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 of_ids.append(hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
                 of_data.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(counts, np.int64)), pa.array(of_ids, pa.string()), pa.array(of_data, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
-    return named.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return named.mapInArrow(run, with_id(named, "n_tokens long, ids_sha256 string, decoded_sha256 string")).withColumnRenamed("id", id_col)
