@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Tables are broadcast up to this many bytes, by their rows and columns; beyond it Spark shuffles the join.
+BROADCAST_BYTES = 32 << 20
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,6 +47,11 @@ def discard(*tables: DataFrame) -> None:
             continue
 
 
+def small(df: DataFrame, width: int) -> DataFrame:
+    """A materialized df, whose rows take about ``width`` bytes, to broadcast where its size is small, else as it is."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
 def fresh(df: DataFrame, tag: str) -> str:
     """A column name that df does not have."""
     return tag if tag not in {c.lower() for c in df.columns} else fresh(df, tag + "_")

@@ -1,45 +1,51 @@
 """Main text of web pages by union-free regular-expression inference.
 
-A page becomes a stream of structural tags and text slots. Within a page, adjacent equal groups fold into
-repeated groups; across the pages of a host, streams are aligned one after another: what matches stays, what
-only one side has becomes an optional group, texts are slots. The result is the host's wrapper, a union-free
-regular expression over tags and slots. Its slots are known by their path of enclosing tags, one for each way
-through its optional and repeated groups that occurs on a page. The main region is chosen among these paths
-(article or main elements first, else the smallest element that holds most of the varying text outside menus,
-headers, footers, adverts, forms, comments and the like), and a page's main text is what fills the slots of that
-region. The region must hold most of the page's own varying text as well: a page of another layout, with little or
-nothing there, keeps all its slots outside menus and the like.
-
-Pages of one host meet only as distinct folded streams with counts (summed before the shuffle), first in
-SALTS parts, then merged, so a host with a third of all pages is no larger a task than its distinct layouts.
-
-A null or empty html has empty text; a null url has the empty host; malformed markup is closed where HTML
-closes it; texts of any length are kept whole; repeated rows are extracted one by one; an empty table gives an
-empty result.
+A page becomes a stream of structural tags and text slots, kept as a tree. Adjacent equal groups of siblings fold into
+repeated groups. The distinct streams of a host are aligned one after another: what matches stays, what only one side
+has becomes optional, one occurrence of a repeated group matches the group, texts are slots. The result is the host's
+wrapper, a union-free regular expression over tags and slots that accepts every one of its streams.
+
+Every stream is then matched against its host's wrapper, which tells the wrapper's slot of each of its texts. Over all
+pages of the host a slot has a size, a share of link text, and either varying text or the same text everywhere. The
+main region is an element of the wrapper: the deepest article or main element with MARKED_SHARE of the marked text, or
+without such elements the deepest element with MOST of the varying text. Within it, slots of link lists, unvarying
+slots of unmarked regions, and elements that are menus, headers, adverts, forms, comments and the like by name are no
+main text. A page's main text is what fills the remaining slots; a stream that has less than MOST of its own text there
+keeps all its slots outside such elements and link lists.
+
+Only distinct streams and sums over slots are shuffled, the streams of a host in groups of MERGED that shrink to one
+wrapper round by round, so a host with a third of all pages is no larger a task than another.
+
+A null or empty html has empty text; a null url has the empty host; malformed markup is closed where HTML closes it;
+texts of any length and depth are kept whole; repeated rows are extracted one by one; columns besides id, url and html
+are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
-import zlib
+import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm._common import materialize
+from courtside.llm._common import column, materialize, small, with_id
 
-SALTS = 16
-#: Cells of an alignment's table of costs.
-CELLS = 200_000
-#: The share of a host's marked text that a marked main region holds at least, and the share of varying text that a region holds at least, on its host (unmarked) and on each page.
+#: Streams or wrappers of a host that one task aligns.
+MERGED = 32
+#: The share of a host's marked text that a marked main region holds at least, and the share of varying text that a region holds at least, on its host (unmarked) and on each stream.
 MARKED_SHARE, MOST = 0.9, 0.6
+#: Pages with the same text in a slot that make it template text, and the share of link text that makes it a link list.
+SAME_PAGES, LINKS = 3, 0.5
+#: Trees are walked by plain calls, one for each level.
+DEPTH = 1_000_000
 
 #: Tag groups of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -64,21 +70,25 @@ def label_of(tag: str, attributes: str) -> str:
 
 
 def events(page: str) -> Iterator[tuple[str, str]]:
-    """('open', label), ('close', label), ('text', raw) and ('gap', '') of a page, balanced; inline tags vanish."""
+    """('open', label), ('close', label), ('text', raw), ('link', raw) and ('gap', '') of a page, balanced; inline tags vanish."""
     stack: list[tuple[str, str]] = []
-    at = 0
+    at, kind = 0, "text"
     while True:
         m = TOKEN.search(page, at)
         if m is None:
             if at < len(page):
-                yield "text", page[at:]
+                yield kind, page[at:]
             break
         if m.start() > at:
-            yield "text", page[at : m.start()]
+            yield kind, page[at : m.start()]
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag == "a":
+            kind = "text" if m[1] else "link"
+        elif tag not in INLINE:
+            kind = "text"
         if m[1]:
             if tag not in INLINE and any(t == tag for t, _ in stack):
                 while True:
@@ -104,135 +114,269 @@ def events(page: str) -> Iterator[tuple[str, str]]:
         yield "close", stack.pop()[1]
 
 
-def fold(items: list, longest: int = 24) -> list:
-    """Adjacent equal groups become one repeated group ['+', group], shortest groups first, until none is left."""
-    while True:
-        before = len(items)
-        for size in range(1, min(longest, len(items) // 2) + 1):
-            out, i = [], 0
-            while i < len(items):
-                group, j = items[i : i + size], i + size
-                while len(group) == size and items[j : j + size] == group:
-                    j += size
-                if j > i + size:
-                    out.append(group[0] if size == 1 and isinstance(group[0], list) and group[0][0] == "+" else ["+", group])
-                    i = j
-                elif out and isinstance(out[-1], list) and out[-1] == ["+", group]:
-                    i += size
-                else:
-                    out.append(items[i])
-                    i += 1
-            items = out
-        if len(items) == before:
-            return items
-
-
-def _merged(a, b):
-    """One item that stands for both, or None."""
-    if a == b:
-        return a
-    if isinstance(a, list) and isinstance(b, list):
-        if a[0] == b[0] and a[1][0] == b[1][0]:
-            return [a[0], align(a[1], b[1])]
-        if "?" in (a[0], b[0]) and a[0] != b[0]:
-            inner, other = (a[1], b) if a[0] == "?" else (b[1], a)
-            if len(inner) == 1 and (m := _merged(inner[0], other)) is not None:
-                return ["?", [m]]
-    for x, y in ((a, b), (b, a)):
-        if isinstance(x, list) and x[0] == "?" and x[1] == [y]:
-            return x
-    return None
-
-
-def align(a: list, b: list) -> list:
-    """The wrapper of both streams: matches stay, the rest becomes optional groups; a repeated group also matches one occurrence."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    n, m = len(x), len(y)
-    if n * m > CELLS:
-        return a[:head] + _align_long(x, y) + a[len(a) - tail :]
-    skip = lambda item: 0.01 if isinstance(item, list) and item[0] == "?" else 1.0
-    cost = [[0.0] * (m + 1) for _ in range(n + 1)]
-    step: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
-    for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
-            if i == n and j == m:
-                continue
-            options = []
-            if i < n and j < m and (one := _merged(x[i], y[j])) is not None:
-                options.append((cost[i + 1][j + 1], 0, (1, 1, one)))
-            if i < n and isinstance(x[i], list) and x[i][0] == "+" and y[j : j + len(x[i][1])] == x[i][1]:
-                options.append((cost[i + 1][j + len(x[i][1])] + 0.1, 1, (1, len(x[i][1]), x[i])))
-            if j < m and isinstance(y[j], list) and y[j][0] == "+" and x[i : i + len(y[j][1])] == y[j][1]:
-                options.append((cost[i + len(y[j][1])][j + 1] + 0.1, 1, (len(y[j][1]), 1, y[j])))
-            if i < n:
-                options.append((cost[i + 1][j] + skip(x[i]), 2, (1, 0, x[i])))
-            if j < m:
-                options.append((cost[i][j + 1] + skip(y[j]), 3, (0, 1, y[j])))
-            best = min(options, key=lambda o: o[:2])
-            cost[i][j], step[i][j] = best[0], best
-    out, i, j, loose, side = a[:head], 0, 0, [], None
+class Node:
+    """An element, a text ("#") or a group (""), its quantifier ("", "?", "+" or "*"), and a hash that ignores the quantifier."""
 
-    def settle() -> None:
-        if loose:
-            out.append(loose[0] if len(loose) == 1 and isinstance(loose[0], list) and loose[0][0] == "?" else ["?", list(loose)])
-            loose.clear()
-
-    while i < n or j < m:
-        _, kind, (di, dj, item) = step[i][j]
-        if kind < 2:
-            settle()
-            out.append(item)
+    __slots__ = ("label", "many", "optional", "kids", "key", "slot", "blocks")
+
+    def __init__(self, label: str, kids: list["Node"], many: bool = False, optional: bool = False):
+        self.label, self.kids, self.many, self.optional = label, kids, many, optional
+        self.key = hash((label, *[k.key for k in kids]))
+        self.slot, self.blocks = -1, []
+
+    def marks(self) -> str:
+        """What two alike siblings share."""
+        return self.label or "(" + " ".join(k.marks() for k in self.kids) + ")"
+
+
+TEXT = "#"
+
+
+def texts_of(nodes: list[Node]) -> list[Node]:
+    """The text slots in order, numbered."""
+    out, waiting = [], list(reversed(nodes))
+    while waiting:
+        node = waiting.pop()
+        if node.label == TEXT:
+            node.slot = len(out)
+            out.append(node)
+        waiting += reversed(node.kids)
+    return out
+
+
+def written(nodes: list[Node]) -> str:
+    """Nodes as lines: a quantifier and a label open a node, an empty line closes it."""
+    lines: list[str] = []
+    waiting: list[Node | None] = list(reversed(nodes))
+    while waiting:
+        node = waiting.pop()
+        if node is None:
+            lines.append("")
+            continue
+        lines.append(" ?+*"[node.optional + 2 * node.many] + node.label)
+        waiting.append(None)
+        waiting += reversed(node.kids)
+    return "\n".join(lines)
+
+
+def read(text: str) -> list[Node]:
+    """Nodes of what ``written`` wrote."""
+    if not text:
+        return []
+    stack: list[tuple[str, list[Node]]] = [("", [])]
+    for line in text.split("\n"):
+        if line:
+            stack.append((line, []))
         else:
-            if side != kind:
-                settle()
-            loose.append(item)
-        side, i, j = kind, i + di, j + dj
-    settle()
-    return out + a[len(a) - tail :]
-
-
-def _align_long(x: list, y: list) -> list:
-    """align for streams whose table of costs would be large: equal runs anchor them, what lies between is aligned by itself."""
-    out: list = []
-    runs = SequenceMatcher(None, [json.dumps(i) for i in x], [json.dumps(i) for i in y], autojunk=False).get_opcodes()
-    for kind, i, i_end, j, j_end in runs:
-        if kind == "equal":
-            out += x[i:i_end]
-        elif i < i_end and j < j_end and (i_end - i) * (j_end - j) <= CELLS:
-            out += align(x[i:i_end], y[j:j_end])
+            line, kids = stack.pop()
+            stack[-1][1].append(Node(line[1:], kids, line[0] in "+*", line[0] in "?*"))
+    return stack[0][1]
+
+
+def absorb(node: Node, other: Node) -> None:
+    """other's texts join those of node, which has the same structure but for what repeats in it."""
+    node.blocks += other.blocks
+    node.many |= other.many
+    for mine, its in zip(node.kids, other.kids):
+        absorb(mine, its)
+
+
+def fold(nodes: list[Node]) -> list[Node]:
+    """Adjacent equal groups of siblings become one repeated group, shortest groups first, until none is left."""
+    size = 1
+    while 2 * size <= len(nodes):
+        keys = [n.key for n in nodes]
+        if len(set(keys)) == len(keys):
+            break
+        out, at = [], 0
+        while at < len(nodes):
+            end = at + size
+            while end + size <= len(nodes) and keys[end] == keys[at] and keys[end : end + size] == keys[at : at + size]:
+                end += size
+            if end == at + size:
+                out.append(nodes[at])
+                at += 1
+                continue
+            group = nodes[at : at + size]
+            for k in range(at + size, end):
+                absorb(group[(k - at) % size], nodes[k])
+            if size == 1:
+                group[0].many = True
+                out += group
+            else:
+                out.append(Node("", group, many=True))
+            at = end
+        if len(out) == len(nodes):
+            size += 1
         else:
-            out += [["?", part] for part in (x[i:i_end], y[j:j_end]) if part]
-    return out
+            nodes, size = out, 1
+    return nodes
 
 
-def slot_paths(wrapper: list) -> list[str]:
-    """The path of enclosing tags of each text slot, in order, once each, with every optional group present and repeated groups once.
+def tree(page: str) -> tuple[list[Node], list[tuple[str, int]]]:
+    """A page's folded tree, and its blocks of text (decoded, white space squeezed) with their characters in links; a text knows its blocks."""
+    stack: list[tuple[str, list[Node]]] = [("", [])]
+    blocks: list[tuple[str, int]] = []
+    parts: list[str] = []
+    linked = 0
 
-    Pages without an optional wrapper, or with nested equal tags that were folded, have other paths; a host's slot rows list all.
-    """
-    stack: list[str] = []
-    found: dict[str, None] = {}
+    def settle() -> None:
+        nonlocal linked
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                kids[-1].blocks.append(len(blocks))
+                blocks.append((text, min(linked, len(text))))
+            parts.clear()
+            linked = 0
 
-    def walk(items: list) -> None:
-        for item in items:
-            if isinstance(item, list):
-                walk(item[1])
-            elif item == "#":
-                found["/".join(stack)] = None
-            elif item[1] == "/":
-                if stack and stack[-1] == item[2:-1]:
-                    stack.pop()
+    for kind, value in events(page):
+        kids = stack[-1][1]
+        if kind in ("text", "link"):
+            if not value.isspace():
+                if not parts and not (kids and kids[-1].label == TEXT):
+                    kids.append(Node(TEXT, []))
+                parts.append(value)
+                linked += len(value.strip()) if kind == "link" else 0
+            elif parts:
+                parts.append(value)
+            continue
+        settle()
+        if kind == "open":
+            stack.append((value, []))
+        elif kind == "close":
+            label, inner = stack.pop()
+            stack[-1][1].append(Node(label, fold(inner)))
+    kids = stack[-1][1]
+    settle()
+    return fold(kids), blocks
+
+
+def collapsed(nodes: list[Node], groups: list[Node]) -> list[Node]:
+    """nodes in which every run of siblings that looks like one occurrence of a group is that group, once."""
+    for group in groups:
+        wanted = [k.marks() for k in group.kids]
+        out, at, marks = [], 0, [n.marks() for n in nodes]
+        while at < len(nodes):
+            if marks[at : at + len(wanted)] == wanted:
+                out.append(Node("", nodes[at : at + len(wanted)]))
+                at += len(wanted)
             else:
-                stack.append(item[1:-1])
+                out.append(nodes[at])
+                at += 1
+        nodes = out
+    return nodes
+
+
+def pairs(a: list, b: list, *names) -> Iterator[tuple[int, int]]:
+    """Places of a and b that match, in order: by the first naming, and in the gaps between by the next ones."""
+    i = j = 0
+    for x, y, n in SequenceMatcher(None, list(map(names[0], a)), list(map(names[0], b)), False).get_matching_blocks():
+        if len(names) > 1 and i < x and j < y:
+            yield from ((i + p, j + q) for p, q in pairs(a[i:x], b[j:y], *names[1:]))
+        yield from ((x + k, y + k) for k in range(n))
+        i, j = x + n, y + n
+
+
+def align(a: list[Node], b: list[Node]) -> list[Node]:
+    """The wrapper of both: equal siblings match first, then alike ones, which are aligned in turn; what one side has alone becomes optional."""
+    a, b = collapsed(a, [n for n in b if not n.label]), collapsed(b, [n for n in a if not n.label])
+    loose = lambda nodes: [Node(n.label, n.kids, n.many, True) for n in nodes]
+    out, i, j = [], 0, 0
+    for x, y in [*pairs(a, b, lambda n: n.key, lambda n: n.marks()), (len(a), len(b))]:
+        out += loose(a[i:x]) + loose(b[j:y])
+        if x < len(a):
+            p, q = a[x], b[y]
+            out.append(Node(p.label, align(p.kids, q.kids), p.many or q.many, p.optional or q.optional))
+        i, j = x + 1, y + 1
+    return out
 
-    walk(wrapper)
-    return list(found)
+
+class Matcher:
+    """Matches streams against a wrapper; each list of siblings is an automaton whose states are its elements and texts."""
+
+    def __init__(self, wrapper: list[Node]):
+        self.wrapper = wrapper
+        self.slots = texts_of(wrapper)
+        self.automata: dict[int, tuple] = {}
+
+    def automaton(self, nodes: list[Node]) -> tuple:
+        """States, whether none is needed, those that may come first, last, and after each."""
+        if id(nodes) in self.automata:
+            return self.automata[id(nodes)]
+        states: list[Node] = []
+        after: list[dict[int, None]] = []
+
+        def run(nodes: list[Node]) -> tuple[bool, list[int], list[int]]:
+            empty, first, last = True, [], []
+            for node in nodes:
+                if node.label:
+                    none, begin, end = False, [len(states)], [len(states)]
+                    states.append(node)
+                    after.append({})
+                else:
+                    none, begin, end = run(node.kids)
+                if node.many:
+                    for k in end:
+                        after[k].update(dict.fromkeys(begin))
+                for k in last:
+                    after[k].update(dict.fromkeys(begin))
+                none |= node.optional
+                first += begin if empty else []
+                last = last + end if none else end
+                empty &= none
+            return empty, first, last
+
+        empty, first, last = run(nodes)
+        self.automata[id(nodes)] = found = states, empty, first, set(last), after
+        return found
+
+    def match(self, stream: list[Node], nodes: list[Node] | None = None) -> dict[int, int] | None:
+        """The wrapper's slot of each of the stream's slots, or None if the wrapper does not accept the stream."""
+        if nodes is None:
+            texts_of(stream)
+            nodes = self.wrapper
+        states, empty, first, last, after = self.automaton(nodes)
+        word: list[Node] = []
+
+        def spell(items: list[Node]) -> None:
+            # A repeated group stands for two occurrences.
+            for item in items:
+                for _ in range(1 + item.many):
+                    if item.label:
+                        word.append(item)
+                    else:
+                        spell(item.kids)
+
+        spell(stream)
+        if not word:
+            return {} if empty else None
+        known: dict[tuple[int, int], dict[int, int] | None] = {}
+
+        def fits(state: int, item: Node) -> bool:
+            node = states[state]
+            if node.label != item.label:
+                return False
+            key = (state, id(item))
+            if key not in known:
+                known[key] = {item.slot: node.slot} if item.label == TEXT else self.match(item.kids, node.kids)
+            return known[key] is not None
+
+        steps: list[dict[int, int]] = [{s: -1 for s in first if fits(s, word[0])}]
+        for item in word[1:]:
+            steps.append({})
+            for s in steps[-2]:
+                for t in after[s]:
+                    if t not in steps[-1] and fits(t, item):
+                        steps[-1][t] = s
+        ends = [s for s in steps[-1] if s in last]
+        if not ends:
+            return None
+        state, out = min(ends), {}
+        for item, step in zip(reversed(word), reversed(steps)):
+            out |= known[state, id(item)]
+            state = step[state]
+        return out
 
 
 @lru_cache(maxsize=4096)
@@ -248,131 +392,166 @@ def is_boilerplate(path: str) -> bool:
     return False
 
 
-def main_slots(paths: list[str], chars: dict[str, int], varying: dict[str, bool]) -> list[str]:
-    """The slot paths of the main region."""
-    usable = [p for p in paths if not is_boilerplate(p)]
-    weights = {p: chars.get(p, 0) if varying.get(p, True) else 0 for p in usable}
-    held: dict[str, int] = {}
-    slots: dict[str, int] = {}
-    for p in usable:
-        parts = p.split("/")
-        for k in range(len(parts)):
-            prefix = "/".join(parts[: k + 1])
-            held[prefix] = held.get(prefix, 0) + weights[p]
-            slots[prefix] = slots.get(prefix, 0) + 1
-
-    def under(prefix: str) -> list[str]:
-        return [p for p in usable if p == prefix or p.startswith(prefix + "/")]
-
-    marked = [p for p in held if (last := p.rsplit("/", 1)[-1].split("."))[0] in ("article", "main") or "main" in last[1:] or "article" in last[1:]]
+def main_slots(wrapper: list[Node], seen: dict[int, tuple[int, int, int, bool]]) -> tuple[list[int], list[int]]:
+    """The slots of the main region, and all usable ones. ``seen``: each slot's pages, characters, characters in links, and whether its text varies."""
+    paths: dict[int, tuple[tuple[int, str], ...]] = {}
+    waiting = [(n, ()) for n in wrapper]
+    numbers = {id(n): k for k, n in enumerate(_all(wrapper))}
+    while waiting:
+        node, above = waiting.pop()
+        if node.label == TEXT:
+            paths[node.slot] = above
+        below = (*above, (numbers[id(node)], node.label)) if node.label else above
+        waiting += [(k, below) for k in node.kids]
+    usable = sorted(s for s, path in paths.items() if not is_boilerplate("/".join(name for _, name in path)) and not (s in seen and seen[s][2] > LINKS * seen[s][1]))
+    weights = {s: seen[s][1] if s in seen and seen[s][3] else 0 for s in usable}
+    if not any(weights.values()):  # nothing varies, as on a host with one text
+        weights = {s: seen[s][1] if s in seen else 0 for s in usable}
+    held: dict[int, int] = {}
+    depth: dict[int, int] = {}
+    names: dict[int, str] = {}
+    slots: dict[int, list[int]] = {}
+    for s in usable:
+        for level, (node, name) in enumerate(paths[s]):
+            held[node] = held.get(node, 0) + weights[s]
+            depth[node], names[node] = level, name
+            slots.setdefault(node, []).append(s)
+    marked = [n for n in held if is_marked(names[n])]
     if marked:
-        # The deepest marked element that holds nearly all marked text; siblings count together by their path.
-        tops = set(marked)
-        inside = [p for p in usable if any(p[:at] in tops for at in [*(m.start() for m in re.finditer("/", p)), len(p)])]
-        total = sum(weights[p] for p in inside)
-        full = [p for p in marked if held[p] >= MARKED_SHARE * total]
-        return sorted(under(max(full, key=lambda p: (p.count("/"), p))) if full else inside)
+        inside = sorted({s for n in marked for s in slots[n]})
+        total = sum(weights[s] for s in inside)
+        full = [n for n in marked if held[n] >= MARKED_SHARE * total]
+        return (sorted(slots[max(full, key=lambda n: (depth[n], -n))]) if full else inside), usable
+    varying = [s for s in usable if s not in seen or seen[s][3] or seen[s][0] < SAME_PAGES]
     total = sum(weights.values())
-    full = [p for p in held if (slots[p] > 1 or p not in weights) and held[p] >= MOST * total]
-    return under(max(full, key=lambda p: (p.count("/"), held[p], p))) if full and total else usable
+    full = [n for n in held if total and held[n] >= MOST * total and (len(slots[n]) > 1 or paths[slots[n][0]][-1][0] != n)]
+    region = slots[max(full, key=lambda n: (depth[n], held[n], -n))] if full else usable
+    return sorted(set(region) & set(varying)) or sorted(region), usable
 
 
-def layout(page: str) -> tuple[str, dict[str, tuple[int, int]]]:
-    """A page's folded stream as JSON, and each slot path's (characters, hash of its text)."""
-    items: list = []
-    stack: list[str] = []
-    texts: dict[str, list[str]] = {}
-    for kind, value in events(page):
-        if kind == "open":
-            stack.append(value)
-            items.append(f"<{value}>")
-        elif kind == "close":
-            stack.pop()
-            items.append(f"</{value}>")
-        elif kind == "text" and not value.isspace():
-            texts.setdefault("/".join(stack), []).append(value)
-            if not items or items[-1] != "#":
-                items.append("#")
-    sizes = {path: (sum(map(len, parts)), zlib.crc32("\0".join(p.strip() for p in parts).encode())) for path, parts in texts.items()}
-    return json.dumps(fold(items), separators=(",", ":")), sizes
-
-
-def page_slots(chars: dict[str, int], slots: frozenset[str], fixed: frozenset[str]) -> frozenset[str]:
-    """The slots that a page's main text fills: its host's region where that holds most of the page's varying text, else all usable ones."""
-    usable = frozenset(p for p in chars if not is_boilerplate(p))
-    inside = sum(n for p, n in chars.items() if p in slots and p not in fixed)
-    total = sum(chars[p] for p in usable if p not in fixed)
-    return slots if usable & slots and inside >= MOST * total else usable
-
-
-def main_text(page: str, slots: frozenset[str], fixed: frozenset[str] = frozenset()) -> str:
-    """The main text of a page, given its host's region and unvarying slots: references decoded, white space squeezed, blocks joined by a space."""
-    stack: list[str] = []
-    blocks: list[list[tuple[str, str]]] = [[]]
-    chars: dict[str, int] = {}
-    path = ""
-    for kind, value in events(page):
-        if kind == "text":
-            blocks[-1].append((path, value))
-            if not value.isspace():
-                chars[path] = chars.get(path, 0) + len(value)
-            continue
-        if kind == "open":
-            stack.append(value)
-        elif kind == "close":
-            stack.pop()
-        if kind != "gap":
-            path = "/".join(stack)
-        if blocks[-1]:
-            blocks.append([])
-    kept = page_slots(chars, slots, fixed)
-    texts = (" ".join(html.unescape("".join(v for p, v in block if p in kept)).split()) for block in blocks)
-    return " ".join(t for t in texts if t)
+def _all(nodes: list[Node]) -> Iterator[Node]:
+    waiting = list(reversed(nodes))
+    while waiting:
+        node = waiting.pop()
+        yield node
+        waiting += reversed(node.kids)
 
 
-def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def is_marked(label: str) -> bool:
+    """An element that is the main region by its name."""
+    tag, *words = label.split(".")
+    return tag in ("article", "main") or "main" in words or "article" in words
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, url, host, html -> id, url, host, stream (hash), shape (where it is new in the batch), blocks, slots."""
+    sys.setrecursionlimit(DEPTH)
     for batch in batches:
-        found: dict[tuple[str, str, str], list[int]] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not page:
-                continue
-            stream, sizes = layout(page)
-            for key, size, mark in [((host, "stream", stream), 0, 0), *((((host, "slot", p), n, h)) for p, (n, h) in sizes.items())]:
-                row = found.setdefault(key, [0, 0, mark, mark])
-                row[0] += 1
-                row[1] += size
-                row[2], row[3] = min(row[2], mark), max(row[3], mark)
-        columns = [pa.array([k[i] for k in found], pa.string()) for i in range(3)] + [pa.array([v[i] for v in found.values()], pa.int64()) for i in range(4)]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "kind", "key", "pages", "chars", "low", "high"])
-
-
-def _part(frame: pd.DataFrame) -> pd.DataFrame:
-    """Align the streams of one host's part, most frequent first."""
-    wrapper: list | None = None
-    for stream in frame.sort_values(["pages", "key"], ascending=[False, True])["key"]:
-        items = json.loads(stream)
-        wrapper = items if wrapper is None else align(wrapper, items)
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "key": [json.dumps(wrapper, separators=(",", ":"))], "pages": [int(frame["pages"].sum())]})
-
-
-def _wrapper(streams: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-    if not len(streams):
-        return pd.DataFrame({"host": [], "wrapper": [], "slots": [], "fixed": []})
-    wrapper = _part(streams)["key"].iloc[0]
-    chars = dict(zip(slots["key"], slots["chars"]))
-    varying = {k: n < 2 or low != high for k, n, low, high in zip(slots["key"], slots["pages"], slots["low"], slots["high"])}
-    return pd.DataFrame({"host": [streams["host"].iloc[0]], "wrapper": [wrapper], "slots": [main_slots(sorted(chars), chars, varying)], "fixed": [sorted(p for p in chars if not varying[p] and not is_boilerplate(p))]})
-
-
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages -> host, wrapper (JSON; ["+", group] repeats, ["?", group] is optional, "#" is text), slots (paths of the main region), fixed (usable paths whose text is the same on all pages)."""
-    named = pages.select(_host(pages[url_col]).alias("host"), pages[html_col].cast("string").alias("html"))
-    seen = named.mapInArrow(_layouts, "host string, kind string, key string, pages long, chars long, low long, high long")
-    seen = seen.groupBy("host", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "chars")], F.min("low").alias("low"), F.max("high").alias("high"))
-    seen = materialize(seen, "layouts")
-    parts = seen.filter("kind = 'stream'").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(_part, "host string, key string, pages long")
-    slots = seen.filter("kind = 'slot'").select("host", "key", "pages", "chars", "low", "high")
-    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(_wrapper, "host string, wrapper string, slots array<string>, fixed array<string>")
+        shapes, streams, all_blocks, all_slots = [], [], [], []
+        met: set[tuple[str, int]] = set()
+        for host, page in zip(batch.column(2).to_pylist(), batch.column(3)):
+            nodes, blocks = tree(page.as_py() or "")
+            shape = written(nodes)
+            stream = xxhash.xxh3_64_intdigest(shape) - (1 << 63)
+            of_block, slots = [0] * len(blocks), []
+            for text in texts_of(nodes):
+                for k in text.blocks:
+                    of_block[k] = text.slot
+                inside = [blocks[k] for k in text.blocks]
+                slots.append({"slot": text.slot, "chars": sum(len(t) for t, _ in inside), "links": sum(n for _, n in inside), "mark": xxhash.xxh3_64_intdigest("\0".join(t for t, _ in inside)) - (1 << 63)})
+            streams.append(stream)
+            shapes.append(None if (host, stream) in met else shape)
+            met.add((host, stream))
+            all_blocks.append([{"slot": s, "text": t} for s, (t, _) in zip(of_block, blocks)])
+            all_slots.append(slots)
+        columns = [pa.array(streams, pa.int64()), pa.array(shapes, pa.string()), pa.array(all_blocks, BLOCKS), pa.array(all_slots, SLOTS)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["id", "url", "host", "stream", "shape", "blocks", "slots"])
+
+
+BLOCKS = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
+SLOTS = pa.list_(pa.struct([("slot", pa.int32()), ("chars", pa.int64()), ("links", pa.int64()), ("mark", pa.int64())]))
+
+
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Every page's stream, blocks of text and sizes of slots; a stream's shape is there at least once a host."""
+    url = column(pages, url_col)
+    named = pages.select(column(pages, id_col).alias("id"), url.cast("string").alias("url"), _host(url).alias("host"), column(pages, html_col).cast("string").alias("html"))
+    fields = "url string, host string, stream long, shape string, blocks array<struct<slot:int,text:string>>, slots array<struct<slot:int,chars:long,links:long,mark:long>>"
+    return materialize(named.mapInArrow(_parsed, with_id(named, fields)), "parsed")
+
+
+def _aligned(frame: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper of some streams or wrappers of a host, most frequent first."""
+    sys.setrecursionlimit(DEPTH)
+    wrapper: list[Node] | None = None
+    for shape in frame.sort_values(["pages", "shape"], ascending=[False, True])["shape"]:
+        wrapper = read(shape) if wrapper is None else align(wrapper, read(shape))
+    return pd.DataFrame({"host": [frame["host"].iloc[0]], "shape": [written(wrapper)], "pages": [int(frame["pages"].sum())]})
+
+
+def wrappers(shapes: DataFrame) -> DataFrame:
+    """host, stream, shape, pages -> host, shape: one wrapper a host; a line of it opens a node ("?", "+" or "*" before its label; "#" is text), an empty line closes one."""
+    rest = shapes.select("host", "shape", "pages")
+    while True:
+        counted = rest.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        most = counted.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return rest.select("host", "shape")
+        salted = rest.join(counted, "host").withColumn("salt", F.pmod(F.xxhash64("shape"), F.ceil(F.col("n") / MERGED)))
+        merged = salted.groupBy("host", "salt").applyInPandas(_aligned, "host string, shape string, pages long")
+        rest = materialize(merged, "wrappers")
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, stream, shape, wrapper -> host, stream, slot, place: the wrapper's slot of every slot."""
+    sys.setrecursionlimit(DEPTH)
+    held: tuple[str | None, Matcher | None] = (None, None)
+    for batch in batches:
+        rows: list[tuple] = []
+        for host, stream, shape, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
+            if held[0] != wrapper:
+                held = wrapper, Matcher(read(wrapper))
+            found = held[1].match(read(shape))
+            if found is None:
+                raise ValueError(f"the wrapper of host {host} does not accept a stream of it")
+            rows += [(host, stream, slot, place) for slot, place in found.items()]
+        columns = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32()))], ["host", "stream", "slot", "place"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, shape, seen -> host, places of the main region, usable places."""
+    sys.setrecursionlimit(DEPTH)
+    for batch in batches:
+        found = []
+        for shape, seen in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            wrapper = read(shape)
+            texts_of(wrapper)
+            found.append(main_slots(wrapper, {r["place"]: (r["pages"], r["chars"], r["links"], r["varies"]) for r in seen}))
+        lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["host", "main", "usable"])
+
+
+def kept_slots(pages: DataFrame) -> DataFrame:
+    """parsed pages -> host, stream, kept: the slots of main text of every stream, by its host's wrapper."""
+    shapes = pages.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages"), F.max("shape").alias("shape"))
+    shapes = materialize(shapes.filter("shape <> ''"), "shapes")
+    seen = pages.select("host", "stream", F.explode("slots").alias("s")).groupBy("host", "stream", "s.slot")
+    seen = seen.agg(F.count(F.lit(1)).alias("pages"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"), F.min("s.mark").alias("low"), F.max("s.mark").alias("high"))
+    wrapper = wrappers(shapes)
+    pairs = shapes.select("host", "stream", "shape").join(wrapper.withColumnRenamed("shape", "wrapper"), "host")
+    places = pairs.mapInArrow(_matched, "host string, stream long, slot int, place int")
+    placed = materialize(seen.join(places, ["host", "stream", "slot"]), "slots")
+    whole = placed.groupBy("host", "place").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.min("low").alias("low"), F.max("high").alias("high"))
+    varies = (F.col("pages") < 2) | (F.col("low") != F.col("high"))
+    listed = whole.groupBy("host").agg(F.collect_list(F.struct("place", "pages", "chars", "links", varies.alias("varies"))).alias("seen"))
+    chosen = wrapper.join(listed, "host").select("host", "shape", "seen").mapInArrow(_chosen, "host string, main array<int>, usable array<int>")
+    marked = placed.join(chosen, "host").select("host", "stream", "slot", "chars", F.array_contains("main", F.col("place")).alias("main"), F.array_contains("usable", F.col("place")).alias("usable"))
+    of = lambda name: F.sort_array(F.collect_list(F.when(F.col(name), F.col("slot"))))
+    total = lambda name: F.sum(F.when(F.col(name), F.col("chars")).otherwise(0))
+    each = marked.groupBy("host", "stream").agg(of("main").alias("main"), of("usable").alias("usable"), total("main").alias("inside"), total("usable").alias("all"))
+    kept = F.when((F.col("inside") > 0) & (F.col("inside") >= MOST * F.col("all")), F.col("main")).otherwise(F.col("usable"))
+    return each.select("host", "stream", kept.alias("kept"))
 
 
 def _host(url):
@@ -381,21 +560,9 @@ def _host(url):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages -> id, url, text: the main text of every page by its host's wrapper."""
-    known = materialize(wrappers(pages, url_col, html_col).select("host", "slots", "fixed"), "wrappers")
-    named = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"), _host(pages[url_col]).alias("host"))
-    kind = named.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple[str, ...], frozenset[str]] = {}
-        for batch in batches:
-            texts = []
-            for page, *known in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
-                keys = [tuple(paths or ()) for paths in known]
-                for key in keys:
-                    if key not in sets:
-                        sets[key] = frozenset(key)
-                texts.append(main_text(page or "", *(sets[key] for key in keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
-
-    joined = named.join(known, "host", "left").select("id", "url", "html", "slots", "fixed")
-    return joined.mapInArrow(run, f"id {kind}, url string, text string").withColumnsRenamed({"id": id_col})
+    found = parsed(pages, id_col, url_col, html_col)
+    kept = materialize(kept_slots(found), "kept")
+    joined = found.join(small(kept, 64), ["host", "stream"], "left")
+    blocks = F.filter("blocks", lambda b: F.array_contains("kept", b["slot"]))
+    text = F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), " "), F.lit(""))
+    return joined.select(F.col("id").alias(id_col), "url", text.alias("text"))

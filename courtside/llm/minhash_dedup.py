@@ -30,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm._common import WordHashes, column, discard, fresh, materialize, mix64, utf8, window_hashes, with_id
+from courtside.llm._common import WordHashes, column, discard, fresh, materialize, mix64, small, utf8, window_hashes, with_id
 
 ONE = np.uint64(0x9E3779B97F4A7C15)
-#: Tables are broadcast up to this many bytes, by their rows and columns; beyond it Spark shuffles the join.
-BROADCAST_BYTES = 32 << 20
 #: Shingles that one numpy pass holds at a time.
 CHUNK = 1 << 19
 SKETCH = 1 << 18
@@ -115,9 +113,9 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, id_
 
     Rows of that id with another text have another set, by which they are told apart.
     """
-    wanted = classes.join(_small(nodes, 8), "node", "left_semi").select("id", "node", "set_a", "set_b", "signature")
+    wanted = classes.join(small(nodes, 8), "node", "left_semi").select("id", "node", "set_a", "set_b", "signature")
     named = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
-    named = named.join(_small(wanted, 320), "id").select("node", "text", "set_a", "set_b", "signature")
+    named = named.join(small(wanted, 320), "id").select("node", "text", "set_a", "set_b", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -164,11 +162,6 @@ def _prefixes(classes: DataFrame, length: int) -> DataFrame:
     return classes.select("node", "n", "signature", slots.alias("slots")).mapInArrow(run, "node long, n long, keys array<long>, " + ", ".join(f"p{p} long" for p in range(PLANES)))
 
 
-def _small(df: DataFrame, width: int) -> DataFrame:
-    """df, whose rows take about ``width`` bytes, to broadcast where its size is small, else as it is."""
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Undirected edges (a, b) -> node, component: the smallest node reachable. Labels pass along edges, then jump, until none changes."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "edges")
@@ -262,9 +255,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     bound = lambda left, right: F.expr(f"100 * least({left}.u, {right}.u) >= {threshold} * ({left}.n + {right}.n - least({left}.u, {right}.u))")
 
     # Then candidates still apart from a list's leading component meet other leaders, which have few shingles of their own.
-    hot = materialize(listed.select("key", "node", "n", *planes, "b").join(_small(bounds.drop("g"), 16), "node"), "hot")
+    hot = materialize(listed.select("key", "node", "n", *planes, "b").join(small(bounds.drop("g"), 16), "node"), "hot")
     for turn in range(1, rounds):
-        rows = hot.join(_small(labels, 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = hot.join(small(labels, 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
         lead = F.max(F.struct(F.round(F.col("u") / F.col("n"), 2).alias("q"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "u", "component", *planes))
         leaders = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("l")).filter("low <> high").select("key", "l")
         apart = rows.alias("p").join(leaders, "key").filter((F.col("p.component") != F.col("l.component")) & possible("p", "l") & bound("p", "l"))
@@ -275,15 +268,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
         labels = components(every())
 
     # What lists still mix. A class without a bound meets the classes of other components in its lists.
-    label = _small(labels, 16)
+    label = small(labels, 16)
     rows = listed.drop("agree").join(label.withColumnsRenamed({"component": "ca"}), "node", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    rows = rows.join(_small(bounds.drop("g"), 16), "node", "left").select("key", "node", "n", *planes, "u", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    rows = rows.join(small(bounds.drop("g"), 16), "node", "left").select("key", "node", "n", *planes, "u", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
     outer = rows.filter("component <> leading")
     apart = (F.col("p.component") != F.col("l.component")) & ((F.col("l.component") == F.col("l.leading")) | (F.col("p.node") < F.col("l.node")))
     across = outer.alias("p").join(rows.alias("l"), "key").filter(apart & (F.col("p.u").isNull() | F.col("l.u").isNull()) & possible("p", "l"))
     # Two candidates leave the join only if their shared shingles, group by group, may be enough.
     full = hot.join(label.withColumnsRenamed({"component": "ca"}), "node", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    full = full.join(_small(bounds.select("node", "g"), 16 + GROUPS), "node").select("key", "node", "n", *planes, "u", "g", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    full = full.join(small(bounds.select("node", "g"), 16 + GROUPS), "node").select("key", "node", "n", *planes, "u", "g", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
     common = "aggregate(zip_with(p.g, l.g, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
     enough = F.expr(f"p.g is null or l.g is null or 100 * {common} >= {threshold} * (p.n + l.n - {common})")
     within = full.filter("component <> leading").alias("p").join(full.alias("l"), "key").filter(apart & possible("p", "l") & bound("p", "l") & enough)
@@ -291,7 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     last = materialize(last.distinct(), "pairs")
     wanted = materialize(last.select(F.col("a").alias("node")).union(last.select("b")).distinct(), "nodes")
     more = materialize(_sets(docs, classes, materialize(wanted.join(nodes, "node", "left_anti"), "nodes"), width, id_col, text_col), "sets")
-    done.append(materialize(confirmed(last, sets.join(_small(wanted, 8), "node", "left_semi").unionByName(more)), "links"))
+    done.append(materialize(confirmed(last, sets.join(small(wanted, 8), "node", "left_semi").unionByName(more)), "links"))
     discard(labels)
     labels = components(every())
     discard(first, nodes, sets, listed, hot, bounds, last, wanted, more, *done)
@@ -316,7 +309,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     def rows_of(ids: DataFrame) -> DataFrame:
         mark = fresh(docs, "kept")
-        ids = _small(ids.select(F.col("id").alias(mark)), 8)
+        ids = small(ids.select(F.col("id").alias(mark)), 8)
         return docs.join(ids, key == F.col(mark), "left_semi")
 
     kept = rows_of(found.filter("rows = 1")).unionByName(docs.filter(key.isNull()))

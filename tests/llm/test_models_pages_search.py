@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -216,22 +217,97 @@ def test_extraction_by_wrapper(spark):
     assert [found[i]["text"] for i in (100, 101, 102, 103, 104)] == ["", "", "plain text", "A B C <d>", "open bold next line"]
 
 
-def test_wrappers_are_union_free(spark):
-    a = html_extraction.fold(["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"])
-    assert a == ["<ul>", ["+", ["<li>", "#", "</li>"]], "</ul>"]
-    b = ["<ul>", "<li>", "#", "</li>", "</ul>", "<p>", "#", "</p>"]
-    assert html_extraction.align(a, b) == ["<ul>", ["+", ["<li>", "#", "</li>"]], "</ul>", ["?", ["<p>", "#", "</p>"]]]
-    assert html_extraction.slot_paths(html_extraction.align(a, b)) == ["ul/li", "p"]
-
-
-def test_long_streams_align_in_parts():
-    block = lambda k: [f"<d.{k}>", "#", f"</d.{k}>"]
-    a = [t for k in range(600) for t in block(f"x{k}")]
-    b = [t for k in range(600) if k % 7 for t in block(f"x{k}")]
-    merged = html_extraction.align(["<z>", *a], ["<y>", *b])
-    paths = html_extraction.slot_paths(merged)
-    assert len([p for p in paths if p.rpartition("/")[2].startswith("d.x")]) >= 600
-    assert sum(isinstance(i, list) and i[0] == "?" for i in merged) >= 600 // 7
+def folded(page):
+    return html_extraction.tree(page)[0]
+
+
+def wrapper_of(pages):
+    out = None
+    for page in pages:
+        out = folded(page) if out is None else html_extraction.align(out, folded(page))
+    return out
+
+
+def as_regex(nodes):
+    """A wrapper as a regular expression of Python over flat streams."""
+    out = ""
+    for n in nodes:
+        inner = "#" if n.label == "#" else as_regex(n.kids) if not n.label else f"<{re.escape(n.label)}>{as_regex(n.kids)}</{re.escape(n.label)}>"
+        out += f"(?:{inner})" + ("*" if n.many and n.optional else "+" if n.many else "?" if n.optional else "")
+    return out
+
+
+def flat(page):
+    """The stream of a page without folding."""
+    out = []
+    for kind, value in html_extraction.events(page):
+        if kind in ("open", "close"):
+            out.append(f"<{'/' * (kind == 'close')}{value}>")
+        elif kind != "gap" and not value.isspace() and out[-1:] != ["#"]:
+            out.append("#")
+    return "".join(out)
+
+
+def random_markup(rng, depth=0):
+    parts = []
+    for _ in range(rng.randrange(1, 5)):
+        tag = rng.choice(["div", "ul", "section class=x", "h2"])
+        inner = "words" if depth > 2 or rng.random() < 0.4 else random_markup(rng, depth + 1)
+        parts += [f"<{tag}>{inner}</{tag.split()[0]}>"] * rng.choice([1, 1, 1, 2, 3])
+    return "".join(parts) * rng.choice([1, 1, 2])
+
+
+def test_wrappers_are_union_free():
+    a, b = "<ul><li>a</li><li>b</li></ul>", "<ul><li>c</li></ul><p>d</p>"
+    assert as_regex(folded(a)) == "(?:<ul>(?:<li>(?:#)</li>)+</ul>)"
+    assert as_regex(wrapper_of([a, b])) == "(?:<ul>(?:<li>(?:#)</li>)+</ul>)(?:<p>(?:#)</p>)?"
+    pair = "<dt>x</dt><dd>y</dd>"
+    assert as_regex(wrapper_of([pair * 3, pair])) == "(?:(?:<dt>(?:#)</dt>)(?:<dd>(?:#)</dd>))+"
+    assert html_extraction.written(html_extraction.read(html_extraction.written(folded(a + b)))) == html_extraction.written(folded(a + b))
+
+
+def test_a_wrapper_accepts_all_its_streams():
+    rng = random.Random(4)
+    for _ in range(40):
+        pages = [random_markup(rng) for _ in range(rng.randrange(2, 7))]
+        wrapper = wrapper_of(pages)
+        expression, matcher = re.compile(as_regex(wrapper)), html_extraction.Matcher(html_extraction.read(html_extraction.written(wrapper)))
+        for page in pages:
+            assert expression.fullmatch(flat(page))
+            stream = folded(page)
+            found = matcher.match(stream)
+            assert found is not None and set(found) == {t.slot for t in html_extraction.texts_of(stream)}
+        for page in (random_markup(rng) for _ in range(5)):
+            assert (matcher.match(folded(page)) is None) or expression.fullmatch(flat(page))
+
+
+def test_long_and_deep_pages_align_like_short_ones(spark):
+    block = lambda k: f"<div class=x{'abcdefghij'[k % 10]}{'y' * (k // 10)}>t{k}</div>"
+    wrapper = wrapper_of(["".join(block(k) for k in range(600)), "".join(block(k) for k in range(600) if k % 7)])
+    assert len(wrapper) == 600 and sum(n.optional for n in wrapper) == 86
+    deep = "<div>" * 3000 + "<p>bottom" + "</div>" * 3000
+    long = "<article><p>" + "word " * 100_000 + "</article>"
+    assert pages_of(spark, [deep, long, deep]) == {0: "bottom", 1: "word " * 99_999 + "word", 2: "bottom"}
+
+
+def test_slots_are_told_apart_by_their_place_in_the_wrapper(spark):
+    """Menu, notice, post and links below have the same path; only the alignment tells their slots apart."""
+    rng = random.Random(2)
+    notice = "<div><p>This site is moving soon</p></div>"
+    below = lambda k: f"<div><p><a href=x>other {k}</a></p></div>"
+    texts, pages = {}, []
+    for i in range(12):
+        words = [f"text {i} {j} {rng.random()}" for j in range(rng.randrange(2, 5))]
+        texts[i] = " ".join([f"title {i}", *words])
+        pages.append((notice if i % 2 else "") + f"<div><h2>title {i}</h2>" + "".join(f"<p>{w}</p>" for w in words) + "</div>" + below(i))
+    assert pages_of(spark, pages) == texts
+
+
+def test_pages_of_nothing_and_repeated_rows(spark):
+    d = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extraction.extract(d).count() == 0
+    d = spark.createDataFrame([(1, None, "<p>a")] * 3 + [(2, None, None), (None, "http://x/", "")], d.schema).withColumns({"stream": F.lit(1), "a.b": F.lit(2), "host": F.lit("z")})
+    assert sorted((r["page_id"] or 0, r["text"]) for r in html_extraction.extract(d).collect()) == [(0, ""), (1, "a"), (1, "a"), (1, "a"), (2, "")]
 
 
 def pages_of(spark, texts):
