@@ -12,10 +12,12 @@ result.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from courtside.llm._common import column, with_id
 #: Below this every letter is a letter in all versions of Unicode.
 PLAIN = "\u0250"
 #: Texts that one generation of a memo holds.
-MEMO = 150_000
+MEMO = 100_000
 #: Fixed value: the pattern under which texts part at single spaces.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -132,18 +134,18 @@ class Merges:
 
 
 class Memo(dict):
-    """Text -> its ids, made when first asked for.
+    """Text -> its ids as bytes, made when first asked for.
 
     Two generations of at most ``limit`` texts of at most ``longest`` characters: what is asked for again moves to
     the new one, and once that is full the old one goes. So frequent texts stay, however many rare ones pass by.
     """
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]], limit: int, longest: int):
+    def __init__(self, make: Callable[[str], bytes], limit: int, longest: int):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
+    def __missing__(self, text: str) -> bytes:
         ids = self.old.get(text) or self.make(text)
         if len(text) <= self.longest:
             if len(self) >= self.limit:
@@ -166,38 +168,41 @@ class Codec:
         ranks = {token: rank for rank, token in enumerate(vocabulary)}
         self.hash, self.merges = PerfectHash(vocabulary), Merges(vocabulary, ranks)
         self.cut, self.spaced = regex.compile(pattern).findall, pattern == SPACED
+        #: Ids are kept as machine integers, end to end: what a text has joins from what its parts have.
+        self.kind = "H" if len(vocabulary) <= 1 << 16 else "I"
         self.pieces, self.parts = Memo(self.piece, limit, 64), Memo(self.part, limit, 32)
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
         """The ids of a pre-token."""
         if text[0] == " " and (known := self.parts.get(text[1:])):
             return known
         data = text.encode()
         rank = self.hash.rank(data)
-        return (rank,) if self.vocabulary[rank] == data else tuple(self.merges.ids(data))
+        return array(self.kind, (rank,) if self.vocabulary[rank] == data else self.merges.ids(data)).tobytes()
 
-    def plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.cut(text))))
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
-    def part(self, text: str) -> tuple[int, ...]:
+    def part(self, text: str) -> bytes:
         """The ids of a space and the part after it; a part with white space at an end raises."""
         if text.isalpha() and max(text) < PLAIN:  # one pre-token
             return self.piece(" " + text)
         if not text or text[0].isspace() or text[-1].isspace():
             raise ValueError(text)
-        return tuple(self.plain(" " + text))
+        return self.plain(" " + text)
 
-    def encode(self, text: str) -> list[int]:
-        if not self.spaced:
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
+    def packed(self, text: str) -> bytes:
+        first, *rest = text.split(" ") if self.spaced else [text]
+        if not self.spaced or not first or first[-1].isspace():
             return self.plain(text)
         try:
-            return [*self.plain(first), *chain.from_iterable(map(self.parts.__getitem__, rest))]
+            return self.plain(first) + b"".join(map(self.parts.__getitem__, rest))
         except ValueError:
             return self.plain(text)
 
+    def encode(self, text: str) -> list[int]:
+        return memoryview(self.packed(text)).cast(self.kind).tolist()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
@@ -208,6 +213,19 @@ class Codec:
             memo.old = {}
 
 
+@contextmanager
+def at_work(vocabulary, pattern: str) -> Iterator[Codec]:
+    """A codec for one task. What it makes has no cycles, so their collector rests meanwhile; its memos go afterwards."""
+    coder = codec(vocabulary, pattern)
+    gc.disable()
+    try:
+        yield coder
+    finally:
+        gc.enable()
+        coder.forget()
+        pa.default_memory_pool().release_unused()
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -230,11 +248,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     named = _named(docs, id_col, text_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(shared, pattern)
-        for batch in batches:
-            ids = [coder.encode(x or "") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
-        coder.forget()
+        with at_work(shared, pattern) as coder:
+            for batch in batches:
+                packed = [coder.packed(x.as_py() or "") for x in batch.column(1)]
+                flat = np.frombuffer(b"".join(packed), coder.kind).astype(np.int32)
+                ends = np.cumsum([0, *(len(x) // array(coder.kind).itemsize for x in packed)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     return named.mapInArrow(run, with_id(named, "ids array<int>")).withColumnRenamed("id", id_col)
 
@@ -259,16 +279,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     named = _named(docs, id_col, text_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(shared, pattern)
-        decimals = list(map(str, range(len(coder.vocabulary))))
-        for batch in batches:
-            counts, of_ids, of_data = [], [], []
-            for text in batch.column(1):
-                ids = coder.encode(text.as_py() or "")
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
-                of_data.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(counts, np.int64)), pa.array(of_ids, pa.string()), pa.array(of_data, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        coder.forget()
+        with at_work(shared, pattern) as coder:
+            decimals = list(map(str, range(len(coder.vocabulary))))
+            for batch in batches:
+                counts, of_ids, of_data = [], [], []
+                for text in batch.column(1):
+                    ids = coder.encode(text.as_py() or "")
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
+                    of_data.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_data, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return named.mapInArrow(run, with_id(named, "n_tokens long, ids_sha256 string, decoded_sha256 string")).withColumnRenamed("id", id_col)
