@@ -5,7 +5,8 @@ suffixes and inner n-grams) and the whole word (the lexicon), hashed into a fixe
 language. Transitions between the languages of neighbouring words are learned with them. Training maximises
 the conditional likelihood of label sequences spliced from spans of labelled documents, so that languages
 switch inside a sequence as they do in mixed text. Forward-backward over the whole text, whatever its length,
-gives each word's language probabilities; a document's language has the largest mean, which is its score.
+gives each word's language probabilities (``label_words`` returns them word by word); a document's language has the
+largest mean, which is its score.
 
 Bounds: about ``per_language`` documents of each language are learned from, picked by hash, and ``spans``
 spans of their words. Prediction reads the text only.
@@ -16,6 +17,7 @@ A null text, or one without a letter, is ``und`` with score 1. Without labelled
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm._common import mix64, utf8, with_id
-from courtside.llm._words import WordTable, joined, words_of
+from courtside.llm._common import WORD, mix64, utf8, with_id
+from courtside.llm._words import DROPPED, WordTable, joined, words_of
 
 SLOTS = 1 << 17
 LONGEST = 5
 UNKNOWN = "und"
+WORDS = re.compile(WORD)
 
 
 def feature_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +111,22 @@ class Field:
         out[order] = total / sizes[:, None]
         return out
 
+    def marginals(self, words: list[bytes]) -> np.ndarray:
+        """The label probabilities of each word of one text, by forward-backward over all of them."""
+        known: dict[bytes, int] = {}
+        places = [known.setdefault(w, len(known)) for w in words]
+        scores = self.words(list(known))[places].astype(float)
+        step = np.exp(self.transitions - self.transitions.max())
+        ahead, behind = np.empty_like(scores), np.ones_like(scores)
+        for t, score in enumerate(scores):
+            x = score if t == 0 else (ahead[t - 1] @ step) * score
+            ahead[t] = x / x.sum()
+        for t in range(len(scores) - 2, -1, -1):
+            x = step @ (behind[t + 1] * scores[t + 1])
+            behind[t] = x / x.sum()
+        both = ahead * behind
+        return both / both.sum(1, keepdims=True)
+
     def predict(self, table: WordTable, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
@@ -223,3 +242,35 @@ def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
     named = docs.select(docs[id_col].alias("id"), F.lower(docs[text_col].cast("string")).alias("text"))
     return named.mapInArrow(run, with_id(named, "lang_pred string, score double")).withColumnRenamed("id", id_col)
+
+
+def word_places(text: str) -> list[tuple[int, int, bytes]]:
+    """Start and end, in code points, of every word that the model sees, and what it sees of it."""
+    places = []
+    for m in WORDS.finditer(text):
+        seen = m[0].lower().encode().translate(None, DROPPED)
+        if seen:
+            places.append((m.start(), m.end(), seen))
+    return places
+
+
+def label_words(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs -> id, words array<struct<start, stop, lang, score>>: the language of every word of a text, as in code-switched text.
+
+    A word's score is its label's probability by forward-backward over the whole text; words of digits and punctuation
+    only have no label, and neither has any word without a field's languages.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                places = word_places(text or "") if shared.value.languages else []
+                found = shared.value.marginals([w for *_, w in places]) if places else []
+                out.append([{"start": a, "stop": b, "lang": shared.value.languages[int(p.argmax())], "score": float(p.max())} for (a, b, _), p in zip(places, found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["id", "words"])
+
+    named = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return named.mapInArrow(run, with_id(named, "words array<struct<start:int,stop:int,lang:string,score:double>>")).withColumnRenamed("id", id_col)

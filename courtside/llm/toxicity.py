@@ -12,7 +12,8 @@ Bounds: at most about ``per_class`` labelled documents of each class are learned
 quarters build the models and one quarter the curve. Scoring reads the text only.
 
 Null, blank and letterless texts have no words and get the curve's value at zero. Texts of any length are
-scored whole. Without labels of both classes every score is the share of toxic labels (0 without any).
+scored whole; repeated rows are scored one by one; columns besides id and text are left out; an empty table gives an
+empty result. Without labels of both classes every score is the share of toxic labels (0 without any).
 """
 
 from __future__ import annotations

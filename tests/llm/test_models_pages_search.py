@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -60,6 +61,33 @@ def test_url_rules_and_model(spark, url_model):
 # ---- search ---------------------------------------------------------------------------------------------------
 
 
+def test_ngrams_are_those_of_the_marked_text(spark):
+    texts = ["", "a", "ab12c-ä漢", "casino"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, r in zip(texts, d.select(url_filter._grams(F.col("t"), "h", (3, 4)).alias("g")).collect()):
+        marked = "^" + re.sub("[0-9]+", "0", t) + "$"
+        assert r["g"] == ["h" + marked[k : k + n] for n in (3, 4) for k in range(max(1, len(marked) - n + 1))]
+
+
+def test_url_model_on_held_out_hosts(spark):
+    """Hosts whose names are not in the training rows."""
+    name = lambda url: re.sub(r"^(www|m|blog|shop)\.", "", url.split("/")[2]).split(".")[0]
+    held = lambda url: zlib.crc32(name(url).encode()) % 4 == 0
+    model = url_filter.train(spark, [r for r in url_filter.LABELLED if not held(r[0])])
+    rows = [(i, *r) for i, r in enumerate(r for r in url_filter.LABELLED if held(r[0]))]
+    assert len(rows) > 500
+    d = spark.createDataFrame(rows, "page_id int, url string, label int")
+    found = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judge(d, *model, rules=()).collect()}
+    right = sum(found[i] and label for i, _, label in rows)
+    assert right >= 0.95 * sum(found.values()) and right >= 0.8 * sum(label for *_, label in rows)
+
+
+def test_urls_of_nothing_and_repeated_rows(spark, url_model):
+    d = spark.createDataFrame([(1, "https://casino.example/"), (1, "https://casino.example/"), (None, None)], "page_id long, url string").withColumns({"host": F.lit("x"), "a.b": F.lit(1), "p": F.lit(2), "s": F.lit(3)})
+    assert url_filter.judge(d.limit(0), *url_model).count() == 0
+    assert [r["verdict"] for r in url_filter.judge(d, *url_model).orderBy(F.desc("page_id")).collect()][:2] == ["block"] * 2
+
+
 def brute_top(rows, k):
     """Repeated rows are rows of their own, as candidates and as queries."""
     usable = [(i, tuple(math.floor(1024 * Fraction(x)) for x in v)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)]
@@ -133,6 +161,32 @@ def test_language_held_out(spark):
     assert len(found) == len(rows)
 
 
+def test_words_of_mixed_text_have_their_own_language(spark):
+    """Code-switched texts, spliced from two languages: every word has a label."""
+    rng = random.Random(3)
+    d = spark.createDataFrame([(i, sentence(rng, lang, 40), lang) for i, lang in enumerate(rng.choices(["aa", "bb", "cc"], k=400))], "doc_id long, text string, lang string")
+    field = language_id.train(d)
+    texts, truth = [None, "", "12 !"], [[], [], []]
+    for _ in range(40):
+        parts = [(lang, sentence(rng, lang, rng.randrange(4, 12))) for lang in rng.sample(["aa", "bb", "cc"], 2)]
+        texts.append(" ".join(p for _, p in parts))
+        truth.append([lang for lang, p in parts for _ in p.split()])
+    mixed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"lang": F.lit("x"), "words": F.lit(1)})
+    rows = {r["doc_id"]: r["words"] for r in language_id.label_words(mixed, field).collect()}
+    assert [rows[i] for i in range(3)] == [[]] * 3
+    found = [(w["lang"], want) for i, t in enumerate(truth) for w, want in zip(rows[i], t, strict=True)]
+    assert all(texts[i][w["start"] : w["stop"]] == part for i in range(3, len(texts)) for w, part in zip(rows[i], texts[i].split()))
+    assert all(0 <= w["score"] <= 1.001 for ws in rows.values() for w in ws)
+    assert sum(a == b for a, b in found) >= 0.95 * len(found)
+
+
+def test_language_of_nothing_and_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "ka to mi", "aa"), (1, "ka to mi", "aa"), (2, "sch ung", "bb")], "doc_id long, text string, lang string")
+    field = language_id.train(d)
+    assert language_id.predict(d.limit(0), field).count() == 0
+    assert language_id.predict(d, field).filter("doc_id = 1").distinct().count() == 1 and language_id.predict(d, field).count() == 3
+
+
 def test_language_forward_backward_matches_enumeration():
     import itertools
 
@@ -187,6 +241,60 @@ def test_models_are_normalised_differences():
     assert gains[b"xyz"] > 0 > gains[b"abc"] and abs(model.words([b"qqq"])[0]) < 5
 
 
+def plain_kneser_ney(words, counts, byte, context, shared, order=7, discount=0.75):
+    """P(byte | context) of one class by plain dictionaries: own counts at the top, continuation counts of all words below."""
+    def grams(n, of):
+        out = {}
+        for w, c in zip(words, of):
+            padded = b"\x02" * (order - 1) + w + b"\x03"
+            for i in range(len(padded) - order + 1):
+                key = padded[i : i + order][order - n :]
+                out[key] = out.get(key, 0) + c
+        return out
+
+    top = grams(order, counts)
+    whole = set(grams(order, shared))
+    kinds = {n: {} for n in range(1, order)}
+    for n in range(order - 1, 0, -1):
+        for g in whole if n == order - 1 else set(kinds[n + 1]):
+            kinds[n][g[1:]] = kinds[n].get(g[1:], 0) + 1
+
+    def lower(n, ctx):
+        rows = {g: c for g, c in kinds[n].items() if g[:-1] == ctx}
+        below = 1 / 256 if n == 1 else lower(n - 1, ctx[1:])
+        total = sum(rows.values())
+        return (max(rows.get(ctx + byte, 0) - discount, 0) + discount * len(rows) * below) / total
+
+    rows = {g: c for g, c in top.items() if g[:-1] == context and c > 0}
+    total = sum(rows.values())
+    back = discount * len(rows) / total if total else 1.0
+    return (max(rows.get(context + byte, 0) - discount, 0) / total if total else 0.0) + back * lower(order - 1, context[1:])
+
+
+def test_models_match_plain_kneser_ney():
+    words = [b"abc", b"abd", b"xbc", b"b", b"abcabc"]
+    ordinary, toxic = np.array([3, 1, 0, 2, 1]), np.array([0, 4, 2, 0, 1])
+    model = toxicity.fit_models(words, ordinary, toxic, 1.5)
+    checked = 0
+    for gram, gain in zip(model.grams.tolist(), model.gains.tolist()):
+        data = gram.to_bytes(8, "big")[1:]
+        p, q = (plain_kneser_ney(words, c, data[-1:], data[:-1], ordinary + toxic) for c in (ordinary, toxic))
+        assert gain == pytest.approx(math.log(q) - math.log(p), abs=1e-5)
+        checked += 1
+    assert checked > 10
+
+
+def test_toxicity_of_nothing_and_repeated_rows(spark):
+    d = spark.createDataFrame([(i, "bad word" if i % 2 else "good day") for i in range(80)] + [(1, "bad word"), (200, ""), (201, None)], "doc_id long, text string").withColumns({"score": F.lit("x"), "a.b": F.lit(1)})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    assert toxicity.score(d.limit(0), model).count() == 0
+    rows = toxicity.score(d, model).collect()
+    scores = {r["doc_id"]: r["score"] for r in rows}
+    assert len(rows) == 83 and scores[200] == scores[201] and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     y = spark.createDataFrame([], "doc_id long, toxic int")
