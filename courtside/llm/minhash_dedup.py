@@ -290,10 +290,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     labels = components(every())
     discard(first, nodes, sets, listed, hot, bounds, last, wanted, more, *done)
 
-    # A component is named after its smallest id.
-    known = classes.select("set_a", "set_b", "node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = known.groupBy("component").agg(F.min("id").alias("name"))
-    named = known.join(names, "component").select("set_a", "set_b", "name")
+    # A component is named after its smallest id. Only linked classes have one, and the names are a table of their own,
+    # so that Spark can split what joins a large component.
+    linked = labels.join(classes.select("node", "id"), "node")
+    names = materialize(linked.groupBy("component").agg(F.min("id").alias("name")), "names")
+    named = classes.select("set_a", "set_b", "node", "id").join(small(labels, 16), "node", "left").join(small(names, 16), "component", "left")
+    named = named.select("set_a", "set_b", F.coalesce("name", "id").alias("name"))
     grouped = signed.select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("name")).otherwise(F.col("id"))
     return grouped.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
