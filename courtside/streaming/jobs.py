@@ -1,37 +1,59 @@
 """The tracking tables as streams: upserts, first-write-wins, live metrics and daily accuracy.
 
-Each job takes a streaming (or, for the same result, a static) DataFrame. Sinks write one version of the table
-a batch, beside the previous one, and remember the batch id, so a batch that runs twice changes nothing.
+Each job takes a streaming (or, for the same result, a static) DataFrame. Sinks write new versions of the buckets of keys
+that a batch touches, under the batch's id, so a batch that runs twice changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from courtside.functions.rounding import rounded
 
 
 class VersionedTable:
-    """A table kept as one folder per batch id; the highest complete one is current."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def versions(self) -> list[int]:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return []
-        done = [s.getPath() for s in files.listStatus(folder) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().partition("=")[2]) for p in done)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={known[-1]}") if known else self.spark.createDataFrame([], self.schema)
-
-    def write(self, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    """A table by key, kept as one version of each touched bucket of keys a batch.
+
+    A batch writes the buckets whose keys it has, beside their earlier versions, and nothing else; the newest version of
+    a bucket is current. A batch that runs again writes its own folder anew from the versions before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+        self.columns = StructType.fromDDL(schema)
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32) -> VersionedTable:
+        """An empty table: its first version holds no rows."""
+        table = cls(spark, path, schema, key, buckets)
+        spark.createDataFrame([], table.columns).write.parquet(f"{table.path}/batch=-1/bucket=0")
+        return table
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _all(self, before: int | None) -> DataFrame:
+        """Every version's rows, with the columns batch and bucket of their folders."""
+        kept = StructType([*self.columns.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
+        rows = self.spark.read.schema(kept).option("basePath", self.path).parquet(self.path)
+        return rows if before is None else rows.filter(F.col("batch") < before)
+
+    def read(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
+        """The current rows, or those before a batch; ``touched`` (bucket): of these buckets only, whose folders alone are read."""
+        rows = self._all(before)
+        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+        if touched is not None:
+            newest = newest.join(F.broadcast(touched), "bucket", "left_semi")
+        # One row a bucket, so the join prunes folders.
+        return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").select(self.columns.names)
+
+    def merge(self, batch: int, new: DataFrame, merge) -> None:
+        """Write merge(old, new) for the buckets that new touches."""
+        touched = new.select(self._bucket().alias("bucket")).distinct()
+        rows = merge(self.read(before=batch, touched=touched), new.select(self.columns.names))
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
 
 
 def latest(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -49,7 +71,8 @@ def first(old: DataFrame, new: DataFrame) -> DataFrame:
 def keep(stream: DataFrame, table: VersionedTable, merge, checkpoint: str):
     """Run the stream to its end, merging each batch into the table."""
     def batch(rows: DataFrame, number: int) -> None:
-        table.write(number, merge(table.read(before=number), rows))
+        if not rows.isEmpty():
+            table.merge(number, rows, merge)
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
