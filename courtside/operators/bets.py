@@ -41,6 +41,20 @@ def single_bets(assessed: DataFrame) -> DataFrame:
     })
 
 
+def placed_bets(bets: DataFrame) -> DataFrame:
+    """Every bet with its place, from 1, in the order of ranked_bets.
+
+    Bets are counted by value and confidence first; only these few pairs pass through one window, and a bet's place is
+    the count before its pair plus its number within the pair.
+    """
+    pair = ["value_score", "confidence_pct"]
+    best = [F.desc(c) for c in pair]
+    earlier = Window.orderBy(*best).rowsBetween(Window.unboundedPreceding, -1)
+    before = bets.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).select(*pair, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy(*pair).orderBy("game_id"))
+    return bets.join(before, pair).withColumn("place", F.col("before") + number).drop("before")
+
+
 def ranked_bets(bets: DataFrame) -> DataFrame:
     """By value and confidence, highest first; the game breaks ties."""
     return bets.orderBy(F.desc("value_score"), F.desc("confidence_pct"), "game_id")
@@ -49,9 +63,12 @@ def ranked_bets(bets: DataFrame) -> DataFrame:
 def parlays(bets: DataFrame, limit: int = 3) -> DataFrame:
     """Adjacent pairs of the best bets (value above 0, confidence above 70): odds, mean value, payouts and leg texts.
 
-    Only limit + 1 bets are ranked across the table; the sort before them is a top-k.
+    Only limit + 1 bets are ranked across the table; the sort before them is a top-k. Whether a bet will do is the
+    first key of that sort and is asked again of the few that leave it, so that no condition over all the inputs of
+    value and confidence is pushed down to the tables.
     """
-    best = ranked_bets(bets.filter((F.col("value_score") > 0) & (F.col("confidence_pct") > 70))).limit(limit + 1)
+    fit = (F.col("value_score") > 0) & (F.col("confidence_pct") > 70)
+    best = bets.withColumn("fit", F.coalesce(fit, F.lit(False))).orderBy(F.desc("fit"), F.desc("value_score"), F.desc("confidence_pct"), "game_id").limit(limit + 1).filter("fit")
     order = Window.orderBy(F.desc("value_score"), F.desc("confidence_pct"), "game_id")
     leg = F.concat(F.col("home_name"), F.lit(" vs "), F.col("away_name"), F.lit(": "), F.col("bet_type"), F.lit(" ("), F.col("odds").cast("string"), F.lit(")"))
     ranked = best.withColumns({"place": F.row_number().over(order), "leg": leg, "price": decimal_odds(F.col("odds"))})
@@ -93,13 +110,20 @@ def checked_slips(slips: DataFrame) -> DataFrame:
 
 
 def settled(legs: DataFrame, results: DataFrame) -> DataFrame:
-    """slip_id, legs, won, stake, payout, profit: a slip wins when all its legs do; legs without a result leave it open (null)."""
-    picked = F.when(F.col("side") == "home", F.col("home_id")).otherwise(F.col("away_id"))
-    joined = legs.join(results.select("game_id", "home_id", "away_id", "actual_winner"), "game_id", "left").withColumn("leg_won", F.when(F.col("home_id").isNotNull(), F.coalesce(picked == F.col("actual_winner"), F.lit(False))))
-    per_slip = joined.groupBy("slip_id").agg(F.count(F.lit(1)).alias("legs"), F.count("leg_won").alias("known"), F.bool_and("leg_won").alias("all_won"), F.max_by("amount", F.struct("amount", "leg_no")).cast("double").alias("stake"))
+    """slip_id, kind, legs, won, stake, payout, profit: a slip wins when all its legs do; legs without a result leave it open (null).
+
+    A spread leg wins if the picked side's margin plus its line is above 0, another leg if the picked side wins. A slip
+    of one leg pays by the leg's type, a slip of more as a parlay.
+    """
+    home = F.col("side") == "home"
+    margin = F.when(home, F.col("final_spread")).otherwise(-F.col("final_spread"))
+    right = F.when(F.col("bet_type") == "spread", margin + F.coalesce("line", F.lit(0.0)) > 0).otherwise(F.when(home, F.col("home_id")).otherwise(F.col("away_id")) == F.col("actual_winner"))
+    joined = legs.join(results.select("game_id", "home_id", "away_id", "actual_winner", "final_spread"), "game_id", "left").withColumn("leg_won", F.when(F.col("home_id").isNotNull(), F.coalesce(right, F.lit(False))))
+    per_slip = joined.groupBy("slip_id").agg(F.count(F.lit(1)).alias("legs"), F.min("bet_type").alias("bet_type"), F.max("odds").alias("odds"), F.count("leg_won").alias("known"), F.bool_and("leg_won").alias("all_won"), F.max_by("amount", F.struct("amount", "leg_no")).cast("double").alias("stake"))
+    per_slip = per_slip.withColumn("kind", F.when(F.col("legs") > 1, "parlay").otherwise(F.col("bet_type")))
     won = F.when(~F.col("all_won"), False).when(F.col("known") == F.col("legs"), F.col("all_won"))
-    payout = F.when(won, F.col("stake") * F.pow(F.lit(1.91), F.col("legs").cast("double"))).when(~won, 0.0)
-    return per_slip.select("slip_id", "legs", won.alias("won"), "stake", rounded(payout, 4).alias("payout"), rounded(payout - F.col("stake"), 4).alias("profit"))
+    payout = F.when(won, F.col("stake") * payout_multiplier(F.col("kind"), F.col("odds"), F.col("legs"))).when(~won, 0.0)
+    return per_slip.select("slip_id", "kind", "legs", won.alias("won"), "stake", rounded(payout, 4).alias("payout"), rounded(payout - F.col("stake"), 4).alias("profit"))
 
 
 def edges(forecasts: DataFrame, odds: DataFrame) -> DataFrame:

@@ -19,7 +19,10 @@ from courtside.params import ENSEMBLE_WEIGHTS, SPORTS
 
 DEFAULT_ERA = 4.5
 #: The columns of the flat training row, in order.
-FLAT = ("home_win_pct", "away_win_pct", "home_points_avg", "away_points_avg", "home_allowed_avg", "away_allowed_avg", "home_momentum", "away_momentum", "momentum_difference", "home_rest", "away_rest", "weather_impact", "head_to_head_advantage", "sentiment_advantage", "injury_difference")
+FLAT = (
+    "home_team_win_pct", "away_team_win_pct", "home_team_points_avg", "away_team_points_avg", "home_team_points_allowed_avg", "away_team_points_allowed_avg", "home_team_momentum", "away_team_momentum",
+    "home_team_injury_impact", "away_team_injury_impact", "head_to_head_advantage", "weather_impact", "sentiment_advantage", "home_team_back_to_back", "away_team_back_to_back",
+)
 
 
 @dataclass(frozen=True)
@@ -102,13 +105,28 @@ def flat_rows(enhanced: DataFrame) -> DataFrame:
     return enhanced.select("game_id", *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c) for c in FLAT])
 
 
-def enhanced_features(schedule: DataFrame, history: DataFrame) -> DataFrame:
-    """Momentum of both teams, rest and head-to-head of each scheduled game; teams without history get zeros."""
-    momentum = features.momentum(features.team_games(history))
-    side = lambda s: momentum.select(F.col("team_id").alias(f"{s}_id"), F.col("momentum").alias(f"{s}_momentum"))
-    met = features.head_to_head(schedule, history)
-    joined = met.join(side("home"), "home_id", "left").join(side("away"), "away_id", "left").withColumns({f"{s}_momentum": F.coalesce(f"{s}_momentum", F.lit(0.0)) for s in ("home", "away")})
-    return joined.withColumns({"momentum_difference": F.col("home_momentum") - F.col("away_momentum"), "head_to_head_advantage": F.col("home_advantage")})
+def enhanced_features(matchups: DataFrame, history: DataFrame, injuries: DataFrame | None = None, weather: DataFrame | None = None, sentiment: DataFrame | None = None) -> DataFrame:
+    """Each scheduled game with the FLAT columns and the differences between its teams.
+
+    ``matchups`` has both teams' averages (hw, hp, ha, aw, ap, aa); momentum and head-to-head come from ``history``;
+    injuries (team_id, impact), weather (game_id, impact) and sentiment (team_id, factor) are optional tables. Teams and
+    games that a table lacks get zeros. The tables by team meet in one table before they join both sides.
+    """
+    teams = features.momentum(features.team_games(history))
+    for table, column, name in ((injuries, "impact", "injury"), (sentiment, "factor", "sentiment")):
+        teams = teams.join(table.select("team_id", F.col(column).alias(name)), "team_id", "full") if table is not None else teams.withColumn(name, F.lit(0.0))
+    side = lambda s: teams.select(F.col("team_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("momentum", "injury", "sentiment")])
+    met = features.head_to_head(matchups, history)
+    joined = met.join(side("home"), "home_id", "left").join(side("away"), "away_id", "left")
+    if weather is not None:
+        joined = joined.join(weather.select("game_id", F.col("impact").alias("weather_impact")), "game_id", "left")
+    else:
+        joined = joined.withColumn("weather_impact", F.lit(None).cast("double"))
+    form = features.point_in_time(history).select("game_id", "home_back_to_back", "away_back_to_back")
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    named = {"win_pct": "w", "points_avg": "p", "points_allowed_avg": "a"}
+    rows = joined.join(form, "game_id", "left")
+    return rows.withColumns({f"{s}_team_{name}": F.col(f"{s[0]}{c}") for s in ("home", "away") for name, c in named.items()} | {f"{s}_team_{name}": known(f"{s}_{c}") for s in ("home", "away") for name, c in (("momentum", "momentum"), ("injury_impact", "injury"), ("sentiment", "sentiment"))} | {f"{s}_team_back_to_back": F.coalesce(F.col(f"{s}_back_to_back"), F.lit(False)) for s in ("home", "away")} | {"head_to_head_advantage": F.col("home_advantage")}).withColumns({f"{name}_{word}": F.col(f"home_team_{c}") - F.col(f"away_team_{c}") for name, c, word in (("momentum", "momentum", "advantage"), ("injury", "injury_impact", "difference"), ("sentiment", "sentiment", "advantage"))})
 
 
 def training_set(games: DataFrame) -> DataFrame:

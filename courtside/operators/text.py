@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from courtside.functions.rounding import rounded
 
+#: What a brief of forecasts asks for.
+BRIEF = "Compare these forecasts with the market. Name single bets, parlays, inefficiencies, insights and a strategy.\n"
 SENTENCE_END = r"(?<=[.!?])\s+"
 #: Keywords of each flag.
 KEYWORDS = {
@@ -32,22 +34,32 @@ def normalised(total: Column) -> Column:
 def text_sentiment(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, compound: the normalised sum of the valences of a text's tokens; texts without any score 0.
 
-    Tokens join the lexicon; valences are summed per token first, so a long text adds few rows to the shuffle.
+    Only tokens of the lexicon, which is small, leave the scan of the texts; the keys bring back texts without any.
     """
-    tokens = texts.select(*keys, F.explode_outer(F.split(F.lower(text), "[^a-z]+")).alias("token"))
-    counted = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
-    valued = counted.join(lexicon, "token", "left").groupBy(*keys).agg(F.sum(F.rint(F.coalesce("valence", F.lit(0.0)) * 1000).cast("long") * F.col("n")).alias("total"))
-    return valued.select(*keys, normalised(F.col("total") / 1000.0).alias("compound"))
+    hits = _valences(texts, lexicon, keys, F.col(text))
+    return texts.select(*keys).join(hits, keys, "left").select(*keys, F.coalesce("compound", F.lit(0.0)).alias("compound"))
+
+
+def _valences(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """keys, compound of the texts that have a token of the lexicon."""
+    tokens = texts.select(*keys, F.explode(F.split(F.lower(text), "[^a-z]+")).alias("token"))
+    total = F.sum(F.rint(F.coalesce("valence", F.lit(0.0)) * 1000).cast("long"))
+    return tokens.join(lexicon, "token").groupBy(*keys).agg(normalised(total / 1000.0).alias("compound"))
+
+
+def sentence_scores(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """article_id, title_score and body_score (mean over the sentences) of the articles that have a token of the lexicon; one scan of the texts."""
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.col("title").alias("part"))), F.transform(sentences(F.col("content")), lambda s, i: F.struct(i.alias("place"), s.alias("part"))))
+    each = articles.select("article_id", F.size(sentences(F.col("content"))).alias("n"), F.explode(parts).alias("p")).select("article_id", "n", "p.place", "p.part")
+    hits = _valences(each, lexicon, ["article_id", "n", "place"], F.col("part"))
+    body = F.sum(F.when(F.col("place") >= 0, F.rint(F.col("compound") * 1e9).cast("long")).otherwise(0))
+    return hits.groupBy("article_id", "n").agg(F.coalesce(F.max(F.when(F.col("place") < 0, F.col("compound"))), F.lit(0.0)).alias("title_score"), body.alias("body")).select("article_id", "title_score", F.coalesce(F.try_divide(F.col("body").cast("double"), F.col("n").cast("double")) / 1e9, F.lit(0.0)).alias("body_score"))
 
 
 def article_sentiment(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     """article_id, score (.3 title, .7 mean of sentences), label, confidence."""
-    title = text_sentiment(articles.select("article_id", "title"), lexicon, ["article_id"], "title").withColumnRenamed("compound", "title_score")
-    split = articles.select("article_id", F.posexplode(sentences(F.col("content"))).alias("place", "sentence"))
-    each = text_sentiment(split, lexicon, ["article_id", "place"], "sentence")
-    body = each.groupBy("article_id").agg((F.sum(F.rint(F.col("compound") * 1e9).cast("long")) / F.count(F.lit(1)) / 1e9).alias("body_score"))
-    score = rounded(F.col("title_score") * 0.3 + F.coalesce("body_score", F.lit(0.0)) * 0.7)
-    scored = title.join(body, "article_id", "left").select("article_id", score.alias("score"))
+    score = rounded(F.coalesce("title_score", F.lit(0.0)) * 0.3 + F.coalesce("body_score", F.lit(0.0)) * 0.7)
+    scored = articles.select("article_id").join(sentence_scores(articles, lexicon), "article_id", "left").select("article_id", score.alias("score"))
     return scored.select("article_id", "score", F.when(F.col("score") > 0, "POSITIVE").otherwise("NEGATIVE").alias("label"), F.abs("score").alias("confidence"))
 
 
@@ -145,6 +157,9 @@ def advice(reports: DataFrame) -> DataFrame:
 
 
 def brief(forecasts: DataFrame) -> DataFrame:
-    """sport, brief: one text per sport, its forecasts as pretty JSON; one row a sport and day keeps groups small."""
-    row = F.to_json(F.struct("game_id", "winner", "spread_text"), {"pretty": "true"})
-    return forecasts.groupBy("sport", F.to_date("game_ts").alias("day")).agg(F.concat(F.lit("Analyze these games:\n"), F.array_join(F.sort_array(F.collect_list(row)), "\n")).alias("brief"))
+    """sport, day, brief: the instruction, then the day's forecasts in order of their games; one row a sport and day keeps groups small."""
+    percent = lambda p: F.format_string("%.1f%%", rounded(p * 100.0, 1))
+    side = lambda s, p: F.concat(F.lit(f'"{s}": {{"name": "'), F.col(f"{s}_name"), F.lit('", "win_probability": "'), percent(F.col(p)), F.lit('", "moneyline": '), F.col(f"{s}_odds").cast("string"), F.lit("}"))
+    row = F.concat(F.lit('{"game_id": '), F.col("game_id").cast("string"), F.lit(", "), side("home", "p_home"), F.lit(", "), side("away", "p_away"), F.lit(', "spread": "'), F.col("spread_text"), F.lit('", "favoured": "'), F.col("favoured"), F.lit('", "winner": "'), F.col("winner"), F.lit('"}'))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("game_id", row.alias("row")))), lambda x: x["row"])
+    return forecasts.groupBy("sport", F.to_date("game_ts").alias("day")).agg(F.concat(F.lit(BRIEF), F.array_join(ordered, "\n")).alias("brief"))

@@ -74,6 +74,36 @@ def replace_keys(old: DataFrame, new: DataFrame, key: str = "game_id") -> DataFr
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+#: The tracking tables, those that depend on others first.
+TABLES = ("metrics", "results", "predictions")
+
+
+def replace_all(old: dict[str, DataFrame], new: dict[str, DataFrame], path: str, key: str = "game_id") -> dict[str, str]:
+    """Replace the keys of new in all TABLES and return the paths of their new versions.
+
+    A key that any table brings goes from all of them first, as in a cascade; each table is written beside its old
+    version, dependent tables first, and readers switch by path once all are there.
+    """
+    keys = None
+    for name in TABLES:
+        part = new[name].select(key)
+        keys = part if keys is None else keys.union(part)
+    keys = keys.distinct()
+    return {name: write_swapped(old[name].join(keys, key, "left_anti").unionByName(new[name]), f"{path}/{name}") for name in TABLES}
+
+
+def dashboard(detail: DataFrame, trend: DataFrame) -> DataFrame:
+    """One row, one nested document: the day's report with its error distribution and games, and the trend, newest first."""
+    report = day_report(detail)
+    buckets = F.struct(*[F.col(f"errors_{i}").alias(name) for i, name in enumerate(("b0_5", "b6_10", "b11_15", "b16"))])
+    day = report.select(F.struct("correct", "incorrect", "accuracy", buckets.alias("spread_errors")).alias("day"))
+    games = detail.agg(F.array_sort(F.collect_list(F.struct("game_id", "predicted_winner", "actual_winner", "spread_error"))).alias("games"))
+    days = trend.agg(F.sort_array(F.collect_list(F.struct("day", "accuracy", "spread_error", "games")), asc=False).alias("trend"))
+    # Three tables of one row each become one row.
+    parts = day.unionByName(games, allowMissingColumns=True).unionByName(days, allowMissingColumns=True)
+    return parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("day", "games", "trend")])
+
+
 def write_swapped(df: DataFrame, path: str) -> str:
     """Write a new version of a table beside the old ones and return its path; readers switch by path, so nobody reads a path that is being written."""
     import uuid
@@ -95,6 +125,19 @@ def games_by_date(games: DataFrame) -> DataFrame:
     return games.groupBy(F.to_date("game_ts").alias("day")).agg(F.count(F.lit(1)).alias("games"), ids.alias("game_ids")).orderBy("day")
 
 
+def other_game_counts(games: DataFrame) -> DataFrame:
+    """game_id, others, first_other: how many games of the same sport and day there are besides, and the smallest; games alone on their day are left out.
+
+    One row a sport and day is joined back, so a day's games never meet in pairs.
+    """
+    day = games.select("game_id", "sport", F.to_date("game_ts").alias("day"))
+    least = F.min("game_id")
+    one = day.groupBy("sport", "day").agg(F.count(F.lit(1)).alias("n"), least.alias("low"))
+    next_ = day.join(one.select("sport", "day", "low"), ["sport", "day"]).filter("game_id > low").groupBy("sport", "day").agg(least.alias("second"))
+    known = one.join(next_, ["sport", "day"])
+    return day.join(known, ["sport", "day"]).select("game_id", (F.col("n") - 1).alias("others"), F.when(F.col("game_id") == F.col("low"), F.col("second")).otherwise(F.col("low")).alias("first_other"))
+
+
 def other_games(games: DataFrame) -> DataFrame:
     """Pairs of a game and another of the same sport and day, for a parlay's further legs."""
     day = lambda a: games.select(F.col("game_id").alias(a), "sport", F.to_date("game_ts").alias("day"))

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.functions import formats, odds
+from courtside.functions import formats, odds, sqlfuncs
 from courtside.functions.rounding import rounded, whole
-from courtside.operators import bets, features, forecast, risk, text, tracking
+from courtside.operators import bets, features, forecast, ml, risk, text, tracking
 from courtside.plans.fixtures import PRELUDE, open_views
 from courtside.sources import feeds
+from courtside.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,6 +63,19 @@ FORECAST = MATCHUPS + f""", f1 AS (SELECT *, (hp + aa) / {D(2)} + {D(3)} AS exp_
     forecasts AS (SELECT *, 1 - p_home AS p_away, {american_sql('p_home')} AS home_odds, {american_sql('(1 - p_home)')} AS away_odds, {I('exp_home')} AS home_score_int, {I('exp_away')} AS away_score_int FROM f3)"""
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in what driver and executors share; one of our own only where a local session names none."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/courtside-{uuid.uuid4().hex}"
+
+
 def forecasts(view) -> DataFrame:
     return forecast.closed_form(forecast.matchups(view("games"), view("teams")))
 
@@ -361,14 +375,18 @@ def win09_sequences(view):
     return s.select("team_id", "game_id", F.aggregate(points, F.lit(0.0), lambda a, x: a + x).alias("points_sum"), F.get(F.col("sequence"), F.lit(0)).alias("first_points"))
 
 
-H2H = """, meetings AS (SELECT s.game_id, s.home_id, h.home_id AS hh, h.home_score, h.away_score FROM (SELECT * FROM games WHERE game_id % 5 = 0) s JOIN games h ON least(s.home_id, s.away_id) = least(h.home_id, h.away_id) AND greatest(s.home_id, s.away_id) = greatest(h.home_id, h.away_id))"""
+H2H = """, pairs AS (SELECT least(home_id, away_id) AS lo, greatest(home_id, away_id) AS hi, count(*) AS n, CAST(sum(CASE WHEN home_id <= away_id THEN home_score - away_score ELSE away_score - home_score END) AS DOUBLE) AS d,
+    count(*) FILTER (WHERE home_id <= away_id AND home_score > away_score) AS hw_low, count(*) FILTER (WHERE home_id > away_id AND home_score > away_score) AS hw_high,
+    count(*) FILTER (WHERE home_id <= away_id AND away_score > home_score) AS aw_low, count(*) FILTER (WHERE home_id > away_id AND away_score > home_score) AS aw_high FROM games GROUP BY 1, 2),
+    met AS (SELECT g.*, n, d, hw_low, hw_high, aw_low, aw_high FROM games g JOIN pairs ON least(home_id, away_id) = lo AND greatest(home_id, away_id) = hi)"""
+HOME_WINS = "CASE WHEN home_id <= away_id THEN hw_low ELSE hw_high END"
 
 
-@query(H2H + f"""SELECT game_id, count(*) AS meetings, count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS home_wins, count(*) FILTER (WHERE hh = home_id AND away_score > home_score) AS away_wins,
-    {R(f"CAST(sum(CASE WHEN hh = home_id THEN home_score - away_score ELSE away_score - home_score END) AS DOUBLE) / count(*)")} AS average_difference, {R("CAST(count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS DOUBLE) / count(*)")} AS home_advantage FROM meetings GROUP BY game_id""")
+@query(H2H + f"""SELECT game_id, n AS meetings, {HOME_WINS} AS home_wins, CASE WHEN home_id <= away_id THEN aw_low ELSE aw_high END AS away_wins,
+    {R("(CASE WHEN home_id <= away_id THEN d ELSE -d END) / n")} AS average_difference, {R(f"CAST({HOME_WINS} AS DOUBLE) / n")} AS home_advantage FROM met""")
 def agg04_head_to_head(view):
     g = view("games")
-    return features.head_to_head(g.filter("game_id % 5 = 0"), g).select("game_id", "meetings", "home_wins", "away_wins", "average_difference", "home_advantage")
+    return features.head_to_head(g, g).select("game_id", "meetings", "home_wins", "away_wins", "average_difference", "home_advantage")
 
 
 @query(" SELECT least(home_id, away_id) AS low_id, greatest(home_id, away_id) AS high_id, count(*) AS n, CAST(sum(CASE WHEN home_id <= away_id THEN home_score - away_score ELSE away_score - home_score END) AS BIGINT) AS difference FROM games GROUP BY 1, 2")
@@ -446,14 +464,12 @@ def bet09_reasoning(view):
     return bets.single_bets(assessed(view)).select("game_id", "reasoning")
 
 
-PARLAYS = BETS + f""", q1 AS (SELECT *, row_number() OVER (ORDER BY value_score DESC, confidence_pct DESC, game_id) AS place, concat(home_name, ' vs ', away_name, ': ', bet_type, ' (', CAST(odds AS STRING), ')') AS leg, {decimal_sql('CAST(odds AS DOUBLE)')} AS price FROM bets WHERE value_score > 0 AND confidence_pct > 40),
+PARLAYS = BETS + f""", q1 AS (SELECT *, row_number() OVER (ORDER BY value_score DESC, confidence_pct DESC, game_id) AS place, concat(home_name, ' vs ', away_name, ': ', bet_type, ' (', CAST(odds AS STRING), ')') AS leg, {decimal_sql('CAST(odds AS DOUBLE)')} AS price FROM bets WHERE value_score > 0 AND confidence_pct > 70),
     q2 AS (SELECT a.place, a.leg AS leg, b.leg AS next_leg, a.price * b.price AS c, (a.value_score + b.value_score) / 2 AS v FROM q1 a JOIN q1 b ON b.place = a.place + 1 WHERE a.place <= 3)"""
 
 
 def _parlays(view) -> DataFrame:
-    # The forecasts of these tables are never surer than 70; lift them so that the rule has bets to pair.
-    b = bets.single_bets(assessed(view)).withColumn("confidence_pct", F.col("confidence_pct") + 30)
-    return bets.parlays(b)
+    return bets.parlays(bets.single_bets(assessed(view)))
 
 
 @query(PARLAYS + f"SELECT place AS parlay_id, '2-Game Value Parlay' AS name, {back_sql('c')} AS combined_odds, {R(f'{back_sql(chr(99))} * {D(1.5)}', 2)} AS potential_payout, {R('c')} AS decimal_payout, {R('v', 2)} AS value_score, concat(leg, '; ', next_leg) AS bets FROM q2")
@@ -466,12 +482,9 @@ def win07_adjacent_pairs(view):
     return _parlays(view).select("parlay_id", F.split("bets", "; ")[0].alias("first_leg"), F.split("bets", "; ")[1].alias("second_leg"))
 
 
-@query(BETS + "SELECT CAST(row_number() OVER (ORDER BY value_score DESC, confidence_pct DESC, game_id) AS INT) AS place, game_id, value_score FROM bets QUALIFY place <= 100")
+@query(BETS + "SELECT row_number() OVER (ORDER BY value_score DESC, confidence_pct DESC, game_id) AS place, game_id, value_score FROM bets")
 def srt01_ranked_bets(view):
-    from pyspark.sql import Window
-
-    top = bets.ranked_bets(bets.single_bets(assessed(view))).limit(100)
-    return top.select(F.row_number().over(Window.orderBy(F.desc("value_score"), F.desc("confidence_pct"), "game_id")).alias("place"), "game_id", "value_score")
+    return bets.placed_bets(bets.single_bets(assessed(view))).select("place", "game_id", "value_score")
 
 
 @query(PARLAYS + f"SELECT place AS parlay_id, {R('v', 2)} AS value_score FROM q2 ORDER BY 2 DESC, 1 LIMIT 3")
@@ -492,14 +505,14 @@ def agg09_slip_odds(view):
     return bets.slip_odds(view("slip_legs"))
 
 
-SETTLED = f""", played AS (SELECT g.game_id, g.home_id, g.away_id, r.actual_winner FROM games g JOIN results r ON g.game_id = r.game_id),
-    s1 AS (SELECT l.*, CASE WHEN p.game_id IS NOT NULL THEN coalesce(CASE WHEN side = 'home' THEN home_id ELSE away_id END = actual_winner, false) END AS leg_won FROM slip_legs l LEFT JOIN played p ON l.game_id = p.game_id),
-    s2 AS (SELECT slip_id, count(*) AS legs, count(leg_won) AS known, bool_and(leg_won) AS all_won, CAST(max(amount) AS DOUBLE) AS stake FROM s1 GROUP BY slip_id),
+SETTLED = f""", played AS (SELECT g.game_id, g.home_id, g.away_id, r.actual_winner, r.final_spread FROM games g JOIN results r ON g.game_id = r.game_id),
+    s1 AS (SELECT l.*, CASE WHEN p.game_id IS NOT NULL THEN coalesce(CASE WHEN bet_type = 'spread' THEN CASE WHEN side = 'home' THEN final_spread ELSE -final_spread END + coalesce(line, 0) > 0 ELSE CASE WHEN side = 'home' THEN home_id ELSE away_id END = actual_winner END, false) END AS leg_won FROM slip_legs l LEFT JOIN played p ON l.game_id = p.game_id),
+    s2 AS (SELECT slip_id, count(*) AS legs, CASE WHEN count(*) > 1 THEN 'parlay' ELSE min(bet_type) END AS kind, max(odds) AS odds, count(leg_won) AS known, bool_and(leg_won) AS all_won, CAST(max(amount) AS DOUBLE) AS stake FROM s1 GROUP BY slip_id),
     s3 AS (SELECT *, CASE WHEN NOT all_won THEN false WHEN known = legs THEN all_won END AS won FROM s2),
-    s4 AS (SELECT *, CASE WHEN won THEN stake * pow({D(1.91)}, legs) WHEN NOT won THEN {D(0)} END AS payout FROM s3)"""
+    s4 AS (SELECT *, CASE WHEN won THEN stake * CASE kind WHEN 'spread' THEN {D(1.91)} WHEN 'moneyline' THEN {decimal_sql('CAST(odds AS DOUBLE)')} ELSE pow({D(1.91)}, legs) END WHEN NOT won THEN {D(0)} END AS payout FROM s3)"""
 
 
-@query(SETTLED + f"SELECT slip_id, legs, won, stake, {R('payout', 4)} AS payout, {R('payout - stake', 4)} AS profit FROM s4")
+@query(SETTLED + f"SELECT slip_id, kind, legs, won, stake, {R('payout', 4)} AS payout, {R('payout - stake', 4)} AS profit FROM s4")
 def bet13_settlement(view):
     played = view("results").join(view("games").select("game_id", "home_id", "away_id"), "game_id")
     return bets.settled(view("slip_legs"), played)
@@ -570,12 +583,13 @@ def srt03_dates(view):
     return tracking.games_by_date(view("games")).select("day")
 
 
-NEW = ", fresh AS (SELECT game_id, ts + INTERVAL 1 HOUR AS ts, away_id AS home_id, home_id AS away_id, away_id AS predicted_winner, predicted_spread + 1 AS predicted_spread, win_probability FROM predictions WHERE game_id % 4 = 1), older AS (SELECT * FROM predictions WHERE game_id % 4 < 3)"
+NEW = ", fresh AS (SELECT game_id, ts + INTERVAL 1 HOUR AS ts, away_id AS home_id, home_id AS away_id, away_id AS predicted_winner, predicted_spread + 1 AS predicted_spread, win_probability FROM predictions WHERE game_id % 2 = 1), older AS (SELECT * FROM predictions WHERE game_id % 4 < 3)"
 
 
 def _old_new(view) -> tuple[DataFrame, DataFrame]:
+    """Even games and every other odd one are in the table, all odd ones come anew."""
     p = view("predictions")
-    fresh = p.filter("game_id % 4 = 1").select("game_id", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("away_id").alias("home_id"), F.col("home_id").alias("away_id"), F.col("away_id").alias("predicted_winner"), (F.col("predicted_spread") + 1).alias("predicted_spread"), "win_probability")
+    fresh = p.filter("game_id % 2 = 1").select("game_id", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("away_id").alias("home_id"), F.col("home_id").alias("away_id"), F.col("away_id").alias("predicted_winner"), (F.col("predicted_spread") + 1).alias("predicted_spread"), "win_probability")
     return p.filter("game_id % 4 < 3"), fresh
 
 
@@ -584,12 +598,12 @@ def snk01_upsert_predictions(view):
     return tracking.upsert_predictions(*_old_new(view))
 
 
-@query(" SELECT game_id, ts, home_score FROM results WHERE game_id % 3 = 0 UNION ALL SELECT game_id, ts, home_score FROM results WHERE game_id % 3 = 1")
+@query(" SELECT game_id, ts, home_score FROM results")
 def snk02_insert_results(view):
     r = view("results").select("game_id", "ts", "home_score")
     late = r.withColumns({"ts": F.col("ts") + F.expr("interval 1 day"), "home_score": F.col("home_score") + 1})
     old = r.filter("game_id % 3 = 0")
-    return tracking.insert_new(old, late.filter("game_id % 3 < 2").unionByName(r.filter("game_id % 3 = 1")))
+    return tracking.insert_new(old, late.unionByName(r.filter("game_id % 3 > 0")))
 
 
 @query(" SELECT game_id, spread_error, winner_correct, ts FROM metrics")
@@ -604,15 +618,27 @@ def snk04_upsert_metrics(view):
     return tracking.upsert_all(m, changed)
 
 
-@query(" SELECT game_id, ts, CASE WHEN game_id % 6 = 1 THEN home_score + 100 ELSE home_score END AS home_score FROM results")
+@query(""" SELECT t AS tracked, game_id, CASE WHEN game_id % 6 = 1 THEN x + 100 ELSE x END AS x FROM (SELECT 'predictions' AS t, game_id, predicted_spread AS x FROM predictions UNION ALL SELECT 'results', game_id, final_spread FROM results UNION ALL SELECT 'metrics', game_id, spread_error FROM metrics)""")
 def snk05_replace_keys(view):
-    r = view("results").select("game_id", "ts", "home_score")
-    return tracking.replace_keys(r, r.filter("game_id % 6 = 1").withColumn("home_score", F.col("home_score") + 100))
+    """All three tracking tables, written and read again."""
+    value = {"predictions": "predicted_spread", "results": "final_spread", "metrics": "spread_error"}
+    old = {name: view(name) for name in tracking.TABLES}
+    new = {name: t.filter("game_id % 6 = 1").withColumn(value[name], F.col(value[name]) + 100) for name, t in old.items()}
+    spark = old["metrics"].sparkSession
+    paths = tracking.replace_all(old, new, f"{_scratch(spark)}/tracking")
+    parts = [spark.read.schema(old[name].schema).parquet(paths[name]).select(F.lit(name).alias("tracked"), "game_id", F.col(value[name]).alias("x")) for name in tracking.TABLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(TREND + """SELECT concat('{"day":"', strftime(day, '%Y-%m-%d'), '","games":', CAST(games AS STRING), '}') AS document FROM trend""")
+@query(DETAIL.replace("2001-07-01", "2001-07-31") + TREND + f"""SELECT CAST(t.day AS VARCHAR) AS day, t.accuracy, t.spread_error, t.games, d.correct, d.b11_15, d.first_game, d.last_error FROM trend t, (SELECT count(*) FILTER (WHERE predicted_winner = actual_winner) AS correct, count(*) FILTER (WHERE spread_error BETWEEN 11 AND 15) AS b11_15, min(game_id) AS first_game, arg_max(spread_error, game_id) AS last_error FROM detail) d""")
 def snk06_dashboard_document(view):
-    return _trend(view).select(F.to_json(F.struct("day", "games")).alias("document"))
+    """The nested document, written as JSON and read again: the trend's days beside fields of the day's report."""
+    detail = tracking.day_detail(view("predictions"), view("results"), view("metrics"), "2001-07-31")
+    document = tracking.dashboard(detail, _trend(view))
+    spark = document.sparkSession
+    landed = feeds.land(document, f"{_scratch(spark)}/dashboard")
+    read = spark.read.schema(document.schema).json(landed)
+    return read.select(F.explode("trend").alias("t"), "day.correct", F.col("day.spread_errors.b11_15").alias("b11_15"), F.get("games", F.lit(0))["game_id"].alias("first_game"), F.try_element_at("games", F.lit(-1))["spread_error"].alias("last_error")).select(F.col("t.day").cast("string").alias("day"), "t.accuracy", "t.spread_error", "t.games", "correct", "b11_15", "first_game", "last_error")
 
 
 @query(" SELECT count(*) AS predictions, count(DISTINCT game_id) AS games, min(ts) AS first_ts, max(ts) AS last_ts FROM predictions")
@@ -627,7 +653,7 @@ def jon07_not_predicted(view):
 
 @query(" SELECT a.game_id, count(*) AS others, min(b.game_id) AS first_other FROM games a JOIN games b ON a.sport = b.sport AND CAST(a.game_ts AS DATE) = CAST(b.game_ts AS DATE) AND a.game_id <> b.game_id GROUP BY a.game_id")
 def jon08_other_games(view):
-    return tracking.other_games(view("games")).groupBy("game_id").agg(F.count(F.lit(1)).alias("others"), F.min("other_id").alias("first_other"))
+    return tracking.other_game_counts(view("games"))
 
 
 @query(SLIPS + ", firsts AS (SELECT s.slip_id, s.legs, min(l.game_id) AS game_id FROM slips s JOIN slip_legs l ON s.slip_id = l.slip_id GROUP BY ALL) SELECT f.slip_id, p.predicted_winner FROM firsts f LEFT JOIN predictions p ON f.game_id = p.game_id")
@@ -640,23 +666,33 @@ def jon09_first_prediction(view):
 
 
 def _documents(rows: DataFrame, *columns) -> DataFrame:
-    """Rows as landed JSON documents."""
+    """Rows as documents of a text column, such as request bodies."""
     return rows.select(feeds.as_struct_json(*columns).alias("value"))
 
 
-@query(MATCHUPS + ", s AS (SELECT CAST(game_id AS STRING) AS game_id, game_ts, home_name, away_name FROM matchups) SELECT game_id, strftime(game_ts - INTERVAL 1 DAY, '%Y-%m-%d') AS game_date, CASE WHEN month(game_ts) IN (6, 7, 8) THEN '8:00 PM' ELSE '7:00 PM' END AS game_time, home_name, away_name FROM s WHERE month(game_ts) IN (1, 2, 6, 7, 8, 12)")
+def _landed(rows: DataFrame, schema: str, *columns) -> DataFrame:
+    """Rows landed as JSON files and read from there, as from a feed."""
+    spark = rows.sparkSession
+    return feeds.read_json(spark, feeds.land(rows.select(*columns), f"{_scratch(spark)}/landed"), schema)
+
+
+EASTERN = """CAST(make_date(year(u), 4, 1) + CAST((7 - dayofweek(make_date(year(u), 4, 1))) % 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 7 HOUR AS a,
+    CAST(make_date(year(u), 10, 31) - CAST(dayofweek(make_date(year(u), 10, 31)) AS INTEGER) AS TIMESTAMP) + INTERVAL 6 HOUR AS b"""
+
+
+@query(MATCHUPS + f", s AS (SELECT CAST(game_id AS STRING) AS game_id, game_ts AS u, home_name, away_name FROM matchups), z AS (SELECT *, u - to_hours(CASE WHEN u >= a AND u < b THEN 4 ELSE 5 END) AS l FROM (SELECT *, {EASTERN} FROM s)) SELECT game_id, strftime(l, '%Y-%m-%d') AS game_date, strftime(l, '%-I:%M %p') AS game_time, home_name, away_name FROM z")
 def src01_scoreboard(view):
-    m = forecast.matchups(view("games"), view("teams")).filter("month(game_ts) in (1, 2, 6, 7, 8, 12)")
+    m = forecast.matchups(view("games"), view("teams"))
     side = lambda s: F.struct(F.lit(s).alias("homeAway"), F.struct(F.col(f"{s}_name").alias("name")).alias("team"))
     event = F.struct(F.col("game_id").cast("string").alias("id"), F.date_format("game_ts", "yyyy-MM-dd'T'HH:mm'Z'").alias("date"), F.array(F.struct(F.array(side("away"), side("home")).alias("competitors"))).alias("competitions"))
-    return feeds.scoreboard_games(_documents(m, F.array(event).alias("events")))
+    return feeds.scoreboard_games(_landed(m, feeds.SCOREBOARD, F.array(event).alias("events")))
 
 
 @query(MATCHUPS + f"""SELECT game_id, strftime(game_ts, '%Y-%m-%d') AS game_date, strftime(game_ts, '%H:%M:%S') AS game_time, home_name, away_name, {R("CASE WHEN game_id % 5 = 0 THEN 0 ELSE CAST(game_id % 5 AS DOUBLE) / (game_id % 5 + game_id % 7) END")} AS home_win_pct,
     CASE WHEN game_id % 4 = 0 THEN {D(0)} ELSE CAST(home_score AS DOUBLE) END AS home_points_avg, CAST(away_score AS DOUBLE) AS away_points_avg FROM matchups""")
 def src02_season_scores(view):
     m = forecast.matchups(view("games"), view("teams"))
-    docs = _documents(m, F.col("game_id").alias("GameID"), F.date_format("game_ts", "yyyy-MM-dd'T00:00:00'").alias("Day"), F.date_format("game_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("DateTime"), F.col("home_name").alias("HomeTeam"), F.col("away_name").alias("AwayTeam"), (F.col("game_id") % 5).alias("HomeTeamWins"), (F.col("game_id") % 7).alias("HomeTeamLosses"), F.when(F.col("game_id") % 4 != 0, F.col("home_score")).alias("HomeTeamScore"), F.col("away_score").alias("AwayTeamScore"))
+    docs = _landed(m, feeds.SEASON, F.col("game_id").alias("GameID"), F.date_format("game_ts", "yyyy-MM-dd'T00:00:00'").alias("Day"), F.date_format("game_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("DateTime"), F.col("home_name").alias("HomeTeam"), F.col("away_name").alias("AwayTeam"), (F.col("game_id") % 5).alias("HomeTeamWins"), (F.col("game_id") % 7).alias("HomeTeamLosses"), F.when(F.col("game_id") % 4 != 0, F.col("home_score")).alias("HomeTeamScore"), F.col("away_score").alias("AwayTeamScore"))
     return feeds.season_games(docs)
 
 
@@ -665,7 +701,7 @@ def src03_odds_quotes(view):
     o = view("market_odds")
     line = lambda c: F.struct(c.alias("moneyLine"))
     home = F.when(F.col("game_id") % 13 == 0, "EVEN").otherwise(F.col("home_ml").cast("string"))
-    docs = _documents(o, "game_id", F.when(F.col("game_id") % 11 != 0, F.concat(F.lit("T -"), (F.col("game_id") % 9).cast("string"))).alias("details"), (F.lit(200.0) + F.col("game_id") % 40).alias("overUnder"), F.struct(line(home).alias("homeTeamOdds"), line(F.col("away_ml").cast("string")).alias("awayTeamOdds")).alias("moneyLine"), F.struct(F.lit("book").alias("name")).alias("provider"))
+    docs = _landed(o, feeds.QUOTE, "game_id", F.when(F.col("game_id") % 11 != 0, F.concat(F.lit("T -"), (F.col("game_id") % 9).cast("string"))).alias("details"), (F.lit(200.0) + F.col("game_id") % 40).alias("overUnder"), F.struct(line(home).alias("homeTeamOdds"), line(F.col("away_ml").cast("string")).alias("awayTeamOdds")).alias("moneyLine"), F.struct(F.lit("book").alias("name")).alias("provider"))
     return feeds.odds_quotes(docs)
 
 
@@ -726,7 +762,7 @@ def src10_page_preview(view):
 @query(" SELECT game_id, predicted_spread AS spread, CAST(game_id % 2 AS INT) AS label FROM predictions")
 def src11_training_rows(view):
     p = view("predictions").groupBy((F.col("game_id") % 500).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("game_id", F.col("predicted_spread").alias("spread")))).alias("games"))
-    return feeds.training_rows(_documents(p, "games", F.transform("games", lambda g: (g["game_id"] % 2).cast("int")).alias("labels")))
+    return feeds.training_rows(_landed(p, feeds.TRAINING, "games", F.transform("games", lambda g: (g["game_id"] % 2).cast("int")).alias("labels")))
 
 
 @query(" SELECT day, strftime(day, '%Y%m%d') AS partition, count(g.game_id) AS games FROM (SELECT CAST(unnest(range(DATE '2001-07-30', DATE '2001-08-06', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN games g ON CAST(g.game_ts AS DATE) = day GROUP BY ALL")
@@ -769,9 +805,10 @@ def txt03_article_sentiment(view):
 
 @query(SCORED + f"SELECT article_id, {R('b')} AS body_score FROM body")
 def agg07_sentence_mean(view):
-    split = view("articles").select("article_id", F.posexplode(text.sentences(F.col("content"))).alias("place", "sentence"))
-    each = text.text_sentiment(split, view("lexicon"), ["article_id", "place"], "sentence")
-    return each.groupBy("article_id").agg(rounded(F.sum(F.rint(F.col("compound") * 1e9).cast("long")) / F.count(F.lit(1)) / 1e9).alias("body_score"))
+    articles = view("articles")
+    some = articles.filter(F.size(text.sentences(F.col("content"))) > 0).select("article_id")
+    scored = some.join(text.sentence_scores(articles, view("lexicon")), "article_id", "left")
+    return scored.select("article_id", rounded(F.coalesce("body_score", F.lit(0.0))).alias("body_score"))
 
 
 @query(""" SELECT article_id, regexp_matches(lower(content), 'injury|injured|recovery') AS injury_related, regexp_matches(lower(content), 'strategy|system|approach') AS strategy_change,
@@ -801,9 +838,9 @@ def txt05_team_sentiment(view):
     return _factors(view)
 
 
-@query(FACTORS + "SELECT count(*) AS teams, count(*) FILTER (WHERE factor > 0) AS above, count(*) FILTER (WHERE factor < 0) AS below FROM factors")
+@query(FACTORS + "SELECT sign(factor) AS side, count(*) AS teams, min(factor) AS least, max(factor) AS most FROM factors GROUP BY 1")
 def agg06_recency_weighted(view):
-    return _factors(view).agg(F.count(F.lit(1)).alias("teams"), F.count_if(F.col("factor") > 0).alias("above"), F.count_if(F.col("factor") < 0).alias("below"))
+    return _factors(view).groupBy(F.signum("factor").cast("int").alias("side")).agg(F.count(F.lit(1)).alias("teams"), F.min("factor").alias("least"), F.max("factor").alias("most"))
 
 
 @query(FACTORS + f"SELECT g.game_id, {R('coalesce(h.factor, 0) - coalesce(a.factor, 0)', 3)} AS advantage FROM games g LEFT JOIN factors h ON g.home_id = h.team_id LEFT JOIN factors a ON g.away_id = a.team_id")
@@ -811,7 +848,8 @@ def txt06_sentiment_advantage(view):
     return text.sentiment_advantage(view("games"), _factors(view))
 
 
-@query()
+@query(FORECAST + f"""SELECT sport, CAST(game_ts AS DATE) AS day, concat('Compare these forecasts with the market. Name single bets, parlays, inefficiencies, insights and a strategy.', chr(10), string_agg(concat('{{"game_id": ', game_id, ', "home": {{"name": "', home_name, '", "win_probability": "', printf('%.1f%%', {R('p_home * 100', 1)}), '", "moneyline": ', home_odds, '}}, "away": {{"name": "', away_name,
+    '", "win_probability": "', printf('%.1f%%', {R('p_away * 100', 1)}), '", "moneyline": ', away_odds, '}}, "spread": "', printf('%.1f', {R('abs(spread)', 1)}), '", "favoured": "', CASE WHEN spread > 0 THEN home_name ELSE away_name END, '", "winner": "', CASE WHEN p_home > p_away THEN home_name ELSE away_name END, '"}}'), chr(10) ORDER BY game_id)) AS brief FROM forecasts GROUP BY 1, 2""")
 def txt07_analysis_brief(view):
     return text.brief(forecast.picks(forecasts(view)))
 
@@ -855,17 +893,13 @@ def txt12_strategy_fields(view):
     return text.strategy_fields(text.report_sections(view("reports")))
 
 
-@query(SINGLE + f", ins AS (SELECT report_id, {BULLETS} AS points FROM sections WHERE kind = 'insight') SELECT r.report_id, coalesce(s.teams, 'none') AS teams, coalesce(s.confidence, 75) AS confidence, 'Cleveland|Boston' AS legs, coalesce(i.points, '') AS points, 'low' AS risk FROM reports r LEFT JOIN single s ON r.report_id = s.report_id LEFT JOIN ins i ON r.report_id = i.report_id")
+@query(SINGLE + f", ins AS (SELECT report_id, {BULLETS} AS points FROM sections WHERE kind = 'insight'), par AS (SELECT report_id, array_to_string(list_transform(string_split_regex({field_sql('Games:')}, '\\band\\b'), lambda x: trim(x)), '|') AS legs FROM sections WHERE kind = 'parlay'), strat AS (SELECT report_id, {field_sql('Risk:')} AS risk FROM sections WHERE kind = 'strategy') SELECT r.report_id, coalesce(s.teams, 'none') AS teams, coalesce(s.confidence, 75) AS confidence, coalesce(p.legs, '') AS legs, coalesce(i.points, '') AS points, coalesce(t.risk, 'medium') AS risk FROM reports r LEFT JOIN par p ON r.report_id = p.report_id LEFT JOIN strat t ON r.report_id = t.report_id LEFT JOIN single s ON r.report_id = s.report_id LEFT JOIN ins i ON r.report_id = i.report_id")
 def txt13_advice(view):
     return text.advice(view("reports"))
 
 
 # ---- models, streams, SQL functions ---------------------------------------------------------------------------
 
-from courtside.functions import sqlfuncs  # noqa: E402
-from courtside.operators import ml  # noqa: E402
-from courtside.streaming import jobs  # noqa: E402
-
 P3 = [f"(CAST(game_id * {k} % 100 AS DOUBLE) / 100)" for k in (17, 29, 43)]
 MEAN3 = f"(({P3[0]} + {P3[1]} + {P3[2]}) / {D(3)})"
 DEV3 = "sqrt((" + " + ".join(f"({p} - {MEAN3}) * ({p} - {MEAN3})" for p in P3) + f") / {D(3)})"
@@ -887,23 +921,33 @@ def ml08_ensemble_confidence(view):
     return view("games").select("game_id", rounded(ml.ensemble_confidence(*map(F.expr, P3))).alias("confidence"))
 
 
-MOMENTUM = RECENT + f""", mo AS (SELECT team_id, sum(weight * CASE WHEN points > opponent_points THEN {D(1)} ELSE {D(-1)} END * (1 + CAST(points - opponent_points AS DOUBLE) / greatest(points, opponent_points))) / count(*) AS momentum FROM recent GROUP BY team_id)"""
+MOMENTUM = FACTORS + RECENT + f""", mo AS (SELECT team_id, sum(weight * CASE WHEN points > opponent_points THEN {D(1)} ELSE {D(-1)} END * (1 + CAST(points - opponent_points AS DOUBLE) / greatest(points, opponent_points))) / count(*) AS momentum FROM recent GROUP BY team_id)"""
+ENHANCED = MOMENTUM + H2H + MATCHUPS + f""", rested AS (SELECT game_id, bool_or(is_home = 1 AND b) AS hb, bool_or(is_home = 0 AND b) AS ab FROM (SELECT game_id, is_home, coalesce({LAG} <= 1, false) AS b FROM team_games) GROUP BY game_id),
+    enhanced AS (SELECT m.game_id, {R('x.hw')} AS home_team_win_pct, {R('x.aw')} AS away_team_win_pct, {R('x.hp')} AS home_team_points_avg, {R('x.ap')} AS away_team_points_avg, {R('x.ha')} AS home_team_points_allowed_avg, {R('x.aa')} AS away_team_points_allowed_avg,
+        {R('coalesce(hm.momentum, 0)')} AS home_team_momentum, {R('coalesce(am.momentum, 0)')} AS away_team_momentum, {R('coalesce(hm.momentum, 0) - coalesce(am.momentum, 0)')} AS momentum_advantage, coalesce(hi_.impact, 0) AS home_team_injury_impact, coalesce(ai_.impact, 0) AS away_team_injury_impact,
+        {R('coalesce(hi_.impact, 0) - coalesce(ai_.impact, 0)')} AS injury_difference, {R("CAST(" + HOME_WINS.replace("home_id", "m.home_id").replace("away_id", "m.away_id") + " AS DOUBLE) / n")} AS head_to_head_advantage, w.impact AS weather_impact, {R('coalesce(hf.factor, 0) - coalesce(af.factor, 0)')} AS sentiment_advantage, hb AS home_team_back_to_back, ab AS away_team_back_to_back
+        FROM met m JOIN matchups x ON m.game_id = x.game_id JOIN rested r ON m.game_id = r.game_id LEFT JOIN mo hm ON m.home_id = hm.team_id LEFT JOIN mo am ON m.away_id = am.team_id LEFT JOIN injuries hi_ ON m.home_id = hi_.team_id LEFT JOIN injuries ai_ ON m.away_id = ai_.team_id
+        LEFT JOIN weather w ON m.game_id = w.game_id LEFT JOIN factors hf ON m.home_id = hf.team_id LEFT JOIN factors af ON m.away_id = af.team_id)"""
+
+
+def _enhanced(view) -> DataFrame:
+    games = view("games")
+    return ml.enhanced_features(forecast.matchups(games, view("teams")), games, view("injuries"), view("weather"), _factors(view))
+
+
+def _six(name: str):
+    return rounded(name).alias(name)
 
 
-@query(MOMENTUM + H2H.replace("SELECT s.game_id, s.home_id,", "SELECT s.game_id, s.home_id, s.away_id,") + f""", hh AS (SELECT game_id, home_id, away_id, {R("CAST(count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS DOUBLE) / count(*)")} AS a FROM meetings GROUP BY ALL)
-    SELECT game_id, {R('coalesce(h.momentum, 0)')} AS home_momentum, {R('coalesce(w.momentum, 0)')} AS away_momentum, a AS head_to_head_advantage FROM hh LEFT JOIN mo h ON hh.home_id = h.team_id LEFT JOIN mo w ON hh.away_id = w.team_id""")
+@query(ENHANCED + "SELECT game_id, home_team_momentum, away_team_momentum, momentum_advantage, head_to_head_advantage, home_team_injury_impact, away_team_injury_impact, injury_difference, weather_impact, sentiment_advantage FROM enhanced")
 def bet12_enhanced_features(view):
-    g = view("games")
-    e = ml.enhanced_features(g.filter("game_id % 5 = 0"), g)
-    return e.select("game_id", rounded("home_momentum").alias("home_momentum"), rounded("away_momentum").alias("away_momentum"), "head_to_head_advantage")
+    e = _enhanced(view)
+    return e.select("game_id", *map(_six, ("home_team_momentum", "away_team_momentum", "momentum_advantage", "head_to_head_advantage", "home_team_injury_impact", "away_team_injury_impact", "injury_difference")), "weather_impact", _six("sentiment_advantage"))
 
 
-@query(MOMENTUM + H2H.replace("SELECT s.game_id, s.home_id,", "SELECT s.game_id, s.home_id, s.away_id,") + f""", hh AS (SELECT game_id, home_id, away_id, {R("CAST(count(*) FILTER (WHERE hh = home_id AND home_score > away_score) AS DOUBLE) / count(*)")} AS a FROM meetings GROUP BY ALL)
-    SELECT game_id, {R('coalesce(h.momentum, 0) - coalesce(w.momentum, 0)')} AS momentum_difference, a AS head_to_head_advantage, {D(0)} AS weather_impact FROM hh LEFT JOIN mo h ON hh.home_id = h.team_id LEFT JOIN mo w ON hh.away_id = w.team_id""")
+@query(ENHANCED + "SELECT game_id, " + ", ".join(f"CAST(coalesce({c}, {'false' if c.endswith('back') else '0'}) AS DOUBLE) AS {c}" for c in ml.FLAT) + " FROM enhanced")
 def prj17_flat_training_row(view):
-    g = view("games")
-    flat = ml.flat_rows(ml.enhanced_features(g.filter("game_id % 5 = 0"), g))
-    return flat.select("game_id", rounded("momentum_difference").alias("momentum_difference"), "head_to_head_advantage", "weather_impact")
+    return ml.flat_rows(_enhanced(view)).select("game_id", *map(_six, ml.FLAT))
 
 
 @query(LINES + f"SELECT game_id, {R('hw')} AS f_hw, {R('hp')} AS f_hp, CASE WHEN game_id % 3 = 1 AND game_id % 2 = 0 THEN {D(4.5)} ELSE {D(3)} END AS f_home_era FROM lines WHERE sport = 'MLB'")
@@ -940,7 +984,7 @@ def ml03_forest_by_sport(view):
 
 @query()
 def ml06_train_all_models(view):
-    """AGG-10, ML-04, ML-05, ML-06, ML-12: three models on point-in-time features, their accuracy and sample sizes."""
+    """Three models on point-in-time features, their accuracy and sample sizes."""
     rows, columns = _training(view)
     return ml.train_models(rows, columns)[1]
 
@@ -980,19 +1024,10 @@ def _stream(view, kind: str) -> DataFrame:
     return typed.select("event_id", "ts", F.col("user_id").cast("long").alias("game_id"), (F.col("value") / 10 - 25).alias("spread"), F.when(F.col("event_id") % 2 == 0, "home").otherwise("away").alias("winner"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in what driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/courtside-stream-{uuid.uuid4().hex}"
-
-
 def _kept(view, kind: str, merge) -> DataFrame:
     spark = view("events").sparkSession
     base = _scratch(spark)
-    table = jobs.VersionedTable(spark, f"{base}/table", EVENT)
+    table = jobs.VersionedTable.create(spark, f"{base}/table", EVENT, "game_id")
     jobs.keep(_stream(view, kind), table, merge, f"{base}/checkpoint")
     return table.read()
 
@@ -1011,13 +1046,20 @@ def str02_result_stream(view):
 
 
 def _streamed(view, frame: DataFrame, mode: str) -> DataFrame:
-    """The end of a stream, as a table of what it emitted."""
+    """The end of a stream, as a table of what it emitted; a complete result is one version a batch, so no reader meets a folder that is being written."""
     spark = view("events").sparkSession
     base = _scratch(spark)
     if mode == "append":
         frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     else:
-        frame.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+        done: list[int] = []
+
+        def whole(rows: DataFrame, number: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{base}/out-{number}")
+            done.append(number)
+
+        frame.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(whole).start().awaitTermination()
+        return spark.read.schema(frame.schema).parquet(f"{base}/out-{max(done)}")
     return spark.read.schema(frame.schema).parquet(f"{base}/out")
 
 
@@ -1031,11 +1073,15 @@ def str04_daily_accuracy(view):
     return _streamed(view, jobs.daily_accuracy(_stream(view, "view")), "complete")
 
 
-@query(FORECAST + f"SELECT game_id, {american_sql('p_home')} AS odds, {R(decimal_sql('CAST(' + american_sql('p_home') + ' AS DOUBLE)'))} AS price, {R(SPREAD_EV)} AS spread_ev FROM forecasts")
+@query(RISK + f"""SELECT game_id, {american_sql('p_home')} AS odds, {R(decimal_sql('CAST(' + american_sql('p_home') + ' AS DOUBLE)'))} AS price, {back_sql('(1 / p_home)')} AS back, {R(SPREAD_EV)} AS spread_ev, {R('greatest(' + side_sql('p_home', 'CAST(home_odds AS DOUBLE)') + ', ' + side_sql('p_away', 'CAST(away_odds AS DOUBLE)') + ')')} AS money_ev,
+    {R('confidence_risk')} AS r1, {R('odds_risk')} AS r2, {R('volatility_risk')} AS r3, {R('historical_risk')} AS r4, {R('risk_score')} AS r5, risk_level FROM risks""")
 def udf02_sql_functions(view):
-    f = forecasts(view)
+    f = forecasts(view).join(view("market_odds"), "game_id")
     sqlfuncs.register(f.sparkSession)
-    return f.select("game_id", F.expr("american_odds(p_home)").alias("odds"), rounded(F.expr("decimal_odds(CAST(american_odds(p_home) AS DOUBLE))")).alias("price"), rounded(F.expr("spread_value(p_home, spread)")).alias("spread_ev"))
+    call = lambda text, name: rounded(F.expr(text)).alias(name)
+    risks = {"r1": "confidence_risk(confidence, true)", "r2": "odds_risk(home_ml, away_ml)", "r3": "volatility_risk(hp, ha, ap, aa)", "r4": "historical_risk(hw, aw)"}
+    with_risks = f.withColumns({n: F.expr(e) for n, e in risks.items()}).withColumn("r5", F.expr("overall_risk(r1, r2, r3, r4)"))
+    return with_risks.select("game_id", F.expr("american_odds(p_home)").alias("odds"), call("decimal_odds(CAST(american_odds(p_home) AS DOUBLE))", "price"), F.expr("american_from_decimal(1 / p_home)").alias("back"), call("spread_value(p_home, spread)", "spread_ev"), call("moneyline_value(p_home, p_away, home_odds, away_odds)", "money_ev"), *[rounded(n).alias(n) for n in ("r1", "r2", "r3", "r4", "r5")], F.expr("risk_level(r5)").alias("risk_level"))
 
 
 @query()
@@ -1061,24 +1107,89 @@ def ml05_feed_forward(view):
     return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
 
 
+def _scoring_rows(view) -> DataFrame:
+    """Matchups with rest flags and the known pitchers' averages, and whether home won."""
+    games = view("games")
+    m = forecast.matchups(games, view("teams")).join(features.point_in_time(games).select("game_id", "home_back_to_back", "away_back_to_back"), "game_id")
+    return m.withColumns({"home_era": F.expr(ERA(0)), "away_era": F.expr(ERA(1)), "label": (F.col("home_score") > F.col("away_score")).cast("int")})
+
+
+def _lined(rows: DataFrame) -> DataFrame:
+    """The run line as a line with its tier's bounds, for baseball."""
+    lined = forecast.run_line(rows, F.col("home_era"), F.col("away_era"))
+    return lined.withColumns({"line": F.col("run_line"), "raw_line": F.col("run_line")})
+
+
+def _sport_specs(trees: int = 100, depth: int = 10) -> dict[str, ml.SportSpec]:
+    forest = lambda: ml.RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42)
+    return {s: ml.SportSpec(s, ml.sport_columns(s), _lined if s == "MLB" else forecast.point_spread, forest) for s in ml.Registry.supported()}
+
+
 @query()
 def ml09_batch_scoring(view):
-    """Forest probabilities of every game, clamped, with line, tier and agreement; ML-13's registry keeps the models."""
-    m = forecast.matchups(view("games"), view("teams")).withColumns({"home_era": F.lit(None).cast("double"), "away_era": F.lit(None).cast("double"), "home_back_to_back": F.lit(False), "away_back_to_back": F.lit(False)})
-    labelled = m.withColumn("label", (F.col("home_score") > F.col("away_score")).cast("int"))
-    registry = ml.Registry(f"{_scratch(m.sparkSession)}/models")
+    """Forest probabilities of every game by its sport's model, moved by the teams' sentiment, with line, tier and agreement; a registry keeps the models."""
+    rows = _scoring_rows(view)
+    factors = _factors(view)
+    for s in ("home", "away"):
+        rows = rows.join(factors.select(F.col("team_id").alias(f"{s}_id"), F.col("factor").alias(f"{s}_factor")), f"{s}_id", "left")
+    registry = ml.Registry(f"{_scratch(rows.sparkSession)}/models")
     out = None
-    for sport in ml.Registry.supported():
-        spec = ml.SportSpec(sport, ml.sport_columns(sport), forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=100, maxDepth=10, seed=42))
-        mine = spec.prepared(forecast.supported(labelled, sport))
+    for sport, spec in _sport_specs().items():
+        mine = spec.prepared(forecast.supported(rows, sport))
         registry.save(sport, spec.pipeline().fit(ml.split(mine)[0]))
-        scored = forecast.clamped(ml.probability(ml.Registry(registry.path).get(sport).transform(mine)), F.col("p"))
+        scored = ml.probability(ml.Registry(registry.path).get(sport).transform(mine))
+        if sport != "NBA":
+            known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+            scored = scored.withColumn("p", forecast.sentiment_adjusted(F.col("p"), known("home_factor"), known("away_factor")))
+        scored = forecast.clamped(scored, F.col("p"))
         scored = forecast.agreement(forecast.tier(spec.line(scored)), F.col("p_home_model"), F.col("line"))
         part = scored.select("game_id", "sport", rounded("p_home_model", 4).alias("p_home"), "line", "tier", "model_agreement", rounded("confidence_model", 4).alias("confidence"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query()
+def ml13_model_registry(view):
+    """Models fitted once, saved by sport, loaded by another registry: which sports it has, and the games each model scores."""
+    rows = _scoring_rows(view)
+    registry = ml.Registry(f"{_scratch(rows.sparkSession)}/models")
+    parts = []
+    for sport, spec in _sport_specs(trees=20, depth=5).items():
+        mine = spec.prepared(forecast.supported(rows, sport))
+        model = spec.pipeline().fit(ml.split(mine)[0])
+        registry.save(sport, model)
+        again = ml.Registry(registry.path).get(sport)
+        both = ml.probability(model.transform(mine), "kept").select("game_id", "kept").join(ml.probability(again.transform(mine), "loaded").select("game_id", "loaded"), "game_id")
+        parts.append(both.agg(F.count(F.lit(1)).alias("games"), F.count_if(F.col("kept") == F.col("loaded")).alias("same")).select(F.lit(sport).alias("sport"), "games", "same"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+ORACLE_SQL["ml13_model_registry"] = f"{PRELUDE} SELECT sport, count(*) AS games, count(*) AS same FROM games GROUP BY sport"
+
+
+@query()
+def agg10_model_accuracy(view):
+    """Accuracy of a sport's forest on the held-out games, and the sizes of both samples."""
+    rows = _scoring_rows(view)
+    found = []
+    for sport, spec in _sport_specs(trees=20, depth=5).items():
+        train, test = ml.split(spec.prepared(forecast.supported(rows, sport)))
+        accuracy = ml.accuracy(spec.pipeline().fit(train).transform(test))
+        found.append(train.agg(F.count(F.lit(1)).alias("train_rows")).select(F.lit(sport).alias("sport"), F.lit(accuracy).alias("accuracy"), "train_rows"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(LINES + f"SELECT game_id, {R('hw - aw')} AS share_difference, {R('raw_line + 1', 1)} AS line FROM lines")
+def udf01_pluggable_sport(view):
+    """A sport that the engine does not know, as features, line and estimator of its own."""
+    games = forecast.matchups(view("games"), view("teams"))
+    line = lambda rows: forecast.point_spread(rows).withColumn("line", rounded(F.col("raw_line") + 1, 1))
+    spec = ml.SportSpec("NHL", {"share_difference": F.col("hw") - F.col("aw")}, line, lambda: ml.RandomForestClassifier(numTrees=5, seed=42))
+    rows = spec.prepared(games.withColumn("label", (F.col("home_score") > F.col("away_score")).cast("int")))
+    scored = spec.line(spec.pipeline().fit(ml.split(rows)[0]).transform(rows))
+    return scored.select("game_id", rounded("share_difference").alias("share_difference"), "line")
+
+
 BEFORE20 = BEFORE.replace("10 PRECEDING", "20 PRECEDING")
 
 

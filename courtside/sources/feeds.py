@@ -19,12 +19,19 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parsed(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    return raw.select(F.from_json(column, schema).alias("d"))
+    """Documents of a text column, such as request bodies, by schema."""
+    return raw.select(F.from_json(column, schema).alias("d")).select("d.*")
+
+
+def land(rows: DataFrame, path: str) -> str:
+    """Write rows as JSON documents, one a line, as a feed lands them; returns the path."""
+    rows.write.json(path)
+    return path
 
 
 def scoreboard_games(raw: DataFrame) -> DataFrame:
     """Scoreboard documents -> one row per event: id, Eastern date and time, both names; the first competition counts."""
-    events = parsed(raw, SCOREBOARD).select(F.explode("d.events").alias("e"))
+    events = raw.select(F.explode("events").alias("e"))
     sides = F.get(F.col("e.competitions"), F.lit(0))["competitors"]
     name = lambda side: first_where(sides, lambda c: c["homeAway"] == side)["team"]["name"]
     day, time = eastern(F.col("e.date"))
@@ -33,7 +40,7 @@ def scoreboard_games(raw: DataFrame) -> DataFrame:
 
 def season_games(raw: DataFrame) -> DataFrame:
     """Season score documents -> games with win percentage and the game's scores as averages; absent numbers are 0."""
-    g = parsed(raw, SEASON).select("d.*")
+    g = raw
     n = lambda c: F.coalesce(c, F.lit(0))
     played = n("HomeTeamWins") + n("HomeTeamLosses")
     share = F.when(played > 0, F.try_divide(n("HomeTeamWins").cast("double"), played.cast("double"))).otherwise(0.0)
@@ -42,14 +49,14 @@ def season_games(raw: DataFrame) -> DataFrame:
 
 def odds_quotes(raw: DataFrame) -> DataFrame:
     """Quote documents -> spread text, total, money line (absent 0, malformed null) and provider."""
-    q = parsed(raw, QUOTE).select("d.*")
+    q = raw
     line = lambda side: F.when(F.col(f"moneyLine.{side}TeamOdds.moneyLine").isNull(), 0).otherwise(F.col(f"moneyLine.{side}TeamOdds.moneyLine").try_cast("int"))
     return q.select("game_id", F.coalesce("details", F.lit("N/A")).alias("spread"), F.coalesce("overUnder", F.lit(0.0)).alias("over_under"), line("home").alias("home_ml"), line("away").alias("away_ml"), F.coalesce("provider.name", F.lit("Unknown")).alias("provider"))
 
 
 def forecast_requests(raw: DataFrame) -> DataFrame:
     """Request documents -> matchup columns; unreadable numbers are null, back-to-back is false."""
-    r = parsed(raw, REQUEST).select("d.*")
+    r = parsed(raw, REQUEST)
     stats = {"w": "win_pct", "p": "points_avg", "a": "points_against_avg"}
     numbers = [F.col(f"{side}_team.{c}").try_cast("double").alias(f"{side[0]}{s}") for side in ("home", "away") for s, c in stats.items()]
     return r.select("game_id", F.col("home_team.name").alias("home_name"), F.col("away_team.name").alias("away_name"), *numbers, F.lit(False).alias("home_back_to_back"), F.lit(False).alias("away_back_to_back"))
@@ -57,7 +64,7 @@ def forecast_requests(raw: DataFrame) -> DataFrame:
 
 def training_rows(raw: DataFrame) -> DataFrame:
     """games[] paired with labels[] by position."""
-    d = parsed(raw, TRAINING).select(F.explode(F.arrays_zip(F.col("d.games").alias("game"), F.col("d.labels").alias("label"))).alias("z"))
+    d = raw.select(F.explode(F.arrays_zip(F.col("games").alias("game"), F.col("labels").alias("label"))).alias("z"))
     return d.select(F.col("z.game.game_id").alias("game_id"), F.col("z.game.spread").alias("spread"), F.col("z.label").alias("label"))
 
 
