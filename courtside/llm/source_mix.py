@@ -10,11 +10,13 @@ meets in a task; the choice of documents ranks inside hash ranges of about ``ran
 source or a length that holds a third of all documents spreads over many tasks.
 
 Null and blank texts have size 0 and only follow the whole repeats; null sources are one source, placed
-last; an empty table gives an empty result; repeated rows count as documents of their own.
+last; an empty table gives an empty result; repeated rows count as documents of their own; texts of any length are
+counted whole. Memory of one source's programme is bounded by its distinct lengths and ``dp_limit`` sums.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,20 +82,26 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_limit: int
         while free > 0:
             parts.append((i, use := min(chunk, free)))
             free, chunk = free - use, chunk * 2
-    keep, masks = (1 << (top + 1)) - 1, [1]
-    for i, k in parts:
-        masks.append((masks[-1] | masks[-1] << (lengths[i] * k)) & keep)
-        if masks[-1] >> left & 1:
+    # Each sum remembers the part that first reached it; the parts before that one reach what is left.
+    keep, mask = (1 << (top + 1)) - 1, 1
+    first = np.full(top + 1, -1, np.int32)
+    for at, (i, k) in enumerate(parts):
+        wider = (mask | mask << (lengths[i] * k)) & keep
+        if fresh := wider & ~mask:
+            bits = np.unpackbits(np.frombuffer(fresh.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")
+            first[np.flatnonzero(bits)] = at
+        mask = wider
+        if mask >> left & 1:
             break
     # The nearest sum, the lower one of two as near.
-    below = (masks[-1] & ((1 << (left + 1)) - 1)).bit_length() - 1
-    higher = masks[-1] >> (left + 1)
+    below = (mask & ((1 << (left + 1)) - 1)).bit_length() - 1
+    higher = mask >> (left + 1)
     above = left + (higher & -higher).bit_length() if higher else top + left + 1
     rest = above if above - left < left - below else below
-    for (i, k), mask in zip(reversed(parts[: len(masks) - 1]), reversed(masks[:-1])):
-        if not mask >> rest & 1:
-            take[i] += k
-            rest -= k * lengths[i]
+    while rest:
+        i, k = parts[first[rest]]
+        take[i] += k
+        rest -= k * lengths[i]
     return take
 
 

@@ -118,6 +118,23 @@ def test_fit_budget_is_the_best_sum():
         assert abs(got - budget) == abs(best_sum(lengths, counts, budget) - budget)
 
 
+def test_fit_budget_holds_no_table_of_all_sums():
+    """Even lengths and an odd budget: no sum fits, so the programme sees every length."""
+    import tracemalloc
+
+    lengths = [2 * k for k in range(1, 3001)]
+    tracemalloc.start()
+    take = source_mix.fit_budget(lengths, [3] * len(lengths), 1_000_001)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(sum(n * k for n, k in zip(lengths, take)) - 1_000_001) == 1 and peak < 20e6
+
+
+def test_mix_of_very_long_texts(spark):
+    d = docs(spark, ["w " * 200_000, "w", "w " * 10], ["a", "a", "b"])
+    assert {r["doc_id"]: r["size"] for r in source_mix.mix_sources(d).collect()} == {0: 200_000, 1: 1, 2: 10}
+
+
 def test_mix(spark):
     rng = random.Random(1)
     texts = [" ".join("w" for _ in range(rng.choice([0, 1, 5, 5, 5, 40]))) for _ in range(600)] + [None]
