@@ -72,7 +72,7 @@ class ImpactIndex:
         self.segments = self.processed = 0
         self.sizes = np.array(list(map(len, rows)))
 
-    def search(self, query: np.ndarray, k: int, own: np.ndarray, check_every: int = 256, enough: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int, own: np.ndarray, check_every: int = 256, enough: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores that contain the block's k best; ``own`` marks rows that take no part."""
         n = len(self.vectors)
         impact = query[self.dims] * self.levels * self.step
@@ -88,6 +88,8 @@ class ImpactIndex:
         by_dim = [gain[order[self.dims[order] == d]] for d in range(len(query))]
         done = np.zeros(len(query), int)
         take = min(k, n)
+        # Once a quarter of the rows is possible, scoring these exactly costs less than further segments.
+        enough = max(64, n // 4) if enough is None else enough
         # Segments are taken in runs of ``check_every`` by descending gain; each run ends with a test for the proof.
         for at in range(0, len(order), check_every):
             run = order[at : at + check_every]
