@@ -30,7 +30,7 @@ from courtside.llm._common import column, with_id
 #: Below this every letter is a letter in all versions of Unicode.
 PLAIN = "\u0250"
 #: Texts that one generation of a memo holds.
-MEMO = 100_000
+MEMO = 250_000
 #: Fixed value: the pattern under which texts part at single spaces.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
