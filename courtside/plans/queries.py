@@ -15,6 +15,7 @@ from courtside.functions.rounding import rounded, whole
 from courtside.operators import bets, features, forecast, ml, risk, text, tracking
 from courtside.plans.fixtures import PRELUDE, open_views
 from courtside.sources import feeds
+from courtside.sources.storage import scratch
 from courtside.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,19 +64,6 @@ FORECAST = MATCHUPS + f""", f1 AS (SELECT *, (hp + aa) / {D(2)} + {D(3)} AS exp_
     forecasts AS (SELECT *, 1 - p_home AS p_away, {american_sql('p_home')} AS home_odds, {american_sql('(1 - p_home)')} AS away_odds, {I('exp_home')} AS home_score_int, {I('exp_away')} AS away_score_int FROM f3)"""
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in what driver and executors share; one of our own only where a local session names none."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/courtside-{uuid.uuid4().hex}"
-
-
 def forecasts(view) -> DataFrame:
     return forecast.closed_form(forecast.matchups(view("games"), view("teams")))
 
@@ -625,7 +613,7 @@ def snk05_replace_keys(view):
     old = {name: view(name) for name in tracking.TABLES}
     new = {name: t.filter("game_id % 6 = 1").withColumn(value[name], F.col(value[name]) + 100) for name, t in old.items()}
     spark = old["metrics"].sparkSession
-    paths = tracking.replace_all(old, new, f"{_scratch(spark)}/tracking")
+    paths = tracking.replace_all(old, new, f"{scratch(spark)}/tracking")
     parts = [spark.read.schema(old[name].schema).parquet(paths[name]).select(F.lit(name).alias("tracked"), "game_id", F.col(value[name]).alias("x")) for name in tracking.TABLES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -636,7 +624,7 @@ def snk06_dashboard_document(view):
     detail = tracking.day_detail(view("predictions"), view("results"), view("metrics"), "2001-07-31")
     document = tracking.dashboard(detail, _trend(view))
     spark = document.sparkSession
-    landed = feeds.land(document, f"{_scratch(spark)}/dashboard")
+    landed = feeds.land(document, f"{scratch(spark)}/dashboard")
     read = spark.read.schema(document.schema).json(landed)
     return read.select(F.explode("trend").alias("t"), "day.correct", F.col("day.spread_errors.b11_15").alias("b11_15"), F.get("games", F.lit(0))["game_id"].alias("first_game"), F.try_element_at("games", F.lit(-1))["spread_error"].alias("last_error")).select(F.col("t.day").cast("string").alias("day"), "t.accuracy", "t.spread_error", "t.games", "correct", "b11_15", "first_game", "last_error")
 
@@ -673,7 +661,7 @@ def _documents(rows: DataFrame, *columns) -> DataFrame:
 def _landed(rows: DataFrame, schema: str, *columns) -> DataFrame:
     """Rows landed as JSON files and read from there, as from a feed."""
     spark = rows.sparkSession
-    return feeds.read_json(spark, feeds.land(rows.select(*columns), f"{_scratch(spark)}/landed"), schema)
+    return feeds.read_json(spark, feeds.land(rows.select(*columns), f"{scratch(spark)}/landed"), schema)
 
 
 EASTERN = """CAST(make_date(year(u), 4, 1) + CAST((7 - dayofweek(make_date(year(u), 4, 1))) % 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 7 HOUR AS a,
@@ -1026,7 +1014,7 @@ def _stream(view, kind: str) -> DataFrame:
 
 def _kept(view, kind: str, merge) -> DataFrame:
     spark = view("events").sparkSession
-    base = _scratch(spark)
+    base = scratch(spark)
     table = jobs.VersionedTable.create(spark, f"{base}/table", EVENT, "game_id")
     jobs.keep(_stream(view, kind), table, merge, f"{base}/checkpoint")
     return table.read()
@@ -1048,7 +1036,7 @@ def str02_result_stream(view):
 def _streamed(view, frame: DataFrame, mode: str) -> DataFrame:
     """The end of a stream, as a table of what it emitted; a complete result is one version a batch, so no reader meets a folder that is being written."""
     spark = view("events").sparkSession
-    base = _scratch(spark)
+    base = scratch(spark)
     if mode == "append":
         frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     else:
@@ -1132,7 +1120,7 @@ def ml09_batch_scoring(view):
     factors = _factors(view)
     for s in ("home", "away"):
         rows = rows.join(factors.select(F.col("team_id").alias(f"{s}_id"), F.col("factor").alias(f"{s}_factor")), f"{s}_id", "left")
-    registry = ml.Registry(f"{_scratch(rows.sparkSession)}/models")
+    registry = ml.Registry(f"{scratch(rows.sparkSession)}/models")
     out = None
     for sport, spec in _sport_specs().items():
         mine = spec.prepared(forecast.supported(rows, sport))
@@ -1152,7 +1140,7 @@ def ml09_batch_scoring(view):
 def ml13_model_registry(view):
     """Models fitted once, saved by sport, loaded by another registry: which sports it has, and the games each model scores."""
     rows = _scoring_rows(view)
-    registry = ml.Registry(f"{_scratch(rows.sparkSession)}/models")
+    registry = ml.Registry(f"{scratch(rows.sparkSession)}/models")
     parts = []
     for sport, spec in _sport_specs(trees=20, depth=5).items():
         mine = spec.prepared(forecast.supported(rows, sport))
