@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import byte_bpe, html_extraction, language_id, minhash_dedup, quality_rules, secret_scan, source_mix, topk_search, toxicity, url_filter
+from courtside.llm import byte_bpe, collocations, html_extraction, language_id, minhash_dedup, quality_rules, secret_scan, sharding, source_mix, topk_search, toxicity, url_filter, whitening
 from courtside.llm._common import bucket, table
 
 
@@ -66,7 +66,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_topk_search, op3_quality_rules, op4_language_id, op5_html_extraction, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A deviation that no long holds raises.
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24, law="rows")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_topk_search, op3_quality_rules, op4_language_id, op5_html_extraction, op6_minhash_dedup, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_source_mix, op11_whitening, op12_sharding, op13_collocations)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": r"""
@@ -99,4 +113,22 @@ ORACLE_SQL: dict[str, str] = {
             FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v) AND len(q.v) > 0),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+            FROM documents WHERE text IS NOT NULL),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+        runs AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), range(1, 6) AS t(m) WHERE i + m - 1 <= len(w)),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+        candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE m > 1),
+        inner_runs AS (SELECT lang, a, array_to_string(p[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM candidates), range(2, 5) AS t(k) WHERE k < m AND i + k - 1 <= m),
+        longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_runs GROUP BY ALL),
+        kept AS (SELECT c.* FROM candidates c LEFT JOIN longer o ON c.lang = o.lang AND c.phrase = o.phrase WHERE o.longer IS NULL OR 100 * o.longer < 100 * c.a),
+        cuts AS (SELECT *, array_to_string(p[1:k], ' ') AS before, array_to_string(p[k + 1:m], ' ') AS after FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, k, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.before JOIN f y ON y.lang = c.lang AND y.phrase = c.after JOIN totals t ON t.lang = c.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
 }
