@@ -1,16 +1,18 @@
 """Phrases whose words keep together: n-grams of 2 to 5 words counted without loss in counting quotient filters.
 
 Words are counted first, by language. Those with ``least`` occurrences or more get ids, for no candidate holds a rarer one.
-A second pass packs the ids of every run of 2 to 5 such words into one number and permutes it invertibly (a Feistel
-network over its two halves), so that any text spreads evenly: the top bits are its bucket, the next the quotient, and all
-that is left the remainder. A filter holds a bucket's numbers in order, as a run length for each quotient, the remainders and the
+A second pass counts the pairs of such words, a third one the runs of 3 to 5 of them whose pairs are
+all frequent, for no candidate holds a rarer pair. The ids of a run are packed into one number, which is permuted invertibly
+(a Feistel network over its two halves), so that any text spreads evenly: the top bits are its bucket, the next the
+quotient, and all that is left the remainder. A filter holds a bucket's numbers in order, as a run length for each quotient, the remainders and the
 counts, and nothing is lost, as quotient and remainder give the number back. Each task keeps one run of sorted numbers of at
 most ``held``, and sends it off by buckets when it is full; the sorted filters of a bucket merge in one task, which passes
 on what reached ``least``. The number of buckets follows the number of words, so that a filter's size doesn't.
 
 Every phrase is one number in one bucket, and is counted before it moves, so frequent words, lines and copies are no hot
 groups. The words of a text get their ids from a broadcast dictionary while its size allows; beyond that each chunk of texts
-is joined with a dictionary of its own words.
+is joined with a dictionary of its own words. Which pairs are frequent is a broadcast table of bits, of ``broadcast_bytes``
+at most: where pairs share a bit, runs are counted that turn out too rare, and nothing else changes.
 
 Null texts are empty; null languages are "und"; texts of any length are counted whole; repeated rows count as often as they
 occur; ties in rank go to the phrase that is first in UTF-8; an empty table gives an empty result; further columns
@@ -22,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +50,16 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Packing:
-    """n-grams of up to five ids of ``bits`` bits as two halves of a number, permuted and back."""
+    """n-grams of up to ``longest`` ids of ``bits`` bits as two halves of a number, permuted and back."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, longest: int = LONGEST):
         if bits * LONGEST > 128:
             raise ValueError("too many frequent words for the packed numbers")
-        self.bits, self.half = bits, max(1, -(-bits * LONGEST // 2))
+        self.bits, self.longest, self.half = bits, longest, max(1, -(-bits * longest // 2))
         self.mask = np.uint64((1 << self.half) - 1)
 
     def packed(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The first id in the lowest bits; fewer than five leave zeros, and no word has id 0."""
+        """The first id in the lowest bits; fewer than the longest leave zeros, and no word has id 0."""
         left, right = np.zeros(len(ids[0]), np.uint64), np.zeros(len(ids[0]), np.uint64)
         for j, each in enumerate(ids):
             at = j * self.bits
@@ -69,10 +72,10 @@ class Packing:
         return left, right
 
     def unpacked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """One row of five ids a number."""
-        out = np.zeros((len(left), LONGEST), np.int64)
+        """One row of ids a number."""
+        out = np.zeros((len(left), self.longest), np.int64)
         ones = np.uint64((1 << self.bits) - 1)
-        for j in range(LONGEST):
+        for j in range(self.longest):
             at = j * self.bits
             if at < self.half:
                 value = right >> np.uint64(at)
@@ -182,11 +185,41 @@ def _word_counts(held: int):
     return run
 
 
+class Pairs:
+    """Which pairs of ids may be frequent: one bit for each hash."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table, self.shift = bits, table, np.uint64(64 - (8 * len(table)).bit_length() + 1)
+
+    @staticmethod
+    def spots(bits: int, shift: np.uint64, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mix64((first << np.uint64(bits)) | second) >> shift
+
+    def frequent(self, row: np.ndarray) -> np.ndarray:
+        """Whether each id and the next may be a frequent pair."""
+        out = np.zeros(len(row), bool)
+        at = np.flatnonzero((row[:-1] != 0) & (row[1:] != 0))
+        spots = self.spots(self.bits, self.shift, row[at], row[at + 1])
+        out[at] = (self.table[(spots >> np.uint64(3)).astype(np.int64)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1
+        return out
+
+
+@dataclass(frozen=True)
+class Plan:
+    """One pass: runs of ``shortest`` words to the packing's longest, in so many buckets, ``held`` in a task."""
+
+    packing: Packing
+    shortest: int
+    bucket_bits: int
+    held: int
+
+
 class Counts:
     """A task's n-grams: sorted numbers with counts, sent off as one filter a bucket when there are ``held``."""
 
-    def __init__(self, packing: Packing, bucket_bits: int, held: int):
-        self.packing, self.bucket_bits, self.held = packing, bucket_bits, held
+    def __init__(self, plan: Plan, pairs: np.ndarray | None = None):
+        self.packing, self.bucket_bits, self.held, self.shortest = plan.packing, plan.bucket_bits, plan.held, plan.shortest
+        self.pairs = None if pairs is None else Pairs(plan.packing.bits, pairs)
         self.sorted: list[tuple] = []
         self.fresh: list[np.ndarray] = []
         self.waiting = 0
@@ -195,7 +228,7 @@ class Counts:
         """The ids of a text, 0 where a run of frequent words ends."""
         self.fresh.append(ids)
         self.waiting += len(ids) + 1
-        if self.waiting >= self.held // 4:
+        if self.waiting >= self.held // 16:
             yield from self._sort()
 
     def _sort(self) -> Iterator[pa.RecordBatch]:
@@ -203,20 +236,22 @@ class Counts:
         row = np.concatenate([x for ids in self.fresh for x in (ids, gap)] or [gap])
         self.fresh, self.waiting = [], 0
         # A very long text alone can hold more than is wanted at once; slices overlap by four places.
-        for i in range(0, len(row), self.held):
-            self._take(row[i : i + self.held + LONGEST - 1], min(self.held, len(row) - i))
+        step = max(1, self.held // 8)
+        for i in range(0, len(row), step):
+            self._take(row[i : i + step + LONGEST - 1], min(step, len(row) - i))
             if sum(len(x[0]) for x in self.sorted) >= self.held:
                 self._merge()
                 if len(self.sorted[0][0]) >= self.held // 2:
                     yield from self.sent()
 
     def _take(self, row: np.ndarray, starts: int) -> None:
-        """All runs of 2 to 5 words that begin at the first ``starts`` places."""
+        """All runs that begin at the first ``starts`` places and have words, or frequent pairs, only."""
+        linked = self.pairs.frequent(row) if self.pairs else np.append((row[:-1] != 0) & (row[1:] != 0), False)
         begins, parts = np.flatnonzero(row[:starts]), []
-        for m in range(2, LONGEST + 1):
-            begins = begins[begins + m - 1 < len(row)]
-            begins = begins[row[begins + m - 1] != 0]
-            parts.append(self.packing.permuted(*self.packing.packed([row[begins + j] for j in range(m)])))
+        for m in range(2, self.packing.longest + 1):
+            begins = begins[linked[np.minimum(begins + m - 2, len(row) - 1)] & (begins + m - 2 < len(row))]
+            if m >= self.shortest:
+                parts.append(self.packing.permuted(*self.packing.packed([row[begins + j] for j in range(m)])))
         self.sorted.append(summed(*(np.concatenate(x) for x in zip(*parts))))
 
     def _merge(self) -> None:
@@ -244,9 +279,9 @@ def _ids(text: bytes, known: Callable) -> np.ndarray:
     return ids[ids >= 0].astype(np.uint64)
 
 
-def _filters(packing: Packing, bucket_bits: int, held: int, shared):
+def _filters(plan: Plan, shared, pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(packing, bucket_bits, held)
+        counts = Counts(plan, pairs and pairs.value)
         known = {lang: dict(zip(words, ids)) | {b"": -1} for lang, (words, ids) in shared.value.items()}
         nothing = {b"": -1}.get
         for batch in batches:
@@ -284,10 +319,10 @@ def _chunked(chunk_bytes: int):
     return run
 
 
-def _chunk_filters(packing: Packing, bucket_bits: int, held: int):
+def _chunk_filters(plan: Plan, pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks with the ids of their own words."""
-        counts = Counts(packing, bucket_bits, held)
+        counts = Counts(plan, pairs and pairs.value)
         for batch in batches:
             for langs, texts, words in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 known: dict[str, dict] = {}
@@ -300,7 +335,9 @@ def _chunk_filters(packing: Packing, bucket_bits: int, held: int):
     return run
 
 
-def _merged(packing: Packing, bucket_bits: int, least: int):
+def _merged(plan: Plan, least: int):
+    packing, bucket_bits = plan.packing, plan.bucket_bits
+
     def run(rows: pa.Table) -> pa.Table:
         """One bucket's filters, merged pair by pair; the numbers that reached ``least``."""
         prefix = rows.column("bucket")[0].as_py()
@@ -315,6 +352,38 @@ def _merged(packing: Packing, bucket_bits: int, least: int):
     return run
 
 
+BLOCK_BITS = 19
+
+
+def _spots(bits: int, shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).flatten().to_numpy().astype(np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(Pairs.spots(bits, np.uint64(shift), ids[:, 0], ids[:, 1]).astype(np.int64))], ["spot"])
+
+    return run
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """The bits of one block of the table of pairs."""
+    spots = rows.column("spot").to_numpy()
+    marked = np.zeros(1 << BLOCK_BITS, np.uint8)
+    marked[spots & ((1 << BLOCK_BITS) - 1)] = 1
+    return pa.table({"block": pa.array([int(spots[0]) >> BLOCK_BITS]), "marks": pa.array([np.packbits(marked, bitorder="little").tobytes()], pa.binary())})
+
+
+def pair_table(pairs: DataFrame, bits: int, most_bytes: int) -> np.ndarray:
+    """The bits of the frequent pairs (ids): sixteen a pair, ``most_bytes`` at most, made by blocks."""
+    n = pairs.count()
+    log = min(max(BLOCK_BITS, (16 * n).bit_length()), max(BLOCK_BITS, (8 * most_bytes).bit_length() - 1))
+    table = np.zeros(1 << (log - 3), np.uint8)
+    spots = pairs.select("ids").mapInArrow(_spots(bits, 64 - log), "spot long")
+    for r in spots.groupBy(F.shiftright("spot", BLOCK_BITS)).applyInArrow(_block, "block long, marks binary").toLocalIterator():
+        start = r["block"] << (BLOCK_BITS - 3)
+        table[start : start + (1 << (BLOCK_BITS - 3))] = np.frombuffer(r["marks"], np.uint8)
+    return table
+
+
 # ---- counts, scores and ranks ---------------------------------------------------------------------------------
 
 
@@ -329,23 +398,33 @@ def phrase_counts(docs: DataFrame, least: int = 100, held: int = 1 << 21, broadc
     totals = materialize(split.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
     words = materialize(numbered(split.filter("word is not null"), ["lang", "word"]).select((F.col("place") + 1).alias("id"), "lang", "word", "f"), "words")
     n, frequent_words, size = (totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], *words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first())
-    packing = Packing(max(1, frequent_words.bit_length()))
-    # Every word begins at most four runs; a bucket gets about two million of them.
-    bucket_bits = min(packing.half, 20, max(6, (n * (LONGEST - 1) >> 21).bit_length()))
+    bits = max(1, frequent_words.bit_length())
+
+    def plan(shortest: int, longest: int) -> Plan:
+        """Every word begins at most one run of each length; a bucket gets about two million of them."""
+        packing = Packing(bits, longest)
+        return Plan(packing, shortest, min(packing.half, 20, max(6, (n * (longest - shortest + 1) >> 21).bit_length())), held)
+
     kind = "bucket int, filter binary"
     if size <= broadcast_bytes:
         known: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
         for r in words.select("lang", "word", "id").toLocalIterator():  # broadcast_bytes at most
             known[r["lang"]][0].append(r["word"].encode())
             known[r["lang"]][1].append(r["id"])
-        filters = texts.mapInArrow(_filters(packing, bucket_bits, held, spark.sparkContext.broadcast(dict(known))), kind)
+        shared = spark.sparkContext.broadcast(dict(known))
+        filters = lambda p, pairs: texts.mapInArrow(_filters(p, shared, pairs), kind)
     else:
         chunks = materialize(texts.mapInArrow(_chunked(chunk_bytes), "chunk string, langs array<string>, texts array<string>, words array<struct<lang: string, word: string>>"), "chunks")
         own = chunks.select("chunk", F.inline("words")).join(words.select("lang", "word", "id"), ["lang", "word"])
-        own = own.groupBy("chunk").agg(F.collect_list(F.struct("lang", "word", "id")).alias("words"))
-        filters = chunks.select("chunk", "langs", "texts").join(own, "chunk").select("langs", "texts", "words").mapInArrow(_chunk_filters(packing, bucket_bits, held), kind)
-    phrases = filters.groupBy("bucket").applyInArrow(_merged(packing, bucket_bits, least), "ids array<bigint>, a long")
-    return totals, words, materialize(phrases, "phrases")
+        own = materialize(own.groupBy("chunk").agg(F.collect_list(F.struct("lang", "word", "id")).alias("words")), "chunk-words")
+        filters = lambda p, pairs: chunks.select("chunk", "langs", "texts").join(own, "chunk").select("langs", "texts", "words").mapInArrow(_chunk_filters(p, pairs), kind)
+
+    def counted(p: Plan, pairs, tag: str) -> DataFrame:
+        return materialize(filters(p, pairs).groupBy("bucket").applyInArrow(_merged(p, least), "ids array<bigint>, a long"), tag)
+
+    pairs = counted(plan(2, 2), None, "pairs")
+    longer = counted(plan(3, LONGEST), spark.sparkContext.broadcast(pair_table(pairs, bits, broadcast_bytes)), "runs")
+    return totals, words, pairs.unionByName(longer)
 
 
 def collocations(docs: DataFrame, least: int = 100, inside: int = 100, top: int = 2000, **options) -> DataFrame:

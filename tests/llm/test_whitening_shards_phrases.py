@@ -270,6 +270,19 @@ def test_numbers_return_from_the_permutation_and_the_filter(bits):
             assert all((a == b[mine]).all() for a, b in zip(back, (left, right, counts)))
 
 
+def test_frequent_pairs_are_never_missed(spark):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(1, 1 << 12, (5000, 2))
+    pairs = spark.createDataFrame([(r.tolist(),) for r in ids], "ids array<bigint>")
+    for most in (1 << 16, 1 << 22):
+        table = collocations.pair_table(pairs, 12, most)
+        found = collocations.Pairs(12, table)
+        row = np.concatenate([ids, np.zeros((5000, 1), int)], axis=1).ravel().astype(np.uint64)
+        assert found.frequent(row).reshape(-1, 3).tolist() == [[True, False, False]] * 5000
+        others = rng.integers(1, 1 << 12, 30_000).astype(np.uint64)
+        assert found.frequent(others).mean() < 0.2
+
+
 def test_too_many_words_raise():
     with pytest.raises(ValueError, match="frequent words"):
         collocations.Packing(26)
