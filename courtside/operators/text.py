@@ -49,8 +49,12 @@ def _valences(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: Colum
 
 def sentence_scores(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     """article_id, title_score and body_score (mean over the sentences) of the articles that have a token of the lexicon; one scan of the texts."""
-    parts = F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.col("title").alias("part"))), F.transform(sentences(F.col("content")), lambda s, i: F.struct(i.alias("place"), s.alias("part"))))
-    each = articles.select("article_id", F.size(sentences(F.col("content"))).alias("n"), F.explode(parts).alias("p")).select("article_id", "n", "p.place", "p.part")
+    split = articles.select("article_id", "title", sentences(F.col("content")).alias("sentences"))
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.col("title").alias("part"))), F.transform("sentences", lambda s, i: F.struct(i.alias("place"), s.alias("part"))))
+    # The count stands below the explode, beside the array: above it, each sentence would carry and split its article.
+    counted = split.select("article_id", F.size("sentences").alias("n"), parts.alias("parts"))
+    # Every article has its title, so the outer form adds nothing; the plain one would filter by the size first, splitting again.
+    each = counted.select("article_id", "n", F.inline_outer("parts"))
     hits = _valences(each, lexicon, ["article_id", "n", "place"], F.col("part"))
     body = F.sum(F.when(F.col("place") >= 0, F.rint(F.col("compound") * 1e9).cast("long")).otherwise(0))
     return hits.groupBy("article_id", "n").agg(F.coalesce(F.max(F.when(F.col("place") < 0, F.col("compound"))), F.lit(0.0)).alias("title_score"), body.alias("body")).select("article_id", "title_score", F.coalesce(F.try_divide(F.col("body").cast("double"), F.col("n").cast("double")) / 1e9, F.lit(0.0)).alias("body_score"))

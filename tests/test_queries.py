@@ -90,3 +90,16 @@ def test_rolling_features_share_one_sort(spark):
 
     p = plan(features.rolling_form(features.team_games(open_views(spark, SF)("games"))))
     assert p.count("hashpartitioning(team_id") == 1
+
+
+def test_articles_are_split_below_the_explode(spark):
+    """Lines of a plan read from the top, so what is below a Generate follows it; texts must not be split above one."""
+    from courtside.operators import text
+
+    view = open_views(spark, SF)
+    p = text.sentence_scores(view("articles"), view("lexicon"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = p.split("\n")
+    last = max(i for i, line in enumerate(lines) if "Generate " in line)
+    assert not any("split(" in line and "content" in line for line in lines[:last]) and "size(sentences" in "".join(lines[last:])
+    first = next(i for i, line in enumerate(lines) if "Generate " in line)
+    assert "content" not in "".join(lines[:first])
