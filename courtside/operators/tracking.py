@@ -1,6 +1,6 @@
 """Forecast tracking: accuracy trends and day reports, and keyed maintenance of the tracking tables."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions.rounding import rounded
@@ -49,11 +49,15 @@ def upsert_predictions(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("game_id").agg(*latest, *[F.min_by(c, order).alias(c) for c in ("home_id", "away_id")])
 
 
+def first_of_each(rows: DataFrame, key: str = "game_id") -> DataFrame:
+    """The earliest row of each key; among those of one time the least of the other columns."""
+    value = F.struct("ts", *[c for c in rows.columns if c not in (key, "ts")])
+    return rows.groupBy(key).agg(F.min(value).alias("v")).select(key, "v.*").select(*rows.columns)
+
+
 def insert_new(old: DataFrame, new: DataFrame, key: str = "game_id") -> DataFrame:
     """old with the first row (by time) of each key that it lacks."""
-    first = Window.partitionBy(key).orderBy("ts")
-    fresh = new.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn").join(old.select(key), key, "left_anti")
-    return old.unionByName(fresh)
+    return old.unionByName(first_of_each(new, key).join(old.select(key), key, "left_anti"))
 
 
 def derived_metrics(predictions: DataFrame, results: DataFrame) -> DataFrame:
@@ -78,20 +82,6 @@ def replace_keys(old: DataFrame, new: DataFrame, key: str = "game_id") -> DataFr
 TABLES = ("metrics", "results", "predictions")
 
 
-def replace_all(old: dict[str, DataFrame], new: dict[str, DataFrame], path: str, key: str = "game_id") -> dict[str, str]:
-    """Replace the keys of new in all TABLES and return the paths of their new versions.
-
-    A key that any table brings goes from all of them first, as in a cascade; each table is written beside its old
-    version, dependent tables first, and readers switch by path once all are there.
-    """
-    keys = None
-    for name in TABLES:
-        part = new[name].select(key)
-        keys = part if keys is None else keys.union(part)
-    keys = keys.distinct()
-    return {name: write_swapped(old[name].join(keys, key, "left_anti").unionByName(new[name]), f"{path}/{name}") for name in TABLES}
-
-
 def dashboard(detail: DataFrame, trend: DataFrame) -> DataFrame:
     """One row, one nested document: the day's report with its error distribution and games, and the trend, newest first."""
     report = day_report(detail)
@@ -104,15 +94,6 @@ def dashboard(detail: DataFrame, trend: DataFrame) -> DataFrame:
     return parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("day", "games", "trend")])
 
 
-def write_swapped(df: DataFrame, path: str) -> str:
-    """Write a new version of a table beside the old ones and return its path; readers switch by path, so nobody reads a path that is being written."""
-    import uuid
-
-    target = f"{path}/version={uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return target
-
-
 def dashboard_series(trend: DataFrame) -> DataFrame:
     """Accuracy as a percentage and right against wrong, per day."""
     right = F.rint(F.col("accuracy") * F.col("games")).cast("long")

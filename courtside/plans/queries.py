@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from courtside.functions import formats, odds, sqlfuncs
 from courtside.functions.rounding import rounded, whole
 from courtside.operators import bets, features, forecast, ml, risk, text, tracking
+from courtside.operators.store import TrackingStore
 from courtside.plans.fixtures import PRELUDE, open_views
 from courtside.sources import feeds
 from courtside.sources.storage import scratch
@@ -571,6 +572,16 @@ def srt03_dates(view):
     return tracking.games_by_date(view("games")).select("day")
 
 
+def _store(view, **tables: DataFrame) -> TrackingStore:
+    """A store that holds these tables; the others are empty."""
+    found = {name: tables.get(name, view(name).limit(0)) for name in tracking.TABLES}
+    spark = found["metrics"].sparkSession
+    store = TrackingStore(spark, f"{scratch(spark)}/tracking", {name: rows.schema for name, rows in found.items()})
+    at = store.versions.current()
+    store.versions.commit(at, {name: store.versions.write(name, rows, store.part) for name, rows in found.items()})
+    return store
+
+
 NEW = ", fresh AS (SELECT game_id, ts + INTERVAL 1 HOUR AS ts, away_id AS home_id, home_id AS away_id, away_id AS predicted_winner, predicted_spread + 1 AS predicted_spread, win_probability FROM predictions WHERE game_id % 2 = 1), older AS (SELECT * FROM predictions WHERE game_id % 4 < 3)"
 
 
@@ -583,27 +594,36 @@ def _old_new(view) -> tuple[DataFrame, DataFrame]:
 
 @query(NEW + " SELECT coalesce(f.game_id, o.game_id) AS game_id, coalesce(f.ts, o.ts) AS ts, coalesce(o.home_id, f.home_id) AS home_id, coalesce(o.away_id, f.away_id) AS away_id, coalesce(f.predicted_winner, o.predicted_winner) AS predicted_winner, coalesce(f.predicted_spread, o.predicted_spread) AS predicted_spread, coalesce(f.win_probability, o.win_probability) AS win_probability FROM older o FULL JOIN fresh f ON o.game_id = f.game_id")
 def snk01_upsert_predictions(view):
-    return tracking.upsert_predictions(*_old_new(view))
+    old, fresh = _old_new(view)
+    store = _store(view, predictions=old)
+    store.upsert_predictions(fresh)
+    return store.read("predictions").select(*old.columns)
 
 
 @query(" SELECT game_id, ts, home_score FROM results")
 def snk02_insert_results(view):
-    r = view("results").select("game_id", "ts", "home_score")
+    r = view("results")
     late = r.withColumns({"ts": F.col("ts") + F.expr("interval 1 day"), "home_score": F.col("home_score") + 1})
-    old = r.filter("game_id % 3 = 0")
-    return tracking.insert_new(old, late.unionByName(r.filter("game_id % 3 > 0")))
+    store = _store(view, results=r.filter("game_id % 3 = 0"))
+    store.insert_results(late.unionByName(r.filter("game_id % 3 > 0")))
+    return store.read("results").select("game_id", "ts", "home_score")
 
 
 @query(" SELECT game_id, spread_error, winner_correct, ts FROM metrics")
 def snk03_derived_metrics(view):
-    return tracking.derived_metrics(view("predictions"), view("results"))
+    """Results arrive where predictions are; each brings its metric."""
+    store = _store(view, predictions=view("predictions"), results=view("results").limit(0))
+    store.insert_results(view("results"))
+    return store.read("metrics")
 
 
 @query(" SELECT game_id, CASE WHEN game_id % 2 = 0 THEN spread_error + 1 ELSE spread_error END AS spread_error, winner_correct, CASE WHEN game_id % 2 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts FROM metrics")
 def snk04_upsert_metrics(view):
     m = view("metrics")
     changed = m.filter("game_id % 2 = 0").withColumns({"spread_error": F.col("spread_error") + 1, "ts": F.col("ts") + F.expr("interval 1 day")})
-    return tracking.upsert_all(m, changed)
+    store = _store(view, metrics=m)
+    store.upsert_metrics(changed)
+    return store.read("metrics")
 
 
 @query(""" SELECT t AS tracked, game_id, CASE WHEN game_id % 6 = 1 THEN x + 100 ELSE x END AS x FROM (SELECT 'predictions' AS t, game_id, predicted_spread AS x FROM predictions UNION ALL SELECT 'results', game_id, final_spread FROM results UNION ALL SELECT 'metrics', game_id, spread_error FROM metrics)""")
@@ -612,9 +632,9 @@ def snk05_replace_keys(view):
     value = {"predictions": "predicted_spread", "results": "final_spread", "metrics": "spread_error"}
     old = {name: view(name) for name in tracking.TABLES}
     new = {name: t.filter("game_id % 6 = 1").withColumn(value[name], F.col(value[name]) + 100) for name, t in old.items()}
-    spark = old["metrics"].sparkSession
-    paths = tracking.replace_all(old, new, f"{scratch(spark)}/tracking")
-    parts = [spark.read.schema(old[name].schema).parquet(paths[name]).select(F.lit(name).alias("tracked"), "game_id", F.col(value[name]).alias("x")) for name in tracking.TABLES]
+    store = _store(view, **old)
+    store.replace(new)
+    parts = [store.read(name).select(F.lit(name).alias("tracked"), "game_id", F.col(value[name]).alias("x")) for name in tracking.TABLES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -1012,11 +1032,12 @@ def _stream(view, kind: str) -> DataFrame:
     return typed.select("event_id", "ts", F.col("user_id").cast("long").alias("game_id"), (F.col("value") / 10 - 25).alias("spread"), F.when(F.col("event_id") % 2 == 0, "home").otherwise("away").alias("winner"))
 
 
-def _kept(view, kind: str, merge) -> DataFrame:
-    spark = view("events").sparkSession
+def _kept(view, rows: DataFrame, merge, schema: str = EVENT, key: str = "game_id", mode: str = "append") -> DataFrame:
+    """The table that a stream's batches were merged into."""
+    spark = rows.sparkSession
     base = scratch(spark)
-    table = jobs.VersionedTable.create(spark, f"{base}/table", EVENT, "game_id")
-    jobs.keep(_stream(view, kind), table, merge, f"{base}/checkpoint")
+    table = jobs.VersionedTable(spark, f"{base}/table", schema, key)
+    jobs.keep(rows, table, merge, f"{base}/checkpoint", mode)
     return table.read()
 
 
@@ -1025,40 +1046,32 @@ STREAM = ", e AS (SELECT event_id, CAST(game_id AS BIGINT) AS game_id, ts, sprea
 
 @query(STREAM + " SELECT game_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(spread, (ts, event_id)) AS spread, arg_max(winner, (ts, event_id)) AS winner FROM e WHERE event_type = 'view' GROUP BY game_id")
 def str01_prediction_stream(view):
-    return _kept(view, "view", jobs.latest).select("game_id", "event_id", "spread", "winner")
+    return _kept(view, _stream(view, "view"), jobs.latest).select("game_id", "event_id", "spread", "winner")
 
 
 @query(STREAM + " SELECT game_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(spread, (ts, event_id)) AS spread, arg_min(winner, (ts, event_id)) AS winner FROM e WHERE event_type = 'purchase' GROUP BY game_id")
 def str02_result_stream(view):
-    return _kept(view, "purchase", jobs.first).select("game_id", "event_id", "spread", "winner")
+    return _kept(view, jobs.delivered_once(_stream(view, "purchase")), jobs.first).select("game_id", "event_id", "spread", "winner")
 
 
-def _streamed(view, frame: DataFrame, mode: str) -> DataFrame:
-    """The end of a stream, as a table of what it emitted; a complete result is one version a batch, so no reader meets a folder that is being written."""
+def _streamed(view, frame: DataFrame) -> DataFrame:
+    """The end of a stream, as a table of what it emitted."""
     spark = view("events").sparkSession
     base = scratch(spark)
-    if mode == "append":
-        frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    else:
-        done: list[int] = []
-
-        def whole(rows: DataFrame, number: int) -> None:
-            rows.write.mode("overwrite").parquet(f"{base}/out-{number}")
-            done.append(number)
-
-        frame.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(whole).start().awaitTermination()
-        return spark.read.schema(frame.schema).parquet(f"{base}/out-{max(done)}")
+    frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{base}/out")
 
 
 @query(STREAM + f" SELECT p.game_id, p.event_id AS p_event, r.event_id AS r_event, {R('abs(p.spread - r.spread)')} AS spread_error, p.winner = r.winner AS winner_correct FROM e p JOIN e r ON p.event_type = 'view' AND r.event_type = 'purchase' AND p.game_id = r.game_id AND r.ts >= p.ts AND r.ts <= p.ts + INTERVAL 7 DAY")
 def str03_live_metrics(view):
-    return _streamed(view, jobs.live_metrics(_stream(view, "view"), _stream(view, "purchase")), "append")
+    return _streamed(view, jobs.live_metrics(_stream(view, "view"), _stream(view, "purchase")))
 
 
 @query(STREAM + f" SELECT CAST(ts AS DATE) AS day, {R('avg(CASE WHEN winner = ' + chr(39) + 'home' + chr(39) + ' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS home_share, {R('avg(spread)', 4)} AS spread, count(*) AS events FROM e WHERE event_type = 'view' GROUP BY 1")
 def str04_daily_accuracy(view):
-    return _streamed(view, jobs.daily_accuracy(_stream(view, "view")), "complete")
+    """Days in update mode, each in the table's place of the day before it changed."""
+    days = jobs.daily_accuracy(_stream(view, "view"))
+    return _kept(view, days, jobs.newest("day"), "day date, home_share double, spread double, events long", "day", "update")
 
 
 @query(RISK + f"""SELECT game_id, {american_sql('p_home')} AS odds, {R(decimal_sql('CAST(' + american_sql('p_home') + ' AS DOUBLE)'))} AS price, {back_sql('(1 / p_home)')} AS back, {R(SPREAD_EV)} AS spread_ev, {R('greatest(' + side_sql('p_home', 'CAST(home_odds AS DOUBLE)') + ', ' + side_sql('p_away', 'CAST(away_odds AS DOUBLE)') + ')')} AS money_ev,

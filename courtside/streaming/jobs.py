@@ -1,59 +1,44 @@
 """The tracking tables as streams: upserts, first-write-wins, live metrics and daily accuracy.
 
-Each job takes a streaming (or, for the same result, a static) DataFrame. Sinks write new versions of the buckets of keys
-that a batch touches, under the batch's id, so a batch that runs twice changes nothing.
+Each job takes a streaming (or, for the same result, a static) DataFrame. Sinks write the buckets of keys that a batch
+touches anew and switch to them together with the batch's number, so a batch that runs twice changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from courtside.functions.rounding import rounded
+from courtside.sources.versions import Versions
+
+TABLE = "rows"
 
 
 class VersionedTable:
-    """A table by key, kept as one version of each touched bucket of keys a batch.
+    """A table by key, in buckets of keys; a batch writes the buckets whose keys it has and no others.
 
-    A batch writes the buckets whose keys it has, beside their earlier versions, and nothing else; the newest version of
-    a bucket is current. A batch that runs again writes its own folder anew from the versions before it.
+    What is current, and which batch of which stream was the last, stands in one manifest; folders of earlier versions go
+    after ``keep`` changes. So a batch costs the same however many came before it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
-        self.columns = StructType.fromDDL(schema)
-
-    @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32) -> VersionedTable:
-        """An empty table: its first version holds no rows."""
-        table = cls(spark, path, schema, key, buckets)
-        spark.createDataFrame([], table.columns).write.parquet(f"{table.path}/batch=-1/bucket=0")
-        return table
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def _all(self, before: int | None) -> DataFrame:
-        """Every version's rows, with the columns batch and bucket of their folders."""
-        kept = StructType([*self.columns.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
-        rows = self.spark.read.schema(kept).option("basePath", self.path).parquet(self.path)
-        return rows if before is None else rows.filter(F.col("batch") < before)
-
-    def read(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-        """The current rows, or those before a batch; ``touched`` (bucket): of these buckets only, whose folders alone are read."""
-        rows = self._all(before)
-        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-        if touched is not None:
-            newest = newest.join(F.broadcast(touched), "bucket", "left_semi")
-        # One row a bucket, so the join prunes folders.
-        return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").select(self.columns.names)
-
-    def merge(self, batch: int, new: DataFrame, merge) -> None:
-        """Write merge(old, new) for the buckets that new touches."""
-        touched = new.select(self._bucket().alias("bucket")).distinct()
-        rows = merge(self.read(before=batch, touched=touched), new.select(self.columns.names))
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32, keep: int = 3):
+        self.key, self.buckets, self.versions = key, buckets, Versions(spark, path, {TABLE: schema}, keep)
+
+    def _bucket(self) -> str:
+        return f"cast(pmod(xxhash64({self.key}), {self.buckets}) as int)"
+
+    def read(self) -> DataFrame:
+        return self.versions.read(TABLE)
+
+    def merge(self, batch: int, new: DataFrame, merge, stream: str = "") -> None:
+        """Put merge(old, new) in place of the buckets that new touches, unless this batch of the stream is in already."""
+        at = self.versions.current()
+        if at["batches"].get(stream, -1) >= batch:
+            return
+        touched = [str(r[0]) for r in new.select(F.expr(self._bucket())).distinct().collect()]  # one row a bucket
+        rows = merge(self.versions.read(TABLE, touched, at), new.select(self.versions.schemas[TABLE].names))
+        self.versions.commit(at, {TABLE: self.versions.rewritten(TABLE, touched, rows, self._bucket())}, (stream, batch))
 
 
 def latest(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -68,17 +53,35 @@ def first(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(fresh.join(old.select("game_id"), "game_id", "left_anti"))
 
 
-def keep(stream: DataFrame, table: VersionedTable, merge, checkpoint: str):
+def newest(key: str):
+    """Rows of a batch in place of those of the same key, as an aggregate in update mode sends them."""
+    return lambda old, new: old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def keep(stream: DataFrame, table: VersionedTable, merge, checkpoint: str, mode: str = "append"):
     """Run the stream to its end, merging each batch into the table."""
     def batch(rows: DataFrame, number: int) -> None:
+        # The batch is read for its buckets and again for its rows.
+        rows.persist()
         if not rows.isEmpty():
-            table.merge(number, rows, merge)
+            table.merge(number, rows, merge, checkpoint)
+        rows.unpersist()
 
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def delivered_once(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Each event once, however often it is delivered within ``late`` of its time; a stream forgets events beyond that, and drops rows that come later still.
+
+    What a game's first result is, the table decides (``first``): of one batch the earliest, of several the first batch's.
+    """
+    if not events.isStreaming:
+        return events.dropDuplicates(["game_id", "event_id"])
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["game_id", "event_id"])
+
+
 def event_time(rows: DataFrame) -> DataFrame:
     """Watermarks want timestamps with a zone; the session's is UTC."""
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
