@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.odds import STANDARD_ODDS, american_from_decimal, decimal_odds, implied_probability, moneyline_value, payout_multiplier, spread_value
 from courtside.functions.rounding import rounded, whole
+from courtside.operators.ranking import numbered
 from courtside.params import RISK_LEVELS
 
 
@@ -42,17 +43,9 @@ def single_bets(assessed: DataFrame) -> DataFrame:
 
 
 def placed_bets(bets: DataFrame) -> DataFrame:
-    """Every bet with its place, from 1, in the order of ranked_bets.
-
-    Bets are counted by value and confidence first; only these few pairs pass through one window, and a bet's place is
-    the count before its pair plus its number within the pair.
-    """
-    pair = ["value_score", "confidence_pct"]
-    best = [F.desc(c) for c in pair]
-    earlier = Window.orderBy(*best).rowsBetween(Window.unboundedPreceding, -1)
-    before = bets.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).select(*pair, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy(*pair).orderBy("game_id"))
-    return bets.join(before, pair).withColumn("place", F.col("before") + number).drop("before")
+    """Every bet with its place, from 1, in the order of ranked_bets: range partitions with counted offsets, however many bets share a value and a confidence."""
+    placed = numbered(bets, [F.desc("value_score"), F.desc("confidence_pct"), F.col("game_id")])
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 def ranked_bets(bets: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Team history: one row per team per game, rolling form, momentum, rest, sequences and head-to-head.
 
 All rolling features of a team share one shuffle and one sort (partition by sport and team, order by date and
-game), however many are asked for. Head-to-head joins on an unordered pair key, never on an OR of both orders.
+game), however many are asked for; teams of very many games are cut into slices. Head-to-head joins on an unordered pair key, never on an OR of both orders.
 """
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from courtside.functions.rounding import rounded
+from courtside.operators.ranking import numbered
 
 
 def team_games(games: DataFrame) -> DataFrame:
@@ -16,17 +19,44 @@ def team_games(games: DataFrame) -> DataFrame:
     return games.select("game_id", "sport", "game_ts", F.explode(F.array(side("home", "away", 1), side("away", "home", 0))).alias("s")).select("game_id", "sport", "game_ts", "s.*")
 
 
-def _team_window():
-    return Window.partitionBy("team_id").orderBy("game_ts", "game_id")
+#: A team of more games than this is worked on in slices of so many.
+SLICE = 1 << 16
+
 
+def by_team(rows: DataFrame, add: Callable[[DataFrame, WindowSpec], DataFrame], carry: int, slice_games: int = SLICE) -> DataFrame:
+    """add(rows, window) with each team's games in order, no task holding more than a slice of one team.
 
-def rolling_form(rows: DataFrame, include_current: bool = True) -> DataFrame:
+    ``carry``: how many earlier games the windows of add can reach. Teams of few games, if not all then nearly all, take
+    one shuffle. The games of the others are numbered by range partitions and cut into slices; each slice starts with
+    the last ``carry`` games of the one before it, which only lend their values and go again.
+    """
+    if slice_games <= carry:
+        raise ValueError("a slice must hold more games than windows reach")
+    order = ("game_ts", "game_id")
+    plain = Window.partitionBy("team_id").orderBy(*order)
+    large = rows.groupBy("team_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_games).select("team_id")
+    if large.isEmpty():
+        return add(rows, plain)
+    placed = numbered(rows.join(large, "team_id", "left_semi"), ["team_id", *order])
+    first = placed.groupBy("team_id").agg(F.min("place").alias("first"))
+    index = F.col("place") - F.col("first")
+    own = F.expr(f"index div {slice_games}")
+    copies = F.when(index % slice_games >= slice_games - carry, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = placed.join(first, "team_id").withColumn("index", index).withColumn("slice", F.explode(copies.alias("s"))).withColumn("lent", F.col("slice") > own)
+    sliced = add(dealt.drop("place", "first", "index"), Window.partitionBy("team_id", "slice").orderBy(*order)).filter(~F.col("lent")).drop("slice", "lent")
+    rest = add(rows.join(large, "team_id", "left_anti"), plain)
+    return rest.unionByName(sliced)
+
+
+def rolling_form(rows: DataFrame, include_current: bool = True, slice_games: int = SLICE) -> DataFrame:
     """Adds rolling points and opponent points (10 games), win rate (20), days of rest and the back-to-back flag.
 
     ``include_current=False`` ends every frame at the previous game, as training needs.
     """
-    end = 0 if include_current else -1
-    ordered = _team_window()
+    return by_team(rows, lambda df, ordered: _form(df, ordered, 0 if include_current else -1), 20, slice_games)
+
+
+def _form(rows: DataFrame, ordered: WindowSpec, end: int) -> DataFrame:
     frame = lambda n: ordered.rowsBetween(end - n + 1, end)
     rest = F.datediff("game_ts", F.lag("game_ts").over(ordered))
     return rows.withColumns({
@@ -63,14 +93,14 @@ def momentum(rows: DataFrame) -> DataFrame:
 STEP = ("points", "opponent_points", "is_home", "points_10", "opponent_points_10", "win_rate_20", "days_rest", "back_to_back")
 
 
-def sequences(rows: DataFrame, length: int = 10) -> DataFrame:
+def sequences(rows: DataFrame, length: int = 10, slice_games: int = SLICE) -> DataFrame:
     """Per team and game, the STEP features of the last ``length`` games as a flat array, oldest first; shorter histories are left out.
 
     A first game has no days of rest and counts as 0.
     """
-    frame = _team_window().rowsBetween(1 - length, 0)
-    last = F.collect_list(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STEP])).over(frame)
-    return rolling_form(rows).withColumn("steps", last).filter(F.size("steps") == length).select("team_id", "game_id", F.flatten("steps").alias("sequence"))
+    step = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STEP])
+    steps = lambda df, ordered: _form(df, ordered, 0).withColumn("steps", F.collect_list(step).over(ordered.rowsBetween(1 - length, 0)))
+    return by_team(rows, steps, 20 + length, slice_games).filter(F.size("steps") == length).select("team_id", "game_id", F.flatten("steps").alias("sequence"))
 
 
 def pair_key(home: str = "home_id", away: str = "away_id") -> list:

@@ -164,3 +164,18 @@ class Registry:
     @staticmethod
     def supported() -> list[str]:
         return sorted(SPORTS)
+
+
+def held_to(scored: DataFrame, keys: list[str], label: str = "label", p: str = "p") -> DataFrame:
+    """keys, games, in_range, split_adds_up and above_majority of scored rows, one row for each value of keys.
+
+    In range: no probability is null or outside 0 to 1. The split adds up: its two parts are all the rows. Above the
+    majority: on its training rows a model is right at least as often as whoever names the commoner label there.
+    """
+    train, test = (part.select("game_id") for part in split(scored))
+    trained = F.pmod(F.xxhash64("game_id"), F.lit(100)) < 80
+    right = F.count_if(trained & ((F.col(p) > 0.5).cast("int") == F.col(label)))
+    ones, n = F.count_if(trained & (F.col(label) == 1)), F.count_if(trained)
+    sizes = train.count() + test.count()
+    found = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("games"), F.bool_and(F.coalesce(F.col(p).between(0, 1), F.lit(False))).alias("in_range"), (right >= F.greatest(ones, n - ones)).alias("above_majority"))
+    return found.withColumn("split_adds_up", F.lit(sizes) == F.lit(scored.count()))

@@ -357,11 +357,19 @@ def jon06_team_in_game(view):
     return r.groupBy("team_id").agg(F.count(F.lit(1)).alias("games"), F.min("game_id").alias("first_game"), F.sum("points").alias("points"))
 
 
-@query(" SELECT team_id, game_id, s AS points_sum, f AS first_points FROM (SELECT team_id, game_id, CAST(sum(points) OVER w AS DOUBLE) AS s, CAST(first(points) OVER w AS DOUBLE) AS f, count(*) OVER w AS n FROM team_games WINDOW w AS (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10")
+STEPS = f""", formed AS (SELECT team_id, game_id, game_ts, CAST(points AS DOUBLE) AS points, CAST(opponent_points AS DOUBLE) AS opponent_points, CAST(is_home AS DOUBLE) AS is_home,
+    avg(points) OVER ten AS points_10, avg(opponent_points) OVER ten AS opponent_points_10, avg(CAST(points > opponent_points AS INT)) OVER twenty AS win_rate_20, CAST(coalesce({LAG}, 0) AS DOUBLE) AS days_rest, CAST(coalesce({LAG} <= 1, false) AS INT)::DOUBLE AS back_to_back FROM team_games
+    WINDOW ten AS (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), twenty AS (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+TEN = "OVER (PARTITION BY team_id ORDER BY game_ts, game_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+
+
+@query(STEPS + " SELECT * EXCLUDE (n) FROM (SELECT team_id, game_id, " + ", ".join(f"{R(f'sum({c}) {TEN}')} AS {c}_sum, {R(f'first({c}) {TEN}')} AS {c}_first" for c in features.STEP) + f", count(*) {TEN} AS n FROM formed) WHERE n = 10")
 def win09_sequences(view):
+    """Of each sequence, every feature's sum over its steps and its value in the oldest step."""
     s = features.sequences(features.team_games(view("games")))
-    points = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get(F.col("sequence"), i * len(features.STEP)))
-    return s.select("team_id", "game_id", F.aggregate(points, F.lit(0.0), lambda a, x: a + x).alias("points_sum"), F.get(F.col("sequence"), F.lit(0)).alias("first_points"))
+    place = lambda i, step: F.get(F.col("sequence"), F.lit(step * len(features.STEP) + i))
+    total = lambda i: rounded(sum((place(i, step) for step in range(1, 10)), place(i, 0)))
+    return s.select("team_id", "game_id", *[x for i, c in enumerate(features.STEP) for x in (total(i).alias(f"{c}_sum"), rounded(place(i, 0)).alias(f"{c}_first"))])
 
 
 H2H = """, pairs AS (SELECT least(home_id, away_id) AS lo, greatest(home_id, away_id) AS hi, count(*) AS n, CAST(sum(CASE WHEN home_id <= away_id THEN home_score - away_score ELSE away_score - home_score END) AS DOUBLE) AS d,
@@ -649,9 +657,14 @@ def snk06_dashboard_document(view):
     return read.select(F.explode("trend").alias("t"), "day.correct", F.col("day.spread_errors.b11_15").alias("b11_15"), F.get("games", F.lit(0))["game_id"].alias("first_game"), F.try_element_at("games", F.lit(-1))["spread_error"].alias("last_error")).select(F.col("t.day").cast("string").alias("day"), "t.accuracy", "t.spread_error", "t.games", "correct", "b11_15", "first_game", "last_error")
 
 
-@query(" SELECT count(*) AS predictions, count(DISTINCT game_id) AS games, min(ts) AS first_ts, max(ts) AS last_ts FROM predictions")
+@query(""" SELECT t AS tracked, game_id, ts, x FROM (SELECT 'predictions' AS t, game_id, ts, predicted_spread AS x FROM predictions UNION ALL SELECT 'results', game_id, ts, final_spread FROM results UNION ALL SELECT 'metrics', game_id, ts, spread_error FROM metrics)
+    WHERE ts >= TIMESTAMP '2001-06-01' AND ts < TIMESTAMP '2001-08-01'""")
 def src08_tracking_reads(view):
-    return view("predictions").agg(F.count(F.lit(1)).alias("predictions"), F.countDistinct("game_id").alias("games"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Two months of all three tables, read from the store, whose other months are not opened."""
+    value = {"predictions": "predicted_spread", "results": "final_spread", "metrics": "spread_error"}
+    store = _store(view, **{name: view(name) for name in tracking.TABLES})
+    parts = [store.read(name, "2001-06", "2001-07").select(F.lit(name).alias("tracked"), "game_id", "ts", F.col(c).alias("x")) for name, c in value.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(" SELECT game_id FROM results WHERE game_id NOT IN (SELECT game_id FROM predictions)")
@@ -704,6 +717,19 @@ def src02_season_scores(view):
     return feeds.season_games(docs)
 
 
+@query(""" SELECT CASE WHEN game_id % 9 = 4 THEN 'corrupt' WHEN game_id % 7 = 2 THEN 'HomeTeam missing' WHEN game_id % 5 = 1 THEN 'AwayTeam missing' ELSE 'read' END AS outcome, count(*) AS documents,
+    CAST(coalesce(sum(CASE WHEN game_id % 9 <> 4 AND game_id % 7 <> 2 AND game_id % 5 <> 1 THEN game_id END), 0) AS BIGINT) AS ids FROM games GROUP BY 1""")
+def prj13_checked_feed(view):
+    """A landed feed of season scores with broken lines and missing names: what is read, and what is kept apart and why."""
+    g = view("games")
+    line = F.to_json(F.struct(F.col("game_id").alias("GameID"), F.when(F.expr("game_id % 7 <> 2"), F.concat(F.lit("T"), F.col("home_id").cast("string"))).alias("HomeTeam"), F.when(F.expr("game_id % 5 <> 1"), F.concat(F.lit("T"), F.col("away_id").cast("string"))).alias("AwayTeam")))
+    path = f"{scratch(g.sparkSession)}/landed"
+    g.select(F.when(F.expr("game_id % 9 = 4"), F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
+    rows, rejects = feeds.read_checked(g.sparkSession, path, feeds.SEASON, ("HomeTeam", "AwayTeam"))
+    counted = lambda df, outcome, ids: df.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(ids), F.lit(0)).alias("ids"))
+    return counted(rows, F.lit("read"), F.col("GameID")).unionByName(counted(rejects, F.col("reason"), F.lit(None).cast("long")))
+
+
 @query(f" SELECT game_id, CASE WHEN game_id % 11 = 0 THEN 'N/A' ELSE concat('T -', CAST(game_id % 9 AS STRING)) END AS spread, CAST(200 + game_id % 40 AS DOUBLE) AS over_under, CASE WHEN game_id % 13 = 0 THEN NULL ELSE CAST(coalesce(home_ml, 0) AS INT) END AS home_ml, CAST(coalesce(away_ml, 0) AS INT) AS away_ml, 'book' AS provider FROM market_odds")
 def src03_odds_quotes(view):
     o = view("market_odds")
@@ -958,11 +984,16 @@ def prj17_flat_training_row(view):
     return ml.flat_rows(_enhanced(view)).select("game_id", *map(_six, ml.FLAT))
 
 
-@query(LINES + f"SELECT game_id, {R('hw')} AS f_hw, {R('hp')} AS f_hp, CASE WHEN game_id % 3 = 1 AND game_id % 2 = 0 THEN {D(4.5)} ELSE {D(3)} END AS f_home_era FROM lines WHERE sport = 'MLB'")
+B2B = f", rested AS (SELECT game_id, max(CASE WHEN is_home = 1 THEN b END) AS home_b, max(CASE WHEN is_home = 0 THEN b END) AS away_b FROM (SELECT game_id, is_home, CAST(coalesce({LAG} <= 1, false) AS INT) AS b FROM team_games) GROUP BY game_id)"
+
+
+@query(LINES + B2B + " SELECT l.game_id, sport, " + ", ".join(f"{R(c)} AS f_{c}" for c in ("hw", "aw", "hp", "ap", "ha", "aa")) + f""", CASE WHEN sport = 'NBA' THEN CAST(home_b AS DOUBLE) END AS f_home_b2b, CASE WHEN sport = 'NBA' THEN CAST(away_b AS DOUBLE) END AS f_away_b2b,
+    CASE WHEN sport = 'MLB' THEN coalesce({ERA(0)}, {D(4.5)}) END AS f_home_era, CASE WHEN sport = 'MLB' THEN coalesce({ERA(1)}, {D(4.5)}) END AS f_away_era FROM lines l JOIN rested USING (game_id)""".replace("game_id %", "l.game_id %").replace("game_id *", "l.game_id *"))
 def ml01_sport_features(view):
-    m = forecast.supported(forecast.matchups(view("games"), view("teams")), "MLB").withColumns({"home_era": F.when(F.expr("not (game_id % 3 = 1 and game_id % 2 = 0)"), 3.0), "away_era": F.lit(None).cast("double")})
-    out = m.withColumns(ml.sport_columns("MLB"))
-    return out.select("game_id", rounded("f_hw").alias("f_hw"), rounded("f_hp").alias("f_hp"), "f_home_era")
+    """The features of every sport's model; those that a sport doesn't have are null."""
+    rows = _scoring_rows(view)
+    parts = [forecast.supported(rows, s).withColumns(ml.sport_columns(s)).select("game_id", "sport", *[rounded(c).alias(c) for c in ml.sport_columns(s)]) for s in ml.Registry.supported()]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
 @query()
@@ -976,20 +1007,64 @@ def _training(view) -> tuple[DataFrame, list[str]]:
     return rows, [c for c in rows.columns if c not in ("game_id", "sport", "label", "margin")]
 
 
-@query()
-def ml03_forest_by_sport(view):
-    """One forest a sport; probabilities of all its games."""
+def _forests(view, trees: int, depth: int) -> DataFrame:
+    """One forest a sport; labels and probabilities of all its games."""
     rows, columns = _training(view)
     out = None
     for sport in ml.Registry.supported():
-        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=100, maxDepth=10, seed=42))
+        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42))
         mine = spec.prepared(rows.filter(F.col("sport") == sport))
         model = spec.pipeline().fit(ml.split(mine)[0])
-        part = ml.probability(model.transform(mine)).select("game_id", "sport", rounded("p").alias("p"))
+        part = ml.probability(model.transform(mine)).select("game_id", "sport", "label", rounded("p").alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query()
+def ml03_forest_by_sport(view):
+    return _forests(view, 100, 10).drop("label")
+
+
+#: The games with history on both sides, as ml12_training_features has them.
+LEARNT = f""", b AS (SELECT game_id, is_home, avg(points) {BEFORE} AS p FROM team_games), known AS (SELECT game_id FROM b GROUP BY game_id HAVING count(p) = 2),
+    learnt AS (SELECT g.* FROM games g JOIN known USING (game_id))"""
+
+
+@query(LEARNT + "SELECT sport, count(*) AS games, true AS in_range, true AS above_majority, true AS split_adds_up FROM learnt GROUP BY sport")
+def ml03_forest_held_to_its_properties(view):
+    """Small forests of all sports: their games, the range of their probabilities, the split, and accuracy against the majority."""
+    return ml.held_to(_forests(view, 10, 5), ["sport"])
+
+
+@query(LEARNT + "SELECT count(*) AS games, true AS in_range, true AS above_majority, true AS split_adds_up FROM learnt")
+def ml04_boosting_held_to_its_properties(view):
+    return ml.held_to(_boosted(view, 5, 3), [])
+
+
+@query(LEARNT + ", m AS (SELECT * FROM (VALUES ('forest'), ('boosting'), ('net')) AS t(model)) SELECT model, count(*) AS rows_in_all, true AS is_share FROM learnt, m GROUP BY model")
+def ml06_training_held_to_its_properties(view):
+    """Small models of all three kinds: their samples add up, and each accuracy is a share."""
+    rows, columns = _training(view)
+    metrics = ml.train_models(rows, columns, trees=5, depth=3, iterations=5)[1]
+    return metrics.select("model", (F.col("train_rows") + F.col("test_rows")).alias("rows_in_all"), F.col("accuracy").between(0, 1).alias("is_share"))
+
+
+@query(LINES + """SELECT sport, count(*) AS games, true AS clamped, true AS sure, true AS tiered FROM lines GROUP BY sport""")
+def ml09_scoring_held_to_its_properties(view):
+    """Small models' scores of every game: probabilities within the clamp, confidence the larger side, a tier each."""
+    scored = _batch_scored(view, 10, 5)
+    p, fits = F.col("p_home"), lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    return scored.groupBy("sport").agg(F.count(F.lit(1)).alias("games"), fits(p.between(0.1, 0.9)).alias("clamped"), fits(F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-3).alias("sure"), fits(F.col("tier").isin("high", "medium", "low")).alias("tiered"))
+
+
+@query(LEARNT + f"SELECT count(*) AS games, CAST(sum(home_score - away_score) AS DOUBLE) AS margins, true AS nearer_than_the_mean FROM learnt")
+def ml10_regression_held_to_its_properties(view):
+    """A small regression's predictions of every game are nearer to the margins than their mean is."""
+    scored = _regressed(view, 10)
+    error, mean = F.avg((F.col("margin") - F.col("predicted_margin")) ** 2), F.var_pop("margin")
+    return scored.agg(F.count(F.lit(1)).alias("games"), F.sum("margin").alias("margins"), (error < mean).alias("nearer_than_the_mean"))
+
+
 @query()
 def ml06_train_all_models(view):
     """Three models on point-in-time features, their accuracy and sample sizes."""
@@ -999,8 +1074,12 @@ def ml06_train_all_models(view):
 
 @query()
 def ml10_spread_regression(view):
+    return _regressed(view, 100)
+
+
+def _regressed(view, rounds: int) -> DataFrame:
     rows, columns = _training(view)
-    model, _ = ml.spread_regression(rows, columns, iterations=100)
+    model, _ = ml.spread_regression(rows, columns, iterations=rounds)
     return model.transform(rows).select("game_id", "margin", rounded("prediction", 4).alias("predicted_margin"))
 
 
@@ -1095,9 +1174,13 @@ def fn13_pretty_json(view):
 
 @query()
 def ml04_boosting(view):
+    return _boosted(view, 100, 10).drop("label")
+
+
+def _boosted(view, rounds: int, depth: int) -> DataFrame:
     rows, columns = _training(view)
-    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.GBTClassifier(maxIter=100, maxDepth=10, seed=42)]).fit(ml.split(rows)[0])
-    return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
+    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.GBTClassifier(maxIter=rounds, maxDepth=depth, seed=42)]).fit(ml.split(rows)[0])
+    return ml.probability(model.transform(rows)).select("game_id", "label", rounded("p", 4).alias("p"))
 
 
 @query()
@@ -1128,6 +1211,10 @@ def _sport_specs(trees: int = 100, depth: int = 10) -> dict[str, ml.SportSpec]:
 
 @query()
 def ml09_batch_scoring(view):
+    return _batch_scored(view, 100, 10)
+
+
+def _batch_scored(view, trees: int, depth: int) -> DataFrame:
     """Forest probabilities of every game by its sport's model, moved by the teams' sentiment, with line, tier and agreement; a registry keeps the models."""
     rows = _scoring_rows(view)
     factors = _factors(view)
@@ -1135,7 +1222,7 @@ def ml09_batch_scoring(view):
         rows = rows.join(factors.select(F.col("team_id").alias(f"{s}_id"), F.col("factor").alias(f"{s}_factor")), f"{s}_id", "left")
     registry = ml.Registry(f"{scratch(rows.sparkSession)}/models")
     out = None
-    for sport, spec in _sport_specs().items():
+    for sport, spec in _sport_specs(trees, depth).items():
         mine = spec.prepared(forecast.supported(rows, sport))
         registry.save(sport, spec.pipeline().fit(ml.split(mine)[0]))
         scored = ml.probability(ml.Registry(registry.path).get(sport).transform(mine))

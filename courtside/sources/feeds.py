@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from courtside.functions.formats import clock, eastern, first_where
 from courtside.functions.rounding import rounded
@@ -18,6 +19,24 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: The reason of documents that are no JSON of the schema.
+CORRUPT = "corrupt"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Landed documents, one a line, that can be read and have all ``required`` fields; and the others, as they stand, with a reason.
+
+    Each line is in one of the two, blank ones in neither. Fields may be nested (a.b).
+    """
+    fields = StructType([*StructType.fromDDL(schema).fields, StructField("_corrupt", StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    read = lines.select("value", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    missing = [F.when(F.col(f"d.{f}").isNull(), F.lit(f"{f} missing")) for f in required]
+    reason = F.coalesce(F.when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), CORRUPT), *missing)
+    told = read.withColumn("reason", reason)
+    return told.filter("reason is null").select("d.*").drop("_corrupt"), told.filter("reason is not null").select("value", "reason")
+
+
 def parsed(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Documents of a text column, such as request bodies, by schema."""
     return raw.select(F.from_json(column, schema).alias("d")).select("d.*")

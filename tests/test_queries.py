@@ -103,3 +103,39 @@ def test_articles_are_split_below_the_explode(spark):
     assert not any("split(" in line and "content" in line for line in lines[:last]) and "size(sentences" in "".join(lines[last:])
     first = next(i for i, line in enumerate(lines) if "Generate " in line)
     assert "content" not in "".join(lines[:first])
+
+
+def test_slices_of_a_large_team_change_nothing(spark):
+    """A team with a third of all games, in slices and in one window."""
+    from courtside.operators import features
+
+    games = spark.range(900).selectExpr(
+        "id AS game_id", "'NBA' AS sport", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id * 7919 % 400 AS int)) AS game_ts",
+        "CASE WHEN id % 3 > 0 THEN 1 ELSE id % 40 END AS home_id", "40 + id % 7 AS away_id", "80 + id * 31 % 50 AS home_score", "80 + id * 17 % 50 AS away_score")
+    rows = features.team_games(games)
+    for make in (features.rolling_form, lambda r, **k: features.rolling_form(r, False, **k), features.sequences):
+        plain, sliced = make(rows), make(rows, slice_games=40)
+        assert plain.count() > 0 and sorted(map(repr, plain.collect())) == sorted(map(repr, sliced.select(plain.columns).collect()))
+    p = plan(features.rolling_form(rows, slice_games=40))
+    assert "slice" in p.partition("Window")[2]
+
+
+def test_places_need_no_window_over_bets(spark):
+    from courtside.operators import bets
+
+    rows = spark.range(100).selectExpr("id AS game_id", "1.0D AS value_score", "80 AS confidence_pct")
+    placed = bets.placed_bets(rows)
+    assert sorted((r["place"], r["game_id"]) for r in placed.collect()) == [(i + 1, i) for i in range(100)]
+    windows = [line for line in plan(placed).split("\n") if "Window " in line]
+    assert windows and all("_held" in line for line in windows)  # of the partitions' offsets
+
+
+def test_broken_documents_are_kept_apart(spark, tmp_path):
+    from courtside.sources import feeds
+
+    good = ['{"id": 1, "team": {"name": "a"}}', '{"id": 2, "team": {"name": null}}', '{"team": {"name": "c"}}', '{"id": 4, "team": {"name": "d"}, "more": [1]}']
+    bad = ['{"id": 5, "team": {"na', "no json", '{"id": "x", "team": {"name": "e"}}', "[1, 2"]
+    spark.createDataFrame([(x,) for x in [*good, *bad, "", "  "]], "value string").repartition(3).write.text(str(tmp_path / "in"))
+    rows, rejects = feeds.read_checked(spark, str(tmp_path / "in"), "id bigint, team struct<name:string>", ("id", "team.name"))
+    assert sorted(r["id"] for r in rows.collect()) == [1, 4]
+    assert sorted((r["reason"], r["value"]) for r in rejects.collect()) == sorted([("team.name missing", good[1]), ("id missing", good[2]), *[("corrupt", b) for b in bad]])
