@@ -47,9 +47,10 @@ def discard(*tables: DataFrame) -> None:
             continue
 
 
-def small(df: DataFrame, width: int) -> DataFrame:
+def small(df: DataFrame, width: int | Column) -> DataFrame:
     """A materialized df, whose rows take about ``width`` bytes, to broadcast where its size is small, else as it is."""
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+    total = df.count() * width if isinstance(width, int) else df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, tag: str) -> str:

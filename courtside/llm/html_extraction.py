@@ -6,12 +6,17 @@ has becomes optional, one occurrence of a repeated group matches the group, text
 wrapper, a union-free regular expression over tags and slots that accepts every one of its streams.
 
 Every stream is then matched against its host's wrapper, which tells the wrapper's slot of each of its texts. Over all
-pages of the host a slot has a size, a share of link text, and either varying text or the same text everywhere. The
-main region is an element of the wrapper: the deepest article or main element with MARKED_SHARE of the marked text, or
-without such elements the deepest element with MOST of the varying text. Within it, slots of link lists, unvarying
-slots of unmarked regions, and elements that are menus, headers, adverts, forms, comments and the like by name are no
-main text. A page's main text is what fills the remaining slots; a stream that has less than MOST of its own text there
-keeps all its slots outside such elements and link lists.
+pages of the host a slot has a size, blocks that are links for the most part, and either varying text or the same text
+everywhere. The main region is an element of the wrapper: the deepest article or main element with MARKED_SHARE of the
+marked text, or without such elements the deepest element with MOST of the varying text. Not main text are:
+- elements that are navigation, footers, asides, forms and the like by tag, and headers outside an article or main;
+- elements whose name is one of NEVER_WORDS, alone or with words of arrangement (comment-list, ad_box2);
+- link lists, slots of short blocks nearly all of which are links; a slot with other text stays whole;
+- elements with a doubtful word (legal, related-work, share-price) only where their text is nearly all links, or the same on
+  SAME_PAGES urls or more; such unvarying text goes in unmarked regions whatever its name.
+A page's main text is what fills the remaining slots; a stream that has less than MOST of its own text there keeps all
+its slots outside what is listed above. A stream that its wrapper should not accept keeps all slots but those that tags
+and names rule out.
 
 Only distinct streams and sums over slots are shuffled, the streams of a host in groups of MERGED that shrink to one
 wrapper round by round, so a host with a third of all pages is no larger a task than another.
@@ -27,6 +32,7 @@ import html
 import re
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -42,8 +48,8 @@ from courtside.llm._common import column, materialize, small, with_id
 MERGED = 32
 #: The share of a host's marked text that a marked main region holds at least, and the share of varying text that a region holds at least, on its host (unmarked) and on each stream.
 MARKED_SHARE, MOST = 0.9, 0.6
-#: Pages with the same text in a slot that make it template text, and the share of link text that makes it a link list.
-SAME_PAGES, LINKS = 3, 0.5
+#: Urls with the same text in a slot that make it template text, the share of link text that makes a block a link, and the share of such blocks, of so many characters at most on average, that makes a slot a link list.
+SAME_PAGES, LINKS, LISTED, SHORT = 3, 0.5, 0.9, 100
 #: Trees are walked by plain calls, one for each level.
 DEPTH = 1_000_000
 
@@ -52,9 +58,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option button".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
-#: Elements, and words of class or id, that are never main text.
+#: Elements that are never main text.
 DROPPED_TAGS = frozenset("head nav footer aside form dialog menu".split())
-DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies discussion disqus share sharing social related recommended recommendations pagination pager login signup search copyright legal".split())
+#: Words of class or id that say so if they are the whole name but for words of arrangement, and words that only hint at it.
+NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal newsletter sidebar widget widgets nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus pagination pager login signup".split())
+DOUBTFUL_WORDS = frozenset("banner promo promotion notice notices alert overlay subscribe subscription rail menu respond reply replies discussion share sharing social related recommended recommendations search copyright legal".split())
+ARRANGING = frozenset("area block body bottom box card center col column container content div fixed global group holder inner item items left link links list main outer page panel primary right row secondary section site slot top unit wrap wrapper zone".split())
 PAGE_HEADER = frozenset(["header", "head"])
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
@@ -379,21 +388,50 @@ class Matcher:
         return out
 
 
-@lru_cache(maxsize=4096)
-def is_boilerplate(path: str) -> bool:
-    """A path through an element that is never main text."""
-    inside = False
-    for label in path.split("/"):
-        tag, *words = label.split(".")
-        parts = {p for w in words for p in re.split(r"[^a-z]+", w)}
-        if tag in DROPPED_TAGS or parts & DROPPED_WORDS or (not inside and (tag == "header" or parts & PAGE_HEADER)):
-            return True
-        inside |= tag in ("article", "main") or "main" in parts or "article" in parts
-    return False
+NEVER, DOUBTFUL, FINE = 2, 1, 0
 
 
-def main_slots(wrapper: list[Node], seen: dict[int, tuple[int, int, int, bool]]) -> tuple[list[int], list[int]]:
-    """The slots of the main region, and all usable ones. ``seen``: each slot's pages, characters, characters in links, and whether its text varies."""
+@lru_cache(maxsize=4096)
+def verdict(path: str) -> int:
+    """What the tags and names of the elements of a path say of its text."""
+    inside, found = False, FINE
+    for label in path.split("/"):
+        tag, *names = label.split(".")
+        split = [set(filter(None, re.split(r"[^a-z]+", n))) for n in names]
+        words = set().union(*split)
+        if tag in DROPPED_TAGS or (not inside and (tag == "header" or words & PAGE_HEADER)):
+            return NEVER
+        if any(w & NEVER_WORDS and w <= NEVER_WORDS | ARRANGING for w in split):
+            return NEVER
+        if words & (NEVER_WORDS | DOUBTFUL_WORDS):
+            found = DOUBTFUL
+        inside |= is_marked(label)
+    return found
+
+
+@dataclass(frozen=True)
+class Seen:
+    """A slot over the pages of a host: urls, characters, those in links, blocks, those that are links, and whether its text varies."""
+
+    urls: int
+    chars: int
+    links: int
+    blocks: int
+    linked: int
+    varies: bool
+
+    @property
+    def listed(self) -> bool:
+        """A link list."""
+        return self.blocks > 0 and self.linked >= LISTED * self.blocks and self.chars <= SHORT * self.blocks
+
+    @property
+    def template(self) -> bool:
+        return not self.varies and self.urls >= SAME_PAGES
+
+
+def main_slots(wrapper: list[Node], seen: dict[int, Seen]) -> tuple[list[int], list[int]]:
+    """The slots of the main region, and all usable ones."""
     paths: dict[int, tuple[tuple[int, str], ...]] = {}
     waiting = [(n, ()) for n in wrapper]
     numbers = {id(n): k for k, n in enumerate(_all(wrapper))}
@@ -403,10 +441,17 @@ def main_slots(wrapper: list[Node], seen: dict[int, tuple[int, int, int, bool]])
             paths[node.slot] = above
         below = (*above, (numbers[id(node)], node.label)) if node.label else above
         waiting += [(k, below) for k in node.kids]
-    usable = sorted(s for s, path in paths.items() if not is_boilerplate("/".join(name for _, name in path)) and not (s in seen and seen[s][2] > LINKS * seen[s][1]))
-    weights = {s: seen[s][1] if s in seen and seen[s][3] else 0 for s in usable}
+
+    def fits(s: int) -> bool:
+        said, it = verdict("/".join(name for _, name in paths[s])), seen.get(s)
+        if said == NEVER or (it and it.listed):
+            return False
+        return not (said == DOUBTFUL and it and (it.template or it.links >= LISTED * it.chars))
+
+    usable = sorted(filter(fits, paths))
+    weights = {s: seen[s].chars if s in seen and seen[s].varies else 0 for s in usable}
     if not any(weights.values()):  # nothing varies, as on a host with one text
-        weights = {s: seen[s][1] if s in seen else 0 for s in usable}
+        weights = {s: seen[s].chars if s in seen else 0 for s in usable}
     held: dict[int, int] = {}
     depth: dict[int, int] = {}
     names: dict[int, str] = {}
@@ -422,7 +467,7 @@ def main_slots(wrapper: list[Node], seen: dict[int, tuple[int, int, int, bool]])
         total = sum(weights[s] for s in inside)
         full = [n for n in marked if held[n] >= MARKED_SHARE * total]
         return (sorted(slots[max(full, key=lambda n: (depth[n], -n))]) if full else inside), usable
-    varying = [s for s in usable if s not in seen or seen[s][3] or seen[s][0] < SAME_PAGES]
+    varying = [s for s in usable if s not in seen or not seen[s].template]
     total = sum(weights.values())
     full = [n for n in held if total and held[n] >= MOST * total and (len(slots[n]) > 1 or paths[slots[n][0]][-1][0] != n)]
     region = slots[max(full, key=lambda n: (depth[n], held[n], -n))] if full else usable
@@ -458,7 +503,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in text.blocks:
                     of_block[k] = text.slot
                 inside = [blocks[k] for k in text.blocks]
-                slots.append({"slot": text.slot, "chars": sum(len(t) for t, _ in inside), "links": sum(n for _, n in inside), "mark": xxhash.xxh3_64_intdigest("\0".join(t for t, _ in inside)) - (1 << 63)})
+                slots.append({"slot": text.slot, "chars": sum(len(t) for t, _ in inside), "links": sum(n for _, n in inside), "blocks": len(inside), "linked": sum(n > LINKS * len(t) for t, n in inside), "mark": xxhash.xxh3_64_intdigest("\0".join(t for t, _ in inside)) - (1 << 63)})
             streams.append(stream)
             shapes.append(None if (host, stream) in met else shape)
             met.add((host, stream))
@@ -469,14 +514,14 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BLOCKS = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
-SLOTS = pa.list_(pa.struct([("slot", pa.int32()), ("chars", pa.int64()), ("links", pa.int64()), ("mark", pa.int64())]))
+SLOTS = pa.list_(pa.struct([("slot", pa.int32()), ("chars", pa.int64()), ("links", pa.int64()), ("blocks", pa.int64()), ("linked", pa.int64()), ("mark", pa.int64())]))
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page's stream, blocks of text and sizes of slots; a stream's shape is there at least once a host."""
     url = column(pages, url_col)
     named = pages.select(column(pages, id_col).alias("id"), url.cast("string").alias("url"), _host(url).alias("host"), column(pages, html_col).cast("string").alias("html"))
-    fields = "url string, host string, stream long, shape string, blocks array<struct<slot:int,text:string>>, slots array<struct<slot:int,chars:long,links:long,mark:long>>"
+    fields = "url string, host string, stream long, shape string, blocks array<struct<slot:int,text:string>>, slots array<struct<slot:int,chars:long,links:long,blocks:long,linked:long,mark:long>>"
     return materialize(named.mapInArrow(_parsed, with_id(named, fields)), "parsed")
 
 
@@ -502,8 +547,12 @@ def wrappers(shapes: DataFrame) -> DataFrame:
         rest = materialize(merged, "wrappers")
 
 
+#: Places of slots that no wrapper has.
+LOOSE, BARRED = -1, -2
+
+
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, stream, shape, wrapper -> host, stream, slot, place: the wrapper's slot of every slot."""
+    """host, stream, shape, wrapper -> host, stream, slot, place: the wrapper's slot of every slot; of a stream that it does not accept, LOOSE or, by tags and names, BARRED."""
     sys.setrecursionlimit(DEPTH)
     held: tuple[str | None, Matcher | None] = (None, None)
     for batch in batches:
@@ -511,9 +560,11 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, stream, shape, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
             if held[0] != wrapper:
                 held = wrapper, Matcher(read(wrapper))
-            found = held[1].match(read(shape))
+            nodes = read(shape)
+            found = held[1].match(nodes)
             if found is None:
-                raise ValueError(f"the wrapper of host {host} does not accept a stream of it")
+                fine = set(main_slots(nodes, {})[1])
+                found = {t.slot: LOOSE if t.slot in fine else BARRED for t in texts_of(nodes)}
             rows += [(host, stream, slot, place) for slot, place in found.items()]
         columns = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32()))], ["host", "stream", "slot", "place"])
@@ -527,7 +578,7 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shape, seen in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             wrapper = read(shape)
             texts_of(wrapper)
-            found.append(main_slots(wrapper, {r["place"]: (r["pages"], r["chars"], r["links"], r["varies"]) for r in seen}))
+            found.append(main_slots(wrapper, {r["place"]: Seen(r["urls"], r["chars"], r["links"], r["blocks"], r["linked"], r["varies"]) for r in seen}))
         lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["host", "main", "usable"])
 
@@ -536,17 +587,19 @@ def kept_slots(pages: DataFrame) -> DataFrame:
     """parsed pages -> host, stream, kept: the slots of main text of every stream, by its host's wrapper."""
     shapes = pages.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages"), F.max("shape").alias("shape"))
     shapes = materialize(shapes.filter("shape <> ''"), "shapes")
-    seen = pages.select("host", "stream", F.explode("slots").alias("s")).groupBy("host", "stream", "s.slot")
-    seen = seen.agg(F.count(F.lit(1)).alias("pages"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"), F.min("s.mark").alias("low"), F.max("s.mark").alias("high"))
+    sums = ("chars", "links", "blocks", "linked")
+    seen = pages.select("host", "stream", F.coalesce("url", F.lit("")).alias("url"), F.explode("slots").alias("s")).groupBy("host", "stream", "s.slot")
+    # Repeated rows are one url; the smallest sketch tells few urls exactly, and more than few is all that matters.
+    seen = seen.agg(F.hll_sketch_agg("url", 4).alias("urls"), *[F.sum(f"s.{c}").alias(c) for c in sums], F.min("s.mark").alias("low"), F.max("s.mark").alias("high"))
     wrapper = wrappers(shapes)
     pairs = shapes.select("host", "stream", "shape").join(wrapper.withColumnRenamed("shape", "wrapper"), "host")
     places = pairs.mapInArrow(_matched, "host string, stream long, slot int, place int")
     placed = materialize(seen.join(places, ["host", "stream", "slot"]), "slots")
-    whole = placed.groupBy("host", "place").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.min("low").alias("low"), F.max("high").alias("high"))
-    varies = (F.col("pages") < 2) | (F.col("low") != F.col("high"))
-    listed = whole.groupBy("host").agg(F.collect_list(F.struct("place", "pages", "chars", "links", varies.alias("varies"))).alias("seen"))
+    whole = placed.groupBy("host", "place").agg(F.hll_sketch_estimate(F.hll_union_agg("urls")).alias("urls"), *[F.sum(c).alias(c) for c in sums], F.min("low").alias("low"), F.max("high").alias("high"))
+    varies = (F.col("urls") < 2) | (F.col("low") != F.col("high"))
+    listed = whole.groupBy("host").agg(F.collect_list(F.struct("place", "urls", *sums, varies.alias("varies"))).alias("seen"))
     chosen = wrapper.join(listed, "host").select("host", "shape", "seen").mapInArrow(_chosen, "host string, main array<int>, usable array<int>")
-    marked = placed.join(chosen, "host").select("host", "stream", "slot", "chars", F.array_contains("main", F.col("place")).alias("main"), F.array_contains("usable", F.col("place")).alias("usable"))
+    marked = placed.join(chosen, "host").select("host", "stream", "slot", "chars", *[(F.array_contains(c, F.col("place")) | (F.col("place") == LOOSE)).alias(c) for c in ("main", "usable")])
     of = lambda name: F.sort_array(F.collect_list(F.when(F.col(name), F.col("slot"))))
     total = lambda name: F.sum(F.when(F.col(name), F.col("chars")).otherwise(0))
     each = marked.groupBy("host", "stream").agg(of("main").alias("main"), of("usable").alias("usable"), total("main").alias("inside"), total("usable").alias("all"))
@@ -562,7 +615,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """pages -> id, url, text: the main text of every page by its host's wrapper."""
     found = parsed(pages, id_col, url_col, html_col)
     kept = materialize(kept_slots(found), "kept")
-    joined = found.join(small(kept, 64), ["host", "stream"], "left")
+    joined = found.join(small(kept, F.octet_length("host") + F.size("kept") * 4 + 64), ["host", "stream"], "left")
     blocks = F.filter("blocks", lambda b: F.array_contains("kept", b["slot"]))
     text = F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), " "), F.lit(""))
     return joined.select(F.col("id").alias(id_col), "url", text.alias("text"))

@@ -7,6 +7,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,57 @@ def pages_of(spark, texts):
     return {r["page_id"]: r["text"] for r in html_extraction.extract(d).collect()}
 
 
+def hosted(spark, texts, urls=None):
+    """Texts of pages of one host, each of its own url."""
+    d = spark.createDataFrame([(i, (urls or "https://h.example/{}").format(i), t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extraction.extract(d).collect()}
+
+
+@pytest.mark.parametrize("body", [
+    "<p><a href=x>linked paragraph {0}, all of it a link</a></p><p>plain {0}</p>", "<div class='legal'><p>The court ruled {0} so</p></div>", "<div class='case-legal'><p>case {0}</p></div>", "<div class='related-work'><p>work {0}</p></div>",
+    "<section class='discussion'><p>we discuss {0}</p></section>", "<div id='rail-transport'><p>rails {0}</p></div>", "<div class='search-results-analysis'><p>results {0}</p></div>", "<p class='share-price'>the price {0}</p>", "<div class='alert'><p>an alert {0}</p></div>",
+])
+def test_names_and_links_alone_drop_no_text(spark, body):
+    found = hosted(spark, [f"<nav><a>menu</a></nav><article><h1>t{i}</h1>{body.format(i)}</article>" for i in range(4)])
+    assert found == {i: " ".join(re.sub("<[^>]*>", " ", f"t{i} {body.format(i)}").split()).replace(" ,", ",") for i in range(4)}
+
+
+def test_names_with_structure_drop_text(spark):
+    around = "<article><h1>t{0}</h1><p>text {0}</p><div class='share'><p>Tell your friends</p></div><div class='related'><p><a>other story {0} with words</a></p></div><ul class=tags><li><a>tag{0}</a></li><li><a>tag</a></li></ul><div class='comment-list'><p>reader {0}</p></div><div class='ad_box2'>buy {0}</div></article>"
+    assert hosted(spark, [around.format(i) for i in range(4)]) == {i: f"t{i} text {i}" for i in range(4)}
+
+
+def test_repeated_rows_are_one_url(spark):
+    assert hosted(spark, ["<div><p>a text</p><p>and more</p></div>"] * 4, "https://h.example/") == {i: "a text and more" for i in range(4)}
+
+
+def test_planted_articles_are_found(spark):
+    """Random articles within random chrome: what was planted is the text."""
+    rng = random.Random(12)
+    names = ["", " class='legal'", " class='notice-board'", " id='reply'", " class='story related'", " class='share-index'"]
+    pages, want = [], {}
+    for i in range(80):
+        parts, blocks = [], []
+        for j in range(rng.randrange(1, 7)):
+            words = f"w{i}x{j} " + " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(1, 30)))
+            linked = rng.random() < 0.15 and j > 0
+            parts.append(f"<div{rng.choice(names)}><p>{f'see <a>{words}</a> for more of it, as told at length before' if linked else words}</p></div>")
+            blocks.append(f"see {words} for more of it, as told at length before" if linked else words)
+        chrome = [f"<nav><ul><li><a>m{rng.random()}</a></li></ul></nav>", f"<div class='ad'>buy {rng.random()}</div>", "<header>site</header>", f"<aside>side {rng.random()}</aside>", f"<div class='comments'><p>me {rng.random()}</p></div>"]
+        rng.shuffle(chrome)
+        cut = rng.randrange(6)
+        pages.append("<body>" + "".join(chrome[:cut]) + f"<article><h1>t{i}</h1>{''.join(parts)}</article>" + "".join(chrome[cut:]) + "<footer>foot</footer></body>")
+        want[i] = " ".join([f"t{i}", *blocks])
+    assert hosted(spark, pages) == want
+
+
+def test_an_unaccepted_stream_keeps_its_slots(spark, monkeypatch):
+    rows = [("h", 1, html_extraction.written(folded("<nav><p>m</p></nav><article><p>a</p></article>")), html_extraction.written(folded("<main><p>x</p></main>")))]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["host", "stream", "shape", "wrapper"])
+    found = pa.Table.from_batches(html_extraction._matched(iter([batch]))).to_pylist()
+    assert [(r["slot"], r["place"]) for r in found] == [(0, html_extraction.BARRED), (1, html_extraction.LOOSE)]
+
+
 def test_optional_wrappers_keep_every_layout(spark):
     ways = ["<article><p>{}</p></article>", "<article><div class=body><p>{}</p></div></article>", "<article>{}</article>", "<article><section><p>{}</p></section><blockquote><p>q{}</p></blockquote></article>"]
     found = pages_of(spark, ["<nav>menu</nav>" + ways[i % 4].format(f"text {i}", i) for i in range(24)])
