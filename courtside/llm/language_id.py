@@ -12,7 +12,8 @@ Bounds: about ``per_language`` documents of each language are learned from, pick
 spans of their words. Prediction reads the text only.
 
 A null text, or one without a letter, is ``und`` with score 1. Without labelled documents every text is
-``und`` with score 0. Repeated rows are predicted one by one; an empty table gives an empty result.
+``und`` with score 0. Among languages of equal mean the one whose name is first in code points wins. Repeated rows are
+predicted one by one; further columns, whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.llm._common import WordHashes, column, discard, fresh, materialize, mix64, small, utf8, window_hashes, with_id
@@ -109,6 +109,11 @@ def signatures(docs: DataFrame, width: int = 5, coordinates: int = 64, seed: int
     return named.mapInArrow(run, with_id(named, "n_shingles long, set_a long, set_b long, signature array<int>"))
 
 
+def _text_bytes(name: str) -> Column:
+    """The bytes of an id of any type, as text."""
+    return F.octet_length(F.col(name).cast("string"))
+
+
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """node, signature, shingles array<long>: the full sets of the classes in nodes, each from a row of its smallest id.
 
@@ -116,7 +121,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, id_
     """
     wanted = classes.join(small(nodes, 8), "node", "left_semi").select("id", "node", "set_a", "set_b", "signature")
     named = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
-    named = named.join(small(wanted, 320), "id").select("node", "text", "set_a", "set_b", "signature")
+    named = named.join(small(wanted, _text_bytes("id") + 320), "id").select("node", "text", "set_a", "set_b", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -312,7 +317,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     def rows_of(ids: DataFrame) -> DataFrame:
         mark = fresh(docs, "kept")
-        ids = small(ids.select(F.col("id").alias(mark)), 8)
+        ids = small(ids.select(F.col("id").alias(mark)), _text_bytes(mark) + 8)
         return docs.join(ids, key == F.col(mark), "left_semi")
 
     kept = rows_of(found.filter("rows = 1")).unionByName(docs.filter(key.isNull()))

@@ -5,7 +5,11 @@ bit per failed rule. A policy is a versioned mask of bits that reject, so a new
 or an ablation reads the ledger only, never the texts.
 
 Null and empty texts count as texts without words: all measurements are 0 and the length rule fails.
-Texts of any length are measured whole. Repeated rows are measured one by one; an empty table gives an empty ledger.
+Texts of any length are measured whole. Repeated rows are measured one by one; an empty table gives an empty ledger;
+further columns of docs, whatever their names, are left out, or kept as they are where whole rows are asked for.
+
+Capitals and letters are those of ASCII and Latin-1, so the rule on capitals holds only where they make up half of a text's
+characters in words: a text in another script with an acronym in Latin letters passes.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (0, "too_few_words", "n_words < 20"),
     (1, "repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     (2, "many_symbols", "100 * n_symbols > 25 * n_words"),
-    (3, "mostly_capitals", "100 * n_upper > 40 * n_letters"),
+    (3, "mostly_capitals", "100 * n_upper > 40 * n_letters and 2 * n_letters >= word_chars"),
     (4, "many_exclamations", "100 * n_bangs > 30 * n_words"),
     (5, "one_word_dominates", "n_words >= 20 and 100 * n_top_word > 40 * n_words"),
     (6, "word_length_out_of_range", "word_chars < 2 * n_words or word_chars > 14 * n_words"),

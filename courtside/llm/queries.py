@@ -99,7 +99,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN tops USING (doc_id) LEFT JOIN echoes USING (doc_id)),
         b AS (
             SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT) + 4 * CAST(100 * n_symbols > 25 * n_words AS BIGINT)
-                + 8 * CAST(100 * n_upper > 40 * n_letters AS BIGINT) + 16 * CAST(100 * n_bangs > 30 * n_words AS BIGINT) + 32 * CAST(n_words >= 20 AND 100 * n_top_word > 40 * n_words AS BIGINT)
+                + 8 * CAST(100 * n_upper > 40 * n_letters AND 2 * n_letters >= word_chars AS BIGINT) + 16 * CAST(100 * n_bangs > 30 * n_words AS BIGINT) + 32 * CAST(n_words >= 20 AND 100 * n_top_word > 40 * n_words AS BIGINT)
                 + 64 * CAST(word_chars < 2 * n_words OR word_chars > 14 * n_words AS BIGINT) + 128 * CAST(n_words > 0 AND 8 * n_dup_lines > n_words AS BIGINT) + 256 * CAST(100 * n_echoes > 25 * n_words AS BIGINT) AS fail_bits
             FROM m)
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,

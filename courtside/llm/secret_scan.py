@@ -15,7 +15,7 @@ So a strong run passes alone, and a weak one only where many others are strong.
 4 encodings * 7 bands * (TOP_BITS + 1) rows, however large the corpus.
 
 Null texts are empty texts: no spans. Texts of any length are scanned whole; repeated rows are scanned one by
-one; an empty table gives an empty result.
+one; further columns, whatever their names, are left out of a scan and kept by ``redact``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ source or a length that holds a third of all documents spreads over many tasks.
 
 Null and blank texts have size 0 and only follow the whole repeats; null sources are one source, placed
 last; an empty table gives an empty result; repeated rows count as documents of their own; texts of any length are
-counted whole. Memory of one source's programme is bounded by its distinct lengths and ``dp_limit`` sums.
+counted whole; documents of equal hash are taken by id, and equal ones in any order, which changes no result; further columns,
+whatever their names, are left out, or kept as they are where whole rows are asked for. Memory of one source's programme is bounded by its distinct lengths and ``dp_limit`` sums.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm._common import WORD, materialize
+from courtside.llm._common import WORD, column, materialize
 
 WEIGHTS = (5, 2, 1)
 
@@ -119,10 +120,10 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_repeats: in
 
     ``whole_rows`` returns every column of docs as struct ``doc`` instead of the id.
     """
-    kept = F.struct(*[docs[f"`{c}`"] for c in docs.columns]) if whole_rows else docs[id_col]
+    kept = F.struct(*[column(docs, c) for c in docs.columns]) if whole_rows else column(docs, id_col)
     # An unsigned 53-bit fraction of a seeded hash orders the documents of a length.
-    spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]), 11) / F.lit(float(1 << 53))
-    rows = docs.select(kept.alias("doc" if whole_rows else "id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), spot.alias("spot"))
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), column(docs, id_col), column(docs, text_col)), 11) / F.lit(float(1 << 53))
+    rows = docs.select(kept.alias("doc" if whole_rows else "id"), column(docs, source_col).cast("string").alias("source"), word_count(column(docs, text_col)).alias("size"), spot.alias("spot"))
     rows = rows.withColumn("part", F.floor(F.col("spot") * ranges).cast("int"))
     if not whole_rows:
         rows = materialize(rows, "mix-sizes")  # the texts are read once
@@ -140,7 +141,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_repeats: in
     quotas = parts.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("quota", quota)
     quotas = quotas.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), "source_size", "target", "whole", "quota")
     left = rows.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
-    tie = F.col(f"doc.`{id_col}`") if whole_rows else F.col("id")
+    tie = F.col("doc")[id_col] if whole_rows else F.col("id")
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("spot", tie))
     chosen = (F.col("size") > 0) & (rank <= F.col("quota"))
     out = left.select(F.col("doc") if whole_rows else F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") + chosen.cast("int")).alias("repeats"))

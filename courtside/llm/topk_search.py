@@ -14,7 +14,7 @@ Vectors that are null, or hold null or non-finite components, take no part. A qu
 its id; repeated rows are rows of their own, as candidates and as queries; vectors of another length than the query's,
 and empty ones, have no score with it. Ties go to the smaller id. Components of any finite size count: where the
 products of a block could pass 64 bits, its index holds Python's integers instead, and a result whose score no long
-can hold raises. Empty tables give empty results.
+can hold raises. Further columns, whatever their names, are left out. Empty tables give empty results.
 """
 
 from __future__ import annotations

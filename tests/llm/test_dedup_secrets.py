@@ -1,6 +1,7 @@
 """Near-duplicates and secret scans against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -67,6 +68,15 @@ def test_components_match_brute_force(spark, width):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in found.items())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_no_link_of_whole_documents_is_lost(spark):
+    """Every document of a table against every other, on full sets: the components of all links, and none besides."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(table, width=2, threshold=80).collect()}
+    assert found == brute_components(rows, 2, 80) and len(set(c for _, c in found.values())) < len(rows)
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (3, None)]
     kept = minhash_dedup.keep_one(docs(spark, rows))
@@ -165,3 +175,10 @@ def test_copies_of_an_ordinary_run_prove_nothing(spark):
     assert random_hits(spark, [f"see {name} for more"] * 20) == set()
     bits = secret_scan.cutoffs([("base64", 3, 0, 50), ("base64", 3, 6, 1), ("base64", 3, 20, 1)], 0.05)
     assert bits == {("base64", 3): 20}
+
+
+def test_a_secret_deep_in_a_long_text(spark):
+    key = "AKIA" + "Q7Z2M4X9" * 2
+    text = "plain words of no note " * 60_000 + key + " and more " * 20_000
+    spans = secret_scan.scan(docs(spark, [(1, text)])).first()["spans"]
+    assert [tuple(s)[:3] for s in spans] == [("access", text.index(key), text.index(key) + len(key))]

@@ -296,6 +296,13 @@ def test_toxicity_of_nothing_and_repeated_rows(spark):
     assert len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
 
 
+def test_toxicity_of_a_very_long_text(spark):
+    d = spark.createDataFrame([(i, ("vile " if i % 2 else "calm ") * 9 + f"w{i}") for i in range(80)] + [(200, "calm " * 200_000), (201, "vile " * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(d, toxicity.train(d, labels)).collect()}
+    assert 0 <= scores[200] < 0.5 < scores[201] <= 1
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     y = spark.createDataFrame([], "doc_id long, toxic int")

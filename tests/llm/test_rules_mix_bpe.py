@@ -68,6 +68,15 @@ def test_ledger_and_policies(spark):
     assert ablated[None][1] == sum(r["kept"] for r in rows.values())
 
 
+def test_capitals_and_repeated_rows(spark):
+    greek = "οι λέξεις ενός κειμένου με ένα NATO " * 8
+    shout = "THESE WORDS ARE ALL IN CAPITALS and some are not " * 4
+    rows = docs(spark, [greek, shout, greek, greek])
+    found = quality_rules.apply_policy(quality_rules.ledger(rows.unionByName(rows))).collect()
+    assert len(found) == 8
+    assert {(r["doc_id"] == 1, bool(r["fail_bits"] & 8)) for r in found} == {(False, False), (True, True)}
+
+
 def test_ledger_of_nothing(spark):
     assert quality_rules.ledger(docs(spark, [])).count() == 0
 
