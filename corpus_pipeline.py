@@ -1,4 +1,9 @@
-"""A training-data pipeline over documents, from the operators of courtside.llm."""
+"""A training-data pipeline over documents, from the operators of courtside.llm.
+
+Null and blank texts fail the quality rules and go; null ids are no ids, so such rows are near-duplicates of nothing; null
+sources are one source; of repeated rows one stays, as of near-duplicates; further columns pass through all stages but
+the last, whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
