@@ -214,9 +214,9 @@ class Codec:
 
 
 @contextmanager
-def at_work(vocabulary, pattern: str) -> Iterator[Codec]:
+def at_work(vocabulary, pattern: str, memo: int = MEMO) -> Iterator[Codec]:
     """A codec for one task. What it makes has no cycles, so their collector rests meanwhile; its memos go afterwards."""
-    coder = codec(vocabulary, pattern)
+    coder = codec(vocabulary, pattern, memo)
     gc.disable()
     try:
         yield coder
@@ -226,15 +226,15 @@ def at_work(vocabulary, pattern: str) -> Iterator[Codec]:
         pa.default_memory_pool().release_unused()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(vocabulary, pattern: str) -> Codec:
+def codec(vocabulary, pattern: str, memo: int = MEMO) -> Codec:
     """One codec per worker process; ``vocabulary`` is a broadcast of the entries (the file's size bounds it)."""
-    key = (str(vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary)), pattern)
+    key = (str(vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary)), pattern, memo)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(vocabulary.value, pattern)
+        _codecs[key] = Codec(vocabulary.value, pattern, memo)
     return _codecs[key]
 
 
@@ -273,13 +273,13 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return named.mapInArrow(run, with_id(named, "data binary")).withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, keeping digests only."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+    """docs -> id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, keeping digests only. ``memo``: texts that one generation of a memo holds."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     named = _named(docs, id_col, text_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with at_work(shared, pattern) as coder:
+        with at_work(shared, pattern, memo) as coder:
             decimals = list(map(str, range(len(coder.vocabulary))))
             for batch in batches:
                 counts, of_ids, of_data = [], [], []

@@ -13,6 +13,10 @@ from courtside.llm import byte_bpe, minhash_dedup, quality_rules, secret_scan, s
 BATCH_BYTES = 4 << 20
 
 
+#: Workers have been through four other stages by the time they encode, so their memos are smaller than alone.
+MEMO = 100_000
+
+
 def bounded(spark: SparkSession) -> None:
     """The session's Arrow batches hold BATCH_BYTES at most, from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -47,4 +51,4 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes."""
     bounded(spark)
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, memo=MEMO)
