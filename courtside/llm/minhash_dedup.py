@@ -37,7 +37,8 @@ ONE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 19
 SKETCH = 1 << 18
 PLANES = 3
-GROUPS = 128
+#: Longs of the bit map that stands for a candidate's shared shingles.
+WORDS = 16
 
 
 def shingle_set(data: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
@@ -185,26 +186,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _bounds(sets: DataFrame) -> DataFrame:
-    """node, u, g: how many shingles of a candidate other candidates have too, in all and in each of GROUPS groups by hash.
+    """node, u, extra, w0, w1, ...: how many shingles of a candidate other candidates have too, and these as a bit map.
 
-    Two candidates have at most the smaller u in common, and at most the sum of the smaller counts of each group.
-    Sets with more than 127 shingles in a group have no g, and are not held against it.
+    Two candidates have at most the smaller u in common, and at most the bits that both maps have and the smaller
+    ``extra``, which counts the shingles of a candidate beyond one for each of its bits.
     """
     single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.collect_list("s").alias("own"))
+    names = ["u", "extra", *[f"w{k}" for k in range(WORDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, g = [], []
-            for shingles, own in zip(batch.column(1), batch.column(2)):
+            u, bits = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 64 * WORDS), bool)
+            for k, (shingles, own) in enumerate(zip(batch.column(1), batch.column(2))):
                 shared = shingles.values.to_numpy()
                 if own.is_valid:
                     shared = np.setdiff1d(shared, own.values.to_numpy(), assume_unique=True)
-                u.append(len(shared))
-                counts = np.bincount(shared & (GROUPS - 1), minlength=GROUPS)
-                g.append(counts.astype(np.int8) if counts.max() < 128 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(u, pa.int64()), pa.array(g, pa.list_(pa.int8()))], ["node", "u", "g"])
+                u[k] = len(shared)
+                bits[k, shared & (64 * WORDS - 1)] = True
+            maps = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, [u, u - bits.sum(1), *maps.T])], ["node", *names])
 
-    return sets.join(single, "node", "left").select("node", "shingles", "own").mapInArrow(run, "node long, u long, g array<tinyint>")
+    return sets.join(single, "node", "left").select("node", "shingles", "own").mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in names))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordinates: int = 64, matches: int = 38, rounds: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +263,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     bound = lambda left, right: F.expr(f"100 * least({left}.u, {right}.u) >= {threshold} * ({left}.n + {right}.n - least({left}.u, {right}.u))")
 
     # Then candidates still apart from a list's leading component meet other leaders, which have few shingles of their own.
-    hot = materialize(listed.select("key", "node", "n", *planes, "b").join(small(bounds.drop("g"), 16), "node"), "hot")
+    # A candidate with too few shared shingles for its own size is like nothing else.
+    counts = small(bounds.select("node", "u"), 16)
+    hot = materialize(listed.select("key", "node", "n", *planes, "b").join(counts, "node").filter(f"100 * u >= {threshold} * n"), "hot")
     for turn in range(1, rounds):
         rows = hot.join(small(labels, 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
         lead = F.max(F.struct(F.round(F.col("u") / F.col("n"), 2).alias("q"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "u", "component", *planes))
@@ -276,15 +280,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, coordi
     # What lists still mix. A class without a bound meets the classes of other components in its lists.
     label = small(labels, 16)
     rows = listed.drop("agree").join(label.withColumnsRenamed({"component": "ca"}), "node", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    rows = rows.join(small(bounds.drop("g"), 16), "node", "left").select("key", "node", "n", *planes, "u", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    rows = rows.join(counts, "node", "left").select("key", "node", "n", *planes, "u", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
     outer = rows.filter("component <> leading")
     apart = (F.col("p.component") != F.col("l.component")) & ((F.col("l.component") == F.col("l.leading")) | (F.col("p.node") < F.col("l.node")))
     across = outer.alias("p").join(rows.alias("l"), "key").filter(apart & (F.col("p.u").isNull() | F.col("l.u").isNull()) & possible("p", "l"))
-    # Two candidates leave the join only if their shared shingles, group by group, may be enough.
+    # Two candidates leave the join only if their shared shingles may be enough. Lists are long and most of their pairs
+    # end here, so the test is arithmetic on longs.
+    maps = [f"w{k}" for k in range(WORDS)]
     full = hot.join(label.withColumnsRenamed({"component": "ca"}), "node", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    full = full.join(small(bounds.select("node", "g"), 16 + GROUPS), "node").select("key", "node", "n", *planes, "u", "g", F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
-    common = "aggregate(zip_with(p.g, l.g, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-    enough = F.expr(f"p.g is null or l.g is null or 100 * {common} >= {threshold} * (p.n + l.n - {common})")
+    full = full.join(small(bounds.drop("u"), 16 + 8 * WORDS), "node").select("key", "node", "n", *planes, "u", "extra", *maps, F.coalesce("ca", "node").alias("component"), F.coalesce("cb", "b").alias("leading"))
+    common = " + ".join(f"bit_count(p.{w} & l.{w})" for w in maps) + " + least(p.extra, l.extra)"
+    enough = F.expr(f"{100 + threshold} * ({common}) >= {threshold} * (p.n + l.n)")
     within = full.filter("component <> leading").alias("p").join(full.alias("l"), "key").filter(apart & possible("p", "l") & bound("p", "l") & enough)
     last = across.select(F.col("p.node").alias("a"), F.col("l.node").alias("b")).unionByName(within.select(F.col("p.node").alias("a"), F.col("l.node").alias("b")))
     last = materialize(last.distinct(), "pairs")

@@ -77,6 +77,23 @@ def test_no_link_of_whole_documents_is_lost(spark):
     assert found == brute_components(rows, 2, 80) and len(set(c for _, c in found.values())) < len(rows)
 
 
+def test_bounds_never_show_less_than_two_sets_have_in_common(spark):
+    rng = random.Random(7)
+    pool = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(4000)]
+    sets = [rng.sample(pool, n) for n in [1, 2, 60, 150, 150, 400, 1500, 3000]] + [pool[:200], pool[:180] + [5, 6, 7]]
+    rows = [(k, sorted(x)) for k, x in enumerate(sets)]
+    found = {r["node"]: r for r in minhash_dedup._bounds(spark.createDataFrame(rows, "node long, shingles array<long>")).collect()}
+    for a, x in rows:
+        others = set().union(*(y for b, y in rows if a != b))
+        assert found[a]["u"] == len(others & set(x))
+        for b, y in rows[:a]:
+            p, q, common = found[a], found[b], len(set(x) & set(y))
+            bits = sum(((p[f"w{k}"] & q[f"w{k}"]) & (1 << 64) - 1).bit_count() for k in range(minhash_dedup.WORDS))
+            assert common <= min(p["u"], q["u"]) and common <= bits + min(p["extra"], q["extra"])
+    p, q = found[8], found[9]
+    assert 180 <= sum((p[f"w{k}"] & q[f"w{k}"] & (1 << 64) - 1).bit_count() for k in range(minhash_dedup.WORDS)) + min(p["extra"], q["extra"]) < 230
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (3, None)]
     kept = minhash_dedup.keep_one(docs(spark, rows))
