@@ -98,11 +98,26 @@ def sequences(rows: DataFrame, length: int = 10, slice_games: int = SLICE) -> Da
 
     A first game has no days of rest and counts as 0.
     """
-    step = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STEP])
-    steps = lambda df, ordered: _form(df, ordered, 0).withColumn("steps", F.collect_list(step).over(ordered.rowsBetween(1 - length, 0)))
+    steps = lambda df, ordered: _steps(df, ordered, 1 - length, 0)
     return by_team(rows, steps, 20 + length, slice_games).filter(F.size("steps") == length).select("team_id", "game_id", F.flatten("steps").alias("sequence"))
 
 
+def _steps(rows: DataFrame, ordered: WindowSpec, start: int, end: int) -> DataFrame:
+    step = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STEP])
+    return _form(rows, ordered, 0).withColumn("steps", F.collect_list(step).over(ordered.rowsBetween(start, end)))
+
+
+def labelled_sequences(rows: DataFrame, length: int = 10, slice_games: int = SLICE) -> DataFrame:
+    """``sequences`` of the games that another one follows, with ``label``: whether the team won that one; unknown outcomes are left out.
+
+    Each sequence is made at the game that follows it, so label and sequence meet in the shuffle that makes the sequences,
+    and no sequence is shuffled.
+    """
+    before = lambda df, ordered: _steps(df, ordered, -length, -1).withColumn("last_id", F.lag("game_id").over(ordered))
+    whole = by_team(rows, before, 21 + length, slice_games).filter((F.size("steps") == length) & F.col("won").isNotNull())
+    return whole.select("team_id", F.col("last_id").alias("game_id"), F.col("won").alias("label"), F.flatten("steps").alias("sequence"))
+
+
 def pair_key(home: str = "home_id", away: str = "away_id") -> list:
     return [F.least(home, away).alias("low_id"), F.greatest(home, away).alias("high_id")]
 

@@ -1087,12 +1087,8 @@ def _regressed(view, rounds: int) -> DataFrame:
 def ml11_sequence_model(view):
     """Whether a team wins its next game, from its last ten."""
     from pyspark.ml.functions import array_to_vector
-    from pyspark.sql import Window
 
-    games = features.team_games(view("games"))
-    following = F.lead((F.col("points") > F.col("opponent_points")).cast("int")).over(Window.partitionBy("team_id").orderBy("game_ts", "game_id"))
-    labels = games.withColumn("label", following).select("team_id", "game_id", "label")
-    rows = features.sequences(games).join(labels, ["team_id", "game_id"]).filter("label is not null")
+    rows = features.labelled_sequences(features.team_games(view("games")))
     rows = rows.select("team_id", "game_id", "label", array_to_vector(F.transform("sequence", lambda x: x / 100.0)).alias("features"))
     net = ml.MultilayerPerceptronClassifier(layers=[10 * len(features.STEP), 8, 2], maxIter=100, seed=42).fit(ml.split(rows)[0])
     return ml.probability(net.transform(rows)).select("team_id", "game_id", rounded("p", 4).alias("p"))
