@@ -66,8 +66,11 @@ def accuracy(scored: DataFrame, label: str = "label") -> float:
 
 
 def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: int = 10, iterations: int = 100) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Forest, boosting and a feed-forward net on the same split; one metrics row a model."""
-    train, test = (part.persist() for part in split(rows))
+    """Forest, boosting and a feed-forward net on the same split; one metrics row a model.
+
+    ``rows`` are read several times by each model, so they should be a stored table (``storage.kept``), not a long plan.
+    """
+    train, test = split(rows)
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     stages = {
@@ -78,8 +81,6 @@ def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: i
     models = {name: Pipeline(stages=s).fit(train) for name, s in stages.items()}
     sizes = train.count(), test.count()
     metrics = [(name, float(accuracy(m.transform(test))), *sizes) for name, m in models.items()]
-    for part in (train, test):
-        part.unpersist()
     return models, rows.sparkSession.createDataFrame(metrics, "model string, accuracy double, train_rows long, test_rows long")
 
 

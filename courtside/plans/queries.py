@@ -16,7 +16,7 @@ from courtside.operators import bets, features, forecast, ml, risk, text, tracki
 from courtside.operators.store import TrackingStore
 from courtside.plans.fixtures import PRELUDE, open_views
 from courtside.sources import feeds
-from courtside.sources.storage import scratch
+from courtside.sources.storage import kept, scratch
 from courtside.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1003,7 +1003,8 @@ def ml02_stable_split(view):
 
 
 def _training(view) -> tuple[DataFrame, list[str]]:
-    rows = ml.training_set(view("games"))
+    """The training set, kept, as a model reads it several times, and its feature columns."""
+    rows = kept(ml.training_set(view("games")))
     return rows, [c for c in rows.columns if c not in ("game_id", "sport", "label", "margin")]
 
 
@@ -1187,11 +1188,16 @@ def ml05_feed_forward(view):
     return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
 
 
-def _scoring_rows(view) -> DataFrame:
-    """Matchups with rest flags and the known pitchers' averages, and whether home won."""
+def _scoring_rows(view, factors: DataFrame | None = None) -> DataFrame:
+    """Matchups with rest flags and the known pitchers' averages, and whether home won; with both teams' ``factors``, if given.
+
+    They are kept, as each sport reads them for its model and again for its scores.
+    """
     games = view("games")
     m = forecast.matchups(games, view("teams")).join(features.point_in_time(games).select("game_id", "home_back_to_back", "away_back_to_back"), "game_id")
-    return m.withColumns({"home_era": F.expr(ERA(0)), "away_era": F.expr(ERA(1)), "label": (F.col("home_score") > F.col("away_score")).cast("int")})
+    for s in ("home", "away") if factors is not None else ():
+        m = m.join(factors.select(F.col("team_id").alias(f"{s}_id"), F.col("factor").alias(f"{s}_factor")), f"{s}_id", "left")
+    return kept(m.drop("home_name", "away_name").withColumns({"home_era": F.expr(ERA(0)), "away_era": F.expr(ERA(1)), "label": (F.col("home_score") > F.col("away_score")).cast("int")}))
 
 
 def _lined(rows: DataFrame) -> DataFrame:
@@ -1212,10 +1218,7 @@ def ml09_batch_scoring(view):
 
 def _batch_scored(view, trees: int, depth: int) -> DataFrame:
     """Forest probabilities of every game by its sport's model, moved by the teams' sentiment, with line, tier and agreement; a registry keeps the models."""
-    rows = _scoring_rows(view)
-    factors = _factors(view)
-    for s in ("home", "away"):
-        rows = rows.join(factors.select(F.col("team_id").alias(f"{s}_id"), F.col("factor").alias(f"{s}_factor")), f"{s}_id", "left")
+    rows = _scoring_rows(view, _factors(view))
     registry = ml.Registry(f"{scratch(rows.sparkSession)}/models")
     out = None
     for sport, spec in _sport_specs(trees, depth).items():
@@ -1281,5 +1284,5 @@ BEFORE20 = BEFORE.replace("10 PRECEDING", "20 PRECEDING")
     s AS (SELECT game_id, {', '.join(f"max({c}) FILTER (WHERE is_home = {h}) AS {c}{h}" for c in 'pwd' for h in (1, 0))} FROM b GROUP BY game_id)
     SELECT g.game_id, CAST(home_score > away_score AS INT) AS label, {R('p1')} AS home_points_10, {R('w1')} AS home_win_rate_20, CAST(d1 AS DOUBLE) AS home_days_rest, {R('p0')} AS away_points_10 FROM s JOIN games g ON s.game_id = g.game_id WHERE p1 IS NOT NULL AND p0 IS NOT NULL""")
 def ml12_training_features(view):
-    rows, _ = _training(view)
+    rows = ml.training_set(view("games"))
     return rows.select("game_id", "label", rounded("home_points_10").alias("home_points_10"), rounded("home_win_rate_20").alias("home_win_rate_20"), "home_days_rest", rounded("away_points_10").alias("away_points_10"))

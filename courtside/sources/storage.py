@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -14,3 +14,13 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/courtside-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, key: str = "game_id") -> DataFrame:
+    """rows, worked out once and written; whoever reads them again and again, as the training of models does, reads the files.
+
+    They are dealt by ``key`` to one file a core, so that all cores share the reading, and large files are read in parts.
+    """
+    path = scratch(rows.sparkSession)
+    rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

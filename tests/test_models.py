@@ -1,4 +1,4 @@
-"""What the model queries read: sequences that no join shuffles."""
+"""What the model queries read: kept rows, dealt to all cores, and sequences that no join shuffles."""
 
 import os
 
@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from courtside.operators import features
+from courtside.operators import features, ml
 from courtside.plans import queries
+from courtside.plans.fixtures import open_views
+from courtside.sources.storage import kept
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -17,6 +19,39 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def reads_files_only(df) -> bool:
+    return "FileScan parquet" in plan(df) and not any(x in plan(df) for x in ("Exchange", "Window", "Join", "Aggregate"))
+
+
+@tables
+def test_training_rows_are_kept(spark):
+    view = open_views(spark, SF)
+    rows, columns = queries._training(view)
+    assert reads_files_only(rows) and set(columns) < set(rows.columns)
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, ml.training_set(view("games")).collect()))
+
+
+@tables
+@pytest.mark.parametrize("sentiment", [False, True])
+def test_scoring_rows_are_kept(spark, sentiment):
+    view = open_views(spark, SF)
+    rows = queries._scoring_rows(view, queries._factors(view) if sentiment else None)
+    assert reads_files_only(rows) and rows.count() == view("games").count()
+    if sentiment:
+        factors = {r["team_id"]: r["factor"] for r in queries._factors(view).collect()}
+        assert any(factors.values())
+        assert all((r["home_factor"], r["away_factor"]) == (factors.get(r["home_id"]), factors.get(r["away_id"])) for r in rows.collect())
+
+
+def test_kept_rows_are_dealt_to_all_cores(spark):
+    """One partition before; a file a core after, and the same rows."""
+    rows = spark.range(4000).selectExpr("id AS game_id", "id * 7 AS x").coalesce(1)
+    files = kept(rows)
+    held = [r["n"] for r in files.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) == spark.sparkContext.defaultParallelism and max(held) < 2 * min(held)
+    assert sorted(files.collect()) == sorted(rows.collect())
+
+
 def some_games(spark):
     return spark.range(900).selectExpr(
         "id AS game_id", "'NBA' AS sport", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id * 7919 % 400 AS int)) AS game_ts",
