@@ -18,6 +18,9 @@ from courtside.operators import features
 from courtside.params import ENSEMBLE_WEIGHTS, SPORTS
 
 DEFAULT_ERA = 4.5
+#: MB of counts that a pass of a forest's training fills in each task. Spark's 256 hold a whole level of 100 deep trees, far more
+#: than a core's cache, and each row then waits for memory at every tree; a few trees at a time need more passes, each far cheaper.
+PASS_MB = 4
 #: The columns of the flat training row, in order.
 FLAT = (
     "home_team_win_pct", "away_team_win_pct", "home_team_points_avg", "away_team_points_avg", "home_team_points_allowed_avg", "away_team_points_allowed_avg", "home_team_momentum", "away_team_momentum",
@@ -25,6 +28,10 @@ FLAT = (
 )
 
 
+def forest(trees: int, depth: int) -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, maxMemoryInMB=PASS_MB)
+
+
 @dataclass(frozen=True)
 class SportSpec:
     """A pluggable sport: its feature columns, its line and its estimator."""
@@ -32,7 +39,7 @@ class SportSpec:
     name: str
     columns: dict[str, Column]
     line: Callable[[DataFrame], DataFrame]
-    estimator: Callable[[], object] = field(default=lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=42))
+    estimator: Callable[[], object] = field(default=lambda: forest(100, 10))
 
     def pipeline(self) -> Pipeline:
         return Pipeline(stages=[VectorAssembler(inputCols=list(self.columns), outputCol="features"), self.estimator()])
@@ -74,7 +81,7 @@ def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: i
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     stages = {
-        "forest": [assemble, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42)],
+        "forest": [assemble, forest(trees, depth)],
         "boosting": [assemble, GBTClassifier(maxIter=iterations, maxDepth=min(depth, 10), seed=42)],
         "net": [assemble, scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=iterations, seed=42)],
     }

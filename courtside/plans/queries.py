@@ -1013,7 +1013,7 @@ def _forests(view, trees: int, depth: int) -> DataFrame:
     rows, columns = _training(view)
     out = None
     for sport in ml.Registry.supported():
-        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42))
+        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.forest(trees, depth))
         mine = spec.prepared(rows.filter(F.col("sport") == sport))
         model = spec.pipeline().fit(ml.split(mine)[0])
         part = ml.probability(model.transform(mine)).select("game_id", "sport", "label", rounded("p").alias("p"))
@@ -1207,8 +1207,7 @@ def _lined(rows: DataFrame) -> DataFrame:
 
 
 def _sport_specs(trees: int = 100, depth: int = 10) -> dict[str, ml.SportSpec]:
-    forest = lambda: ml.RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42)
-    return {s: ml.SportSpec(s, ml.sport_columns(s), _lined if s == "MLB" else forecast.point_spread, forest) for s in ml.Registry.supported()}
+    return {s: ml.SportSpec(s, ml.sport_columns(s), _lined if s == "MLB" else forecast.point_spread, lambda: ml.forest(trees, depth)) for s in ml.Registry.supported()}
 
 
 @query()

@@ -71,3 +71,12 @@ def test_labelled_sequences_are_those_that_a_join_finds(spark):
 def test_sequence_model_shuffles_no_sequence(spark):
     p = plan(queries.QUERIES["ml11_sequence_model"](spark, SF))
     assert "Join" not in p.partition("Window")[0] and p.count("hashpartitioning(team_id") == 1
+
+
+def test_forests_count_few_trees_a_pass(spark):
+    """Spark's default of 256 MB counts all trees of a level at once, in far more memory than a core's cache holds."""
+    forests = [ml.forest(100, 10), ml.SportSpec("NHL", {}, None).estimator(), *(spec.estimator() for spec in queries._sport_specs().values())]
+    assert all(f.getMaxMemoryInMB() <= 8 and (f.getNumTrees(), f.getMaxDepth(), f.getSeed()) == (100, 10, 42) for f in forests)
+    rows = ml.VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(spark.range(2000).selectExpr("id % 97 AS x", "id * 31 % 89 AS y", "cast((id % 97 > 40) = (id * 31 % 89 > 30) AS int) AS label"))
+    model = ml.forest(30, 6).fit(rows)
+    assert model.getNumTrees == 30 and ml.accuracy(model.transform(rows)) > 0.9
