@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from courtside.operators import features
 from courtside.params import ENSEMBLE_WEIGHTS, SPORTS
+from courtside.sources.storage import cut_lineage
 
 DEFAULT_ERA = 4.5
 #: MB of counts that a pass of a forest's training fills in each task. Spark's 256 hold a whole level of 100 deep trees, far more
@@ -85,10 +88,20 @@ def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: i
         "boosting": [assemble, GBTClassifier(maxIter=iterations, maxDepth=min(depth, 10), seed=42)],
         "net": [assemble, scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=iterations, seed=42)],
     }
-    models = {name: Pipeline(stages=s).fit(train) for name, s in stages.items()}
+    spark = rows.sparkSession
+    cut_lineage(spark)
+
+    def trained(name: str) -> tuple[PipelineModel, float]:
+        model = Pipeline(stages=stages[name]).fit(train)
+        return model, float(accuracy(model.transform(test)))
+
+    # The passes of one model are short and follow each other; those of the others fill the cores meanwhile.
+    with ThreadPool(len(stages)) as pool:
+        found = dict(zip(stages, pool.map(inheritable_thread_target(spark)(trained), stages)))
     sizes = train.count(), test.count()
-    metrics = [(name, float(accuracy(m.transform(test))), *sizes) for name, m in models.items()]
-    return models, rows.sparkSession.createDataFrame(metrics, "model string, accuracy double, train_rows long, test_rows long")
+    models = {name: model for name, (model, _) in found.items()}
+    metrics = [(name, share, *sizes) for name, (_, share) in found.items()]
+    return models, spark.createDataFrame(metrics, "model string, accuracy double, train_rows long, test_rows long")
 
 
 def ensemble(forest: Column, boosting: Column, net: Column) -> Column:

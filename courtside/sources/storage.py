@@ -24,3 +24,9 @@ def kept(rows: DataFrame, key: str = "game_id") -> DataFrame:
     path = scratch(rows.sparkSession)
     rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key).write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def cut_lineage(spark: SparkSession) -> None:
+    """A checkpoint folder for a session that has none: without one the plan of boosting grows by a step every round."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch(spark))

@@ -1,6 +1,7 @@
 """What the model queries read: kept rows, dealt to all cores, and sequences that no join shuffles."""
 
 import os
+import threading
 
 import pytest
 from pyspark.sql import Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from courtside.operators import features, ml
 from courtside.plans import queries
 from courtside.plans.fixtures import open_views
+from courtside.sources import storage
 from courtside.sources.storage import kept
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +82,45 @@ def test_forests_count_few_trees_a_pass(spark):
     rows = ml.VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(spark.range(2000).selectExpr("id % 97 AS x", "id * 31 % 89 AS y", "cast((id % 97 > 40) = (id * 31 % 89 > 30) AS int) AS label"))
     model = ml.forest(30, 6).fit(rows)
     assert model.getNumTrees == 30 and ml.accuracy(model.transform(rows)) > 0.9
+
+
+def test_lineage_is_cut_without_a_folder_from_the_session(spark, monkeypatch):
+    """Without a checkpoint folder the plan of boosting grew by a step every round."""
+    made = []
+
+    class Context:
+        master = "local[4]"
+        getCheckpointDir = staticmethod(lambda: made[-1] if made else None)
+        setCheckpointDir = staticmethod(made.append)
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf
+
+    storage.cut_lineage(Session())
+    storage.cut_lineage(Session())
+    assert len(made) == 1 and made[0].startswith("/")
+
+
+def test_three_models_train_at_once(spark, monkeypatch):
+    """Each fit waits for the two others; one after another, the first would wait in vain."""
+    met = threading.Barrier(3, timeout=30)
+
+    class Model:
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.col("label").cast("double"))
+
+    class Together:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            met.wait()
+            return Model()
+
+    monkeypatch.setattr(ml, "Pipeline", Together)
+    rows = spark.range(500).selectExpr("id AS game_id", "cast(id % 2 AS double) AS label", "cast(id AS double) AS x")
+    models, metrics = ml.train_models(rows, ["x"])
+    found = {r["model"]: r for r in metrics.collect()}
+    assert list(models) == ["forest", "boosting", "net"] == list(found)
+    assert all(r["accuracy"] == 1.0 and r["train_rows"] + r["test_rows"] == 500 and r["test_rows"] > 50 for r in found.values())
