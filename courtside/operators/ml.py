@@ -61,10 +61,16 @@ def sport_columns(name: str) -> dict[str, Column]:
     return base
 
 
+def parts(key: str = "game_id", percent: int = 80) -> tuple[Column, Column]:
+    """Whether a row is one to train on, and whether it is one to test with, by a hash of the key."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(100))
+    return bucket < percent, bucket >= percent
+
+
 def split(rows: DataFrame, key: str = "game_id", percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Training and test rows by a hash of the key: the same rows however the table is partitioned."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(100))
-    return rows.filter(bucket < percent), rows.filter(bucket >= percent)
+    trained, tested = parts(key, percent)
+    return rows.filter(trained), rows.filter(tested)
 
 
 def probability(scored: DataFrame, name: str = "p") -> DataFrame:
@@ -193,10 +199,8 @@ def held_to(scored: DataFrame, keys: list[str], label: str = "label", p: str = "
     In range: no probability is null or outside 0 to 1. The split adds up: its two parts are all the rows. Above the
     majority: on its training rows a model is right at least as often as whoever names the commoner label there.
     """
-    train, test = (part.select("game_id") for part in split(scored))
-    trained = F.pmod(F.xxhash64("game_id"), F.lit(100)) < 80
+    trained, tested = parts()
     right = F.count_if(trained & ((F.col(p) > 0.5).cast("int") == F.col(label)))
-    ones, n = F.count_if(trained & (F.col(label) == 1)), F.count_if(trained)
-    sizes = train.count() + test.count()
-    found = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("games"), F.bool_and(F.coalesce(F.col(p).between(0, 1), F.lit(False))).alias("in_range"), (right >= F.greatest(ones, n - ones)).alias("above_majority"))
-    return found.withColumn("split_adds_up", F.lit(sizes) == F.lit(scored.count()))
+    ones, n, rest, games = F.count_if(trained & (F.col(label) == 1)), F.count_if(trained), F.count_if(tested), F.count(F.lit(1))
+    in_range = F.bool_and(F.coalesce(F.col(p).between(0, 1), F.lit(False)))
+    return scored.groupBy(*keys).agg(games.alias("games"), in_range.alias("in_range"), (right >= F.greatest(ones, n - ones)).alias("above_majority"), (n + rest == games).alias("split_adds_up"))

@@ -124,3 +124,20 @@ def test_three_models_train_at_once(spark, monkeypatch):
     found = {r["model"]: r for r in metrics.collect()}
     assert list(models) == ["forest", "boosting", "net"] == list(found)
     assert all(r["accuracy"] == 1.0 and r["train_rows"] + r["test_rows"] == 500 and r["test_rows"] > 50 for r in found.values())
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_scored_rows_are_held_to_their_properties_in_one_pass(spark):
+    """Three jobs before, each over all scored rows; none now, until the one row is read."""
+    scored = spark.range(300).selectExpr("id AS game_id", "id % 3 AS kind", "cast(id % 5 < 2 AS int) AS label", "CASE WHEN id % 5 < 2 THEN 0.9 ELSE 0.2 END AS p")
+    found, jobs = jobs_of(spark, "held", lambda: ml.held_to(scored, ["kind"]))
+    assert jobs == 0 and sorted(map(tuple, found.collect())) == [(k, 100, True, True, True) for k in range(3)]
+    wrong = ml.held_to(scored.withColumn("p", F.expr("CASE WHEN game_id = 7 THEN 1.5 WHEN game_id = 8 THEN null ELSE 0.1 + 0.8 * (1 - label) END")), [])
+    assert tuple(wrong.first()) == (300, False, False, True)
