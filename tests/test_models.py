@@ -141,3 +141,12 @@ def test_scored_rows_are_held_to_their_properties_in_one_pass(spark):
     assert jobs == 0 and sorted(map(tuple, found.collect())) == [(k, 100, True, True, True) for k in range(3)]
     wrong = ml.held_to(scored.withColumn("p", F.expr("CASE WHEN game_id = 7 THEN 1.5 WHEN game_id = 8 THEN null ELSE 0.1 + 0.8 * (1 - label) END")), [])
     assert tuple(wrong.first()) == (300, False, False, True)
+
+
+def test_regression_errors_wait_until_they_are_read(spark):
+    """Two passes over the test rows before, for errors that the query leaves unread; one when they are read now."""
+    rows = spark.range(400).selectExpr("id AS game_id", "cast(id % 20 AS double) AS x", "cast(id % 20 * 3 + id % 2 AS double) AS margin")
+    model, errors = ml.spread_regression(rows, ["x"], iterations=3)
+    scored = model.transform(ml.split(rows)[1]).select("prediction", "margin").collect()
+    wrong = [r["prediction"] - r["margin"] for r in scored]
+    assert tuple(errors.first()) == pytest.approx((sum(map(abs, wrong)) / len(wrong), sum(x * x for x in wrong) / len(wrong)))
