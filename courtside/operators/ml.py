@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.operators import features
@@ -81,6 +81,13 @@ def accuracy(scored: DataFrame, label: str = "label") -> float:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(scored)
 
 
+def at_once(spark: SparkSession, work: Callable, items) -> list:
+    """work(item) of all items at once, in their order: the passes of one model are short and follow each other, those of the others fill the cores meanwhile."""
+    items = list(items)
+    with ThreadPool(len(items)) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+
+
 def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: int = 10, iterations: int = 100) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Forest, boosting and a feed-forward net on the same split; one metrics row a model.
 
@@ -101,9 +108,7 @@ def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: i
         model = Pipeline(stages=stages[name]).fit(train)
         return model, float(accuracy(model.transform(test)))
 
-    # The passes of one model are short and follow each other; those of the others fill the cores meanwhile.
-    with ThreadPool(len(stages)) as pool:
-        found = dict(zip(stages, pool.map(inheritable_thread_target(spark)(trained), stages)))
+    found = dict(zip(stages, at_once(spark, trained, stages)))
     sizes = train.count(), test.count()
     models = {name: model for name, (model, _) in found.items()}
     metrics = [(name, share, *sizes) for name, (_, share) in found.items()]

@@ -48,8 +48,13 @@ def _valences(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: Colum
 
 
 def sentence_scores(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """article_id, title_score and body_score (mean over the sentences) of the articles that have a token of the lexicon; one scan of the texts."""
-    split = articles.select("article_id", "title", sentences(F.col("content")).alias("sentences"))
+    """article_id, title_score and body_score (mean over the sentences) of the articles that have a token of the lexicon; one scan of the texts.
+
+    The texts are dealt to all cores first: a file is read by one task for each row group, and one may hold them all. The
+    sums by sentence and by article then need no shuffle of their own.
+    """
+    dealt = articles.select("article_id", "title", "content").repartition("article_id")
+    split = dealt.select("article_id", "title", sentences(F.col("content")).alias("sentences"))
     parts = F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.col("title").alias("part"))), F.transform("sentences", lambda s, i: F.struct(i.alias("place"), s.alias("part"))))
     # The count stands below the explode, beside the array: above it, each sentence would carry and split its article.
     counted = split.select("article_id", F.size("sentences").alias("n"), parts.alias("parts"))

@@ -6,6 +6,7 @@ Each query applies one operator (its id leads the name) to whole tables or to vi
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1011,14 +1012,14 @@ def _training(view) -> tuple[DataFrame, list[str]]:
 def _forests(view, trees: int, depth: int) -> DataFrame:
     """One forest a sport; labels and probabilities of all its games."""
     rows, columns = _training(view)
-    out = None
-    for sport in ml.Registry.supported():
+
+    def scored(sport: str) -> DataFrame:
         spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.forest(trees, depth))
         mine = spec.prepared(rows.filter(F.col("sport") == sport))
         model = spec.pipeline().fit(ml.split(mine)[0])
-        part = ml.probability(model.transform(mine)).select("game_id", "sport", "label", rounded("p").alias("p"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return ml.probability(model.transform(mine)).select("game_id", "sport", "label", rounded("p").alias("p"))
+
+    return reduce(DataFrame.unionByName, ml.at_once(rows.sparkSession, scored, ml.Registry.supported()))
 
 
 @query()
@@ -1220,8 +1221,9 @@ def _batch_scored(view, trees: int, depth: int) -> DataFrame:
     """Forest probabilities of every game by its sport's model, moved by the teams' sentiment, with line, tier and agreement; a registry keeps the models."""
     rows = _scoring_rows(view, _factors(view))
     registry = ml.Registry(f"{scratch(rows.sparkSession)}/models")
-    out = None
-    for sport, spec in _sport_specs(trees, depth).items():
+
+    def batch(item: tuple[str, ml.SportSpec]) -> DataFrame:
+        sport, spec = item
         mine = spec.prepared(forecast.supported(rows, sport))
         registry.save(sport, spec.pipeline().fit(ml.split(mine)[0]))
         scored = ml.probability(ml.Registry(registry.path).get(sport).transform(mine))
@@ -1230,9 +1232,9 @@ def _batch_scored(view, trees: int, depth: int) -> DataFrame:
             scored = scored.withColumn("p", forecast.sentiment_adjusted(F.col("p"), known("home_factor"), known("away_factor")))
         scored = forecast.clamped(scored, F.col("p"))
         scored = forecast.agreement(forecast.tier(spec.line(scored)), F.col("p_home_model"), F.col("line"))
-        part = scored.select("game_id", "sport", rounded("p_home_model", 4).alias("p_home"), "line", "tier", "model_agreement", rounded("confidence_model", 4).alias("confidence"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return scored.select("game_id", "sport", rounded("p_home_model", 4).alias("p_home"), "line", "tier", "model_agreement", rounded("confidence_model", 4).alias("confidence"))
+
+    return reduce(DataFrame.unionByName, ml.at_once(rows.sparkSession, batch, _sport_specs(trees, depth).items()))
 
 
 @query()
