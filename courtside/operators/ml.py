@@ -8,17 +8,16 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.operators import features
+from courtside.operators.boosting import Boosting
 from courtside.params import ENSEMBLE_WEIGHTS, SPORTS
-from courtside.sources.storage import cut_lineage
 
 DEFAULT_ERA = 4.5
 #: MB of counts that a pass of a forest's training fills in each task. Spark's 256 hold a whole level of 100 deep trees, far more
@@ -98,11 +97,10 @@ def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: i
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     stages = {
         "forest": [assemble, forest(trees, depth)],
-        "boosting": [assemble, GBTClassifier(maxIter=iterations, maxDepth=min(depth, 10), seed=42)],
+        "boosting": [assemble, Boosting(iterations, min(depth, 10))],
         "net": [assemble, scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=iterations, seed=42)],
     }
     spark = rows.sparkSession
-    cut_lineage(spark)
 
     def trained(name: str) -> tuple[PipelineModel, float]:
         model = Pipeline(stages=stages[name]).fit(train)
@@ -172,8 +170,7 @@ def training_set(games: DataFrame) -> DataFrame:
 def spread_regression(rows: DataFrame, columns: list[str], label: str = "margin", iterations: int = 20) -> tuple[PipelineModel, DataFrame]:
     """The model, and its mae and mse on the test rows: one row, worked out in one pass by whoever reads it."""
     train, test = split(rows)
-    cut_lineage(rows.sparkSession)
-    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=5, seed=42)]).fit(train)
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), Boosting(iterations, 5, "squared", label)]).fit(train)
     error = F.col("prediction") - F.col(label)
     return model, model.transform(test).agg(F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"))
 

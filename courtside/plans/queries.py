@@ -17,7 +17,7 @@ from courtside.operators import bets, features, forecast, ml, risk, text, tracki
 from courtside.operators.store import TrackingStore
 from courtside.plans.fixtures import PRELUDE, open_views
 from courtside.sources import feeds
-from courtside.sources.storage import cut_lineage, kept, scratch
+from courtside.sources.storage import kept, scratch
 from courtside.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1177,8 +1177,7 @@ def ml04_boosting(view):
 
 def _boosted(view, rounds: int, depth: int) -> DataFrame:
     rows, columns = _training(view)
-    cut_lineage(rows.sparkSession)
-    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.GBTClassifier(maxIter=rounds, maxDepth=depth, seed=42)]).fit(ml.split(rows)[0])
+    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.Boosting(rounds, depth)]).fit(ml.split(rows)[0])
     return ml.probability(model.transform(rows)).select("game_id", "label", rounded("p", 4).alias("p"))
 
 
