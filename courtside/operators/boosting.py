@@ -1,8 +1,8 @@
-"""Gradient boosting as a Spark ML estimator over blocks of rows: one pass over kept blocks a level, numpy inside tasks.
+"""Gradient boosting and nets as Spark ML estimators over blocks of rows: one pass over kept blocks a level or gradient, numpy inside tasks.
 
 Spark ML's own trainers walk objects row by row; here a task holds some ten thousand rows as arrays. What is worked out
-is the same: Friedman's gradient boosting with Spark's losses and rate. All rows take part. The driver holds one tree's
-sums, whose size depends on the model alone.
+is the same: Friedman's gradient boosting with Spark's loss and rate, and L-BFGS on Spark's net. All rows take part. The
+driver holds one tree's sums or one net's weights, whose size depends on the model alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,3 +226,114 @@ class BoostedModel(Model):
             return rows.withColumn("prediction", margin)
         p = 1 / (1 + F.exp(-2 * F.col("margin")))
         return rows.withColumn("margin", margin).withColumn("probability", array_to_vector(F.array(1 - p, p))).withColumn("prediction", (F.col("margin") > 0).cast("double")).drop("margin")
+
+
+def net_loss(weights: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, chunk: int = 1 << 12) -> tuple[float, np.ndarray]:
+    """Cross-entropy summed over the rows and its gradient; sigmoids inside, softmax at the end, Spark's order of weights.
+
+    x has a column a row and ones below, so that a layer's weights and intercepts are one matrix. Few rows at a time stay
+    in a core's cache.
+    """
+    parts, at = [], 0
+    for m, n in zip(layers, layers[1:]):
+        parts.append(weights[at:at + (m + 1) * n].reshape(m + 1, n).astype(x.dtype))
+        at += (m + 1) * n
+    loss, found = 0.0, [np.zeros(p.shape) for p in parts]
+    downhill = [-p.T for p in parts[:-1]]
+    for start in range(0, x.shape[1], chunk):
+        seen, column = [x[:, start:start + chunk]], np.arange(min(chunk, x.shape[1] - start))
+        known = y[start:start + chunk].astype(np.intp)
+        for w in downhill:
+            a = np.ones((len(w) + 1, len(column)), x.dtype)
+            z = np.matmul(w, seen[-1], out=a[:-1])
+            with np.errstate(over="ignore"):
+                np.exp(z, z)
+            z += 1
+            np.reciprocal(z, z)
+            seen.append(a)
+        delta = parts[-1].T @ seen[-1]
+        delta -= delta.max(0)
+        chosen = delta[known, column].sum(dtype="f8")
+        np.exp(delta, delta)
+        whole = delta.sum(0)
+        loss += float(np.log(whole).sum(dtype="f8") - chosen)
+        delta /= whole
+        delta[known, column] -= 1
+        for i in range(len(parts) - 1, -1, -1):
+            found[i] += seen[i] @ delta.T
+            if i:
+                a = seen[i][:-1]
+                delta = parts[i][:-1] @ delta
+                delta *= a
+                delta *= 1 - a
+    return loss, np.concatenate([g.ravel() for g in found])
+
+
+def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+    """L-BFGS with a line search for the weak Wolfe conditions; ends as Spark's does, on no gain over ten values or after ``steps``."""
+    at, pairs = start, []
+    f, g = value(at)
+    seen, first = [f], f
+    for step in range(steps):
+        way, used = -g, []
+        for s, y in reversed(pairs):
+            used.append(s @ way / (s @ y))
+            way = way - used[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            way = way * (s @ y / (y @ y))
+        for (s, y), a in zip(pairs, reversed(used)):
+            way = way + (a - y @ way / (s @ y)) * s
+        slope, low, high, t = g @ way, 0.0, np.inf, 1.0 if pairs else 1 / max(np.linalg.norm(g), 1e-12)
+        for _ in range(20):
+            new = at + t * way
+            f_new, g_new = value(new)
+            if not f_new <= f + 1e-4 * t * slope:
+                high = t
+            elif g_new @ way < 0.9 * slope:
+                low = t
+            else:
+                break
+            t = (low + high) / 2 if high < np.inf else 2 * t
+        if not f_new < f:
+            break
+        s, y = new - at, g_new - g
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs, (s, y)][-memory:]
+        at, f, g = new, f_new, g_new
+        if len(seen) >= 10 and abs(f - max(seen[-10:])) <= tolerance * abs(first) or np.linalg.norm(g) <= tolerance * max(abs(f), 1e-8):
+            break
+        seen.append(f)
+    return at
+
+
+class Net(Estimator):
+    """Spark's feed-forward net, its weights found by L-BFGS over blocks of rows; the model is Spark's own."""
+
+    def __init__(self, layers: list[int], steps: int, features: str = "scaled", label: str = "label", seed: int = 42):
+        super().__init__()
+        self.layers, self.steps, self.features, self.label, self.seed = layers, steps, features, label, seed
+
+    def _fit(self, rows: DataFrame):
+        spark, layers = rows.sparkSession, self.layers
+        one = spark.createDataFrame([(Vectors.dense([0.0] * layers[0]), 0.0)], [self.features, self.label])
+        # Without a step Spark's trainer hands back the weights it starts from, whatever the rows.
+        given = lambda **more: MultilayerPerceptronClassifier(featuresCol=self.features, labelCol=self.label, layers=layers, maxIter=0, seed=self.seed, **more).fit(one)
+        held = blocks(rows, self.features, self.label, lambda x: np.vstack([x.T, np.ones(len(x))]).astype("f4")).persist(StorageLevel.MEMORY_AND_DISK)
+        n = held.map(lambda b: len(b[1])).sum()
+
+        def value(weights: np.ndarray) -> tuple[float, np.ndarray]:
+            def summed(part: Iterator) -> Iterator[np.ndarray]:
+                found = np.zeros(len(weights) + 1)
+                for x, y in part:
+                    loss, gradient = net_loss(weights, layers, x, y)
+                    found[0] += loss
+                    found[1:] += gradient
+                yield found
+
+            found = held.mapPartitions(summed).reduce(np.add) / n
+            return float(found[0]), found[1:]
+
+        weights = lbfgs(value, given().weights.toArray(), self.steps)
+        held.unpersist()
+        return given(initialWeights=Vectors.dense(weights))

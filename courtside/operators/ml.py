@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.operators import features
-from courtside.operators.boosting import Boosting
+from courtside.operators.boosting import Boosting, Net
 from courtside.params import ENSEMBLE_WEIGHTS, SPORTS
 
 DEFAULT_ERA = 4.5
@@ -98,7 +98,7 @@ def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: i
     stages = {
         "forest": [assemble, forest(trees, depth)],
         "boosting": [assemble, Boosting(iterations, min(depth, 10))],
-        "net": [assemble, scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=iterations, seed=42)],
+        "net": [assemble, scale, Net([len(columns), 64, 32, 16, 2], iterations)],
     }
     spark = rows.sparkSession
 

@@ -1092,7 +1092,7 @@ def ml11_sequence_model(view):
 
     rows = features.labelled_sequences(features.team_games(view("games")))
     rows = rows.select("team_id", "game_id", "label", array_to_vector(F.transform("sequence", lambda x: x / 100.0)).alias("features"))
-    net = ml.MultilayerPerceptronClassifier(layers=[10 * len(features.STEP), 8, 2], maxIter=100, seed=42).fit(ml.split(rows)[0])
+    net = ml.Net([10 * len(features.STEP), 8, 2], 100, "features").fit(ml.split(rows)[0])
     return ml.probability(net.transform(rows)).select("team_id", "game_id", rounded("p", 4).alias("p"))
 
 
@@ -1184,7 +1184,7 @@ def _boosted(view, rounds: int, depth: int) -> DataFrame:
 @query()
 def ml05_feed_forward(view):
     rows, columns = _training(view)
-    stages = [ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ml.MultilayerPerceptronClassifier(featuresCol="scaled", layers=[len(columns), 64, 32, 16, 2], maxIter=100, seed=42)]
+    stages = [ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ml.Net([len(columns), 64, 32, 16, 2], 100)]
     model = ml.Pipeline(stages=stages).fit(ml.split(rows)[0])
     return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
 
