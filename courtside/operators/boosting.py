@@ -16,7 +16,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.sources.storage import cut_lineage
@@ -24,7 +24,9 @@ from courtside.sources.storage import cut_lineage
 #: Bins of a feature, as Spark's trees have them.
 BINS = 32
 #: Rows of a block: large enough for numpy, small enough for a core's cache.
-BLOCK = 1 << 15
+BLOCK = 1 << 16
+#: Values that stand for a block in the search for quantiles.
+SKETCH = 1 << 10
 #: What later trees weigh; the first weighs 1.
 RATE = 0.1
 #: Levels after which rows remember their places, so that no pass walks down from the root through more.
@@ -33,15 +35,28 @@ HALF = 5
 CUT = 10
 
 
-def blocks(rows: DataFrame, features: str, label: str, pack: Callable[[np.ndarray], np.ndarray]) -> RDD:
+def inputs(rows: DataFrame, features: str | list[str], *more: Column) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """rows with what holds the features, then ``more``, and how to take a row a game from a batch of it.
+
+    ``features`` names a vector, or the columns themselves: making vectors of those and arrays of the vectors takes longer
+    than all else that is done to a row here.
+    """
+    if isinstance(features, str):
+        return rows.select(vector_to_array(features).alias("x"), *more), lambda batch: batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else None
+    d = len(features)
+    return rows.select(*[F.col(c).cast("double") for c in features], *more), lambda batch: np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)]).T if batch.num_rows else None
+
+
+def blocks(rows: DataFrame, features: str | list[str], label: str, pack: Callable[[np.ndarray], np.ndarray]) -> RDD:
     """(pack(x), y) of up to BLOCK rows each, x with a row a game."""
+    arrays, taken = inputs(rows, features, F.col(label).cast("double").alias("y"))
 
     def stacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else None
+            x, y = taken(batch), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             for at in range(0, batch.num_rows, BLOCK):
-                held.append((x[at:at + BLOCK], batch.column(1).to_numpy()[at:at + BLOCK]))
+                held.append((x[at:at + BLOCK], y[at:at + BLOCK]))
                 n += len(held[-1][1])
                 if n >= BLOCK // 2:
                     yield _written(held, pack)
@@ -49,7 +64,6 @@ def blocks(rows: DataFrame, features: str, label: str, pack: Callable[[np.ndarra
         if held:
             yield _written(held, pack)
 
-    arrays = rows.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
     schema = "kind string, n long, x binary, y binary"
     return arrays.mapInArrow(stacked, schema).rdd.map(lambda r: (np.frombuffer(r["x"], r["kind"]).reshape(-1, r["n"]), np.frombuffer(r["y"], "f4")))
 
@@ -60,6 +74,55 @@ def _written(held: list, pack: Callable[[np.ndarray], np.ndarray]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([packed.dtype.str]), pa.array([len(y)]), pa.array([packed.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["kind", "n", "x", "y"])
 
 
+def condensed(values: np.ndarray, weights: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``points`` values a feature, in order and of equal weight, whose ranks among all are right to half of one's weight."""
+    if values.shape[1] <= points:
+        return values, weights
+    whole = weights.sum()
+    return _at_ranks(values, weights, (np.arange(points) + 0.5) * (whole / points)), np.full(points, whole / points)
+
+
+def _at_ranks(values: np.ndarray, weights: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For each feature the least value up to which values weigh so much."""
+    out = np.empty((len(values), len(ranks)))
+    for i, line in enumerate(values):
+        order = line.argsort()
+        upto = weights.take(order).cumsum()
+        out[i] = line.take(order.take(np.minimum(np.searchsorted(upto, ranks - 1e-9 * upto[-1]), len(order) - 1)))
+    return out
+
+
+def quantiles(rows: DataFrame, features: str | list[str]) -> list[np.ndarray]:
+    """The edges of BINS bins of each feature, quantiles of all rows, ranks right to 0.001: one pass, which sorts blocks."""
+    arrays, taken = inputs(rows, features)
+
+    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, made = [], 0, []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(taken(batch).T)
+                n += batch.num_rows
+            if n >= BLOCK:
+                made.append(condensed(np.hstack(held), np.ones(n), SKETCH))
+                held, n = [], 0
+            if len(made) >= 64:
+                # Each merge adds half a point to the error, so those of many blocks keep many points.
+                made = [condensed(*_side_by_side(made), 8 * SKETCH)]
+        if held:
+            made.append(condensed(np.hstack(held), np.ones(n), SKETCH))
+        if made:
+            values, weights = condensed(*_side_by_side(made), 2 * SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array([len(weights)]), pa.array([values.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], ["n", "x", "w"])
+
+    found = arrays.mapInArrow(sketched, "n long, x binary, w binary").collect()
+    values, weights = _side_by_side([(np.frombuffer(r["x"]).reshape(-1, r["n"]), np.frombuffer(r["w"])) for r in found])
+    return [np.unique(e) for e in _at_ranks(values, weights, np.arange(1, BINS) * (weights.sum() / BINS))]
+
+
+def _side_by_side(sketches: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.hstack([values for values, _ in sketches]), np.concatenate([weights for _, weights in sketches])
+
+
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """A line of bins a feature: how many edges each value exceeds."""
     return np.stack([np.searchsorted(e, x[:, i]).astype("u1") for i, e in enumerate(edges)])
@@ -147,13 +210,13 @@ def best_cuts(sums: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Boosting(Estimator):
     """Boosted regression trees on ``loss`` ("logistic" for labels 0 and 1, "squared" for numbers), cut at quantiles of all rows."""
 
-    def __init__(self, rounds: int, depth: int, loss: str = "logistic", label: str = "label", features: str = "features"):
+    def __init__(self, rounds: int, depth: int, loss: str = "logistic", label: str = "label", features: str | list[str] = "features"):
         super().__init__()
         self.rounds, self.depth, self.loss, self.label, self.features = rounds, depth, loss, label, features
 
     def _fit(self, rows: DataFrame) -> BoostedModel:
         cut_lineage(rows.sparkSession)
-        edges = self._edges(rows)
+        edges = quantiles(rows, self.features)
         state = blocks(rows, self.features, self.label, lambda x: binned(x, edges)).map(lambda b: (*b, np.zeros(len(b[1]), "f4"), np.zeros(len(b[1]), "u2"))).persist(StorageLevel.MEMORY_AND_DISK)
         trees = []
         for step in range(self.rounds):
@@ -181,14 +244,6 @@ class Boosting(Estimator):
                 state = _moved(state, lambda b: (*b[:3], routed(b[0], tree[:HALF]).astype("u2")))
         return state, tree, leaves
 
-    def _edges(self, rows: DataFrame) -> list[np.ndarray]:
-        x = rows.select(vector_to_array(self.features).alias("x"))
-        d = len(x.first()["x"])
-        names = [f"x{i}" for i in range(d)]
-        found = x.select(*[F.col("x")[i].alias(name) for i, name in enumerate(names)]).approxQuantile(names, [i / BINS for i in range(1, BINS)], 0.001)
-        return [np.unique(e) for e in found]
-
-
 def _unwalked(tree: list) -> list:
     """The levels below the places that rows remember; a tree that ended above them was walked by no row yet."""
     return tree[HALF:] if len(tree) >= HALF else tree
@@ -204,24 +259,30 @@ def _moved(state: RDD, work: Callable, cut: bool = False) -> RDD:
     return new
 
 
+def scores(features: str | list[str], edges: list[np.ndarray], work: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """work of each row's bins: one number a row."""
+
+    @F.arrow_udf("double")
+    def scored(*x: pa.Array) -> pa.Array:
+        n = len(x[0])
+        if not n:
+            return pa.array([], pa.float64())
+        values = x[0].flatten().to_numpy().reshape(n, -1) if isinstance(features, str) else np.stack([c.to_numpy(zero_copy_only=False) for c in x]).T
+        return pa.array(work(binned(values, edges)))
+
+    return scored(vector_to_array(features)) if isinstance(features, str) else scored(*[F.col(c).cast("double") for c in features])
+
+
 class BoostedModel(Model):
     """Adds prediction, and probability (a vector) for the logistic loss."""
 
-    def __init__(self, trees: list, edges: list[np.ndarray], loss: str, features: str):
+    def __init__(self, trees: list, edges: list[np.ndarray], loss: str, features: str | list[str]):
         super().__init__()
         self.trees, self.edges, self.loss, self.features = trees, edges, loss, features
 
     def _transform(self, rows: DataFrame) -> DataFrame:
-        trees, edges = self.trees, self.edges
-
-        @F.arrow_udf("double")
-        def margins(x: pa.Array) -> pa.Array:
-            if not len(x):
-                return pa.array([], pa.float64())
-            bins = binned(x.flatten().to_numpy().reshape(len(x), -1), edges)
-            return pa.array(sum(leaves.take(routed(bins, tree)) for tree, leaves in trees))
-
-        margin = margins(vector_to_array(self.features))
+        trees = self.trees
+        margin = scores(self.features, self.edges, lambda bins: sum(leaves.take(routed(bins, tree)) for tree, leaves in trees))
         if self.loss == "squared":
             return rows.withColumn("prediction", margin)
         p = 1 / (1 + F.exp(-2 * F.col("margin")))

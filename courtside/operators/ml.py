@@ -8,7 +8,6 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,11 +16,12 @@ from pyspark.sql import functions as F
 
 from courtside.operators import features
 from courtside.operators.boosting import Boosting, Net
+from courtside.operators.forests import RandomForestClassifier
 from courtside.params import ENSEMBLE_WEIGHTS, SPORTS
 
 DEFAULT_ERA = 4.5
-#: MB of counts that a pass of a forest's training fills in each task. Spark's 256 hold a whole level of 100 deep trees, far more
-#: than a core's cache, and each row then waits for memory at every tree; a few trees at a time need more passes, each far cheaper.
+#: MB of counts that a core works on at a time, by Spark's parameter. Spark's 256 hold a whole level of 100 deep trees, far more than
+#: a core's cache; our trainer counts tree by tree, and a tree of depth 10 takes half a MB.
 PASS_MB = 4
 #: The columns of the flat training row, in order.
 FLAT = (
@@ -44,7 +44,10 @@ class SportSpec:
     estimator: Callable[[], object] = field(default=lambda: forest(100, 10))
 
     def pipeline(self) -> Pipeline:
-        return Pipeline(stages=[VectorAssembler(inputCols=list(self.columns), outputCol="features"), self.estimator()])
+        columns, stage = list(self.columns), self.estimator()
+        if isinstance(stage, RandomForestClassifier):
+            return Pipeline(stages=[stage.over(columns)])
+        return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), stage])
 
     def prepared(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns(self.columns)
