@@ -16,7 +16,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.sources.storage import cut_lineage
@@ -27,6 +27,8 @@ BINS = 32
 BLOCK = 1 << 16
 #: Values that stand for a block in the search for quantiles.
 SKETCH = 1 << 10
+#: Rows that a net works on at a time: what all its layers hold stays in a core's cache.
+CHUNK = 1 << 10
 #: What later trees weigh; the first weighs 1.
 RATE = 0.1
 #: Levels after which rows remember their places, so that no pass walks down from the root through more.
@@ -289,7 +291,7 @@ class BoostedModel(Model):
         return rows.withColumn("margin", margin).withColumn("probability", array_to_vector(F.array(1 - p, p))).withColumn("prediction", (F.col("margin") > 0).cast("double")).drop("margin")
 
 
-def net_loss(weights: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, chunk: int = 1 << 12) -> tuple[float, np.ndarray]:
+def net_loss(weights: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, chunk: int = CHUNK) -> tuple[float, np.ndarray]:
     """Cross-entropy summed over the rows and its gradient; sigmoids inside, softmax at the end, Spark's order of weights.
 
     x has a column a row and ones below, so that a layer's weights and intercepts are one matrix. Few rows at a time stay
@@ -375,21 +377,32 @@ class Net(Estimator):
         super().__init__()
         self.layers, self.steps, self.features, self.label, self.seed = layers, steps, features, label, seed
 
-    def _fit(self, rows: DataFrame):
-        spark, layers = rows.sparkSession, self.layers
+    def _fit(self, rows: DataFrame) -> Model:
+        held = blocks(rows, self.features, self.label, lambda x: np.vstack([x.T, np.ones(len(x))]).astype("f4"))
+        return self._found(rows.sparkSession, held, lambda b: [b])
+
+    def fit_runs(self, runs: DataFrame, steps: list[str], unit: float = 1.0) -> Model:
+        """The same net on the sequences that ``features.sequence_runs`` holds, each game kept once and not in every sequence that it is part of."""
+        length = self.layers[0] // len(steps)
+        held = run_blocks(runs, steps, self.label, length, unit)
+        return self._found(runs.sparkSession, held, lambda b: windows(*b, length))
+
+    def _found(self, spark: SparkSession, blocks_of: RDD, pieces: Callable[[tuple], Iterable[tuple[np.ndarray, np.ndarray]]]) -> Model:
+        layers = self.layers
         one = spark.createDataFrame([(Vectors.dense([0.0] * layers[0]), 0.0)], [self.features, self.label])
         # Without a step Spark's trainer hands back the weights it starts from, whatever the rows.
         given = lambda **more: MultilayerPerceptronClassifier(featuresCol=self.features, labelCol=self.label, layers=layers, maxIter=0, seed=self.seed, **more).fit(one)
-        held = blocks(rows, self.features, self.label, lambda x: np.vstack([x.T, np.ones(len(x))]).astype("f4")).persist(StorageLevel.MEMORY_AND_DISK)
-        n = held.map(lambda b: len(b[1])).sum()
+        held = blocks_of.persist(StorageLevel.MEMORY_AND_DISK)
+        n = held.map(lambda b: int((b[1] == b[1]).sum())).sum()
 
         def value(weights: np.ndarray) -> tuple[float, np.ndarray]:
             def summed(part: Iterator) -> Iterator[np.ndarray]:
                 found = np.zeros(len(weights) + 1)
-                for x, y in part:
-                    loss, gradient = net_loss(weights, layers, x, y)
-                    found[0] += loss
-                    found[1:] += gradient
+                for block in part:
+                    for x, y in pieces(block):
+                        loss, gradient = net_loss(weights, layers, x, y)
+                        found[0] += loss
+                        found[1:] += gradient
                 yield found
 
             found = held.mapPartitions(summed).reduce(np.add) / n
@@ -398,3 +411,45 @@ class Net(Estimator):
         weights = lbfgs(value, given().weights.toArray(), self.steps)
         held.unpersist()
         return given(initialWeights=Vectors.dense(weights))
+
+
+def run_blocks(runs: DataFrame, steps: list[str], label: str, length: int, unit: float) -> RDD:
+    """(steps, y) of up to BLOCK games each in their order, a line a game, y not a number where no label is; each block starts with the ``length`` games before it."""
+    arrays = runs.select(*[(F.col(c) / unit).alias(c) for c in steps], F.coalesce(F.col(label).cast("double"), F.lit(float("nan"))).alias("y"), "place")
+
+    def stacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, len(steps) + 2))
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype("f8") for i in range(batch.num_columns)], 1))
+            n += batch.num_rows
+            if n >= BLOCK:
+                held = np.vstack([held, *waiting])
+                yield written(held)
+                held, waiting, n = held[-length:].copy(), [], 0
+                held[:, -2] = np.nan
+        if n:
+            yield written(np.vstack([held, *waiting]))
+
+    def written(games: np.ndarray) -> pa.RecordBatch:
+        y, place = games[:, -2].astype("f4"), games[:, -1]
+        at = np.flatnonzero(y == y)
+        if len(at) and (at[0] < length or (place[at - length] != place[at] - length).any()):
+            raise ValueError("the games of a run do not follow each other")
+        return pa.RecordBatch.from_arrays([pa.array([games[:, :-2].astype("f4").tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+
+    return arrays.mapInArrow(stacked, "x binary, y binary").rdd.map(lambda r: (np.frombuffer(r["x"], "f4").reshape(-1, len(steps)), np.frombuffer(r["y"], "f4")))
+
+
+def windows(steps: np.ndarray, y: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sequences before the games with a label, few at a time: a column each, with ones below."""
+    at, width = np.flatnonzero(y == y), steps.shape[1]
+    if not len(at):
+        return
+    # A line of steps follows the other in memory, so a sequence is one piece of it.
+    pieces = np.lib.stride_tricks.as_strided(steps, (len(steps) - length + 1, length * width), steps.strides[:1] + steps.strides[1:], writeable=False)
+    for start in range(0, len(at), CHUNK):
+        few = at[start:start + CHUNK]
+        x = np.ones((len(few), length * width + 1), steps.dtype)
+        x[:, :-1] = pieces[few - length]
+        yield x.T, y.take(few)

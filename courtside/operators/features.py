@@ -23,29 +23,31 @@ def team_games(games: DataFrame) -> DataFrame:
 SLICE = 1 << 16
 
 
-def by_team(rows: DataFrame, add: Callable[[DataFrame, WindowSpec], DataFrame], carry: int, slice_games: int = SLICE) -> DataFrame:
+def by_team(rows: DataFrame, add: Callable[[DataFrame, WindowSpec], DataFrame], carry: int, slice_games: int = SLICE, runs: bool = False) -> DataFrame:
     """add(rows, window) with each team's games in order, no task holding more than a slice of one team.
 
     ``carry``: how many earlier games the windows of add can reach. Teams of few games, if not all then nearly all, take
     one shuffle. The games of the others are numbered by range partitions and cut into slices; each slice starts with
-    the last ``carry`` games of the one before it, which only lend their values and go again.
+    the last ``carry`` games of the one before it, which only lend their values and go again. With ``runs`` they stay, and
+    rows tell their ``slice`` and whether they are ``lent``.
     """
     if slice_games <= carry:
         raise ValueError("a slice must hold more games than windows reach")
     order = ("game_ts", "game_id")
     plain = Window.partitionBy("team_id").orderBy(*order)
+    told = lambda df: df.withColumns({"slice": F.lit(0).cast("long"), "lent": F.lit(False)}) if runs else df
     large = rows.groupBy("team_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_games).select("team_id")
     if large.isEmpty():
-        return add(rows, plain)
+        return told(add(rows, plain))
     placed = numbered(rows.join(large, "team_id", "left_semi"), ["team_id", *order])
     first = placed.groupBy("team_id").agg(F.min("place").alias("first"))
     index = F.col("place") - F.col("first")
     own = F.expr(f"index div {slice_games}")
     copies = F.when(index % slice_games >= slice_games - carry, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = placed.join(first, "team_id").withColumn("index", index).withColumn("slice", F.explode(copies.alias("s"))).withColumn("lent", F.col("slice") > own)
-    sliced = add(dealt.drop("place", "first", "index"), Window.partitionBy("team_id", "slice").orderBy(*order)).filter(~F.col("lent")).drop("slice", "lent")
-    rest = add(rows.join(large, "team_id", "left_anti"), plain)
-    return rest.unionByName(sliced)
+    sliced = add(dealt.drop("place", "first", "index"), Window.partitionBy("team_id", "slice").orderBy(*order))
+    rest = told(add(rows.join(large, "team_id", "left_anti"), plain))
+    return rest.unionByName(sliced if runs else sliced.filter(~F.col("lent")).drop("slice", "lent"))
 
 
 def rolling_form(rows: DataFrame, include_current: bool = True, slice_games: int = SLICE) -> DataFrame:
@@ -118,6 +120,22 @@ def labelled_sequences(rows: DataFrame, length: int = 10, slice_games: int = SLI
     return whole.select("team_id", F.col("last_id").alias("game_id"), F.col("won").alias("label"), F.flatten("steps").alias("sequence"))
 
 
+def sequence_runs(rows: DataFrame, length: int = 10, slice_games: int = SLICE) -> DataFrame:
+    """What ``labelled_sequences`` are cut from, each game once: its STEP features, and the label of the ``length`` games before it.
+
+    The games of a team (or of a slice of one) lie in one partition, as their window needs, one after another and numbered
+    by ``place`` from 1. ``game_id`` is that of the last game before, as in ``labelled_sequences``; label is null where it
+    has no row: with fewer games before, an unknown outcome, or games that a slice only borrows.
+    """
+    known = F.when((F.col("place") > length) & ~F.col("lent"), F.col("won"))
+
+    def add(df: DataFrame, ordered: WindowSpec) -> DataFrame:
+        return _form(df, ordered, 0).withColumns({"place": F.row_number().over(ordered), "last_id": F.lag("game_id").over(ordered)})
+
+    sorted_ = by_team(rows, add, 21 + length, slice_games, runs=True).sortWithinPartitions("team_id", "slice", "game_ts", "game_id")
+    return sorted_.select("team_id", F.col("last_id").alias("game_id"), "place", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in STEP], known.alias("label"))
+
+
 def pair_key(home: str = "home_id", away: str = "away_id") -> list:
     return [F.least(home, away).alias("low_id"), F.greatest(home, away).alias("high_id")]
 

@@ -1090,9 +1090,11 @@ def ml11_sequence_model(view):
     """Whether a team wins its next game, from its last ten."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = features.labelled_sequences(features.team_games(view("games")))
-    rows = rows.select("team_id", "game_id", "label", array_to_vector(F.transform("sequence", lambda x: x / 100.0)).alias("features"))
-    net = ml.Net([10 * len(features.STEP), 8, 2], 100, "features").fit(ml.split(rows)[0])
+    games = features.team_games(view("games"))
+    runs = features.sequence_runs(games)
+    learnt = runs.withColumn("label", F.when(ml.parts()[0], F.col("label")))
+    net = ml.Net([10 * len(features.STEP), 8, 2], 100, "features").fit_runs(learnt, list(features.STEP), 100.0)
+    rows = features.labelled_sequences(games).select("team_id", "game_id", array_to_vector(F.transform("sequence", lambda x: x / 100.0)).alias("features"))
     return ml.probability(net.transform(rows)).select("team_id", "game_id", rounded("p", 4).alias("p"))
 
 

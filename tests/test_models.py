@@ -3,11 +3,13 @@
 import os
 import threading
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from courtside.operators import features, ml
+from courtside.operators import boosting, features, ml
 from courtside.plans import queries
 from courtside.plans.fixtures import open_views
 from courtside.sources import storage
@@ -150,3 +152,30 @@ def test_regression_errors_wait_until_they_are_read(spark):
     scored = model.transform(ml.split(rows)[1]).select("prediction", "margin").collect()
     wrong = [r["prediction"] - r["margin"] for r in scored]
     assert tuple(errors.first()) == pytest.approx((sum(map(abs, wrong)) / len(wrong), sum(x * x for x in wrong) / len(wrong)))
+
+
+@pytest.mark.parametrize("slice_games,block", [(features.SLICE, 1 << 16), (40, 50)])
+def test_runs_hold_each_game_once_and_give_the_labelled_sequences(spark, monkeypatch, slice_games, block):
+    """Kept were the 81 numbers of each sequence, ten times what its games are; a run keeps a game's eight and a label, also over slices and blocks."""
+    rows = features.team_games(some_games(spark))
+    runs = features.sequence_runs(rows, slice_games=slice_games)
+    monkeypatch.setattr(boosting, "BLOCK", block)
+    held = boosting.run_blocks(runs, list(features.STEP), "label", 10, 100.0).collect()
+    found = [(x[:-1], y) for b in held for xs, ys in boosting.windows(*b, 10) for x, y in zip(xs.T, ys)]
+    want = features.labelled_sequences(rows).collect()
+    line = lambda x, y: tuple(np.float32([*x, y]).tolist())
+    assert len(want) > 1000 and sorted(line(*f) for f in found) == sorted(line(np.array(r["sequence"]) / 100, r["label"]) for r in want)
+    keys = [tuple(r) for r in runs.filter("label is not null").select("team_id", "game_id", "label").collect()]
+    assert sorted(keys) == sorted((r["team_id"], r["game_id"], r["label"]) for r in want)
+    if slice_games == features.SLICE:
+        assert sum(x.nbytes + y.nbytes for x, y in held) == rows.count() * 36
+
+
+def test_net_on_runs_is_the_net_on_sequences(spark):
+    rows = features.team_games(some_games(spark))
+    vectors = features.labelled_sequences(rows).select("label", array_to_vector(F.transform("sequence", lambda x: x / 100.0)).alias("features"))
+    plain = ml.Net([80, 4, 2], 8, "features").fit(vectors)
+    runs = ml.Net([80, 4, 2], 8, "features").fit_runs(features.sequence_runs(rows), list(features.STEP), 100.0)
+    assert runs.getLayers() == [80, 4, 2] and runs.weights.toArray() == pytest.approx(plain.weights.toArray(), abs=2e-3)
+    with pytest.raises(Exception, match="follow each other"):
+        ml.Net([80, 4, 2], 1, "features").fit_runs(features.sequence_runs(rows).orderBy(F.rand(1)), list(features.STEP))
