@@ -12,8 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml import Estimator, Model, classification
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,9 +162,16 @@ def summed(rest: Callable[[np.ndarray, np.ndarray], np.ndarray], levels: list, w
     def sums(part: Iterator) -> Iterator[np.ndarray]:
         found = np.zeros((2, features, size))
         for bins, y, margin, before in part:
+            weight = rest(y, margin)
+            if wanted.all():
+                # The root: all rows, as they lie.
+                for i in range(features):
+                    found[0, i] += np.bincount(bins[i], minlength=size)
+                    found[1, i] += np.bincount(bins[i], weight, size)
+                continue
             place = routed(bins, levels, before)
             rows = np.flatnonzero(wanted.take(place))
-            base, weight = place.take(rows), rest(y, margin).take(rows).astype("f8")
+            base, weight = place.take(rows), weight.take(rows).astype("f8")
             base >>= 1
             base *= BINS
             for i in range(features):
@@ -219,48 +225,68 @@ class Boosting(Estimator):
     def _fit(self, rows: DataFrame) -> BoostedModel:
         cut_lineage(rows.sparkSession)
         edges = quantiles(rows, self.features)
-        state = blocks(rows, self.features, self.label, lambda x: binned(x, edges)).map(lambda b: (*b, np.zeros(len(b[1]), "f4"), np.zeros(len(b[1]), "u2"))).persist(StorageLevel.MEMORY_AND_DISK)
+        first, rest = FIRST[self.loss], RESIDUALS[self.loss]
+        # Beside its label each row keeps what the tree is fitted to, so that no level works it out again.
+        fresh = lambda bins, y, margin, target: (bins, np.stack([y, target(y, margin).astype("f4")]), margin, np.zeros(len(y), "u2"))
+        state = _Kept(blocks(rows, self.features, self.label, lambda x: binned(x, edges)).map(lambda b: fresh(*b, np.zeros(len(b[1]), "f4"), first)))
         trees = []
         for step in range(self.rounds):
-            rest = RESIDUALS[self.loss] if step else FIRST[self.loss]
-            state, tree, leaves = self._tree(state, rest, len(edges))
+            tree, leaves = self._tree(state, len(edges))
             leaves = leaves * (RATE if step else 1.0)
             trees.append((tree, leaves))
             if step + 1 < self.rounds:
-                late = _unwalked(tree)
-                state = _moved(state, lambda b: (b[0], b[1], b[2] + leaves.astype("f4").take(routed(b[0], late, b[3])), np.zeros(len(b[1]), "u2")), (step + 1) % CUT == 0)
-        state.unpersist()
+                late, gained = _unwalked(tree), leaves.astype("f4")
+                state.move(lambda b, late=late, gained=gained: fresh(b[0], b[1][0], b[2] + gained.take(routed(b[0], late, b[3])), rest), (step + 1) % CUT == 0)
+        state.end()
         return BoostedModel(trees, edges, self.loss, self.features)
 
-    def _tree(self, state: RDD, rest: Callable, features: int) -> tuple[RDD, list, np.ndarray]:
-        """The blocks with the places of rows below the tree's first HALF levels, the tree's levels, and the means of its leaves."""
+    def _tree(self, state: _Kept, features: int) -> tuple[list, np.ndarray]:
+        """The tree's levels, and the means of its leaves; the blocks then have the places of rows below its first HALF levels."""
         tree, wanted, parents, leaves = [], np.array([True]), None, None
         while len(tree) < self.depth and wanted.any():
-            sums = state.mapPartitions(summed(rest, _unwalked(tree), wanted, features)).reduce(np.add).reshape(2, features, -1, BINS)
+            sums = state.total(summed(lambda known, margin: known[1], _unwalked(tree), wanted, features)).reshape(2, features, -1, BINS)
             sums = sums if parents is None else with_siblings(sums, parents, wanted)
             value = leaves if tree else sums[1, 0].sum(1) / sums[0, 0].sum(1)
             feature, cut, wanted, leaves = best_cuts(sums, value)
             tree.append((feature, cut))
             parents = sums
             if len(tree) == HALF:
-                state = _moved(state, lambda b: (*b[:3], routed(b[0], tree[:HALF]).astype("u2")))
-        return state, tree, leaves
+                state.move(lambda b, top=tuple(tree): (*b[:3], routed(b[0], top).astype("u2")))
+        return tree, leaves
+
+
+class _Kept:
+    """Blocks in Spark's store. What moves them waits for the next pass, which keeps the new ones; then those before go."""
+
+    def __init__(self, blocks_of: RDD):
+        self.now, self.before = blocks_of.persist(StorageLevel.MEMORY_AND_DISK), []
+
+    def move(self, work: Callable, cut: bool = False) -> None:
+        self.before.append(self.now)
+        self.now = self.now.map(work).persist(StorageLevel.MEMORY_AND_DISK)
+        if cut:
+            self.now.checkpoint()
+
+    def total(self, work: Callable[[Iterator], Iterator[np.ndarray]]) -> np.ndarray:
+        found = self.now.mapPartitions(work).reduce(np.add)
+        self._drop()
+        return found
+
+    def _drop(self) -> None:
+        for old in self.before:
+            old.unpersist()
+        self.before = []
+
+    def end(self) -> None:
+        self._drop()
+        self.now.unpersist()
+
 
 def _unwalked(tree: list) -> list:
     """The levels below the places that rows remember; a tree that ended above them was walked by no row yet."""
     return tree[HALF:] if len(tree) >= HALF else tree
 
 
-def _moved(state: RDD, work: Callable, cut: bool = False) -> RDD:
-    """work of each block, kept; the blocks before go."""
-    new = state.map(work).persist(StorageLevel.MEMORY_AND_DISK)
-    if cut:
-        new.checkpoint()
-    new.count()
-    state.unpersist()
-    return new
-
-
 def scores(features: str | list[str], edges: list[np.ndarray], work: Callable[[np.ndarray], np.ndarray]) -> Column:
     """work of each row's bins: one number a row."""
 
@@ -291,6 +317,20 @@ class BoostedModel(Model):
         return rows.withColumn("margin", margin).withColumn("probability", array_to_vector(F.array(1 - p, p))).withColumn("prediction", (F.col("margin") > 0).cast("double")).drop("margin")
 
 
+class GBTClassifier(Boosting):
+    """Boosting by Spark's names for its sizes."""
+
+    def __init__(self, maxIter: int, maxDepth: int, features: str | list[str] = "features", label: str = "label"):  # noqa: N803
+        super().__init__(maxIter, maxDepth, "logistic", label, features)
+
+
+class GBTRegressor(Boosting):
+    """Boosting of numbers by Spark's names for its sizes."""
+
+    def __init__(self, maxIter: int, maxDepth: int, features: str | list[str] = "features", label: str = "label"):  # noqa: N803
+        super().__init__(maxIter, maxDepth, "squared", label, features)
+
+
 def net_loss(weights: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, chunk: int = CHUNK) -> tuple[float, np.ndarray]:
     """Cross-entropy summed over the rows and its gradient; sigmoids inside, softmax at the end, Spark's order of weights.
 
@@ -391,7 +431,7 @@ class Net(Estimator):
         layers = self.layers
         one = spark.createDataFrame([(Vectors.dense([0.0] * layers[0]), 0.0)], [self.features, self.label])
         # Without a step Spark's trainer hands back the weights it starts from, whatever the rows.
-        given = lambda **more: MultilayerPerceptronClassifier(featuresCol=self.features, labelCol=self.label, layers=layers, maxIter=0, seed=self.seed, **more).fit(one)
+        given = lambda **more: classification.MultilayerPerceptronClassifier(featuresCol=self.features, labelCol=self.label, layers=layers, maxIter=0, seed=self.seed, **more).fit(one)
         held = blocks_of.persist(StorageLevel.MEMORY_AND_DISK)
         n = held.map(lambda b: int((b[1] == b[1]).sum())).sum()
 
@@ -453,3 +493,10 @@ def windows(steps: np.ndarray, y: np.ndarray, length: int) -> Iterator[tuple[np.
         x = np.ones((len(few), length * width + 1), steps.dtype)
         x[:, :-1] = pieces[few - length]
         yield x.T, y.take(few)
+
+
+class MultilayerPerceptronClassifier(Net):
+    """Net by Spark's names for its sizes."""
+
+    def __init__(self, layers: list[int], maxIter: int, features: str = "scaled", label: str = "label"):  # noqa: N803
+        super().__init__(layers, maxIter, features, label)

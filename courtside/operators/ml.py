@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.operators import features
-from courtside.operators.boosting import Boosting, Net
+from courtside.operators.boosting import GBTClassifier, GBTRegressor, MultilayerPerceptronClassifier, Net
 from courtside.operators.forests import RandomForestClassifier
 from courtside.params import ENSEMBLE_WEIGHTS, SPORTS
 
@@ -99,9 +99,9 @@ def train_models(rows: DataFrame, columns: list[str], trees: int = 100, depth: i
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     stages = {
-        "forest": [assemble, forest(trees, depth)],
-        "boosting": [assemble, Boosting(iterations, min(depth, 10))],
-        "net": [assemble, scale, Net([len(columns), 64, 32, 16, 2], iterations)],
+        "forest": [forest(trees, depth).over(columns)],
+        "boosting": [GBTClassifier(maxIter=iterations, maxDepth=min(depth, 10), features=columns)],
+        "net": [assemble, scale, MultilayerPerceptronClassifier(layers=[len(columns), 64, 32, 16, 2], maxIter=iterations)],
     }
     spark = rows.sparkSession
 
@@ -173,7 +173,7 @@ def training_set(games: DataFrame) -> DataFrame:
 def spread_regression(rows: DataFrame, columns: list[str], label: str = "margin", iterations: int = 20) -> tuple[PipelineModel, DataFrame]:
     """The model, and its mae and mse on the test rows: one row, worked out in one pass by whoever reads it."""
     train, test = split(rows)
-    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), Boosting(iterations, 5, "squared", label)]).fit(train)
+    model = Pipeline(stages=[GBTRegressor(maxIter=iterations, maxDepth=5, features=columns, label=label)]).fit(train)
     error = F.col("prediction") - F.col(label)
     return model, model.transform(test).agg(F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"))
 

@@ -1012,14 +1012,15 @@ def _training(view) -> tuple[DataFrame, list[str]]:
 def _forests(view, trees: int, depth: int) -> DataFrame:
     """One forest a sport; labels and probabilities of all its games."""
     rows, columns = _training(view)
+    specs = [ml.SportSpec(s, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.forest(trees, depth)) for s in ml.Registry.supported()]
 
-    def scored(sport: str) -> DataFrame:
-        spec = ml.SportSpec(sport, {f"f_{c}": F.col(c) for c in columns}, forecast.point_spread, lambda: ml.forest(trees, depth))
+    def scored(item: tuple[ml.SportSpec, ml.Pipeline]) -> DataFrame:
+        (spec, pipeline), sport = item, item[0].name
         mine = spec.prepared(rows.filter(F.col("sport") == sport))
-        model = spec.pipeline().fit(ml.split(mine)[0])
+        model = pipeline.fit(ml.split(mine)[0])
         return ml.probability(model.transform(mine)).select("game_id", "sport", "label", rounded("p").alias("p"))
 
-    return reduce(DataFrame.unionByName, ml.at_once(rows.sparkSession, scored, ml.Registry.supported()))
+    return reduce(DataFrame.unionByName, ml.at_once(rows.sparkSession, scored, [(spec, spec.pipeline()) for spec in specs]))
 
 
 @query()
@@ -1179,14 +1180,14 @@ def ml04_boosting(view):
 
 def _boosted(view, rounds: int, depth: int) -> DataFrame:
     rows, columns = _training(view)
-    model = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.Boosting(rounds, depth)]).fit(ml.split(rows)[0])
+    model = ml.Pipeline(stages=[ml.GBTClassifier(maxIter=rounds, maxDepth=depth, features=columns)]).fit(ml.split(rows)[0])
     return ml.probability(model.transform(rows)).select("game_id", "label", rounded("p", 4).alias("p"))
 
 
 @query()
 def ml05_feed_forward(view):
     rows, columns = _training(view)
-    stages = [ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ml.Net([len(columns), 64, 32, 16, 2], 100)]
+    stages = [ml.VectorAssembler(inputCols=columns, outputCol="features"), ml.StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ml.MultilayerPerceptronClassifier(layers=[len(columns), 64, 32, 16, 2], maxIter=100)]
     model = ml.Pipeline(stages=stages).fit(ml.split(rows)[0])
     return ml.probability(model.transform(rows)).select("game_id", rounded("p", 4).alias("p"))
 

@@ -88,3 +88,14 @@ def test_net_is_sparks_with_the_same_loss(rows):
     want = sum(-np.log(r["p"] if r["label"] else 1 - r["p"]) for r in ml.probability(theirs.transform(scaled)).select("p", "label").collect())
     blocks = boosting.blocks(scaled, "scaled", "label", lambda x: np.vstack([x.T, np.ones(len(x))]).astype("f4")).collect()
     assert sum(boosting.net_loss(theirs.weights.toArray(), layers, *b)[0] for b in blocks) == pytest.approx(want, rel=1e-3, abs=1e-2)
+
+
+def test_no_pass_only_moves_rows(spark, rows):
+    """A job a level, and one that finds the cuts: what moves rows to their places or gives them new margins waits for the next level; five more jobs before."""
+    spark.sparkContext.setJobGroup("boosting", "boosting")
+    try:
+        trees = Boosting(3, 7).fit(rows).trees
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1 + sum(len(levels) for levels, _ in trees)
